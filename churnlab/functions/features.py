@@ -17,7 +17,7 @@ __all__ = [
     "is_uncertain_width", "missing_pct", "profile_text", "interaction_text", "narrative_template",
     "humanise", "clean_condition", "action_type", "normalise_action_type", "dispatch_status",
     "churn_hints", "anonymised_id", "add_features", "RAW_NUMERIC", "DERIVED", "CATEGORICAL",
-    "FEATURES", "title_case",
+    "FEATURES", "title_case", "ab_bucket", "ab_assign", "VALID_ACTION_TYPES",
 ]
 
 # Fixed values that must equal the reference's for the same results:
@@ -118,6 +118,7 @@ def risk_tier_by_charge(monthly="monthly_charges") -> Column:
 def risk_score_heuristic(monthly="monthly_charges", tenure="tenure_months", tickets="num_support_tickets_30d",
                          adoption="feature_adoption_rate", nps="nps_score") -> Column:
     m, t, tk, ad, n = map(col_, (monthly, tenure, tickets, adoption, nps))
+    m, t = F.coalesce(m, F.lit(0.0)), F.coalesce(t, F.lit(0.0))  # JS: null / 120 == 0
     s = (
         F.least(m / 120.0, F.lit(1.0)) * 30.0
         + F.greatest(F.lit(0.0), 1.0 - t / 60.0) * 20.0
@@ -159,19 +160,23 @@ def is_uncertain_width(ci, max_width: float = 0.25) -> Column:
 
 
 def missing_pct(*cols) -> Column:
+    """Share of null fields in the row, 4 dp (NaN is turned into null on read)."""
     n = len(cols)
-    missing = sum((col_(c).isNull() | (F.isnan(col_(c)) if _is_numeric_name(c) else F.lit(False))).cast("int") for c in cols)
+    missing = sum(col_(c).isNull().cast("int") for c in cols)
     return F.round(missing / F.lit(float(max(n, 1))), 4)
 
 
-def _is_numeric_name(c) -> bool:
-    return isinstance(c, str) and c in RAW_NUMERIC
+def _fmt0(c: Column) -> Column:
+    """Python "{:.0f}": half-to-even (``bround``), and NaN/null prints as "nan"."""
+    tie = (c - F.floor(c)) == F.lit(0.5)
+    return (F.when(c.isNull(), F.lit("nan"))
+            .when(tie, F.format_string("%.0f", F.bround(c, 0)))
+            .otherwise(F.format_string("%.0f", c)))
 
 
-def _fmt0(c: Column) -> Column:
-    # Python "{:.0f}" rounds half to even; format_string uses HALF_UP.  Values
-    # that sit exactly on .5 are rare in practice; documented deviation.
-    return F.format_string("%.0f", c)
+def _num_str(c: Column) -> Column:
+    """Python f"{x}" of a float: "12.0"; NaN/null -> "nan"."""
+    return F.coalesce(c.cast("double").cast("string"), F.lit("nan"))
 
 
 def profile_text(df_cols: dict | None = None) -> Column:
@@ -179,13 +184,13 @@ def profile_text(df_cols: dict | None = None) -> Column:
     parts = [
         F.concat(F.lit("Contract: "), F.coalesce(g("contract_type"), F.lit("unknown"))),
         F.concat(F.lit("Plan: "), F.coalesce(g("plan_tier"), F.lit("unknown"))),
-        F.concat(F.lit("Tenure: "), F.coalesce(g("tenure_months").cast("string"), F.lit("0")), F.lit(" months")),
-        F.concat(F.lit("Charges: $"), _fmt0(F.coalesce(g("monthly_charges"), F.lit(0.0))), F.lit("/month")),
-        F.concat(F.lit("Tickets: "), F.coalesce(g("num_support_tickets_30d").cast("string"), F.lit("0")), F.lit(" in 30d")),
-        F.concat(F.lit("Login freq: "), _fmt0(F.coalesce(g("login_frequency_30d"), F.lit(0.0))), F.lit("/30d")),
-        F.concat(F.lit("Feature adoption: "), _fmt0(F.coalesce(g("feature_adoption_rate"), F.lit(0.0)) * 100.0), F.lit("%")),
-        F.concat(F.lit("NPS: "), _fmt0(F.coalesce(g("nps_score"), F.lit(0.0)))),
-        F.concat(F.lit("Days since login: "), F.coalesce(g("days_since_last_login").cast("string"), F.lit("0"))),
+        F.concat(F.lit("Tenure: "), _num_str(g("tenure_months")), F.lit(" months")),
+        F.concat(F.lit("Charges: $"), _fmt0(g("monthly_charges")), F.lit("/month")),
+        F.concat(F.lit("Tickets: "), _num_str(g("num_support_tickets_30d")), F.lit(" in 30d")),
+        F.concat(F.lit("Login freq: "), _fmt0(g("login_frequency_30d")), F.lit("/30d")),
+        F.concat(F.lit("Feature adoption: "), _fmt0(g("feature_adoption_rate") * 100.0), F.lit("%")),
+        F.concat(F.lit("NPS: "), _fmt0(g("nps_score"))),
+        F.concat(F.lit("Days since login: "), _num_str(g("days_since_last_login"))),
     ]
     return F.concat_ws(" | ", *parts)
 
@@ -309,3 +314,18 @@ def add_features(df: DataFrame) -> DataFrame:
         "login_trend": login_trend(),
         "nps_segment": nps_segment(),
     })
+
+
+def ab_bucket(key, experiment: str) -> Column:
+    """int(md5("experiment:key"), 16) % 100, computed on four 32-bit hex chunks (2**32 % 100 == 96)."""
+    h = F.md5(F.concat(F.lit(f"{experiment}:"), col_(key).cast("string")))
+    b = F.lit(0).cast("bigint")
+    for i in range(4):
+        chunk = F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("bigint")
+        b = (b * 96 + chunk) % 100
+    return b
+
+
+def ab_assign(key, experiment: str, share: float = 0.5) -> Column:
+    """Deterministic arm: treatment iff bucket / 100 < share; stable across runs and partitionings."""
+    return F.when(ab_bucket(key, experiment) / F.lit(100.0) < F.lit(share), "treatment").otherwise("control")

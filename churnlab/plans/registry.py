@@ -15,6 +15,7 @@ HEADLINE: list[str] = []
 
 _MODULES = [
     "churnlab.plans.q_core",
+    "churnlab.plans.q_features",
 ]
 
 
