@@ -16,6 +16,7 @@ HEADLINE: list[str] = []
 _MODULES = [
     "churnlab.plans.q_core",
     "churnlab.plans.q_features",
+    "churnlab.plans.q_metrics",
 ]
 
 
