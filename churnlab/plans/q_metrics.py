@@ -57,10 +57,11 @@ def q_opt(spark, sf):
 
 
 @register("lift_curve", rnd(with_c360("""
-SELECT score AS threshold, cum_n / N AS population_pct, cum_pos / P AS cumulative_churn, (cum_pos / P) / (cum_n / N) AS lift
-FROM (SELECT *, SUM(pos) OVER (ORDER BY score DESC) AS cum_pos, SUM(n) OVER (ORDER BY score DESC) AS cum_n FROM s CROSS JOIN t) AS c""",
-    "s AS (SELECT churn_probability AS score, SUM(churned) AS pos, COUNT(*) AS n FROM c360 GROUP BY 1)",
-    "t AS (SELECT SUM(churned) AS P, COUNT(*) AS N FROM c360)"), "threshold,population_pct,cumulative_churn,lift"))
+SELECT score AS threshold, cum_rows / rows_total AS population_pct, cum_pos / pos_total AS cumulative_churn,
+  (cum_pos / pos_total) / (cum_rows / rows_total) AS lift
+FROM (SELECT *, SUM(pos) OVER (ORDER BY score DESC) AS cum_pos, SUM(rows) OVER (ORDER BY score DESC) AS cum_rows FROM s CROSS JOIN t) AS c""",
+    "s AS (SELECT churn_probability AS score, SUM(churned) AS pos, COUNT(*) AS rows FROM c360 GROUP BY 1)",
+    "t AS (SELECT SUM(churned) AS pos_total, COUNT(*) AS rows_total FROM c360)"), "threshold,population_pct,cumulative_churn,lift"))
 def q_lift(spark, sf):
     return out(M.lift_curve(c360(spark, sf), Y, P))
 
