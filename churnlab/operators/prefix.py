@@ -65,3 +65,34 @@ def rank_avg(df: DataFrame, key: str, by=(), weight: str | None = None) -> DataF
     cnt = df.groupBy(*by, key).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     ps = prefix_sum(cnt, key, ["n"], by=by)
     return ps.withColumn("rank", (F.col("cum_n") - F.col("n")) + (F.col("n") + F.lit(1)) / F.lit(2.0)).drop("cum_n")
+
+
+def exact_percentiles(df: DataFrame, value: str, probs: list[float], by=(), bounded_groups: bool = True) -> DataFrame:
+    """Exact linear-interpolation percentiles (same rule as SQL ``percentile`` / ``quantile_cont``).
+
+    Works on counts per distinct value plus running counts, so no group's
+    values are ever held in one buffer.  The wanted ranks (groups x probs x 2
+    rows) are joined to the running counts with a range condition; when the
+    group list is bounded (features of a report), that side is broadcast.
+    Output: (by..., prob, value).
+    """
+    by = list(by)
+    spark = df.sparkSession
+    cnt = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    cum = prefix_sum(cnt, "_v", ["n"], by=by)
+    tot = cnt.groupBy(*by).agg(F.sum("n").alias("_N"))
+    pr = spark.createDataFrame([(float(q), i) for i, q in enumerate(probs)], "prob double, _qi int")
+    h = (F.col("_N") - 1) * F.col("prob")
+    want = tot.crossJoin(F.broadcast(pr)).select(*by, "prob", h.alias("_h"))
+    ranks = (want.select(*by, "prob", "_h", F.floor("_h").cast("long").alias("_r"), F.lit("lo").alias("_w"))
+             .unionByName(want.select(*by, "prob", "_h", F.ceil("_h").cast("long").alias("_r"), F.lit("hi").alias("_w"))))
+    cm = cum.alias("cm")
+    sd = (F.broadcast(ranks) if bounded_groups else ranks).alias("sd")
+    cond = (F.col("cm.cum_n") - F.col("cm.n") <= F.col("sd._r")) & (F.col("sd._r") < F.col("cm.cum_n"))
+    for b in by:
+        cond = cond & (F.col(f"cm.{b}") == F.col(f"sd.{b}"))
+    hit = sd.join(cm, cond, "inner").select(*[F.col(f"sd.{b}").alias(b) for b in by], F.col("sd.prob").alias("prob"),
+                                            F.col("sd._h").alias("_h"), F.col("sd._w").alias("_w"), F.col("cm._v").alias("_v"))
+    g = hit.groupBy(*by, "prob", "_h").agg(F.max(F.when(F.col("_w") == "lo", F.col("_v"))).alias("lo"),
+                                          F.max(F.when(F.col("_w") == "hi", F.col("_v"))).alias("hi"))
+    return g.select(*by, "prob", (F.col("lo") + (F.col("_h") - F.floor("_h")) * (F.col("hi") - F.col("lo"))).alias("value"))

@@ -17,6 +17,7 @@ _MODULES = [
     "churnlab.plans.q_core",
     "churnlab.plans.q_features",
     "churnlab.plans.q_metrics",
+    "churnlab.plans.q_stats",
 ]
 
 
