@@ -18,6 +18,7 @@ _MODULES = [
     "churnlab.plans.q_features",
     "churnlab.plans.q_metrics",
     "churnlab.plans.q_stats",
+    "churnlab.plans.q_temporal",
 ]
 
 
