@@ -33,7 +33,7 @@ def bucket_of(key, splits: list[float]):
 
 
 def prefix_sum(df: DataFrame, key: str, values: list[str], by=(), descending: bool = False,
-               n_buckets: int = 32, materialize: bool = True, prefix: str = "cum_") -> DataFrame:
+               n_buckets: int = 32, materialize: bool = True, prefix: str = "cum_", tiebreak=None) -> DataFrame:
     """Add ``cum_<v>`` = sum of ``v`` over rows with key <= current (>= if descending), per ``by`` group.
 
     Ties in ``key`` are summed together (range frame), so the result does not
@@ -50,7 +50,11 @@ def prefix_sum(df: DataFrame, key: str, values: list[str], by=(), descending: bo
     wo = Window.partitionBy(*by).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{v}").over(wo), F.lit(0)).alias(f"_o_{v}") for v in values])
     korder = F.col(key).desc() if descending else F.col(key).asc()
-    w = Window.partitionBy(*by, "_b").orderBy(korder).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    if tiebreak:
+        # total order (key, tiebreak...): running sums follow it row by row
+        w = Window.partitionBy(*by, "_b").orderBy(korder, *tiebreak).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    else:
+        w = Window.partitionBy(*by, "_b").orderBy(korder).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     j = b.join(offs, by + ["_b"], "left")
     return j.select(*[c for c in b.columns if c != "_b"],
                     *[(F.sum(v).over(w) + F.col(f"_o_{v}")).alias(f"{prefix}{v}") for v in values])

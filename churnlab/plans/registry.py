@@ -19,6 +19,7 @@ _MODULES = [
     "churnlab.plans.q_metrics",
     "churnlab.plans.q_stats",
     "churnlab.plans.q_temporal",
+    "churnlab.plans.q_decide",
 ]
 
 
