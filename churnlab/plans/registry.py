@@ -20,6 +20,7 @@ _MODULES = [
     "churnlab.plans.q_stats",
     "churnlab.plans.q_temporal",
     "churnlab.plans.q_decide",
+    "churnlab.plans.q_quality",
 ]
 
 
