@@ -21,6 +21,7 @@ _MODULES = [
     "churnlab.plans.q_temporal",
     "churnlab.plans.q_decide",
     "churnlab.plans.q_quality",
+    "churnlab.plans.q_search",
 ]
 
 
