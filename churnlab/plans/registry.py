@@ -22,6 +22,7 @@ _MODULES = [
     "churnlab.plans.q_decide",
     "churnlab.plans.q_quality",
     "churnlab.plans.q_search",
+    "churnlab.plans.q_events",
 ]
 
 
