@@ -23,6 +23,7 @@ _MODULES = [
     "churnlab.plans.q_quality",
     "churnlab.plans.q_search",
     "churnlab.plans.q_events",
+    "churnlab.plans.q_streaming",
 ]
 
 
