@@ -24,6 +24,7 @@ _MODULES = [
     "churnlab.plans.q_search",
     "churnlab.plans.q_events",
     "churnlab.plans.q_streaming",
+    "churnlab.plans.q_ml",
 ]
 
 
