@@ -110,12 +110,13 @@ def attrib_sampled(df: DataFrame, background: DataFrame, cols, score_fn, perms:
         order = sorted(range(nf), key=lambda j: hash_key_py(seed, p, cols[j]))
         perm_rows.append((p, order))
     pr = spark.createDataFrame(perm_rows, "perm int, ord array<int>")
-    base = df.select(key, *cols).crossJoin(F.broadcast(pr))
+    extra = [c for c in df.columns if c not in cols and c != key]  # carried unchanged (e.g. categorical inputs)
+    base = df.select(key, *cols, *extra).crossJoin(F.broadcast(pr))
     base = base.withColumn("_bid", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), F.col("perm").cast("string"))), 1, 8), 16, 10).cast("bigint"), F.lit(nb)))
     base = base.join(F.broadcast(bg), "_bid")
     steps = base.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(nf))))
     # feature j takes the row's value when its position in the permutation is < step
-    variant = steps.select(key, "perm", "step", "ord", *[
+    variant = steps.select(key, "perm", "step", "ord", *extra, *[
         F.when(F.array_position(F.col("ord"), F.lit(j)) - 1 < F.col("step"), F.col(c)).otherwise(F.col(f"_bg_{c}")).alias(c)
         for j, c in enumerate(cols)])
     scored = score_fn(variant)
@@ -149,10 +150,11 @@ def surrogate_local(df: DataFrame, cols, score_fn, n: int = 500, seed: int = 42,
     kw = kernel_width or float(np.sqrt(d) * 0.75)
     stds = df.agg(*[F.stddev_samp(c).alias(c) for c in cols]).first()
     sd = {c: float(stds[c] or 1.0) or 1.0 for c in cols}
-    x = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+    extra = [c for c in df.columns if c not in cols and c != key]
+    x = df.select(key, *extra, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
     nb = x.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     z = {c: hash_normal(seed, F.col(key).cast("string"), F.col("_i").cast("string"), c) for c in cols}
-    nb = nb.select(key, "_i", *[(F.col(c) + z[c] * sd[c]).alias(c) for c in cols], *[z[c].alias(f"_z_{c}") for c in cols])
+    nb = nb.select(key, "_i", *extra, *[(F.col(c) + z[c] * sd[c]).alias(c) for c in cols], *[z[c].alias(f"_z_{c}") for c in cols])
     sc = score_fn(nb)
     dist2 = sum(F.col(f"_z_{c}") * F.col(f"_z_{c}") for c in cols)
     wgt = F.exp(-dist2 / F.lit(kw * kw))
@@ -189,10 +191,12 @@ def surrogate_fidelity(df: DataFrame, sur: DataFrame, cols, score_fn, n: int = 5
     cols = list(cols)
     stds = df.agg(*[F.stddev_samp(c).alias(c) for c in cols]).first()
     sd = {c: float(stds[c] or 1.0) or 1.0 for c in cols}
-    x = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]).join(sur, key)
+    extra = [c for c in df.columns if c not in cols and c != key]
+    x = df.select(key, *extra, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]).join(sur, key)
     nb = x.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     z = {c: hash_normal(seed, F.col(key).cast("string"), F.col("_i").cast("string"), c) for c in cols}
-    nb = nb.select(key, "intercept", "weights", *[(F.col(c) + z[c] * sd[c]).alias(c) for c in cols], *[z[c].alias(f"_z_{c}") for c in cols])
+    nb = nb.select(key, "intercept", "weights", *extra, *[(F.col(c) + z[c] * sd[c]).alias(c) for c in cols],
+                   *[z[c].alias(f"_z_{c}") for c in cols])
     sc = score_fn(nb)
     lin = F.col("intercept") + sum(F.element_at("weights", i + 1) * F.col(f"_z_{c}") for i, c in enumerate(cols))
     s = sc.select(key, (F.col("p") > 0.5).cast("int").alias("y"), lin.alias("s"))

@@ -25,8 +25,15 @@ def _long(df: DataFrame, cols) -> DataFrame:
                                          for c in cols])).alias("kv")).select("kv.*")
 
 
-def fit_percentiles(df: DataFrame, cols, probs) -> dict[str, dict[float, float]]:
-    """{feature: {prob: value}} — bounded by len(cols) x len(probs)."""
+def fit_percentiles(df: DataFrame, cols, probs, relative_error: float = 0.0) -> dict[str, dict[float, float]]:
+    """{feature: {prob: value}} — bounded by len(cols) x len(probs).
+
+    ``relative_error`` 0: exact linear-interpolation percentiles (running counts);
+    > 0: Spark's one-pass ``approxQuantile`` for all columns at once (Greenwald-Khanna).
+    """
+    if relative_error > 0:
+        qs = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).approxQuantile(list(cols), list(probs), relative_error)
+        return {c: {round(p, 9): v for p, v in zip(probs, q)} for c, q in zip(cols, qs)}
     rows = exact_percentiles(_long(df, cols), "value", list(probs), by=["feature"]).collect()
     out: dict[str, dict[float, float]] = {c: {} for c in cols}
     for r in rows:
@@ -34,23 +41,28 @@ def fit_percentiles(df: DataFrame, cols, probs) -> dict[str, dict[float, float]]
     return out
 
 
+class _RelErr(Params):
+    relativeError = Param(Params._dummy(), "relativeError", "0 = exact percentiles, > 0 = approxQuantile",
+                          typeConverter=TypeConverters.toFloat)
+
+
 class _Floats(Params):
     values = Param(Params._dummy(), "values", "fitted numbers, flattened", typeConverter=TypeConverters.toListFloat)
 
 
-class IQRCapper(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+class IQRCapper(Estimator, HasInputCols, _RelErr, DefaultParamsReadable, DefaultParamsWritable):
     """Clip each column to [Q1 - f*IQR, Q3 + f*IQR] (0/1 columns are left alone by the caller)."""
     factor = Param(Params._dummy(), "factor", "IQR multiple", typeConverter=TypeConverters.toFloat)
 
     @keyword_only
-    def __init__(self, inputCols=None, factor=1.5):
+    def __init__(self, inputCols=None, factor=1.5, relativeError=0.0):
         super().__init__()
-        self._setDefault(factor=1.5)
+        self._setDefault(factor=1.5, relativeError=0.0)
         self._set(**self._input_kwargs)
 
     def _fit(self, df):
         cols, f = self.getInputCols(), self.getOrDefault(self.factor)
-        q = fit_percentiles(df, cols, [0.25, 0.75])
+        q = fit_percentiles(df, cols, [0.25, 0.75], self.getOrDefault(self.relativeError))
         vals = []
         for c in cols:
             q1, q3 = q[c].get(0.25), q[c].get(0.75)
@@ -77,15 +89,16 @@ class IQRCapperModel(Model, HasInputCols, _Floats, DefaultParamsReadable, Defaul
         return df.withColumns(rep)
 
 
-class MedianImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+class MedianImputer(Estimator, HasInputCols, _RelErr, DefaultParamsReadable, DefaultParamsWritable):
     @keyword_only
-    def __init__(self, inputCols=None):
+    def __init__(self, inputCols=None, relativeError=0.0):
         super().__init__()
+        self._setDefault(relativeError=0.0)
         self._set(**self._input_kwargs)
 
     def _fit(self, df):
         cols = self.getInputCols()
-        q = fit_percentiles(df, cols, [0.5])
+        q = fit_percentiles(df, cols, [0.5], self.getOrDefault(self.relativeError))
         return MedianImputerModel(inputCols=cols, values=[q[c].get(0.5, float("nan")) for c in cols])
 
 
@@ -101,16 +114,17 @@ class MedianImputerModel(Model, HasInputCols, _Floats, DefaultParamsReadable, De
                                for i, c in enumerate(self.getInputCols())})
 
 
-class IQRScaler(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+class IQRScaler(Estimator, HasInputCols, _RelErr, DefaultParamsReadable, DefaultParamsWritable):
     """(x - median) / (Q3 - Q1); an IQR of 0 scales by 1."""
     @keyword_only
-    def __init__(self, inputCols=None):
+    def __init__(self, inputCols=None, relativeError=0.0):
         super().__init__()
+        self._setDefault(relativeError=0.0)
         self._set(**self._input_kwargs)
 
     def _fit(self, df):
         cols = self.getInputCols()
-        q = fit_percentiles(df, cols, [0.25, 0.5, 0.75])
+        q = fit_percentiles(df, cols, [0.25, 0.5, 0.75], self.getOrDefault(self.relativeError))
         vals = []
         for c in cols:
             med = q[c].get(0.5, 0.0)
@@ -181,12 +195,16 @@ BINARY = ["support_escalation_flag"]
 NUMERIC = fx.RAW_NUMERIC + fx.DERIVED
 
 
-def prep_pipeline(numeric=NUMERIC, categorical=fx.CATEGORICAL, output: str = "features") -> Pipeline:
-    """features -> IQR cap -> one-hot (drop first) -> median impute -> IQR scale -> assemble."""
+def prep_pipeline(numeric=NUMERIC, categorical=fx.CATEGORICAL, output: str = "features", relative_error: float = 1e-3) -> Pipeline:
+    """features -> IQR cap -> one-hot (drop first) -> median impute -> IQR scale -> assemble.
+
+    For model training the percentiles come from one-pass ``approxQuantile`` (``relative_error``);
+    pass 0 for exact percentiles."""
     capped = [c for c in numeric if c not in BINARY]
     onehot = OneHotDropFirst(inputCols=list(categorical))
-    return Pipeline(stages=[FeatureAdder(), IQRCapper(inputCols=capped), onehot, MedianImputer(inputCols=list(numeric)),
-                            IQRScaler(inputCols=list(numeric)), _Assemble(numeric=list(numeric), output=output)])
+    return Pipeline(stages=[FeatureAdder(), IQRCapper(inputCols=capped, relativeError=relative_error), onehot,
+                            MedianImputer(inputCols=list(numeric), relativeError=relative_error),
+                            IQRScaler(inputCols=list(numeric), relativeError=relative_error), _Assemble(numeric=list(numeric), output=output)])
 
 
 class _Assemble(Estimator, DefaultParamsReadable, DefaultParamsWritable):

@@ -25,6 +25,7 @@ _MODULES = [
     "churnlab.plans.q_events",
     "churnlab.plans.q_streaming",
     "churnlab.plans.q_ml",
+    "churnlab.plans.q_models",
 ]
 
 
