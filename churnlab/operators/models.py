@@ -142,34 +142,51 @@ def batch_score_tiers(df: DataFrame, score_fn, min_p: float = 0.70, key: str = "
     return s.filter(F.col("churn_probability") >= min_p)
 
 
-def fit_stacking(m: DataFrame, learners: dict, y: str = "churned", key: str = "customer_id", k: int = 5, seed: int = 42):
-    """Out-of-fold probabilities of each base learner -> logistic meta learner; bases refitted on all rows."""
+def _parallel(tasks, parallelism: int):
+    """Run independent fits concurrently from driver threads (as Spark's CrossValidator does)."""
+    from concurrent.futures import ThreadPoolExecutor
+    if parallelism <= 1:
+        return [t() for t in tasks]
+    with ThreadPoolExecutor(max_workers=parallelism) as ex:
+        return list(ex.map(lambda t: t(), tasks))
+
+
+def _with_prob(df: DataFrame, mdl, name: str) -> DataFrame:
+    t = mdl.transform(df)
+    return t.withColumn(name, prob_of(t)).drop("rawPrediction", "probability", "prediction")
+
+
+def fit_stacking(m: DataFrame, learners: dict, y: str = "churned", key: str = "customer_id", k: int = 5, seed: int = 42,
+                 parallelism: int = 4):
+    """Out-of-fold probabilities of each base learner -> logistic meta learner; bases refitted on all rows.
+    The k x learners fold fits (and the final refits) run concurrently."""
     folded = stratified_folds(m, y, key, k, seed).persist()
+    names = list(learners)
+    jobs = [(f, n) for f in range(k) for n in names]
+    fitted = _parallel([lambda f=f, n=n: learners[n](folded.filter(F.col("fold") != f)) for f, n in jobs], parallelism)
+    models = dict(zip(jobs, fitted))
     oof = None
     for f in range(k):
-        tr, ho = folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)
-        cols = [ho[key], ho[y]]
-        part = ho.select(key, y)
-        for name, fit in learners.items():
-            mdl = fit(tr)
-            part = part.join(mdl.transform(ho).select(key, prob_of(ho).alias(f"p_{name}")), key)
+        part = folded.filter(F.col("fold") == f).select(key, y, "features")
+        for n in names:
+            part = _with_prob(part, models[(f, n)], f"p_{n}")
+        part = part.drop("features")
         oof = part if oof is None else oof.unionByName(part)
     from pyspark.ml.feature import VectorAssembler
-    names = [f"p_{n}" for n in learners]
-    meta_in = class_weights(VectorAssembler(inputCols=names, outputCol="meta").transform(oof), y)
+    meta_in = class_weights(VectorAssembler(inputCols=[f"p_{n}" for n in names], outputCol="meta").transform(oof), y)
     meta = LogisticRegression(featuresCol="meta", labelCol=y, weightCol="weight", maxIter=500).fit(meta_in)
-    bases = {n: fit(m) for n, fit in learners.items()}
+    bases = dict(zip(names, _parallel([lambda n=n: learners[n](m) for n in names], parallelism)))
     folded.unpersist()
     return bases, meta, oof
 
 
 def stacking_score(df: DataFrame, bases: dict, meta, key: str = "customer_id") -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
-    s = df.select(key, "features")
+    s = df
     for n, mdl in bases.items():
-        s = s.join(mdl.transform(df).select(key, prob_of(df).alias(f"p_{n}")), key)
+        s = _with_prob(s, mdl, f"p_{n}")
     s = VectorAssembler(inputCols=[f"p_{n}" for n in bases], outputCol="meta").transform(s)
-    r = meta.transform(s.withColumnRenamed("features", "_f").withColumnRenamed("meta", "meta"))
+    r = meta.transform(s)
     return r.select(key, *[f"p_{n}" for n in bases], prob_of(r).alias("p"))
 
 
@@ -178,7 +195,7 @@ TUNE_SPACE = {"maxIter": (100, 600), "maxDepth": (3, 10), "stepSize": (0.01, 0.3
 
 
 def tune(m: DataFrame, y: str = "churned", trials: int = 30, k: int = 5, seed: int = 42, timeout_s: float | None = 600,
-         key: str = "customer_id", rounds_cap: int | None = None) -> DataFrame:
+         key: str = "customer_id", rounds_cap: int | None = None, parallelism: int = 4) -> DataFrame:
     """Seeded random search over the ranges above scored by k-fold exact AUC; stops after ``trials``
     or when ``timeout_s`` is used up (checked between trials).  One row per finished trial."""
     import time
@@ -191,10 +208,11 @@ def tune(m: DataFrame, y: str = "churned", trials: int = 30, k: int = 5, seed: i
              "subsamplingRate": rng.uniform(*TUNE_SPACE["subsamplingRate"])}
         if rounds_cap:
             p["maxIter"] = min(p["maxIter"], rounds_cap)
+        fits = _parallel([lambda f=f: GBTClassifier(featuresCol="features", labelCol=y, weightCol="weight", seed=seed, **p)
+                          .fit(folded.filter(F.col("fold") != f)) for f in range(k)], parallelism)
         scored = None
-        for f in range(k):
-            tr, ho = folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)
-            mdl = GBTClassifier(featuresCol="features", labelCol=y, weightCol="weight", seed=seed, **p).fit(tr)
+        for f, mdl in enumerate(fits):
+            ho = folded.filter(F.col("fold") == f)
             s = mdl.transform(ho).select(F.lit(f).alias("fold"), F.col(y), prob_of(ho).alias("p"))
             scored = s if scored is None else scored.unionByName(s)
         auc = auc_roc(scored, y, "p", by=["fold"]).agg(F.avg("auc_roc").alias("a")).first()["a"]  # one number
@@ -213,8 +231,8 @@ def train_all(train: DataFrame, test: DataFrame, y: str = "churned", key: str =
     learners = learners or {"logistic_regression": fit_logreg, "random_forest": fit_forest,
                             "xgboost": lambda d: fit_boosted(d, "xgboost"), "lightgbm": lambda d: fit_boosted(d, "lightgbm")}
     res = None
-    for name, fit in learners.items():
-        mdl = fit(m)
+    fitted = dict(zip(learners, _parallel([lambda f=f: f(m) for f in learners.values()], 4)))
+    for name, mdl in fitted.items():
         s = mdl.transform(t).select(F.col(y), prob_of(t).alias("p"))
         a = auc_roc(s, y, "p").select(F.lit(name).alias("model"), "auc_roc")
         res = a if res is None else res.unionByName(a)
