@@ -135,3 +135,29 @@ FROM dc GROUP BY o_orderpriority""", "peak_value,trough_value"))
 def q_season(spark, sf):
     s = orders_series(spark, sf, by=["o_orderpriority"])
     return out(TM.seasonality_summary(TM.classical_decompose(s, by=["o_orderpriority"]), by=["o_orderpriority"]))
+
+
+# ---- Cox PH, concordance, STL (rows-only checks) ----------------------------------------------
+from churnlab.operators import survival as SV  # noqa: E402
+
+COX_COVARIATES = ["monthly_charges", "nps_score", "age"]
+
+
+@register("cox_ph")
+def q_cox(spark, sf):
+    return out(SV.cox_ph(c360(spark, sf), "tenure_months", "churned", COX_COVARIATES, penalizer=0.1))
+
+
+@register("cox_concordance")
+def q_concordance(spark, sf):
+    d = c360(spark, sf)
+    # risk = the fitted Cox linear predictor
+    cx = SV.cox_ph(d, "tenure_months", "churned", COX_COVARIATES).select("covariate", "coef").collect()  # one row per covariate
+    lp = sum(F.col(r["covariate"]) * F.lit(r["coef"]) for r in cx)
+    return out(SV.cox_concordance(d.withColumn("risk", lp), "tenure_months", "churned", "risk"))
+
+
+@register("stl_decompose")
+def q_stl(spark, sf):
+    s = orders_series(spark, sf, by=["o_orderpriority"])
+    return out(SV.stl_decompose(s, "o_orderpriority"))
