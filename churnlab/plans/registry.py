@@ -26,6 +26,7 @@ _MODULES = [
     "churnlab.plans.q_streaming",
     "churnlab.plans.q_ml",
     "churnlab.plans.q_models",
+    "churnlab.plans.q_sources",
 ]
 
 
