@@ -32,8 +32,8 @@ def customer360(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("o_orderdate").alias("last_dt"),
         F.sum("o_totalprice").alias("spend"),
     )
-    # one-row scalars: proven size bound of 1 row, safe to broadcast
-    m = o.agg(F.max("last_dt").alias("ref_dt"))
+    # one-row scalars (a global max: partial max per task, no key shuffle), safe to broadcast
+    m = orders.agg(F.max("o_orderdate").alias("ref_dt"))
     ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
     em = ev.agg(F.max("ts").alias("ref_ts"))
 
