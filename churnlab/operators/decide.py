@@ -66,19 +66,25 @@ def subsets_df(spark: SparkSession, catalogue: DataFrame, max_actions: int = 10)
 
 
 def knapsack_per_customer(items: DataFrame, members: DataFrame, budget: float = 300.0, key: str = "customer_id",
-                          carry=("churn_probability",)) -> DataFrame:
+                          carry=("churn_probability",), actions: list[str] | None = None) -> DataFrame:
     """Best subset of a customer's actions with total cost <= budget (value desc, cost asc, subset asc).
 
+    Only sums are aggregated per (customer, subset); the action names of the winning subset are
+    decoded from its bit mask afterwards (``actions``: names by catalogue index).
     ``carry``: per-customer columns kept in the output (constant within a customer)."""
     j = items.join(F.broadcast(members), "action_idx")
     keep = [F.max(c).alias(c) for c in carry if c in items.columns]
-    agg = j.groupBy(key, "subset").agg(*keep,F.sum("cost").alias("total_cost"), F.sum("value").alias("total_value"),
-                                       F.sum("prob_reduction").alias("total_reduction"),
-                                       F.count(F.lit(1)).alias("n_actions"),
-                                       F.array_sort(F.collect_list("action")).alias("actions"))
+    agg = j.groupBy(key, "subset").agg(*keep, F.sum("cost").alias("total_cost"), F.sum("value").alias("total_value"),
+                                       F.sum("prob_reduction").alias("total_reduction"), F.count(F.lit(1)).alias("n_actions"))
     ok = agg.filter(F.col("total_cost") <= budget)
     w = Window.partitionBy(key).orderBy(F.col("total_value").desc(), F.col("total_cost").asc(), F.col("subset").asc())
-    return ok.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1).drop("_rk")
+    best = ok.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1).drop("_rk")
+    names = actions or [n for n, _, _ in CATALOGUE_A]
+    bits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)),
+                                lambda i: F.when(F.col("subset").bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0,
+                                                 F.element_at(F.array(*[F.lit(n) for n in names]), i + 1))),
+                    lambda x: x.isNotNull())
+    return best.withColumn("actions", F.array_sort(bits))
 
 
 def _order_cols(key_cols):
@@ -97,14 +103,14 @@ def budget_greedy(items: DataFrame, budget: float, key_cols=("customer_id", "act
         cand = it.filter(F.col("cost") <= F.lit(remaining))
         if after is not None:
             cand = cand.filter(_after(order_cols, after))
-        cum = cut_lineage(prefix_sum(cand, "density", ["cost"], descending=True, tiebreak=_order_cols(key_cols),
-                                     materialize=False))
-        fit = cum.filter(F.col("cum_cost") <= F.lit(remaining))
-        stats = fit.agg(F.sum("cost").alias("spent")).first()
+        # split points are literals, so a recomputed round (in the final union) places rows identically
+        cum = prefix_sum(cand, "density", ["cost"], descending=True, tiebreak=_order_cols(key_cols), materialize=False)
+        fits = F.col("cum_cost") <= F.lit(remaining)
+        stats = cum.agg(F.sum(F.when(fits, F.col("cost"))).alias("spent"),
+                        F.min(F.when(~fits, F.struct(-F.col("density"), F.col("cost"), *[F.col(k) for k in key_cols]))).alias("m")).first()
         spent = float(stats["spent"] or 0.0)
-        taken_parts.append(fit.select(*key_cols, "cost", "value", "density", F.lit(r).alias("round")))
-        miss = cum.filter(F.col("cum_cost") > F.lit(remaining)).agg(
-            F.min(F.struct(-F.col("density"), F.col("cost"), *[F.col(k) for k in key_cols])).alias("m")).first()["m"]
+        taken_parts.append(cum.filter(fits).select(*key_cols, "cost", "value", "density", F.lit(r).alias("round")))
+        miss = stats["m"]
         remaining -= spent
         if miss is None:
             break

@@ -75,9 +75,8 @@ def auc_roc(df: DataFrame, y: str, p: str, by=()) -> DataFrame:
 def roc_pr_curve(df: DataFrame, y: str, p: str, by=()) -> DataFrame:
     """(threshold, tp, fp, precision, recall, fpr, tpr) per distinct score, thresholds descending."""
     by = list(by)
-    c = prefix_sum(score_counts(df, y, p, by), "score", ["pos", "neg"], by=by, descending=True)
-    tot = df.groupBy(*by).agg(F.sum(F.col(y).cast("long")).alias("P"), F.sum(F.lit(1) - F.col(y).cast("long")).alias("N"))
-    j = c.join(tot, by, "inner") if by else c.crossJoin(F.broadcast(tot))
+    j = prefix_sum(score_counts(df, y, p, by), "score", ["pos", "neg"], by=by, descending=True, totals=True) \
+        .withColumnRenamed("tot_pos", "P").withColumnRenamed("tot_neg", "N")
     return j.select(
         *by, F.col("score").alias("threshold"), F.col("pos"), F.col("neg"),
         F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"), F.col("P"), F.col("N"),
@@ -123,9 +122,8 @@ def lift_curve(df: DataFrame, y: str, p: str, by=()) -> DataFrame:
     by = list(by)
     cnt = df.groupBy(*by, F.col(p).alias("score")).agg(F.sum(F.col(y).cast("long")).alias("pos"),
                                                          F.count(F.lit(1)).alias("rows"))
-    c = prefix_sum(cnt, "score", ["pos", "rows"], by=by, descending=True)
-    tot = df.groupBy(*by).agg(F.sum(F.col(y).cast("long")).alias("_pos_total"), F.count(F.lit(1)).alias("_rows_total"))
-    j = c.join(tot, by, "inner") if by else c.crossJoin(F.broadcast(tot))
+    j = prefix_sum(cnt, "score", ["pos", "rows"], by=by, descending=True, totals=True) \
+        .withColumnRenamed("tot_pos", "_pos_total").withColumnRenamed("tot_rows", "_rows_total")
     pop = F.col("cum_rows") / F.col("_rows_total")
     share = F.try_divide(F.col("cum_pos"), F.col("_pos_total").cast("double"))
     return j.select(*by, F.col("score").alias("threshold"), pop.alias("population_pct"),

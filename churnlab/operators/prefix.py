@@ -33,12 +33,15 @@ def bucket_of(key, splits: list[float]):
 
 
 def prefix_sum(df: DataFrame, key: str, values: list[str], by=(), descending: bool = False,
-               n_buckets: int = 32, materialize: bool = True, prefix: str = "cum_", tiebreak=None) -> DataFrame:
+               n_buckets: int = 32, materialize: bool = True, prefix: str = "cum_", tiebreak=None,
+               totals: bool = False) -> DataFrame:
     """Add ``cum_<v>`` = sum of ``v`` over rows with key <= current (>= if descending), per ``by`` group.
 
     Ties in ``key`` are summed together (range frame), so the result does not
     depend on row order.  ``materialize`` checkpoints the (reduced) input once,
     so the quantile pass and the main pass read the same stable data.
+    ``totals`` adds ``tot_<v>`` per group, taken from the bucket totals (no second
+    pass over the input).
     """
     by = list(by)
     if materialize:
@@ -56,8 +59,12 @@ def prefix_sum(df: DataFrame, key: str, values: list[str], by=(), descending: bo
     else:
         w = Window.partitionBy(*by, "_b").orderBy(korder).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     j = b.join(offs, by + ["_b"], "left")
-    return j.select(*[c for c in b.columns if c != "_b"],
-                    *[(F.sum(v).over(w) + F.col(f"_o_{v}")).alias(f"{prefix}{v}") for v in values])
+    res = j.select(*[c for c in b.columns if c != "_b"],
+                   *[(F.sum(v).over(w) + F.col(f"_o_{v}")).alias(f"{prefix}{v}") for v in values])
+    if totals:
+        gt = tot.groupBy(*by).agg(*[F.sum(f"_t_{v}").alias(f"tot_{v}") for v in values])
+        res = res.join(gt, by, "left") if by else res.crossJoin(F.broadcast(gt))  # one row when ungrouped
+    return res
 
 
 def rank_avg(df: DataFrame, key: str, by=(), weight: str | None = None) -> DataFrame:
@@ -83,8 +90,8 @@ def exact_percentiles(df: DataFrame, value: str, probs: list[float], by=(), boun
     by = list(by)
     spark = df.sparkSession
     cnt = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("n"))
-    cum = prefix_sum(cnt, "_v", ["n"], by=by)
-    tot = cnt.groupBy(*by).agg(F.sum("n").alias("_N"))
+    cum = prefix_sum(cnt, "_v", ["n"], by=by, totals=True).withColumnRenamed("tot_n", "_N")
+    tot = cum.select(*by, "_N").distinct()
     pr = spark.createDataFrame([(float(q), i) for i, q in enumerate(probs)], "prob double, _qi int")
     h = (F.col("_N") - 1) * F.col("prob")
     want = tot.crossJoin(F.broadcast(pr)).select(*by, "prob", h.alias("_h"))

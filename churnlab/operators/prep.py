@@ -246,9 +246,8 @@ def stratified_rank(df: DataFrame, y: str, key: str, seed: int = 42) -> DataFram
     """Rank (1..n_class) of each row inside its label in a seeded hash order, plus the class size.
     Uses the bucketed running sums, so a class is never ranked in a single task."""
     d = df.withColumn("_h", _hash_key(key, seed)).withColumn("_one", F.lit(1))
-    r = prefix_sum(d, "_h", ["_one"], by=[y], tiebreak=[F.col(key).asc()])
-    n = df.groupBy(y).agg(F.count(F.lit(1)).alias("_n_class"))
-    return r.join(F.broadcast(n), y).withColumnRenamed("cum__one", "_rank").drop("_one")  # one row per class
+    r = prefix_sum(d, "_h", ["_one"], by=[y], tiebreak=[F.col(key).asc()], totals=True)
+    return r.withColumnRenamed("cum__one", "_rank").withColumnRenamed("tot__one", "_n_class").drop("_one")
 
 
 def stratified_split(df: DataFrame, y: str, key: str, test: float = 0.2, seed: int = 42):

@@ -50,9 +50,8 @@ def drift_ks_stat(ref: DataFrame, cur: DataFrame, cols) -> DataFrame:
     t = _both(ref, cur, cols)
     cnt = t.groupBy("feature", "value").agg(F.count_if(F.col("side") == "ref").alias("r"),
                                              F.count_if(F.col("side") == "cur").alias("c"))
-    cum = prefix_sum(cnt, "value", ["r", "c"], by=["feature"])
-    tot = cnt.groupBy("feature").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
-    j = cum.join(F.broadcast(tot), "feature")  # one row per feature: bounded by the column list
+    j = prefix_sum(cnt, "value", ["r", "c"], by=["feature"], totals=True) \
+        .withColumnRenamed("tot_r", "n_ref").withColumnRenamed("tot_c", "n_cur")
     return j.groupBy("feature").agg(
         F.max(F.abs(F.try_divide(F.col("cum_r"), F.col("n_ref").cast("double")) - F.try_divide(F.col("cum_c"), F.col("n_cur").cast("double"))))
         .alias("statistic"))
@@ -237,9 +236,7 @@ def conformal_quantile(cal: DataFrame, y: str, p: str, alpha: float = 0.10, by=(
     by = list(by)
     s = cal.select(*by, F.when(F.col(y) == 1, 1.0 - F.col(p)).otherwise(F.col(p)).alias("score"))
     cnt = s.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"))
-    cum = prefix_sum(cnt, "score", ["n"], by=by)
-    tot = cnt.groupBy(*by).agg(F.sum("n").alias("n_cal"))
-    j = cum.join(tot, by) if by else cum.crossJoin(F.broadcast(tot))
+    j = prefix_sum(cnt, "score", ["n"], by=by, totals=True).withColumnRenamed("tot_n", "n_cal")
     k = F.ceil((F.col("n_cal") + 1) * (1.0 - alpha))
     q = j.groupBy(*by).agg(F.min(F.when(F.col("cum_n") >= k, F.col("score"))).alias("q"), F.first("n_cal").alias("n_cal"))
     return q.withColumn("q", F.coalesce(F.col("q"), F.lit(1.0)))

@@ -6,11 +6,11 @@ from churnlab.functions import features as fx
 from churnlab.operators import metrics as M
 from churnlab.plans.oracle import rnd, with_c360
 from churnlab.plans.registry import out, register
-from churnlab.sources.tables import customer360
+from churnlab.sources.tables import customer360, customer360_table
 
 
 def c360(spark, sf):
-    return customer360(spark, sf)
+    return customer360_table(spark, sf)
 
 
 C360_DOUBLES = ("age,tenure_months,monthly_charges,total_charges,num_support_tickets_30d,login_frequency_30d,"
@@ -22,7 +22,7 @@ C360_DOUBLES = ("age,tenure_months,monthly_charges,total_charges,num_support_tic
     "SELECT * REPLACE (strftime(signup_date, '%Y-%m-%d %H:%M:%S') AS signup_date) FROM c360"), C360_DOUBLES),
     headline=True)
 def q_customer360(spark, sf):
-    return out(c360(spark, sf))
+    return out(customer360(spark, sf))  # always from the raw tables
 
 
 @register("risk_tier", rnd(with_c360("""

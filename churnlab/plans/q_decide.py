@@ -6,7 +6,7 @@ from churnlab.functions import features as fx
 from churnlab.operators import decide as D
 from churnlab.plans.oracle import rnd, with_c360
 from churnlab.plans.registry import out, register
-from churnlab.sources.tables import customer360
+from churnlab.sources.tables import customer360_table as customer360
 
 BUDGET = 50000.0
 FRONTIER = [10000.0, 25000.0, 50000.0, 100000.0, 200000.0]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from churnlab.functions import features as fx
 from churnlab.plans.oracle import rnd, with_c360
 from churnlab.plans.registry import out, register
-from churnlab.sources.tables import customer360, table
+from churnlab.sources.tables import customer360_table as customer360, table
 
 
 def c360(spark, sf):

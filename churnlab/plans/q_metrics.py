@@ -7,7 +7,7 @@ from churnlab.operators import fairness as FA
 from churnlab.operators import metrics as M
 from churnlab.plans.oracle import rnd, with_c360
 from churnlab.plans.registry import out, register
-from churnlab.sources.tables import customer360
+from churnlab.sources.tables import customer360_table as customer360
 
 Y, P = "churned", "churn_probability"
 ATTRS = ["segment", "region", "contract_type"]

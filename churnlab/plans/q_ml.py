@@ -15,7 +15,7 @@ from churnlab.operators import robustness as RB
 from churnlab.operators.models import CONTRACT_WEIGHT, DECLINE_AT, DECLINE_WEIGHT, LOGIT_WEIGHTS
 from churnlab.plans.oracle import rnd, with_c360
 from churnlab.plans.registry import out, register
-from churnlab.sources.tables import customer360
+from churnlab.sources.tables import customer360_table as customer360
 
 NUM = fx.RAW_NUMERIC
 SC_COLS = [c for c, _ in LOGIT_WEIGHTS]

@@ -18,7 +18,7 @@ from churnlab.operators.metrics import auc_roc
 from churnlab.operators.stats import spearman
 from churnlab.plans.oracle import rnd, with_c360
 from churnlab.plans.registry import out, register
-from churnlab.sources.tables import customer360
+from churnlab.sources.tables import customer360_table as customer360
 
 QUICK_ROUNDS = 20
 SC_COLS = [c for c, _ in MD.LOGIT_WEIGHTS] + ["usage_30d", "usage_90d"]

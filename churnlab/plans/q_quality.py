@@ -10,7 +10,7 @@ from churnlab.operators import stats as ST
 from churnlab.operators.prefix import exact_percentiles, prefix_sum, rank_avg
 from churnlab.plans.oracle import rnd, with_c360
 from churnlab.plans.registry import out, register
-from churnlab.sources.tables import customer360, table
+from churnlab.sources.tables import customer360_table as customer360, table
 
 
 def c360(spark, sf):

@@ -6,7 +6,7 @@ from churnlab.operators import frames as FR
 from churnlab.operators import search as SE
 from churnlab.plans.oracle import rnd, with_c360
 from churnlab.plans.registry import out, register
-from churnlab.sources.tables import customer360, table
+from churnlab.sources.tables import customer360_table as customer360, table
 
 
 def centroids(spark, sf):

@@ -11,7 +11,7 @@ from churnlab.plans.registry import out, register
 from churnlab.plans.retention import retention_run
 from churnlab.sources import files as SF
 from churnlab.sources.generator import synthetic_customers
-from churnlab.sources.tables import customer360, table
+from churnlab.sources.tables import customer360_table as customer360, table
 from churnlab.streaming.jobs import scratch_path
 
 CSV_COLS = [f.name for f in SF.CUSTOMER_SCHEMA.fields]
@@ -86,7 +86,7 @@ def q_gen(spark, sf):
     return out(synthetic_customers(keys, "key", seed=42, churn_rate=0.27))
 
 
-@register("retention_run")
+@register("retention_run", headline=True)
 def q_run(spark, sf):
     from churnlab.plans.q_ml import sc_terms
     d = c360(spark, sf)

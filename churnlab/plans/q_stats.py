@@ -7,7 +7,7 @@ from churnlab.operators import stats as ST
 from churnlab.plans.oracle import rnd, with_c360
 from churnlab.plans.registry import out, register
 from churnlab.plans.q_features import AB_BUCKET_SQL
-from churnlab.sources.tables import customer360
+from churnlab.sources.tables import customer360_table as customer360
 
 NUM = fx.RAW_NUMERIC
 CAT = ["contract_type", "plan_tier", "payment_method", "segment", "region"]

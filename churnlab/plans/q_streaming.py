@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from churnlab.plans.registry import out, register
-from churnlab.sources.tables import customer360
+from churnlab.sources.tables import customer360_table as customer360
 from churnlab.streaming import jobs as S
 from churnlab.operators import lookups as LK
 

@@ -93,3 +93,22 @@ def customer360(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1.0) / (F.lit(1.0) + F.exp((F.col("n_orders") - 10) / F.lit(3.0)))).alias("churn_probability"),
         (F.lit(1.0) / (F.lit(1.0) + F.exp((tenure - 60) / F.lit(10.0)))).alias("challenger_probability"),
     )
+
+
+_VIEWS: dict = {}
+
+
+def customer360_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer360 view written once per session as parquet into the shared checkpoint folder
+    (a derived table, like a daily feature table) and read back: operators then get column pruning
+    and predicate pushdown on it instead of re-running the joins and aggregations every time."""
+    import uuid
+
+    from churnlab.session import ensure_checkpoint_dir
+
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _VIEWS:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/customer360-{uuid.uuid4().hex[:12]}"
+        customer360(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _VIEWS[key] = path
+    return spark.read.parquet(_VIEWS[key])
