@@ -99,7 +99,7 @@ def requests_and_decisions(events: DataFrame):
 
 
 def decision_timeout(requests: DataFrame, decisions: DataFrame, seconds: int = DECISION_SECONDS,
-                     bucket_seconds: int = 86400) -> DataFrame:
+                     bucket_seconds: int = 4 * DECISION_SECONDS) -> DataFrame:
     """Outcome of each approval request: the first decision of the same key after the request counts
     if it comes within ``seconds`` (a reply exactly at the limit counts); otherwise ``auto_approved``.
     Only CRITICAL requests wait; HIGH is auto-approved with an alert, lower tiers pass.

@@ -34,14 +34,17 @@ def history_top_n(df: DataFrame, key: str, ts: str, n: int = 20, tiebreak: str |
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def subject_export(subjects: DataFrame, logs: DataFrame, key: str, pii=(), order: str | None = None) -> DataFrame:
-    """All log rows of each subject as one array (PII columns dropped); subjects without logs get an empty list."""
-    cols = [c for c in logs.columns if c not in pii and c != key]
-    agg = logs.groupBy(key).agg(F.count(F.lit(1)).alias("n_records"),
-                                F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in ([order] if order else []) + [x for x in cols if x != order]])))
-                                .alias("records"))
+def subject_export(subjects: DataFrame, logs: DataFrame, key: str, pii=()) -> DataFrame:
+    """All records of each subject in long form (one row per record, PII columns dropped); a subject
+    without records keeps one row with null record fields.  No per-subject array: a subject holding
+    a third of all records must not become one row."""
     base = subjects.select(*[c for c in subjects.columns if c not in pii])
-    return base.join(agg, key, "left").withColumn("n_records", F.coalesce("n_records", F.lit(0)))
+    recs = logs.select(key, *[c for c in logs.columns if c not in pii and c != key])
+    return base.join(recs, key, "left")
+
+
+def subject_counts(export: DataFrame, key: str, record_key: str) -> DataFrame:
+    return export.groupBy(key).agg(F.count(record_key).alias("n_records"))
 
 
 def erase_apply(df: DataFrame, erasures: DataFrame, key: str, pii) -> DataFrame:

@@ -182,17 +182,12 @@ def q_history(spark, sf):
 
 
 @register("subject_export", """
-SELECT c.c_custkey, c.c_nationkey, c.c_acctbal, c.c_mktsegment, CAST(COALESCE(o.n, 0) AS BIGINT) AS n_records, COALESCE(o.recs, '') AS records
-FROM customer AS c LEFT JOIN (SELECT o_custkey, COUNT(*) AS n,
-  string_agg(CAST(o_orderkey AS VARCHAR) || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS recs FROM orders GROUP BY o_custkey) AS o
-ON c.c_custkey = o.o_custkey""")
+SELECT c.c_custkey, c.c_nationkey, c.c_acctbal, c.c_mktsegment, o.o_orderkey, o.o_orderstatus, o.o_totalprice
+FROM customer AS c LEFT JOIN orders AS o ON c.c_custkey = o.o_custkey""")
 def q_export(spark, sf):
     cust = table(spark, sf, "customer")
-    logs = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
-    ex = LK.subject_export(cust, logs, "c_custkey", pii=("c_name",), order="o_orderkey")
-    recs = F.array_join(F.transform(F.coalesce("records", F.array()),
-                                    lambda r: F.concat(r["o_orderkey"].cast("string"), F.lit(":"), r["o_orderstatus"])), ",")
-    return ex.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment", F.col("n_records").cast("bigint"), recs.alias("records"))
+    logs = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus", "o_totalprice")
+    return LK.subject_export(cust, logs, "c_custkey", pii=("c_name",))
 
 
 def erasures(spark, sf):
