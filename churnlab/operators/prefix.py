@@ -17,23 +17,46 @@ from pyspark.sql import functions as F
 from churnlab.session import cut_lineage
 
 
-def split_points(df: DataFrame, key: str, n_buckets: int, rel_err: float = 1e-3) -> list[float]:
+def split_points(df: DataFrame, key: str, n_buckets: int, rel_err: float | None = None) -> list[float]:
     if n_buckets <= 1:
         return []
+    rel_err = rel_err if rel_err is not None else min(1e-3, 1.0 / (4 * n_buckets))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     pts = df.approxQuantile(key, probs, rel_err)
     return sorted(set(float(x) for x in pts if x is not None))
 
 
 def bucket_of(key, splits: list[float]):
-    """Index of the bucket of ``key``: number of split points <= key (ties share a bucket)."""
+    """Index of the bucket of ``key``: number of split points <= key (ties share a bucket).
+    Linear in the number of splits: for short lists only (see :func:`with_bucket`)."""
     if not splits:
         return F.lit(0)
     return F.size(F.filter(F.array(*[F.lit(s) for s in splits]), lambda s: s <= key))
 
 
+def with_bucket(df: DataFrame, key: str, splits: list[float], out: str = "_b") -> DataFrame:
+    """Add the bucket index of ``key`` (same rule as :func:`bucket_of`); long split lists use the
+    JVM binary search of ``Bucketizer`` instead of one comparison per split."""
+    if len(splits) <= 16:
+        return df.withColumn(out, bucket_of(F.col(key), splits))
+    from pyspark.ml.feature import Bucketizer
+    tmp = f"{out}_in"
+    b = Bucketizer(splits=[float("-inf")] + list(splits) + [float("inf")], inputCol=tmp, outputCol=f"{out}_d", handleInvalid="keep")
+    r = b.transform(df.withColumn(tmp, F.col(key).cast("double")))
+    return r.withColumn(out, F.col(f"{out}_d").cast("int")).drop(tmp, f"{out}_d")
+
+
+def default_buckets(spark) -> int:
+    """Buckets follow the cluster's shuffle width (each bucket is one window task), 32 to 1024."""
+    try:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    except ValueError:
+        n = 200
+    return max(32, min(1024, n))
+
+
 def prefix_sum(df: DataFrame, key: str, values: list[str], by=(), descending: bool = False,
-               n_buckets: int = 32, materialize: bool = True, prefix: str = "cum_", tiebreak=None,
+               n_buckets: int | None = None, materialize: bool = True, prefix: str = "cum_", tiebreak=None,
                totals: bool = False) -> DataFrame:
     """Add ``cum_<v>`` = sum of ``v`` over rows with key <= current (>= if descending), per ``by`` group.
 
@@ -46,8 +69,8 @@ def prefix_sum(df: DataFrame, key: str, values: list[str], by=(), descending: bo
     by = list(by)
     if materialize:
         df = cut_lineage(df)
-    splits = split_points(df, key, n_buckets)
-    b = df.withColumn("_b", bucket_of(F.col(key), splits))
+    splits = split_points(df, key, n_buckets or default_buckets(df.sparkSession))
+    b = with_bucket(df, key, splits)
     tot = b.groupBy(*by, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     border = F.col("_b").desc() if descending else F.col("_b").asc()
     wo = Window.partitionBy(*by).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)

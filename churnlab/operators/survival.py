@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlab.functions.special import norm_sf_scalar
-from churnlab.operators.prefix import bucket_of, prefix_sum, split_points
+from churnlab.operators.prefix import prefix_sum, split_points, with_bucket
 from churnlab.session import cut_lineage
 
 
@@ -120,7 +120,7 @@ def cox_concordance(df: DataFrame, duration: str, event: str, risk: str, n_bins:
     d = df.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"),
                   F.col(risk).cast("double").alias("r")).dropna()
     ts, rs = split_points(d, "t", n_bins, 1e-4), split_points(d, "r", n_bins, 1e-4)
-    cells = d.select(bucket_of(F.col("t"), ts).alias("tb"), bucket_of(F.col("r"), rs).alias("b"), "e").groupBy("tb", "b").agg(
+    cells = with_bucket(with_bucket(d, "t", ts, "tb"), "r", rs, "b").groupBy("tb", "b").agg(
         F.count(F.lit(1)).alias("n"), F.sum("e").alias("ev"))
     nb = len(rs) + 1
     grid = cells.select("tb").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))  # <= n_bins^2 cells

@@ -53,5 +53,5 @@ def rnd(inner: str, cols, dp: int = 6) -> str:
         cols = [c.strip() for c in cols.split(",") if c.strip()]
     if not cols:
         return inner
-    rep = ", ".join(f"ROUND({c}, {dp}) AS {c}" for c in cols)
+    rep = ", ".join(f"ROUND({c}, {dp}) + 0e0 AS {c}" for c in cols)  # + 0.0 turns -0.0 into 0.0
     return f"SELECT * REPLACE ({rep}) FROM ({inner}) AS _q"

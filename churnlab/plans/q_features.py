@@ -102,7 +102,7 @@ FROM c360"""), "ci_lower,ci_upper"))
 def q_wilson1000(spark, sf):
     alpha = 0.2  # > 0.1 selects z = 1.96
     z = 1.645 if alpha <= 0.1 else 1.96
-    ci = fx.wilson_interval(F.col("challenger_probability") * 0 + F.col("churn_probability"), n=1000, z=z)
+    ci = fx.wilson_interval(F.col("churn_probability"), n=1000, z=z)
     return out(c360(spark, sf).select("customer_id", ci["lower"].alias("ci_lower"), ci["upper"].alias("ci_upper")))
 
 
