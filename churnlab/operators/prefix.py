@@ -37,7 +37,7 @@ def bucket_of(key, splits: list[float]):
 def with_bucket(df: DataFrame, key: str, splits: list[float], out: str = "_b") -> DataFrame:
     """Add the bucket index of ``key`` (same rule as :func:`bucket_of`); long split lists use the
     JVM binary search of ``Bucketizer`` instead of one comparison per split."""
-    if len(splits) <= 16:
+    if len(splits) <= 64:
         return df.withColumn(out, bucket_of(F.col(key), splits))
     from pyspark.ml.feature import Bucketizer
     tmp = f"{out}_in"
