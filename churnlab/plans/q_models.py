@@ -130,7 +130,7 @@ def q_train_all(spark, sf):
 @register("tune")
 def q_tune(spark, sf):
     _, m, _ = prepared(spark, sf)
-    return out(MD.tune(m, trials=30, k=3, timeout_s=60, rounds_cap=QUICK_ROUNDS))
+    return out(MD.tune(m, trials=5, k=3, timeout_s=None, rounds_cap=QUICK_ROUNDS))
 
 
 REG_SQL = """
