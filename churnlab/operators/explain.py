@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlab.operators.metrics import auc_roc
+from churnlab.session import require_small
 
 
 def hash_uniform(*parts) -> Column:
@@ -102,7 +103,7 @@ def attrib_sampled(df: DataFrame, background: DataFrame, cols, score_fn, perms:
     nf = len(cols)
     bg = background.select(*[F.col(c).alias(f"_bg_{c}") for c in cols]).withColumn(
         "_bid", F.row_number().over(Window.orderBy(*[F.col(f"_bg_{c}") for c in cols])) - 1)  # bounded sample
-    nb = bg.count()
+    nb = require_small(bg, 100_000, "background sample")
     spark = df.sparkSession
     # permutation p: feature order by hash(seed, p, feature)
     perm_rows = []
@@ -264,7 +265,7 @@ def cf_search(df: DataFrame, donors: DataFrame, cols, score_fn, n: int = 10, see
     """Random counterfactuals: ``n`` candidates per row, each changing 1-3 features to values of a
     hash-picked donor row (a bounded training sample, broadcast); one scoring pass; keep p < target."""
     cols = list(cols)
-    nd = donors.count()
+    nd = require_small(donors, 100_000, "donor sample")
     dn = donors.select(*[F.col(c).alias(f"_d_{c}") for c in cols]).withColumn(
         "_did", F.row_number().over(Window.orderBy(*[F.col(f"_d_{c}") for c in cols])) - 1)
     cand = df.withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
