@@ -305,3 +305,15 @@ def cf_cost(cf: DataFrame, base: DataFrame, key: str = "customer_id", p0: str =
     return g.filter(F.col("price_cut") <= 0.30).withColumns({
         "new_churn_prob": F.greatest(F.col("new_churn_prob"), F.lit(0.05)),
         "churn_prob_reduction": F.col(p0) - F.greatest(F.col("new_churn_prob"), F.lit(0.05))})
+
+
+def attrib_stability(attrib: DataFrame, neighbours: DataFrame, key: str = "customer_id",
+                     query: str = "query_id", neighbour: str = "customer_id") -> DataFrame:
+    """Per explained row: mean Spearman correlation between its attribution vector and those of its
+    neighbours (``neighbours``: (query, neighbour) pairs from a kNN operator, bounded by k per query)."""
+    from churnlab.operators.stats import spearman
+    a = attrib.select(F.col(key).alias("_q"), "feature", F.col("value").alias("va"))
+    b = attrib.select(F.col(key).alias("_n"), "feature", F.col("value").alias("vb"))
+    pairs = neighbours.select(F.col(query).alias("_q"), F.col(neighbour).alias("_n")).join(a, "_q").join(b, ["_n", "feature"])
+    per = spearman(pairs.withColumn("_pair", F.concat_ws(":", "_q", "_n")), "va", "vb", by=["_q", "_pair"])
+    return per.groupBy(F.col("_q").alias(query)).agg(F.avg("spearman").alias("stability"))

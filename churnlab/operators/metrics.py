@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlab.functions.features import col_, risk_tier_by_charge
+from churnlab.functions.features import risk_tier_by_charge
 
 
 def label_rate(df: DataFrame, y: str, by=(), with_total: bool = False) -> DataFrame:
@@ -218,3 +218,23 @@ def rate_by_tier(df: DataFrame, tier: str = "risk_tier") -> DataFrame:
 def batch_summary(df: DataFrame, status: str = "status") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(status) == "ok").alias("processed"),
                   F.count_if(F.col(status) != "ok").alias("failed"))
+
+
+def describe_profile(df: DataFrame, cols) -> DataFrame:
+    """count / mean / sample std / min / exact quartiles / max per numeric column (one row per column)."""
+    from churnlab.operators.prefix import exact_percentiles
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols]))
+                     .alias("kv")).select("kv.*")
+    base = long.groupBy("feature").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+                                       F.min("value").alias("min"), F.max("value").alias("max"))
+    q = exact_percentiles(long, "value", [0.25, 0.5, 0.75], by=["feature"])
+    qw = q.groupBy("feature").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
+                                    for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    return base.join(qw, "feature")
+
+
+def feedback_stats(feedback: DataFrame, outcome: str = "outcome", group: str = "ab_group", threshold: int = 50) -> DataFrame:
+    """Per experiment arm: total, retained, churned, and feedback still needed before the next retrain."""
+    g = feedback.groupBy(group).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(outcome) == "retained").alias("retained"),
+                                    F.count_if(F.col(outcome) == "churned").alias("churned"))
+    return g.withColumn("remaining_to_retrain", (F.lit(threshold) - F.col("total") % threshold).cast("bigint"))

@@ -8,15 +8,13 @@ defaults keep the presets.  ``tune`` stops on the reference's time budget idea (
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from churnlab.functions import features as fx
 from churnlab.operators import explain as X
 from churnlab.operators import frames as FR
 from churnlab.operators import models as MD
 from churnlab.operators import prep as PR
 from churnlab.operators import search as SE
 from churnlab.operators.metrics import auc_roc
-from churnlab.operators.stats import spearman
-from churnlab.plans.oracle import rnd, with_c360
+from churnlab.plans.oracle import C360
 from churnlab.plans.registry import out, register
 from churnlab.sources.tables import customer360_table as customer360
 
@@ -168,7 +166,7 @@ def registry_events(spark, sf):
     return ev.filter(F.col("e").isNotNull()).select("e.*")
 
 
-@register("registry_table", REG_SQL.format(c360=__import__("churnlab.plans.oracle", fromlist=["C360"]).C360))
+@register("registry_table", REG_SQL.format(c360=C360))
 def q_registry(spark, sf):
     return out(MD.registry_current(registry_events(spark, sf)))
 
@@ -223,11 +221,7 @@ def _stability(spark, sf):
     q = inst.select(F.col("customer_id").alias("query_id"), *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in SC_COLS])
     corpus = d.select("customer_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in SC_COLS])
     nb = SE.knn_euclid(q, corpus, SC_COLS, 10)
-    a = lin.select(F.col("customer_id").alias("query_id"), "feature", F.col("value").alias("va"))
-    b = lin.select(F.col("customer_id").alias("nb_id"), "feature", F.col("value").alias("vb"))
-    pairs = nb.select("query_id", F.col("customer_id").alias("nb_id")).join(a, "query_id").join(b, ["nb_id", "feature"])
-    per = spearman(pairs.withColumn("pair", F.concat_ws(":", "query_id", "nb_id")), "va", "vb", by=["query_id", "pair"])
-    return per.groupBy("query_id").agg(F.avg("spearman").alias("stability"))
+    return X.attrib_stability(lin, nb)
 
 
 @register("attrib_stability")

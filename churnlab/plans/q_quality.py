@@ -7,7 +7,7 @@ from churnlab.operators import frames as FR
 from churnlab.operators import lookups as LK
 from churnlab.operators import quality as Q
 from churnlab.operators import stats as ST
-from churnlab.operators.prefix import exact_percentiles, prefix_sum, rank_avg
+from churnlab.operators.prefix import prefix_sum, rank_avg
 from churnlab.plans.oracle import rnd, with_c360
 from churnlab.plans.registry import out, register
 from churnlab.sources.tables import customer360_table as customer360, table
@@ -301,14 +301,8 @@ SELECT feature, COUNT(value) AS count, AVG(value) AS mean, STDDEV_SAMP(value) AS
   quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75, MAX(value) AS max
 FROM la GROUP BY feature""", ZS[0]), "mean,std,min,q25,q50,q75,max"))
 def q_describe(spark, sf):
-    d = c360(spark, sf)
-    long = d.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in NUM])).alias("kv")).select("kv.*")
-    base = long.groupBy("feature").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-                                       F.min("value").alias("min"), F.max("value").alias("max"))
-    q = exact_percentiles(long, "value", [0.25, 0.5, 0.75], by=["feature"])
-    qw = q.groupBy("feature").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
-                                    for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
-    return out(base.join(qw, "feature"))
+    from churnlab.operators.metrics import describe_profile
+    return out(describe_profile(c360(spark, sf), NUM))
 
 
 @register("feedback_stats", with_c360("""
@@ -320,11 +314,10 @@ FROM (SELECT CASE WHEN churned = 1 THEN 'churned' ELSE 'retained' END AS outcome
    THEN 'treatment' ELSE 'control' END AS arm
   FROM (SELECT *, 'retention_v1:' || CAST(customer_id AS VARCHAR) AS h FROM c360) AS a) AS f GROUP BY arm"""))
 def q_feedback_stats(spark, sf):
+    from churnlab.operators.metrics import feedback_stats
     d = c360(spark, sf).select(F.when(F.col("churned") == 1, "churned").otherwise("retained").alias("outcome"),
                                fx.ab_assign(F.col("customer_id"), "retention_v1").alias("ab_group"))
-    g = d.groupBy("ab_group").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("outcome") == "retained").alias("retained"),
-                                  F.count_if(F.col("outcome") == "churned").alias("churned"))
-    return g.withColumn("remaining_to_retrain", (F.lit(50) - F.col("total") % 50).cast("bigint"))
+    return feedback_stats(d)
 
 
 @register("batch_summary", with_c360("""

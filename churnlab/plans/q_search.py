@@ -61,9 +61,7 @@ SELECT nb.query_id, COUNT(*) AS n_similar, COUNT(*) FILTER (WHERE c.churned = 0)
 FROM nb JOIN c360 AS c ON nb.customer_id = c.customer_id GROUP BY nb.query_id""", *EU_SQL), "retained_share"))
 def q_retained_similar(spark, sf):
     d, nb = _neighbours(spark, sf)
-    j = nb.join(d.select("customer_id", "churned"), "customer_id")
-    return out(j.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_similar"), F.count_if(F.col("churned") == 0).alias("n_retained"),
-                                         F.avg(1.0 - F.col("churned")).alias("retained_share")))
+    return out(SE.retained_similar(nb, d))
 
 
 @register("text_search", """

@@ -1,7 +1,5 @@
 """Streaming forms (rows-only checks at the driver; agreement with the batch forms is tested in tests/)."""
 
-from pyspark.sql import functions as F
-
 from churnlab.plans.registry import out, register
 from churnlab.sources.tables import customer360_table as customer360
 from churnlab.streaming import jobs as S
