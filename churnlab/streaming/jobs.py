@@ -84,12 +84,37 @@ def windowed_counts_stream(spark: SparkSession, sf_dir: str, size: str = "1 hour
     return read_upserts(spark, path, ["window_start", "event_type"])
 
 
-def progress_latest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = events_stream(spark, sf_dir)
-    agg = s.groupBy("user_id").agg(F.max_by(F.struct("event_type", "value", "event_id"), F.struct("ts", "event_id")).alias("l"))
-    agg = agg.select("user_id", "l.*")
+PROGRESS_OUT = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
+                             T.StructField("value", T.DoubleType()), T.StructField("event_id", T.LongType())])
+PROGRESS_STATE = T.StructType([T.StructField("t", T.LongType()), T.StructField("event_id", T.LongType()),
+                               T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
+
+
+def _progress_fn(ttl_us: int):
+    def fn(key, pdfs, state: GroupState):
+        if state.hasTimedOut:  # nothing heard for ttl: forget the key
+            state.remove()
+            yield pd.DataFrame(columns=[f.name for f in PROGRESS_OUT.fields])
+            return
+        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["t", "event_id"])
+        last = rows.iloc[-1]
+        best = (int(last.t), int(last.event_id), last.event_type, float(last.value))
+        if state.exists and (state.get[0], state.get[1]) > best[:2]:
+            best = tuple(state.get)
+        state.update(best)
+        state.setTimeoutTimestamp(int((best[0] + ttl_us) / 1000) + 1)
+        yield pd.DataFrame([(int(key[0]), best[2], best[3], best[1])], columns=[f.name for f in PROGRESS_OUT.fields])
+    return fn
+
+
+def progress_latest_stream(spark: SparkSession, sf_dir: str, ttl_seconds: int = 7200) -> DataFrame:
+    """Latest record per key; a key's state is dropped ``ttl_seconds`` of event time after its last record."""
+    s = events_stream(spark, sf_dir).withWatermark("ts", "0 seconds").select(
+        "user_id", "event_id", "event_type", "value", F.unix_micros("ts").alias("t"), "ts")
+    res = s.groupBy("user_id").applyInPandasWithState(_progress_fn(ttl_seconds * 1_000_000), PROGRESS_OUT, PROGRESS_STATE,
+                                                      "append", GroupStateTimeout.EventTimeTimeout)
     path, ck = scratch_path(spark, "progress"), scratch_path(spark, "progress-ck")
-    run_available_now(agg.writeStream.outputMode("update").option("checkpointLocation", ck).foreachBatch(_batch_writer(path)))
+    run_available_now(res.writeStream.outputMode("append").option("checkpointLocation", ck).foreachBatch(_batch_writer(path)))
     return read_upserts(spark, path, ["user_id"])
 
 
