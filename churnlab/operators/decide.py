@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnlab.functions.features import ab_assign, action_type, risk_tier
-from churnlab.operators.prefix import prefix_sum
+from churnlab.operators.prefix import default_buckets, prefix_sum, split_points
 from churnlab.session import cut_lineage
 
 # Portfolio action catalogue (name, cost in USD, churn-probability reduction).
@@ -96,6 +96,7 @@ def budget_greedy(items: DataFrame, budget: float, key_cols=("customer_id", "act
     key_cols = list(key_cols)
     it = cut_lineage(items.select(*key_cols, "cost", "value").withColumn("density", F.col("value") / F.greatest(F.col("cost"), F.lit(1e-9))))
     order_cols = [-F.col("density"), F.col("cost")] + [F.col(k) for k in key_cols]
+    splits = split_points(it, "density", default_buckets(it.sparkSession))  # once; every round reuses them
     remaining = float(budget)
     taken_parts = []
     after = None  # struct literal of the last misfit: continue strictly after it
@@ -104,7 +105,8 @@ def budget_greedy(items: DataFrame, budget: float, key_cols=("customer_id", "act
         if after is not None:
             cand = cand.filter(_after(order_cols, after))
         # split points are literals, so a recomputed round (in the final union) places rows identically
-        cum = prefix_sum(cand, "density", ["cost"], descending=True, tiebreak=_order_cols(key_cols), materialize=False)
+        cum = prefix_sum(cand, "density", ["cost"], descending=True, tiebreak=_order_cols(key_cols), materialize=False,
+                         splits=splits)
         fits = F.col("cum_cost") <= F.lit(remaining)
         stats = cum.agg(F.sum(F.when(fits, F.col("cost"))).alias("spent"),
                         F.min(F.when(~fits, F.struct(-F.col("density"), F.col("cost"), *[F.col(k) for k in key_cols]))).alias("m")).first()

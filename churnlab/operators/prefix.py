@@ -57,19 +57,21 @@ def default_buckets(spark) -> int:
 
 def prefix_sum(df: DataFrame, key: str, values: list[str], by=(), descending: bool = False,
                n_buckets: int | None = None, materialize: bool = True, prefix: str = "cum_", tiebreak=None,
-               totals: bool = False) -> DataFrame:
+               totals: bool = False, splits: list[float] | None = None) -> DataFrame:
     """Add ``cum_<v>`` = sum of ``v`` over rows with key <= current (>= if descending), per ``by`` group.
 
     Ties in ``key`` are summed together (range frame), so the result does not
     depend on row order.  ``materialize`` checkpoints the (reduced) input once,
     so the quantile pass and the main pass read the same stable data.
     ``totals`` adds ``tot_<v>`` per group, taken from the bucket totals (no second
-    pass over the input).
+    pass over the input).  ``splits`` reuses split points computed earlier (any
+    increasing list keeps the result exact; only the bucket balance depends on it).
     """
     by = list(by)
     if materialize:
         df = cut_lineage(df)
-    splits = split_points(df, key, n_buckets or default_buckets(df.sparkSession))
+    if splits is None:
+        splits = split_points(df, key, n_buckets or default_buckets(df.sparkSession))
     b = with_bucket(df, key, splits)
     tot = b.groupBy(*by, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     border = F.col("_b").desc() if descending else F.col("_b").asc()
