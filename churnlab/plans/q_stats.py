@@ -189,15 +189,19 @@ def q_spearman(spark, sf):
     return out(ST.spearman(c360(spark, sf), "churn_probability", "challenger_probability", by=["segment"]))
 
 
+# calibration / test halves: a seeded md5 split of the customer key (same rule as stats.hash_half)
+HALF_SQL = "(CAST(('0x' || substr(md5('42:' || CAST(customer_id AS VARCHAR)), 1, 8)) AS BIGINT) % 2)"
+
 CONF_Q = """q AS (SELECT COALESCE(MIN(CASE WHEN cum_n >= CEIL((n_cal + 1) * (1e0 - 0.1e0)) THEN score END), 1e0) AS q, MAX(n_cal) AS n_cal
 FROM (SELECT *, SUM(n) OVER (ORDER BY score) AS cum_n, SUM(n) OVER () AS n_cal FROM (
   SELECT CASE WHEN churned = 1 THEN 1e0 - churn_probability ELSE churn_probability END AS score, COUNT(*) AS n
-  FROM c360 WHERE customer_id % 2 = 0 GROUP BY 1) AS a) AS b)"""
+  FROM c360 WHERE {half} = 0 GROUP BY 1) AS a) AS b)""".format(half=HALF_SQL)
 
 
 def _cal_test(spark, sf):
     d = c360(spark, sf)
-    return d.filter(F.col("customer_id") % 2 == 0), d.filter(F.col("customer_id") % 2 == 1)
+    half = ST.hash_half("customer_id", seed=42)
+    return d.filter(half == 0), d.filter(half == 1)
 
 
 @register("conformal_quantile", rnd(with_c360("SELECT q, CAST(n_cal AS BIGINT) AS n_cal FROM q", CONF_Q), "q"))
@@ -210,7 +214,7 @@ def q_conf_q(spark, sf):
 SELECT customer_id, (1e0 - churn_probability) <= q AS in_set_1, churn_probability <= q AS in_set_0,
   CAST((1e0 - churn_probability) <= q AS INTEGER) + CAST(churn_probability <= q AS INTEGER) AS set_size,
   (1e0 - churn_probability) <= q AND churn_probability <= q AS uncertain
-FROM c360 CROSS JOIN q WHERE customer_id % 2 = 1""", CONF_Q))
+FROM c360 CROSS JOIN q WHERE """ + HALF_SQL + " = 1", CONF_Q))
 def q_conf_sets(spark, sf):
     cal, test = _cal_test(spark, sf)
     q = ST.conformal_quantile(cal, "churned", "churn_probability", 0.10).select("q")
@@ -221,7 +225,7 @@ def q_conf_sets(spark, sf):
 @register("conformal_coverage", rnd(with_c360("""
 SELECT AVG(CASE WHEN CASE WHEN churned = 1 THEN (1e0 - churn_probability) <= q ELSE churn_probability <= q END THEN 1e0 ELSE 0e0 END) AS coverage,
   COUNT(*) AS n, AVG(CAST(CAST((1e0 - churn_probability) <= q AS INTEGER) + CAST(churn_probability <= q AS INTEGER) AS DOUBLE)) AS avg_set_size
-FROM c360 CROSS JOIN q WHERE customer_id % 2 = 1""", CONF_Q), "coverage,avg_set_size"))
+FROM c360 CROSS JOIN q WHERE """ + HALF_SQL + " = 1", CONF_Q), "coverage,avg_set_size"))
 def q_conf_cov(spark, sf):
     cal, test = _cal_test(spark, sf)
     q = ST.conformal_quantile(cal, "churned", "churn_probability", 0.10).select("q")
