@@ -81,10 +81,23 @@ BOOST_PRESETS = {
 }
 
 
+def training_width(df: DataFrame) -> int:
+    """Partitions for iterative training: one per core of the cluster (each optimizer step is a job)."""
+    try:
+        return max(1, df.sparkSession.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - sessions without a driver-side context
+        return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
+
+
 def prepare(train: DataFrame, y: str = "churned"):
-    """Fit the preparation pipeline on the training rows; returns (fitted pipeline, weighted train matrix)."""
+    """Fit the preparation pipeline on the training rows; returns (fitted pipeline, weighted train matrix).
+    The matrix is narrowed (no shuffle) to the cluster's core count: iterative fits run one job per
+    step, and hundreds of tiny post-shuffle partitions would make every step schedule hundreds of tasks."""
     prep = prep_pipeline().fit(train)
     m = class_weights(prep.transform(train), y)
+    n = training_width(m)
+    if m.rdd.getNumPartitions() > n:
+        m = m.coalesce(n)
     return prep, m
 
 

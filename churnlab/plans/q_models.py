@@ -16,6 +16,7 @@ from churnlab.operators import search as SE
 from churnlab.operators.metrics import auc_roc
 from churnlab.plans.oracle import C360
 from churnlab.plans.registry import out, register
+from churnlab.session import cut_lineage
 from churnlab.sources.tables import customer360_table as customer360
 
 QUICK_ROUNDS = 20
@@ -28,7 +29,10 @@ def c360(spark, sf):
 
 
 def split(spark, sf):
-    return PR.stratified_split(c360(spark, sf), "churned", "customer_id", test=0.2, seed=42)
+    """Train/test split written once as parquet tables: every estimator fit and transform reads them
+    instead of re-deriving the windowed split."""
+    tr, te = PR.stratified_split(c360(spark, sf), "churned", "customer_id", test=0.2, seed=42)
+    return cut_lineage(tr), cut_lineage(te)
 
 
 def prepared(spark, sf):
