@@ -172,7 +172,8 @@ def fit_stacking(m: DataFrame, learners: dict, y: str = "churned", key: str = "c
                  parallelism: int = 4):
     """Out-of-fold probabilities of each base learner -> logistic meta learner; bases refitted on all rows.
     The k x learners fold fits (and the final refits) run concurrently."""
-    folded = stratified_folds(m, y, key, k, seed).persist()
+    folded = stratified_folds(m, y, key, k, seed)
+    folded = folded.coalesce(training_width(m)).persist()  # fits run one job per step: few, full partitions
     names = list(learners)
     jobs = [(f, n) for f in range(k) for n in names]
     fitted = _parallel([lambda f=f, n=n: learners[n](folded.filter(F.col("fold") != f)) for f, n in jobs], parallelism)
@@ -212,7 +213,8 @@ def tune(m: DataFrame, y: str = "churned", trials: int = 30, k: int = 5, seed: i
     or when ``timeout_s`` is used up (checked between trials).  One row per finished trial."""
     import time
     rng = random.Random(seed)
-    folded = stratified_folds(m, y, key, k, seed).persist()
+    folded = stratified_folds(m, y, key, k, seed)
+    folded = folded.coalesce(training_width(m)).persist()
     rows, t0 = [], time.time()
     for t in range(trials):
         p = {"maxIter": rng.randint(*TUNE_SPACE["maxIter"]), "maxDepth": rng.randint(*TUNE_SPACE["maxDepth"]),
