@@ -5,7 +5,8 @@ of the categories before it.  In training those probabilities are out-of-fold: t
 the row, so later models learn how far earlier ones can be trusted.
 
 Features are binary: words, word starts of 4 letters (which catch compounds) and coarse shape bins.  Their counts are
-taken over the labelled sample; those most telling per category (by the z score of their share of positives) are kept.
+taken over the labelled sample.  Kept are those whose share of a category's positives differs from the sample's by more
+evidence (rows times Kullback-Leibler divergence) than chance gives among so many features, the strongest first.
 The sample is bounded by ``max_labelled`` rows, the least by a hash of the id; the fit is one task over it.  Scoring
 covers every row and whole texts, without a shuffle.
 
@@ -52,26 +53,46 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_linear(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarray, k: int, ridge: float = 1.0, steps: int = 120):
-    """Logistic regression over binary sparse features and dense columns: full-batch gradient, Nesterov, a step per
-    feature from its curvature bound.  Returns (weights, dense weights, bias)."""
+def fit_linear(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarray, k: int, ridge: float = 1.0, steps: int = 12, inner: int = 30):
+    """Logistic regression over binary sparse features and dense columns by Newton steps, each solved by conjugate
+    gradients.  Returns (weights, dense weights, bias); the bias is not shrunk."""
     n, d = dense.shape
-    count = np.bincount(cols, minlength=k)
-    width = np.bincount(rows, minlength=n) + np.abs(dense).sum(1) + 1
-    bound = np.bincount(cols, weights=width[rows], minlength=k) / 4 + ridge
-    dbound = (np.abs(dense) * width[:, None]).sum(0) / 4 + ridge
-    w, v, b = np.zeros(k), np.zeros(d), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
-    pw, pv, pb = w.copy(), v.copy(), b
-    bbound = width.sum() / 4
-    for t in range(steps):
-        m = t / (t + 3)
-        lw, lv, lb = w + m * (w - pw), v + m * (v - pv), b + m * (b - pb)
-        err = _sigmoid(np.bincount(rows, weights=lw[cols], minlength=n) + dense @ lv + lb) - y
-        pw, pv, pb = w, v, b
-        w = lw - (np.bincount(cols, weights=err[rows], minlength=k) + ridge * lw) / bound
-        v = lv - (dense.T @ err + ridge * lv) / dbound
-        b = lb - err.sum() / bbound
-    return np.where(count > 0, w, 0.0), v, b
+    penalty = np.concatenate([np.full(k + d, ridge), [1e-6]])
+
+    def forward(t):
+        return np.bincount(rows, weights=t[cols], minlength=n) + dense @ t[k:k + d] + t[-1]
+
+    def back(u):
+        return np.concatenate([np.bincount(cols, weights=u[rows], minlength=k), dense.T @ u, [u.sum()]])
+
+    def loss(t, m):
+        return np.logaddexp(0, m).sum() - (y * m).sum() + (penalty * t * t).sum() / 2
+
+    theta = np.zeros(k + d + 1)
+    theta[-1] = np.log((y.sum() + 1) / (n - y.sum() + 1))
+    margin = forward(theta)
+    for _ in range(steps):
+        p = _sigmoid(margin)
+        grad, curve = back(p - y) + penalty * theta, np.maximum(p * (1 - p), 1e-6)
+        step, r = np.zeros_like(theta), -grad
+        q, rr = r.copy(), r @ r
+        stop = 1e-6 * rr
+        for _ in range(inner):
+            if rr <= stop:
+                break
+            hq = back(curve * forward(q)) + penalty * q
+            alpha = rr / (q @ hq)
+            step += alpha * q
+            r -= alpha * hq
+            rr, old = r @ r, rr
+            q = r + rr / old * q
+        size, now, moved = 1.0, loss(theta, margin), forward(step)
+        while size > 1e-3 and loss(theta + size * step, margin + size * moved) > now:
+            size /= 2
+        theta, margin = theta + size * step, margin + size * moved
+        if np.abs(size * step).max() < 1e-4:
+            break
+    return theta[:k], theta[k:k + d], float(theta[-1])
 
 
 def predict_linear(model, rows, cols, dense):
@@ -126,7 +147,7 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0)) / 2)
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_labelled: int = 20_000, n_features: int = 2_000,
+def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_labelled: int = 20_000, n_features: int = 1_000,
                 min_rows: int = 4, n_folds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """labels(doc_id, one 0/1 column per category) -> the chain: vocabulary, models, threshold of the last category."""
     lab = labels.select(F.col(id_col).alias("doc_id"), *[F.col(c).cast("double").alias(f"y{j}") for j, c in enumerate(categories)])
@@ -145,14 +166,17 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_l
     table = cut_lineage(rows.mapInArrow(extract, f"doc_id {kind}, {', '.join(f'{y} double' for y in ys)}, f array<string>"))
     share = table.agg(F.count(F.lit(1)), *[F.avg(y) for y in ys]).first()
     counts = table.select(*ys, F.explode("f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.coalesce(y, F.lit(0.0))).alias(y) for y in ys])
-    counts = counts.filter(F.col("n") >= min_rows)
+    counts = cut_lineage(counts.filter(F.col("n") >= min_rows))
+    least = float(np.log(max(1, counts.count()))) + 2  # evidence that chance hardly gives any of so many features
     vocabulary: list[str] = []
     for j, y in enumerate(ys):  # n_features strings per category at most
         p = share[1 + j]
         if p is None or not 0 < p < 1:
             continue
-        z = F.abs(F.col(y) - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
-        vocabulary += [r["f"] for r in counts.orderBy(z.desc(), "f").limit(n_features).select("f").collect()]
+        q, zero = F.col(y) / F.col("n"), F.lit(0.0)
+        evidence = F.col("n") * (F.when(q > 0, q * F.log(q / p)).otherwise(zero) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(zero))
+        told = counts.select("f", evidence.alias("e")).filter(F.col("e") >= least)
+        vocabulary += [r["f"] for r in told.orderBy(F.col("e").desc(), "f").limit(n_features).select("f").collect()]
     vocabulary = sorted(set(vocabulary))
     if not vocabulary and not share[0]:
         return {"categories": categories, "vocabulary": [], "models": [([], [0.0] * j, 0.0) for j in range(len(ys))], "threshold": 1.1}
