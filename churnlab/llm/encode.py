@@ -12,10 +12,8 @@ import re
 from array import array
 from functools import lru_cache
 
-import numpy as np
 import regex
 
-_UNSAFE = re.compile(r"\s | \s|\A | \Z")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _PUNCT = frozenset('.,;:!?)("')
 # fixed value: the pre-split of byte-level BPE
@@ -37,7 +35,7 @@ class Made(dict):
 class TextEncoder:
     """encode(text) -> little-endian unsigned 32-bit ids; ``limit`` bounds the units kept per worker."""
 
-    def __init__(self, path: str, limit: int = 400_000, special_as_text: bool = False):
+    def __init__(self, path: str, limit: int = 700_000, special_as_text: bool = False):
         import json
         import os
 
@@ -67,35 +65,49 @@ class TextEncoder:
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            mapped = piece.encode().decode("latin-1").translate(self.letters)
-            got = array("I", [t.id for t in self.tok.model.tokenize(mapped)]).tobytes()
-            self.pieces[piece] = got
+            if piece.isascii() and piece.isprintable():  # of these bytes only the blank has another letter
+                mapped = piece.replace(" ", self.letters[32])
+            else:
+                mapped = piece.encode().decode("latin-1").translate(self.letters)
+            got = self.pieces[piece] = array("I", [t.id for t in self.tok.model.tokenize(mapped)]).tobytes()
         return got
 
-    def _unit(self, unit: str, spaced: bool = True) -> bytes:
-        if not unit:
-            return b""
-        head = " " if spaced else ""
+    def _pieces(self, text: str) -> bytes:
+        if max(text) < "\u0250":  # letters that no Unicode version sorts otherwise: pre-split here
+            return b"".join(map(self._piece, _BYTE_SPLIT.findall(text)))
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        """A unit that follows a blank."""
+        if not unit or unit[0].isspace() or unit[-1].isspace():
+            raise _Unsafe
         if unit.isalpha():  # one run of letters is one piece
-            return self._piece(head + unit)
+            return self._piece(" " + unit)
         if len(unit) > 1 and unit[-1] in _PUNCT and unit[:-1].isalpha():
-            return self._piece(head + unit[:-1]) + self._piece(unit[-1])
-        if max(unit) < "\u0250":  # letters that no Unicode version sorts otherwise: pre-split here
-            return b"".join(map(self._piece, _BYTE_SPLIT.findall(head + unit)))
-        return np.array(self.tok.encode(head + unit, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return self._piece(" " + unit[:-1]) + self._piece(unit[-1])
+        return self._pieces(" " + unit)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if not self.by_unit or any(s in text for s in self.special):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        cuts = _SAFE_CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
+            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.units) > self.limit or len(self.pieces) > self.limit:  # a bound on memory; what is needed again is encoded again
             self.units.clear()
             self.pieces.clear()
-        first = self._unit(cuts[0], False)
-        cuts[0] = ""
-        return first + b"".join(map(self.units.__getitem__, cuts))
+        cuts = text.split(" ")
+        first = cuts.pop(0)
+        try:
+            if first[-1:].isspace() or not first:
+                raise _Unsafe
+            return self._pieces(first) + b"".join(map(self.units.__getitem__, cuts))
+        except _Unsafe:  # blanks beside white space: only some of them are cuts
+            first, *rest = _SAFE_CUT.split(text)
+            return self._pieces(first) + b"".join(self._pieces(" " + u) for u in rest)
+
+
+class _Unsafe(Exception):
+    """A blank beside other white space."""
 
 
 @lru_cache(maxsize=4)
