@@ -202,8 +202,8 @@ def interaction_text(customer_id="customer_id", p="churn_probability", tier="ris
         F.concat(F.lit("Customer "), col_(customer_id).cast("string")),
         F.concat(F.lit("churn probability "), _fmt0(col_(p) * 100.0), F.lit("%")),
         F.concat(F.lit("risk tier "), F.coalesce(col_(tier), F.lit("unknown"))),
-        F.concat(F.lit("action: "), F.coalesce(col_(action), F.lit("none")) if action is not None else F.lit("none")),
-        F.concat(F.lit("outcome: "), F.coalesce(col_(outcome), F.lit("pending")) if outcome is not None else F.lit("pending")),
+        F.concat(F.lit("action: "), F.lit("none") if action is None else F.coalesce(col_(action), F.lit("none"))),
+        F.concat(F.lit("outcome: "), F.lit("pending") if outcome is None else F.coalesce(col_(outcome), F.lit("pending"))),
     ]
     if drivers is not None:
         top = F.slice(col_(drivers), 1, 3)

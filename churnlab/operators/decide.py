@@ -1,22 +1,23 @@
 """Retention decisions: action catalogue, per-customer knapsack, portfolio budget greedy.
 
-* ``knapsack_per_customer`` is exact: the catalogue is small (<= 10 actions),
-  so all 2^n subsets form a broadcast table (size fixed by the catalogue) and
-  every customer picks its best feasible subset with a per-customer top-1.
+* ``with_knapsack`` finds the exact best subset of a small catalogue inside the
+  row (no shuffle); ``knapsack_per_customer`` solves items that differ by
+  customer, any catalogue length, one customer's items at a time.
 * ``budget_greedy`` reproduces the sequential "take it if it still fits" rule
-  over all (customer, action) items with global running sums: each round takes
-  the longest fitting prefix, skips the first misfit and continues after it
-  with the items that still fit.  A misfit of cost c rules out every cost >= c
-  for good, so the number of rounds is bounded by the number of distinct costs.
+  over all (customer, action) items.  Items lie in range buckets of the whole
+  order (density, cost, keys).  A bucket whose costs all fit is taken whole, one
+  whose cheapest item does not fit is skipped whole (both from the bucket sums
+  alone); only a bucket in between is walked item by item, each at most once.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnlab.functions.features import ab_assign, action_type, risk_tier
-from churnlab.operators.prefix import default_buckets, prefix_sum, split_points
+from churnlab.operators.prefix import default_buckets, ordered_buckets, prefix_sum
 from churnlab.session import cut_lineage
 
 # Portfolio action catalogue (name, cost in USD, churn-probability reduction).
@@ -55,81 +56,128 @@ def plan_confidence(p, total_reduction, n_actions):
     return F.when(n_actions > 0, F.bround(F.least(1.0 - remaining, F.lit(0.99)), 4)).otherwise(F.lit(0.0))
 
 
-def subsets_df(spark: SparkSession, catalogue: DataFrame, max_actions: int = 10) -> DataFrame:
-    """(subset, action_idx) membership rows for all non-empty subsets; 2^n rows bounded by the catalogue size."""
+def subsets_df(spark: SparkSession, catalogue: DataFrame) -> DataFrame:
+    """(subset, action_idx) membership rows for all non-empty subsets of a catalogue: 2^n rows for n actions."""
     n = catalogue.count()
-    if n > max_actions:
-        raise ValueError(f"catalogue of {n} actions: subset enumeration is limited to {max_actions}")
-    s = spark.range(1, 2 ** n).select(F.col("id").cast("int").alias("subset"))
+    s = spark.range(1, 2 ** n).select(F.col("id").alias("subset"))
     idx = spark.range(n).select(F.col("id").cast("int").alias("action_idx"))
-    return s.crossJoin(idx).filter(F.expr("shiftright(subset, action_idx) & 1 = 1"))
-
-
-def knapsack_per_customer(items: DataFrame, members: DataFrame, budget: float = 300.0, key: str = "customer_id",
-                          carry=("churn_probability",), actions: list[str] | None = None) -> DataFrame:
-    """Best subset of a customer's actions with total cost <= budget (value desc, cost asc, subset asc).
-
-    Only sums are aggregated per (customer, subset); the action names of the winning subset are
-    decoded from its bit mask afterwards (``actions``: names by catalogue index).
-    ``carry``: per-customer columns kept in the output (constant within a customer)."""
-    j = items.join(F.broadcast(members), "action_idx")
-    keep = [F.max(c).alias(c) for c in carry if c in items.columns]
-    agg = j.groupBy(key, "subset").agg(*keep, F.sum("cost").alias("total_cost"), F.sum("value").alias("total_value"),
-                                       F.sum("prob_reduction").alias("total_reduction"), F.count(F.lit(1)).alias("n_actions"))
-    ok = agg.filter(F.col("total_cost") <= budget)
-    w = Window.partitionBy(key).orderBy(F.col("total_value").desc(), F.col("total_cost").asc(), F.col("subset").asc())
-    best = ok.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1).drop("_rk")
-    names = actions or [n for n, _, _ in CATALOGUE_A]
-    bits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)),
-                                lambda i: F.when(F.col("subset").bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0,
-                                                 F.element_at(F.array(*[F.lit(n) for n in names]), i + 1))),
-                    lambda x: x.isNotNull())
-    return best.withColumn("actions", F.array_sort(bits))
+    return s.crossJoin(idx).filter(F.expr("(subset >> action_idx) & 1 = 1"))
+
+
+def with_knapsack(df: DataFrame, actions: list[tuple[str, float, float]], clv, budget: float = 300.0, out: str = "plan") -> DataFrame:
+    """Add ``out``: the best subset of a small catalogue for each row, found in the row (no shuffle, no join).
+
+    struct(subset, total_cost, total_value, total_reduction, n_actions, actions); null where nothing fits the budget.
+    Subsets over the budget depend on the catalogue only and are left out of the list beforehand.
+    Best: value desc, cost asc, subset asc.  ``clv``: column of the customer value an action's reduction acts on."""
+    n, plans = len(actions), []
+    for subset in range(1, 2 ** n):
+        own = [i for i in range(n) if subset >> i & 1]
+        cost = sum(actions[i][1] for i in own)
+        if cost <= budget:
+            plans.append((subset, float(cost), float(sum(actions[i][2] for i in own)), own))
+    if not plans:
+        return df.withColumn(out, F.lit(None).cast("struct<subset:bigint,total_cost:double,total_value:double,total_reduction:double,n_actions:bigint,actions:array<string>>"))
+    vals = [f"_v{i}" for i in range(n)]
+    d = df
+    for v, (_, _, cut) in zip(vals, actions, strict=True):
+        d = d.withColumn(v, F.greatest(F.round(clv * F.lit(float(cut)), 2), F.lit(1.0)))
+    values = F.array(*vals)
+    table = F.array(*[F.struct(F.lit(c).alias("cost"), F.lit(s).cast("long").alias("subset"), F.lit(r).alias("cut"),
+                               F.array(*[F.lit(i) for i in own]).alias("own")) for s, c, r, own in plans])
+    scored = F.transform(table, lambda t: F.struct(
+        F.aggregate(t["own"], F.lit(0.0), lambda a, i: a + F.get(values, i)).alias("v"), (-t["cost"]).alias("c"), (-t["subset"]).alias("s"),
+        t["cut"].alias("r"), t["own"].alias("own")))
+    names = F.array(*[F.lit(a) for a, _, _ in actions])
+    best = F.array_max(scored)
+    d = d.withColumn("_best", best)
+    b = F.col("_best")
+    return d.withColumn(out, F.struct((-b["s"]).alias("subset"), (-b["c"]).alias("total_cost"), b["v"].alias("total_value"), b["r"].alias("total_reduction"),
+                                      F.size(b["own"]).cast("long").alias("n_actions"),
+                                      F.array_sort(F.transform(b["own"], lambda i: F.get(names, i))).alias("actions"))).drop("_best", *vals)
+
+
+def knapsack_per_customer(items: DataFrame, budget: float = 300.0, key: str = "customer_id", carry=("churn_probability",), grain: int = 100) -> DataFrame:
+    """Best subset of each customer's own action rows with total cost <= budget (value desc, cost asc, subset asc).
+
+    For catalogues of any size and items that differ by customer: a customer's items are one group (as long as the
+    catalogue), solved exactly by dynamic programming over cost in units of 1 / ``grain``."""
+    keep = [c for c in carry if c in items.columns]
+    agg = items.groupBy(key).agg(*[F.max(c).alias(c) for c in keep], F.array_sort(F.collect_list(
+        F.struct("action_idx", "action", "cost", "value", "prob_reduction"))).alias("items"))
+    out = ", ".join([f"{key} {items.schema[key].dataType.simpleString()}", *[f"{c} {items.schema[c].dataType.simpleString()}" for c in keep]])
+    out += ", subset long, total_cost double, total_value double, total_reduction double, n_actions long, actions array<string>"
+
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                best = _best_subset([(int(x["action_idx"]), float(x["cost"]), float(x["value"])) for x in r.items], budget, grain)
+                if best:
+                    own = [x for x in r.items if x["action_idx"] in best]
+                    rows.append((*[getattr(r, c) for c in [key, *keep]], sum(1 << i for i in best), sum(x["cost"] for x in own), sum(x["value"] for x in own),
+                                 sum(x["prob_reduction"] for x in own), len(own), sorted(x["action"] for x in own)))
+            yield pd.DataFrame(rows, columns=[key, *keep, "subset", "total_cost", "total_value", "total_reduction", "n_actions", "actions"])
+
+    return agg.mapInPandas(solve, out)
+
+
+def _best_subset(items: list[tuple[int, float, float]], budget: float, grain: int) -> list[int]:
+    """Action indices of the best non-empty subset; states with equal cost keep the best (value, then subset)."""
+    states = {0: (0.0, 0)}
+    for i, cost, value in items:
+        step = round(cost * grain)
+        for c, (v, mask) in list(states.items()):
+            if c + step <= round(budget * grain):
+                new, old = (v + value, mask | 1 << i), states.get(c + step)
+                if old is None or (new[0], -new[1]) > (old[0], -old[1]):
+                    states[c + step] = new
+    won = max(((v, -c, -m) for c, (v, m) in states.items() if m), default=None)
+    return [i for i, _, _ in items if won and -won[2] >> i & 1]
 
 
 def _order_cols(key_cols):
     return [F.col("cost").asc()] + [F.col(k).asc() for k in key_cols]
 
 
-def budget_greedy(items: DataFrame, budget: float, key_cols=("customer_id", "action"), max_rounds: int = 64) -> DataFrame:
-    """Items taken by the greedy value-density rule (density desc, then cost asc, then keys)."""
-    key_cols = list(key_cols)
-    it = cut_lineage(items.select(*key_cols, "cost", "value").withColumn("density", F.col("value") / F.greatest(F.col("cost"), F.lit(1e-9))))
-    order_cols = [-F.col("density"), F.col("cost")] + [F.col(k) for k in key_cols]
-    splits = split_points(it, "density", default_buckets(it.sparkSession))  # once; every round reuses them
-    remaining = float(budget)
-    taken_parts = []
-    after = None  # struct literal of the last misfit: continue strictly after it
-    for r in range(max_rounds):
-        cand = it.filter(F.col("cost") <= F.lit(remaining))
-        if after is not None:
-            cand = cand.filter(_after(order_cols, after))
-        # split points are literals, so a recomputed round (in the final union) places rows identically
-        cum = prefix_sum(cand, "density", ["cost"], descending=True, tiebreak=_order_cols(key_cols), materialize=False,
-                         splits=splits)
-        fits = F.col("cum_cost") <= F.lit(remaining)
-        stats = cum.agg(F.sum(F.when(fits, F.col("cost"))).alias("spent"),
-                        F.min(F.when(~fits, F.struct(-F.col("density"), F.col("cost"), *[F.col(k) for k in key_cols]))).alias("m")).first()
-        spent = float(stats["spent"] or 0.0)
-        taken_parts.append(cum.filter(fits).select(*key_cols, "cost", "value", "density", F.lit(r).alias("round")))
-        miss = stats["m"]
-        remaining -= spent
-        if miss is None:
-            break
-        after = list(miss)
-    out = taken_parts[0]
-    for p in taken_parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _walk(start: float, key_cols: list[str]):
+    """Takes a bucket's items one after another while they fit what is left of the budget."""
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["density", "cost", *key_cols], ascending=[False, True, *[True] * len(key_cols)], kind="stable")
+        have, keep = start, []
+        for c in pdf["cost"]:
+            keep.append(c <= have)
+            have -= c if keep[-1] else 0.0
+        return pdf[keep]
+    return walk
+
 
+def budget_greedy(items: DataFrame, budget: float, key_cols=("customer_id", "action"), bucket_rows: int = 500_000) -> DataFrame:
+    """Items taken by the greedy value-density rule (density desc, then cost asc, then keys).
 
-def _after(cols, vals):
-    """Lexicographic (cols) > (vals)."""
-    cond = None
-    for c, v in reversed(list(zip(cols, vals))):
-        gt = c > F.lit(v)
-        cond = gt if cond is None else (gt | ((c == F.lit(v)) & cond))
-    return cond
+    No limit on the number of items taken or skipped.  The driver holds one (sum, least, count) per bucket; a walked
+    bucket is one task of about ``bucket_rows`` rows, and its choice is written before the next is looked at."""
+    key_cols = list(key_cols)
+    it = items.select(*key_cols, "cost", "value").withColumn("density", F.col("value") / F.greatest(F.col("cost"), F.lit(1e-9)))
+    order = [F.col("density").desc(), *_order_cols(key_cols)]
+    spark = it.sparkSession
+    n = max(default_buckets(spark), -(-it.count() // bucket_rows))
+    it = ordered_buckets(it, order, n)
+    stats = it.groupBy("_b").agg(F.sum("cost").alias("total"), F.min("cost").alias("least")).orderBy("_b").collect()  # n rows
+    walk_schema = it.schema
+    left, whole, parts = float(budget), [], []
+    for s in stats:
+        if s["least"] >= 0 and s["total"] <= left:
+            whole.append(s["_b"])
+            left -= s["total"]
+        elif s["least"] <= left:
+            part = cut_lineage(it.filter(F.col("_b") == s["_b"]).groupBy("_b").applyInPandas(_walk(left, key_cols), walk_schema))
+            parts.append(part)
+            left -= float(part.agg(F.coalesce(F.sum("cost"), F.lit(0.0))).first()[0])
+    out = it.filter(F.col("_b").isin(whole)) if whole else it.limit(0)
+    for p in parts:
+        out = out.unionByName(p)
+    return out.drop("_b")
 
 
 def budget_allocate(items: DataFrame, budget: float, per_customer: int = 2, cap_first: bool = False,

@@ -117,7 +117,7 @@ def decision_timeout(requests: DataFrame, decisions: DataFrame, seconds: int = D
     u = r.withColumn("_bk", b).unionByName(d0.withColumn("_bk", b))
     spill = d0.filter(F.pmod(F.col("_t"), F.lit(bk)) <= lim).withColumn("_bk", F.floor(F.col("_t") / bk) - 1)
     u = u.unionByName(spill)
-    w = Window.partitionBy("user_id", "_bk").orderBy("_t", "_kind", "decision_id").rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy("user_id", "_bk").orderBy("_t", F.col("_kind").desc(), "decision_id").rowsBetween(1, Window.unboundedFollowing)
     nxt = F.first(F.when(F.col("_kind") == 1, F.struct(F.col("_t").alias("t"), F.col("decision").alias("d"),
                                                      F.col("decision_id").alias("id"))), ignorenulls=True).over(w)
     x = u.withColumn("_next", nxt).filter(F.col("_kind") == 0)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlab.operators.metrics import auc_roc
-from churnlab.session import require_small
+from churnlab.operators.prefix import prefix_sum
+from churnlab.session import cut_lineage, require_small
 
 
 def hash_uniform(*parts) -> Column:
@@ -36,17 +37,23 @@ def _long(df: DataFrame, key: str, cols: dict) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 # attributions
 # ---------------------------------------------------------------------------------------------
-def attrib_linear(df: DataFrame, terms: dict, key: str = "customer_id") -> DataFrame:
-    """Exact linear attribution: term_j(x) - mean_j (log-odds space for a logistic model).
+def attrib_rows(df: DataFrame, terms: dict) -> DataFrame:
+    """``df`` with ``attrib``: array of (feature, value), the exact linear attribution term_j(x) - mean_j
+    (log-odds space for a logistic model).
 
     ``terms``: feature name -> Column holding that feature's weighted contribution w_j * z_j(x).
-    The means are one aggregate row, broadcast.  Long form (key, feature, value); the values
-    of a row sum to its score minus the mean score (efficiency).
-    """
-    t = df.select(key, *[c.alias(f"_t{i}") for i, c in enumerate(terms.values())])
-    means = t.agg(*[F.avg(f"_t{i}").alias(f"_m{i}") for i in range(len(terms))])
+    The means are one aggregate row, broadcast; the values of a row sum to its score minus the mean score."""
+    names = [f"_t{i}" for i in range(len(terms))]
+    t = df.select("*", *[c.alias(x) for x, c in zip(names, terms.values(), strict=True)])
+    means = t.agg(*[F.avg(x).alias(f"_m{x}") for x in names])
     j = t.crossJoin(F.broadcast(means))
-    return _long(j, key, {n: F.col(f"_t{i}") - F.col(f"_m{i}") for i, n in enumerate(terms)})
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), (F.col(x) - F.col(f"_m{x}")).alias("value")) for n, x in zip(terms, names, strict=True)])
+    return j.withColumn("attrib", pairs).drop(*names, *[f"_m{x}" for x in names])
+
+
+def attrib_linear(df: DataFrame, terms: dict, key: str = "customer_id") -> DataFrame:
+    """:func:`attrib_rows` in long form: (key, feature, value)."""
+    return attrib_rows(df, terms).select(key, F.explode("attrib").alias("kv")).select(key, "kv.feature", "kv.value")
 
 
 def global_importance(attrib: DataFrame) -> DataFrame:
@@ -54,19 +61,18 @@ def global_importance(attrib: DataFrame) -> DataFrame:
     return g.withColumn("rank", F.rank().over(Window.orderBy(F.col("mean_abs").desc(), F.col("feature"))))  # one row per feature
 
 
-def top_drivers(attrib: DataFrame, k: int = 5, key: str = "customer_id") -> DataFrame:
-    """Per row: top-k positive, top-k negative and top-k by |value| (feature names, strongest first)."""
-    wa = Window.partitionBy(key).orderBy(F.abs("value").desc(), F.col("feature"))
-    wp = Window.partitionBy(key, F.col("value") > 0).orderBy(F.abs("value").desc(), F.col("feature"))
-    r = attrib.withColumns({"_ra": F.row_number().over(wa), "_rs": F.row_number().over(wp)})
-    return r.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("value") > 0) & (F.col("_rs") <= k), F.struct("_rs", "feature")))),
-                                 lambda s: s["feature"]), ",").alias("top_positive"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("value") < 0) & (F.col("_rs") <= k), F.struct("_rs", "feature")))),
-                                 lambda s: s["feature"]), ",").alias("top_negative"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_ra") <= k, F.struct(
-            "_ra", F.concat(F.col("feature"), F.when(F.col("value") >= 0, F.lit("+")).otherwise(F.lit("-"))).alias("f"))))),
-            lambda s: s["f"]), ",").alias("top_abs"))
+def top_drivers(rows: DataFrame, k: int = 5, key: str = "customer_id", attrib: str = "attrib", carry=()) -> DataFrame:
+    """Per row: top-k positive, top-k negative and top-k by |value| (feature names, strongest first), by one sort
+    of the row's own (feature, value) array."""
+    ranked = F.array_sort(F.transform(attrib, lambda x: F.struct((-F.abs(x["value"])).alias("a"), x["feature"].alias("f"), x["value"].alias("v"))))
+    r = rows.select(key, *carry, ranked.alias("_r"))
+
+    def top(keep):
+        return F.array_join(F.transform(F.slice(F.filter("_r", keep), 1, k), lambda x: x["f"]), ",")
+
+    signed = F.transform(F.slice("_r", 1, k), lambda x: F.concat(x["f"], F.when(x["v"] >= 0, F.lit("+")).otherwise(F.lit("-"))))
+    return r.select(key, *carry, top(lambda x: x["v"] > 0).alias("top_positive"), top(lambda x: x["v"] < 0).alias("top_negative"),
+                    F.array_join(signed, ",").alias("top_abs"))
 
 
 def attrib_interactions(attrib: DataFrame, top: int = 10, key: str = "customer_id") -> DataFrame:
@@ -261,50 +267,82 @@ def cf_rank_prob(cf: DataFrame, k: int = 3, key: str = "customer_id", p: str = "
 
 
 def cf_search(df: DataFrame, donors: DataFrame, cols, score_fn, n: int = 10, seed: int = 42, target: float = 0.5,
-              key: str = "customer_id") -> DataFrame:
-    """Random counterfactuals: ``n`` candidates per row, each changing 1-3 features to values of a
-    hash-picked donor row (a bounded training sample, broadcast); one scoring pass; keep p < target."""
-    cols = list(cols)
-    nd = require_small(donors, 100_000, "donor sample")
-    dn = donors.select(*[F.col(c).alias(f"_d_{c}") for c in cols]).withColumn(
-        "_did", F.row_number().over(Window.orderBy(*[F.col(f"_d_{c}") for c in cols])) - 1)
-    cand = df.withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    u = lambda tag: hash_uniform(seed, F.col(key).cast("string"), F.col("cand").cast("string"), tag)
-    cand = cand.withColumn("_did", F.floor(u("donor") * nd).cast("long")).withColumn("n_changes", (F.floor(u("k") * 3) + 1).cast("int"))
-    cand = cand.join(F.broadcast(dn), "_did")
-    order = {c: u(c) for c in cols}  # a random rank per feature: change the n_changes smallest
-    rank_expr = {c: sum((order[o] < order[c]).cast("int") for o in cols) for c in cols}
-    changed = F.array_compact(F.array(*[F.when(rank_expr[c] < F.col("n_changes"), F.lit(c)) for c in cols]))
-    mod = cand.withColumns({c: F.when(rank_expr[c] < F.col("n_changes"), F.col(f"_d_{c}")).otherwise(F.col(c)) for c in cols})
-    mod = mod.withColumn("changed", changed)
-    sc = score_fn(mod)
-    return sc.filter(F.col("p") < target).select(key, "cand", "changed", *cols, F.col("p").alias("new_churn_prob"))
-
-
-# Feature -> (action text, cost USD) for searched counterfactuals; unknown features cost 10.
+              key: str = "customer_id", tries_per_round: int = 50) -> DataFrame:
+    """Random counterfactuals: up to ``n`` flips per row, each changing 1-3 features to values of a hash-picked donor.
+
+    Only rows with p >= target are searched.  Tries come in rounds of ``tries_per_round`` up to 50 * n, rows that have
+    their ``n`` flips leave after each round; a row keeps its first ``n`` by try number.  Donors are joined by their
+    number (no broadcast of a table of unknown size)."""
+    cols, k_max = list(cols), min(3, len(list(cols)))
+    dn = cut_lineage(donors.select(*cols).distinct().withColumn("_h", F.xxhash64(*cols)))
+    dn = cut_lineage(prefix_sum(dn.withColumn("_one", F.lit(1)), "_h", ["_one"], tiebreak=[F.col(c).asc_nulls_first() for c in cols])
+                     .select(*[F.col(c).alias(f"_d_{c}") for c in cols], (F.col("cum__one") - 1).cast("long").alias("_did")))
+    nd = dn.count()
+    base = cut_lineage(score_fn(df).filter(F.col("p") >= target).drop("p"))
+    found, left = [], base.withColumn("_have", F.lit(0).cast("long"))
+    for start in range(0, 50 * n if nd else 0, tries_per_round):
+        stop = min(start + tries_per_round, 50 * n)
+        # one hash array per try: donor, number of changes, then a random order of the features
+        h = F.array(*[F.struct(F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col("cand"), F.lit(c)).alias("h"), F.lit(c).alias("c")) for c in cols])
+        cand = left.withColumn("cand", F.explode(F.sequence(F.lit(start), F.lit(stop - 1))))
+        pick = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col("cand"), F.lit("donor"))
+        size = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col("cand"), F.lit("size"))
+        cand = (cand.withColumn("_did", F.pmod(pick, F.lit(nd))).withColumn("_pick", F.slice(F.transform(F.array_sort(h), lambda x: x["c"]), 1, (F.pmod(size, F.lit(k_max)) + 1).cast("int")))
+                .join(dn, "_did"))
+
+        def differs(c):
+            new, old = F.col(f"_d_{c}"), F.col(c)
+            far = F.abs(new - old) > 1e-4 if isinstance(df.schema[c].dataType, T.NumericType) else new != old
+            return F.array_contains("_pick", c) & F.coalesce(far, ~new.eqNullSafe(old))
+
+        cand = cand.withColumn("changed", F.array_compact(F.array(*[F.when(differs(c), F.lit(c)) for c in cols]))).filter(F.size("changed") > 0)
+        cand = cand.select(*[(F.when(F.array_contains("changed", c), F.col(f"_d_{c}")).otherwise(F.col(c)) if c in cols else F.col(c)).alias(c)
+                             for c in [*df.columns, "_have", "cand", "changed"]])
+        hits = cut_lineage(score_fn(cand).filter(F.col("p") < target).select(key, "cand", "changed", *cols, "_have", F.col("p").alias("new_churn_prob")))
+        w = Window.partitionBy(key).orderBy("cand")  # at most tries_per_round rows per key
+        found.append(hits.withColumn("_r", F.row_number().over(w) + F.col("_have")).filter(F.col("_r") <= n).drop("_r", "_have"))
+        got = hits.groupBy(key).agg(F.count(F.lit(1)).alias("_new"))
+        left = cut_lineage(left.join(got, key, "left").withColumn("_have", F.col("_have") + F.coalesce("_new", F.lit(0))).drop("_new").filter(F.col("_have") < n))
+        if left.isEmpty():
+            break
+    if not found:
+        return base.select(key, F.lit(0).alias("cand"), F.array().cast("array<string>").alias("changed"), *cols, F.lit(0.0).alias("new_churn_prob")).limit(0)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+# Feature -> (action text, cost USD) of searched counterfactuals; a price cut costs 3 USD per USD, other features 10.
 CF_ACTIONS = {
-    "monthly_charges": ("Offer a price reduction", 50.0),
-    "feature_adoption_rate": ("Onboarding and CSM support", 120.0),
-    "num_support_tickets_30d": ("Resolve open support issues", 60.0),
-    "nps_score": ("Loyalty upgrade", 80.0),
-    "login_frequency_30d": ("Re-engagement campaign", 20.0),
+    "monthly_charges": ("Reduce monthly price by {pct}%", 3.0),
+    "feature_adoption_rate": ("Assign dedicated onboarding / CSM support", 50.0),
+    "contract_type": ("Offer annual contract upgrade with loyalty discount", 80.0),
+    "num_support_tickets_30d": ("Prioritise support queue — proactive resolution", 20.0),
+    "plan_tier": ("Offer complimentary plan tier upgrade", 60.0),
 }
 
 
-def cf_cost(cf: DataFrame, base: DataFrame, key: str = "customer_id", p0: str = "churn_probability") -> DataFrame:
-    """Cost and action text of searched counterfactuals; price cuts above 30 % are dropped; new p floored at 0.05."""
-    spark = cf.sparkSession
-    acts = spark.createDataFrame([(k, a, c) for k, (a, c) in CF_ACTIONS.items()], "feature string, action string, cost double")
-    lf = cf.select(key, "cand", "new_churn_prob", F.explode("changed").alias("feature"), F.col("monthly_charges").alias("_new_mc"))
-    lf = lf.join(F.broadcast(acts), "feature", "left").join(base.select(key, F.col("monthly_charges").alias("_old_mc"), p0), key)
-    cut = F.when(F.col("feature") == "monthly_charges", (F.col("_old_mc") - F.col("_new_mc")) / F.greatest(F.col("_old_mc"), F.lit(1e-9)))
-    g = lf.groupBy(key, "cand").agg(
-        F.sum(F.coalesce("cost", F.lit(10.0))).alias("cost_usd"),
-        F.array_join(F.array_sort(F.collect_list(F.coalesce("action", F.concat(F.lit("Change "), F.col("feature"))))), "; ").alias("actions"),
-        F.max(F.coalesce(cut, F.lit(0.0))).alias("price_cut"), F.first("new_churn_prob").alias("new_churn_prob"), F.first(p0).alias(p0))
-    return g.filter(F.col("price_cut") <= 0.30).withColumns({
-        "new_churn_prob": F.greatest(F.col("new_churn_prob"), F.lit(0.05)),
-        "churn_prob_reduction": F.col(p0) - F.greatest(F.col("new_churn_prob"), F.lit(0.05))})
+def cf_cost(cf: DataFrame, base: DataFrame, key: str = "customer_id", p0: str = "churn_probability", max_cut: float = 0.30) -> DataFrame:
+    """Cost and action text of searched counterfactuals, worked out inside the row.
+
+    A price cut above ``max_cut`` is no offer: it brings neither action nor cost, and a counterfactual without any
+    action left goes.  New p is floored at 0.05, the reduction at 0."""
+    j = cf.join(base.select(key, F.col("monthly_charges").alias("_old_mc"), p0), key)
+    new, old = F.col("monthly_charges"), F.col("_old_mc")
+    cut = F.when(F.array_contains("changed", "monthly_charges") & (new < old), (old - new) / F.greatest(old, F.lit(1.0)))
+    parts = [F.struct(F.when(cut <= max_cut, F.concat(F.lit("Reduce monthly price by "), F.round(cut * 100).cast("int"), F.lit("%"))).alias("a"),
+                      ((old - new) * CF_ACTIONS["monthly_charges"][1]).alias("c")),
+             F.struct(F.when(F.array_contains("changed", "monthly_charges") & cut.isNull(), F.lit(CF_ACTIONS["monthly_charges"][0].replace(" by {pct}%", ""))).alias("a"),
+                      F.lit(CF_ACTIONS["monthly_charges"][1]).alias("c"))]
+    parts += [F.struct(F.when(F.array_contains("changed", f), F.lit(a)).alias("a"), F.lit(c).alias("c")) for f, (a, c) in CF_ACTIONS.items() if f != "monthly_charges"]
+    named = F.filter(F.array(*parts), lambda x: x["a"].isNotNull())
+    other = F.transform(F.array_except("changed", F.array(*[F.lit(f) for f in CF_ACTIONS])), lambda f: F.struct(F.concat(F.lit("Change "), f).alias("a"), F.lit(10.0).alias("c")))
+    j = j.withColumn("_m", F.concat(named, other)).filter(F.size("_m") > 0)
+    return j.select(key, "cand", F.aggregate("_m", F.lit(0.0), lambda s, x: s + x["c"]).alias("cost_usd"),
+                    F.array_join(F.array_sort(F.transform("_m", lambda x: x["a"])), "; ").alias("actions"), F.coalesce(cut, F.lit(0.0)).alias("price_cut"),
+                    F.greatest(F.col("new_churn_prob"), F.lit(0.05)).alias("new_churn_prob"), p0,
+                    F.greatest(F.col(p0) - F.col("new_churn_prob"), F.lit(0.0)).alias("churn_prob_reduction"))
 
 
 def attrib_stability(attrib: DataFrame, neighbours: DataFrame, key: str = "customer_id",

@@ -7,6 +7,9 @@ cut into buckets by *literal* split points taken once with ``approxQuantile``
 rows the same way.  Bucket totals (groups x buckets rows) get their own running
 sum, and each bucket adds that offset to a window that is partitioned by the
 bucket.  Hot keys are harmless: after the reduction a key is a single row.
+
+Where rows are not reduced (a total order of key and tiebreakers), buckets are the range partitions
+of the whole order instead, written out with their number, so one hot key is cut over many buckets.
 """
 
 from __future__ import annotations
@@ -47,12 +50,18 @@ def with_bucket(df: DataFrame, key: str, splits: list[float], out: str = "_b") -
 
 
 def default_buckets(spark) -> int:
-    """Buckets follow the cluster's shuffle width (each bucket is one window task), 32 to 1024."""
+    """Buckets follow the cluster's shuffle width (each bucket is one window task), 32 at least."""
     try:
         n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     except ValueError:
         n = 200
-    return max(32, min(1024, n))
+    return max(32, n)
+
+
+def ordered_buckets(df: DataFrame, order, n_buckets: int | None = None, out: str = "_b") -> DataFrame:
+    """``df`` as a table with the number of its range partition over the whole ``order`` (ascending along it)."""
+    n = n_buckets or default_buckets(df.sparkSession)
+    return cut_lineage(df.repartitionByRange(n, *order).withColumn(out, F.spark_partition_id()).sortWithinPartitions(*order))
 
 
 def prefix_sum(df: DataFrame, key: str, values: list[str], by=(), descending: bool = False,
@@ -68,16 +77,19 @@ def prefix_sum(df: DataFrame, key: str, values: list[str], by=(), descending: bo
     increasing list keeps the result exact; only the bucket balance depends on it).
     """
     by = list(by)
-    if materialize:
-        df = cut_lineage(df)
-    if splits is None:
-        splits = split_points(df, key, n_buckets or default_buckets(df.sparkSession))
-    b = with_bucket(df, key, splits)
+    korder = F.col(key).desc() if descending else F.col(key).asc()
+    if tiebreak:
+        b = ordered_buckets(df, [F.col(c) for c in by] + [korder, *tiebreak], n_buckets)
+    else:
+        if materialize:
+            df = cut_lineage(df)
+        if splits is None:
+            splits = split_points(df, key, n_buckets or default_buckets(df.sparkSession))
+        b = with_bucket(df, key, splits)
     tot = b.groupBy(*by, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    border = F.col("_b").desc() if descending else F.col("_b").asc()
+    border = F.col("_b").desc() if descending and not tiebreak else F.col("_b").asc()
     wo = Window.partitionBy(*by).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{v}").over(wo), F.lit(0)).alias(f"_o_{v}") for v in values])
-    korder = F.col(key).desc() if descending else F.col(key).asc()
     if tiebreak:
         # total order (key, tiebreak...): running sums follow it row by row
         w = Window.partitionBy(*by, "_b").orderBy(korder, *tiebreak).rowsBetween(Window.unboundedPreceding, Window.currentRow)

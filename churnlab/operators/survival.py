@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlab.functions.special import norm_sf_scalar
-from churnlab.operators.prefix import prefix_sum, split_points, with_bucket
+from churnlab.operators.prefix import prefix_sum
 from churnlab.session import cut_lineage
 
 
@@ -108,29 +108,28 @@ def cox_ph(df: DataFrame, duration: str, event: str, covariates, penalizer: floa
                                                 "se double, z double, p_value double, significant boolean, log_likelihood double, n bigint")
 
 
-def cox_concordance(df: DataFrame, duration: str, event: str, risk: str, n_bins: int = 1024) -> DataFrame:
+def cox_concordance(df: DataFrame, duration: str, event: str, risk: str) -> DataFrame:
     """Harrell's C: share of comparable pairs (T_i < T_j, i an event) ordered correctly (risk_i > risk_j),
-    ties in risk count 1/2.
+    ties in risk count 1/2.  Exact for any number of distinct times and risks, without row pairs.
 
-    No row pairs: time and risk are cut into at most ``n_bins`` literal quantile buckets each, rows
-    are counted on that bounded grid, and two running sums give for every grid cell the rows with a
-    later time and a lower risk bucket.  Exact when distinct times and distinct risks fit the buckets;
-    otherwise rows sharing a bucket count as ties.
+    Distinct times are ranked.  Two different ranks part at exactly one binary level: there they share the higher
+    bits and have 0 and 1 below.  So each distinct (time, risk) is put once per level into the group of its higher
+    bits; within a group, a running count over risk of the rows with bit 1 (later) gives, for the events with bit 0,
+    how many later rows have a lower or equal risk.  Rows grow by the number of levels (log2 of distinct times).
     """
     d = df.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"),
                   F.col(risk).cast("double").alias("r")).dropna()
-    ts, rs = split_points(d, "t", n_bins, 1e-4), split_points(d, "r", n_bins, 1e-4)
-    cells = with_bucket(with_bucket(d, "t", ts, "tb"), "r", rs, "b").groupBy("tb", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("e").alias("ev"))
-    nb = len(rs) + 1
-    grid = cells.select("tb").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))  # <= n_bins^2 cells
-    g = grid.join(cells, ["tb", "b"], "left").fillna(0, ["n", "ev"])
-    g = prefix_sum(g, "tb", ["n"], by=["b"], descending=True, materialize=False, prefix="ct_").withColumn("later", F.col("ct_n") - F.col("n"))
-    g = prefix_sum(g, "b", ["later"], by=["tb"], materialize=False, prefix="cb_").withColumn("below", F.col("cb_later") - F.col("later"))
-    tot_later = g.groupBy("tb").agg(F.sum("later").alias("all_later"))
-    j = g.filter(F.col("ev") > 0).join(tot_later, "tb")
-    r = j.agg(F.sum(F.col("ev") * F.col("below")).alias("concordant"), F.sum(F.col("ev") * F.col("later")).alias("tied_risk"),
-              F.sum(F.col("ev") * F.col("all_later")).alias("comparable"))
+    cells = cut_lineage(d.groupBy("t", "r").agg(F.count(F.lit(1)).alias("n"), F.sum("e").cast("long").alias("ev")))
+    times = prefix_sum(cells.groupBy("t").agg(F.lit(1).alias("one")), "t", ["one"]).select("t", (F.col("cum_one") - 1).cast("long").alias("rank"))
+    times = cut_lineage(times)
+    levels = max(1, (int(times.count()) - 1).bit_length())
+    x = cells.join(times, "t").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    x = x.select("level", F.expr("rank >> (level + 1)").alias("grp"), "r", F.when(F.expr("(rank >> level) & 1 = 1"), F.col("n")).otherwise(0).alias("later"),
+                 F.when(F.expr("(rank >> level) & 1 = 0"), F.col("ev")).otherwise(0).alias("ev"))
+    g = x.groupBy("level", "grp", "r").agg(F.sum("later").alias("later"), F.sum("ev").alias("ev"))
+    g = prefix_sum(g, "r", ["later"], by=["level", "grp"], totals=True)
+    r = g.agg(F.sum(F.col("ev") * (F.col("cum_later") - F.col("later"))).alias("concordant"), F.sum(F.col("ev") * F.col("later")).alias("tied_risk"),
+              F.sum(F.col("ev") * F.col("tot_later")).alias("comparable"))
     return r.withColumn("concordance", (F.col("concordant") + 0.5 * F.col("tied_risk")) / F.col("comparable"))
 
 

@@ -50,8 +50,8 @@ KS_SQL = """mem AS (SELECT s.subset, i.action_idx FROM (SELECT CAST(UNNEST(range
 
 
 def knap(spark, sf):
-    it = items(spark, sf)
-    return D.knapsack_per_customer(it, D.subsets_df(spark, D.catalogue_df(spark)), 300.0)
+    d = c360(spark, sf).select("customer_id", "churn_probability", fx.clv_24m(None, "monthly_charges").alias("clv"))
+    return D.with_knapsack(d, D.CATALOGUE_A, F.col("clv"), 300.0).filter("plan IS NOT NULL").select("customer_id", "churn_probability", "plan.*")
 
 
 @register("knapsack_per_customer", rnd(with_c360(
@@ -137,5 +137,5 @@ FROM ks JOIN mem ON ks.subset = mem.subset JOIN it ON it.customer_id = ks.custom
 GROUP BY it.customer_id""", CAT_SQL, ITEMS_SQL, *KS_SQL), "total_cost"))
 def q_action_history(spark, sf):
     k = knap(spark, sf).select("customer_id", F.explode("actions").alias("action"))
-    chosen = k.join(items(spark, sf).select("customer_id", "action", "cost"), ["customer_id", "action"])
+    chosen = k.join(F.broadcast(D.catalogue_df(spark).select("action", "cost")), "action")  # the fixed catalogue
     return out(D.action_history(chosen))

@@ -228,10 +228,19 @@ def q_dispatch(spark, sf):
     return d.select("customer_id", "arm", st["status"].alias("status"), st["dispatched"].alias("dispatched"))
 
 
-@register("interaction_text")
+@register("interaction_text", with_c360("""
+SELECT customer_id, 'Customer ' || CAST(customer_id AS VARCHAR) || '. churn probability ' || CAST(CAST(round_even(churn_probability * 100e0, 0) AS INTEGER) AS VARCHAR)
+  || '%. risk tier ' || CASE WHEN churn_probability >= 0.85 THEN 'CRITICAL' WHEN churn_probability >= 0.70 THEN 'HIGH' WHEN churn_probability >= 0.40 THEN 'MEDIUM' ELSE 'LOW' END
+  || '. action: ' || CASE WHEN monthly_charges > 80 THEN 'discount_10pct' ELSE 'none' END
+  || '. outcome: ' || CASE WHEN churned = 1 THEN 'churned' ELSE 'retained' END
+  || CASE WHEN nps_score > 0 OR tenure_months < 12 THEN '. top drivers: ' || concat_ws(', ', CASE WHEN nps_score > 0 THEN 'nps_score' END, CASE WHEN tenure_months < 12 THEN 'tenure_months' END) ELSE '' END
+  AS text FROM c360"""))
 def q_interaction_text(spark, sf):
     d = c360(spark, sf)
-    return d.select("customer_id", fx.interaction_text(p="churn_probability", tier=fx.risk_tier()).alias("text"))
+    drivers = F.array_compact(F.array(F.when(F.col("nps_score") > 0, F.lit("nps_score")), F.when(F.col("tenure_months") < 12, F.lit("tenure_months"))))
+    return d.select("customer_id", fx.interaction_text(p="churn_probability", tier=fx.risk_tier(), drivers=drivers,
+                                                       action=F.when(F.col("monthly_charges") > 80, F.lit("discount_10pct")),
+                                                       outcome=F.when(F.col("churned") == 1, "churned").otherwise("retained")).alias("text"))
 
 
 @register("narrative_template")

@@ -142,7 +142,8 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY ABS(value)
   ROW_NUMBER() OVER (PARTITION BY customer_id, value > 0 ORDER BY ABS(value) DESC, feature) AS rs FROM att) AS r GROUP BY customer_id""",
     SC_MM, *ATTR_SQL))
 def q_top_drivers(spark, sf):
-    return X.top_drivers(linear_attr(spark, sf))
+    d, sc = scorecard(spark, sf)
+    return X.top_drivers(X.attrib_rows(d, sc_terms(sc)))
 
 
 _FEATS = list(TERMS)

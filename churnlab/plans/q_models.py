@@ -245,18 +245,22 @@ def q_bench(spark, sf):
                      F.count(F.lit(1)).alias("instances")))
 
 
+CF_FEATURES = [*SC_COLS, "monthly_charges", "contract_type", "plan_tier"]
+
+
+def _cf_found(spark, sf):
+    d, sc = _sc(spark, sf)
+    donors = FR.sample_n(d, "customer_id", 200, seed=11).select(*CF_FEATURES)  # the sample is the operator's donor set
+    return d, sc, X.cf_search(d, donors, CF_FEATURES, sc, n=10)
+
+
 @register("cf_search")
 def q_cf_search(spark, sf):
-    d, sc = _sc(spark, sf)
-    donors = FR.sample_n(d, "customer_id", 200, seed=11).select(*SC_COLS)
-    high = d.filter(F.col("customer_id").isNotNull())
-    return out(X.cf_search(high, donors, SC_COLS, sc, n=10).select("customer_id", "cand", F.array_join("changed", ",").alias("changed"), "new_churn_prob"))
+    _, _, found = _cf_found(spark, sf)
+    return out(found.select("customer_id", "cand", F.array_join("changed", ",").alias("changed"), "new_churn_prob"))
 
 
 @register("cf_cost")
 def q_cf_cost(spark, sf):
-    d, sc = _sc(spark, sf)
-    donors = FR.sample_n(d, "customer_id", 200, seed=11).select(*SC_COLS)
-    base = sc(d).withColumnRenamed("p", "churn_probability_sc").withColumn("churn_probability", F.col("churn_probability_sc"))
-    cfs = X.cf_search(d, donors, SC_COLS, sc, n=10)
-    return out(X.cf_cost(cfs.withColumn("monthly_charges", F.lit(None).cast("double")), base))
+    d, sc, found = _cf_found(spark, sf)
+    return out(X.cf_cost(found, sc(d.drop("churn_probability")).withColumnRenamed("p", "churn_probability")))

@@ -91,6 +91,5 @@ def q_run(spark, sf):
     from churnlab.plans.q_ml import sc_terms
     d = c360(spark, sf)
     sc = MD.Scorecard.fit(d)
-    cat = D.catalogue_df(spark)
-    r = retention_run(d, sc, sc_terms(sc), cat, D.subsets_df(spark, cat), budget=300.0)
+    r = retention_run(d, sc, sc_terms(sc), D.CATALOGUE_A, budget=300.0)
     return out(r)

@@ -1,48 +1,82 @@
-"""Streaming forms (rows-only checks at the driver; agreement with the batch forms is tested in tests/)."""
+"""Streaming forms, held against the SQL of their batch forms; many shuffled files are tested in tests/."""
 
-from churnlab.plans.registry import out, register
+from churnlab.plans import q_events  # noqa: F401 - its oracles are the batch forms'
+from churnlab.plans.oracle import rnd, with_c360
+from churnlab.plans.registry import ORACLE, out, register
 from churnlab.sources.tables import customer360_table as customer360
 from churnlab.streaming import jobs as S
 from churnlab.operators import lookups as LK
 
 
-@register("st_window_counts_stream")
+
+
+def _sql(name):
+    """The batch form's oracle: with one file in event-time order nothing is late."""
+    return ORACLE[name]
+
+
+@register("st_window_counts_stream", """
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+  strftime(time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2, 3""")
 def q_win_stream(spark, sf):
     return out(S.windowed_counts_stream(spark, sf))
 
 
-@register("st_progress_latest_stream")
+@register("st_progress_latest_stream", _sql("st_progress_latest"))
 def q_progress_stream(spark, sf):
     return out(S.progress_latest_stream(spark, sf))
 
 
-@register("st_decision_timeout_stream")
+@register("st_decision_timeout_stream", _sql("st_decision_timeout"))
 def q_decision_stream(spark, sf):
     return out(S.decision_timeout_stream(spark, sf))
 
 
-@register("st_feedback_retrain_stream")
+@register("st_feedback_retrain_stream", _sql("st_feedback_retrain"))
 def q_feedback_stream(spark, sf):
     return out(S.feedback_retrain_stream(spark, sf))
 
 
-@register("st_dedupe_feedback_stream")
+@register("st_dedupe_feedback_stream", _sql("st_dedupe_feedback"))
 def q_dedupe_stream(spark, sf):
     return out(S.dedupe_stream(spark, sf))
 
 
-@register("st_run_complete")
+# runs: a new one begins after a terminal event or after more than 300 s of silence
+@register("st_run_complete", """
+WITH o AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS t, MAX(epoch_us(ts)) OVER () AS m,
+    LAG(epoch_us(ts)) OVER w AS pt, LAG(event_type) OVER w AS pe FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, SUM(CASE WHEN pt IS NULL OR pe = 'purchase' OR t - pt > 300000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS run,
+    LEAD(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS nt FROM o),
+g AS (SELECT user_id, run, COUNT(*) AS steps, arg_max(event_id, (t, event_id)) AS last_event_id, arg_max(event_type, (t, event_id)) AS le, MAX(t) AS lt,
+    MAX(m) AS m, MAX(CASE WHEN nt IS NULL THEN 1 ELSE 0 END) AS open FROM r GROUP BY user_id, run)
+SELECT user_id, steps, last_event_id, CASE WHEN le = 'purchase' THEN 'complete' WHEN open = 1 AND lt + 300000000 >= (m // 1000) * 1000 THEN 'pending' ELSE 'timeout' END AS status
+FROM g""")
 def q_run_complete(spark, sf):
     return S.run_complete_stream(spark, sf)
 
 
-@register("st_upsert_customers")
+_EDITS = {"contract_type": ("CASE WHEN event_type = 'click' THEN CASE WHEN value > 50 THEN 'Two Year' ELSE 'One Year' END END", "contract_type"),
+          "monthly_charges": ("CASE WHEN event_type = 'purchase' THEN value END", "monthly_charges"),
+          "num_support_tickets_30d": ("CASE WHEN event_type = 'error' THEN value END", "num_support_tickets_30d"),
+          "feature_adoption_rate": ("CASE WHEN event_type = 'view' THEN value / 100e0 END", "feature_adoption_rate"),
+          "nps_score": ("CASE WHEN event_type = 'signup' THEN value END", "nps_score")}
+_ED = "ed AS (SELECT user_id AS customer_id, ts, " + ", ".join(f"{e} AS {c}" for c, (e, _) in _EDITS.items()) + " FROM events)"
+
+
+@register("st_upsert_customers", rnd(with_c360(
+    "SELECT c.customer_id, " + ", ".join(f"COALESCE(l.{c}, c.{c}) AS {c}" for c in _EDITS) + " FROM c360 AS c LEFT JOIN l ON l.customer_id = c.customer_id",
+    _ED, "l AS (SELECT customer_id, " + ", ".join(f"arg_max({c}, ts) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in _EDITS) + " FROM ed GROUP BY customer_id)"),
+    ",".join(c for c in _EDITS if c != "contract_type")))
 def q_upsert_stream(spark, sf):
     base = customer360(spark, sf).select("customer_id", *LK.EDITABLE)
     return out(S.upsert_customers_stream(spark, sf, base))
 
 
-@register("st_change_feed")
+@register("st_change_feed", rnd(with_c360(
+    "SELECT ed.customer_id, strftime(ed.ts, '%Y-%m-%d %H:%M:%S') AS updated_at, " + ", ".join(f"ed.{c}" for c in _EDITS)
+    + " FROM ed JOIN c360 AS c ON c.customer_id = ed.customer_id WHERE " + " OR ".join(f"(ed.{c} IS NOT NULL AND ed.{c} IS DISTINCT FROM c.{c})" for c in _EDITS), _ED),
+    ",".join(c for c in _EDITS if c != "contract_type")))
 def q_change_feed(spark, sf):
     base = customer360(spark, sf).select("customer_id", *LK.EDITABLE)
     return out(S.change_feed_stream(spark, sf, base))

@@ -157,6 +157,15 @@ def q_concordance(spark, sf):
     return out(SV.cox_concordance(d.withColumn("risk", lp), "tenure_months", "churned", "risk"))
 
 
+@register("concordance_index", rnd(with_c360("""
+SELECT SUM(CASE WHEN i.churn_probability > j.churn_probability THEN 1 ELSE 0 END) AS concordant,
+  SUM(CASE WHEN i.churn_probability = j.churn_probability THEN 1 ELSE 0 END) AS tied_risk, COUNT(*) AS comparable,
+  (SUM(CASE WHEN i.churn_probability > j.churn_probability THEN 1e0 WHEN i.churn_probability = j.churn_probability THEN 0.5e0 ELSE 0e0 END)) / COUNT(*) AS concordance
+FROM c360 AS i JOIN c360 AS j ON i.tenure_months < j.tenure_months WHERE i.churned = 1"""), "concordance"))
+def q_concordance_index(spark, sf):
+    return out(SV.cox_concordance(c360(spark, sf), "tenure_months", "churned", "churn_probability"))
+
+
 @register("stl_decompose")
 def q_stl(spark, sf):
     s = orders_series(spark, sf, by=["o_orderpriority"])

@@ -81,13 +81,6 @@ def cut_lineage(df):
     return spark.read.parquet(path)
 
 
-def broadcast_if_small(df, max_rows: int):
-    """Broadcast ``df`` only when a count proves it small; otherwise leave the join to a shuffle."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def require_small(df, max_rows: int, what: str) -> int:
     """Count ``df`` and refuse sizes that are not meant to be broadcast (samples, catalogues)."""
     n = df.count()

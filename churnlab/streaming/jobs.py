@@ -12,8 +12,8 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,10 +38,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    if max_files:
-        r = r.option("maxFilesPerTrigger", str(max_files))
-    return r.parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    r = spark.readStream.schema(schema)
+    if max_files:  # a folder of files, so many per micro-batch
+        return r.option("maxFilesPerTrigger", str(max_files)).parquet(f"{sf_dir.rstrip('/')}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return r.option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run_available_now(writer, timeout_s: int = 600):
@@ -55,6 +55,12 @@ def run_available_now(writer, timeout_s: int = 600):
     return q
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there (other errors are raised, not taken for absence)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _batch_writer(path: str):
     def write(df: DataFrame, batch_id: int):
         df.write.mode("overwrite").parquet(f"{path}/_batch={batch_id}")
@@ -63,68 +69,116 @@ def _batch_writer(path: str):
 
 def read_upserts(spark: SparkSession, path: str, keys, schema: T.StructType | None = None) -> DataFrame:
     """Merge-on-read: newest micro-batch row per key."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no batch written yet
-        if schema is None:
-            raise
+    if schema is not None and not path_exists(spark, path):  # no batch written yet
         return spark.createDataFrame([], schema)
+    df = spark.read.parquet(path)
     w = Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r", "_batch")
 
 
 # ---------------------------------------------------------------------------------------------
-def windowed_counts_stream(spark: SparkSession, sf_dir: str, size: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
-    """Per-window event counts; update mode into the upsert sink, so the final table equals the batch result."""
-    s = events_stream(spark, sf_dir).withWatermark("ts", watermark)
+def windowed_counts_stream(spark: SparkSession, sf_dir: str, size: str = "1 hour", watermark: str = "1 hour", max_files: int | None = None) -> DataFrame:
+    """Per-window event counts; update mode into the upsert sink.  Equals the batch result on all rows within the
+    watermark delay; later ones are dropped (:func:`windowed_counts_run` also returns how many
+    partial window counts that were, from the query's last 100 micro-batches)."""
+    return windowed_counts_run(spark, sf_dir, size, watermark, max_files)[0]
+
+
+def windowed_counts_run(spark, sf_dir, size: str = "1 hour", watermark: str = "1 hour", max_files: int | None = None) -> tuple[DataFrame, int]:
+    s = events_stream(spark, sf_dir, max_files).withWatermark("ts", watermark)
     agg = s.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     agg = agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "n")
     path, ck = scratch_path(spark, "win"), scratch_path(spark, "win-ck")
-    run_available_now(agg.writeStream.outputMode("update").option("checkpointLocation", ck).foreachBatch(_batch_writer(path)))
-    return read_upserts(spark, path, ["window_start", "event_type"])
+    q = run_available_now(agg.writeStream.outputMode("update").option("checkpointLocation", ck).foreachBatch(_batch_writer(path)))
+    late = sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in q.recentProgress for op in (p.stateOperators or []))
+    return read_upserts(spark, path, ["window_start", "event_type"]), late
 
 
-PROGRESS_OUT = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
-                             T.StructField("value", T.DoubleType()), T.StructField("event_id", T.LongType())])
-PROGRESS_STATE = T.StructType([T.StructField("t", T.LongType()), T.StructField("event_id", T.LongType()),
-                               T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
+# ---- keyed state replayed in event-time order ---------------------------------------------------
+# Rows of a key wait in its state until the watermark has passed them, then they are final and are processed in order
+# of event time, whatever micro-batch they came in.  Every call also processes the rows still waiting, on a copy, and
+# sends that as a provisional view; readers take what is final and, per key, the last provisional view.  So a run
+# equals the batch operator on all rows that were not late; late rows are dropped by the watermark and counted.
+REPLAY_STATE = T.StructType([T.StructField("carry", T.StringType()), T.StructField("waiting", T.StringType())])
 
 
-def _progress_fn(ttl_us: int):
+def _replay(columns: list[str], process, due):
+    """``process(key, carry, rows, mark) -> (outputs, carry)``: rows are dicts in order; ``mark``: no row before it is to
+    come (None: nothing follows at all).  ``due(carry)``: when a carry left alone would give an output (None: never)."""
     def fn(key, pdfs, state: GroupState):
-        if state.hasTimedOut:  # nothing heard for ttl: forget the key
-            state.remove()
-            yield pd.DataFrame(columns=[f.name for f in PROGRESS_OUT.fields])
-            return
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["t", "event_id"])
-        last = rows.iloc[-1]
-        best = (int(last.t), int(last.event_id), last.event_type, float(last.value))
-        if state.exists and (state.get[0], state.get[1]) > best[:2]:
-            best = tuple(state.get)
-        state.update(best)
-        state.setTimeoutTimestamp(int((best[0] + ttl_us) / 1000) + 1)
-        yield pd.DataFrame([(int(key[0]), best[2], best[3], best[1])], columns=[f.name for f in PROGRESS_OUT.fields])
+        carry, waiting = (json.loads(x) for x in state.get) if state.exists else (None, [])
+        user, mark = int(key[0]), state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            new = pd.concat(list(pdfs), ignore_index=True)
+            waiting += json.loads(new.to_json(orient="records", double_precision=15))
+        waiting.sort(key=lambda r: (r["t"], r["event_id"]))
+        ready = [r for r in waiting if r["t"] < mark * 1000]
+        waiting = waiting[len(ready):]
+        final, carry = process(user, carry, ready, mark * 1000)
+        view, _ = process(user, json.loads(json.dumps(carry)), waiting, None)
+        if carry is None and not waiting:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((json.dumps(carry), json.dumps(waiting)))
+            wake = min([t for t in (waiting[0]["t"] if waiting else None, due(carry) if carry else None) if t is not None])
+            state.setTimeoutTimestamp(max(wake // 1000, mark) + 1)  # never before the watermark
+        rows = [(user, "final", *r) for r in final] + [(user, "view", *r) for r in view]
+        rows.append((user, "seen", *[None] * len(columns)))  # an empty view replaces the last one too
+        yield pd.DataFrame(rows, columns=["_key", "_kind", *columns]).astype(object)
     return fn
 
 
-def progress_latest_stream(spark: SparkSession, sf_dir: str, ttl_seconds: int = 7200) -> DataFrame:
-    """Latest record per key; a key's state is dropped ``ttl_seconds`` of event time after its last record."""
-    s = events_stream(spark, sf_dir).withWatermark("ts", "0 seconds").select(
-        "user_id", "event_id", "event_type", "value", F.unix_micros("ts").alias("t"), "ts")
-    res = s.groupBy("user_id").applyInPandasWithState(_progress_fn(ttl_seconds * 1_000_000), PROGRESS_OUT, PROGRESS_STATE,
-                                                      "append", GroupStateTimeout.EventTimeTimeout)
+def _run_replay(spark: SparkSession, s: DataFrame, out: T.StructType, fn, name: str) -> tuple[DataFrame, int]:
+    """(rows, rows that were late and dropped)."""
+    schema = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_kind", T.StringType()), *out.fields])
+    res = s.groupBy("user_id").applyInPandasWithState(fn, schema, REPLAY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    path, ck = scratch_path(spark, name), scratch_path(spark, f"{name}-ck")
+    q = run_available_now(res.writeStream.outputMode("append").option("checkpointLocation", ck).foreachBatch(_batch_writer(path)))
+    late = sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in q.recentProgress for op in (p.stateOperators or []))
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], out), late
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])).parquet(path)
+    last = rows.groupBy(F.col("_key").alias("_k")).agg(F.max("_batch").alias("_last"))
+    keep = (F.col("_kind") == "final") | ((F.col("_kind") == "view") & (F.col("_batch") == F.col("_last")))
+    return rows.join(last, F.col("_key") == F.col("_k")).filter(keep).select(*[f.name for f in out.fields]), late
+
+
+PROGRESS_OUT = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
+                             T.StructField("value", T.DoubleType()), T.StructField("event_id", T.LongType())])
+
+
+def progress_latest_stream(spark: SparkSession, sf_dir: str, delay: str = "0 seconds", max_files: int | None = None) -> DataFrame:
+    """Latest record per key by (time, id): every micro-batch writes its latest per key, readers keep the newest.
+
+    The comparison is by event time, so order of arrival, lateness and the number of micro-batches do not matter."""
+    s = events_stream(spark, sf_dir, max_files)
     path, ck = scratch_path(spark, "progress"), scratch_path(spark, "progress-ck")
-    run_available_now(res.writeStream.outputMode("append").option("checkpointLocation", ck).foreachBatch(_batch_writer(path)))
-    return read_upserts(spark, path, ["user_id"])
+    newest = F.max_by(F.struct("event_type", "value", "event_id"), F.struct("ts", "event_id"))
 
+    def per_batch(df: DataFrame, batch_id: int):
+        df.groupBy("user_id").agg(newest.alias("r"), F.max(F.struct("ts", "event_id")).alias("at")).write.mode("overwrite").parquet(f"{path}/_batch={batch_id}")
+
+    run_available_now(s.writeStream.option("checkpointLocation", ck).foreachBatch(per_batch))
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], PROGRESS_OUT)
+    return spark.read.parquet(path).groupBy("user_id").agg(F.max_by("r", "at").alias("r")).select("user_id", "r.*")
 
-def dedupe_stream(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> DataFrame:
-    """One row per (user, event type) within the watermark delay (first arrival wins)."""
-    s = events_stream(spark, sf_dir).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "event_type"])
+
+def dedupe_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """One row per (user, event type): the first by (time, id).  Each micro-batch writes its first per key, readers
+    keep the first of them, so arrival order does not matter."""
     path, ck = scratch_path(spark, "dedupe"), scratch_path(spark, "dedupe-ck")
-    run_available_now(s.select("user_id", "event_type", "event_id", "value").writeStream.outputMode("append")
-                      .option("checkpointLocation", ck).format("parquet").option("path", path))
-    return spark.read.parquet(path)
+    keys = ["user_id", "event_type"]
+
+    def per_batch(df: DataFrame, batch_id: int):
+        first = df.groupBy(*keys).agg(F.min(F.struct("ts", "event_id", "value")).alias("r"))
+        first.write.mode("overwrite").parquet(f"{path}/_batch={batch_id}")
+
+    run_available_now(events_stream(spark, sf_dir, max_files).writeStream.option("checkpointLocation", ck).foreachBatch(per_batch))
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "user_id long, event_type string, event_id long, value double")
+    return spark.read.parquet(path).groupBy(*keys).agg(F.min("r").alias("r")).select(*keys, "r.event_id", "r.value")
 
 
 # ---- decision timeout: keyed state with an event-time timer -----------------------------------
@@ -132,123 +186,100 @@ DECISION_OUT = T.StructType([
     T.StructField("request_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("risk_tier", T.StringType()),
     T.StructField("status", T.StringType()), T.StructField("decision_id", T.LongType()), T.StructField("wait_seconds", T.DoubleType()),
 ])
-DECISION_STATE = T.StructType([T.StructField("pending", T.StringType())])  # "id:micros;id:micros" of open CRITICAL requests
 
 
-def _decision_fn(limit_us: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        user = int(key[0])
-        pending: list[tuple[int, int]] = []
-        if state.exists:
-            raw = state.get[0]
-            pending = [tuple(int(x) for x in p.split(":")) for p in raw.split(";") if p]
-        out = []
-        if state.hasTimedOut:
-            wm = state.getCurrentWatermarkMs() * 1000
-            keep = []
-            for rid, t in pending:
-                if t + limit_us < wm:
-                    out.append((rid, user, "CRITICAL", "auto_approved", None, None))
+def _decide(limit_us: int):
+    def process(user, carry, rows, mark):
+        pending, out = carry or [], []  # [request id, time] of waiting CRITICAL requests
+        for r in rows:
+            if r["kind"] == 0:
+                if r["tier"] == "CRITICAL":
+                    pending.append([r["event_id"], r["t"]])
                 else:
-                    keep.append((rid, t))
-            pending = keep
-        else:
-            rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["t", "kind", "event_id"])
-            for r in rows.itertuples(index=False):
-                if r.kind == 0:
-                    tier = r.tier
-                    if tier == "CRITICAL":
-                        pending.append((int(r.event_id), int(r.t)))
-                    else:
-                        out.append((int(r.event_id), user, tier, "auto_approved_alert" if tier == "HIGH" else "auto_approved", None, None))
-                else:
-                    for rid, t in pending:
-                        wait = int(r.t) - t
-                        if wait <= limit_us:
-                            out.append((rid, user, "CRITICAL", r.decision, int(r.event_id), wait / 1e6))
-                        else:
-                            out.append((rid, user, "CRITICAL", "auto_approved", None, None))
-                    pending = []
-        if pending:
-            state.update((";".join(f"{a}:{b}" for a, b in pending),))
-            state.setTimeoutTimestamp(int((min(t for _, t in pending) + limit_us) / 1000) + 1)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=[f.name for f in DECISION_OUT.fields])
-    return fn
+                    out.append((r["event_id"], user, r["tier"], "auto_approved_alert" if r["tier"] == "HIGH" else "auto_approved", None, None))
+                continue
+            for rid, t in pending:
+                if t < r["t"]:  # a decision answers requests before it
+                    wait = r["t"] - t
+                    out.append((rid, user, "CRITICAL", r["decision"], r["event_id"], wait / 1e6) if wait <= limit_us else (rid, user, "CRITICAL", "auto_approved", None, None))
+            pending = [p for p in pending if p[1] >= r["t"]]
+        unanswered = [p for p in pending if mark is None or p[1] + limit_us < mark]
+        out += [(rid, user, "CRITICAL", "auto_approved", None, None) for rid, _ in unanswered]
+        return out, [p for p in pending if p not in unanswered] or None
+    return process
 
 
-def decision_timeout_stream(spark: SparkSession, sf_dir: str, seconds: int = 1800, watermark: str = "0 seconds") -> DataFrame:
-    s = events_stream(spark, sf_dir).withWatermark("ts", watermark).filter(F.col("event_type").isin("view", "click", "error"))
+def decision_timeout_stream(spark: SparkSession, sf_dir: str, seconds: int = 1800, watermark: str = "0 seconds",
+                            max_files: int | None = None) -> DataFrame:
+    """Outcome of every request, those still open included (they stand as auto-approved, as in the batch form)."""
+    return decision_timeout_run(spark, sf_dir, seconds, watermark, max_files)[0]
+
+
+def decision_timeout_run(spark, sf_dir, seconds: int = 1800, watermark: str = "0 seconds", max_files: int | None = None) -> tuple[DataFrame, int]:
+    s = events_stream(spark, sf_dir, max_files).withWatermark("ts", watermark).filter(F.col("event_type").isin("view", "click", "error"))
     s = s.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("t"),
                  F.when(F.col("event_type") == "view", 0).otherwise(1).alias("kind"),
                  risk_tier(F.least(F.col("value") / 100.0, F.lit(1.0))).alias("tier"),
                  F.when(F.col("event_type") == "click", "approved").when(F.col("event_type") == "error", "rejected").alias("decision"))
-    res = s.groupBy("user_id").applyInPandasWithState(_decision_fn(seconds * 1_000_000), DECISION_OUT, DECISION_STATE, "append",
-                                                      GroupStateTimeout.EventTimeTimeout)
-    path, ck = scratch_path(spark, "decisions"), scratch_path(spark, "decisions-ck")
-    run_available_now(res.writeStream.outputMode("append").option("checkpointLocation", ck).format("parquet").option("path", path))
-    return spark.read.schema(DECISION_OUT).parquet(path)
+    limit = seconds * 1_000_000
+    fn = _replay([f.name for f in DECISION_OUT.fields], _decide(limit), lambda pending: min(t for _, t in pending) + limit)
+    return _run_replay(spark, s, DECISION_OUT, fn, "decisions")
 
 
 # ---- run completion: terminal status or a 5-minute inactivity limit ---------------------------
 RUN_OUT = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("steps", T.LongType()),
                         T.StructField("last_event_id", T.LongType()), T.StructField("status", T.StringType())])
-RUN_STATE = T.StructType([T.StructField("steps", T.LongType()), T.StructField("last_t", T.LongType()),
-                          T.StructField("last_id", T.LongType())])
 
 
-def _run_fn(limit_us: int, terminal: str):
-    def fn(key, pdfs, state: GroupState):
-        user = int(key[0])
-        steps, last_t, last_id = state.get if state.exists else (0, None, None)
+def _runs(limit_us: int, terminal: str):
+    def process(user, carry, rows, mark):
+        steps, last_t, last_id = carry or (0, None, None)
         out = []
-        if state.hasTimedOut:
-            out.append((user, steps, last_id, "timeout"))
-            state.remove()
-            yield pd.DataFrame(out, columns=[f.name for f in RUN_OUT.fields])
-            return
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["t", "event_id"])
-        for r in rows.itertuples(index=False):
-            if last_t is not None and steps > 0 and int(r.t) - last_t > limit_us:
+        for r in rows:
+            if steps and r["t"] - last_t > limit_us:
                 out.append((user, steps, last_id, "timeout"))
                 steps = 0
-            steps += 1
-            last_t, last_id = int(r.t), int(r.event_id)
-            if r.event_type == terminal:
+            steps, last_t, last_id = steps + 1, r["t"], r["event_id"]
+            if r["event_type"] == terminal:
                 out.append((user, steps, last_id, "complete"))
                 steps = 0
-        if steps > 0:
-            state.update((steps, last_t, last_id))
-            state.setTimeoutTimestamp(int((last_t + limit_us) / 1000) + 1)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=[f.name for f in RUN_OUT.fields])
-    return fn
+        if steps and mark is None:
+            out.append((user, steps, last_id, "pending"))
+        elif steps and last_t + limit_us < mark:
+            out.append((user, steps, last_id, "timeout"))
+            steps = 0
+        return out, [steps, last_t, last_id] if steps else None
+    return process
+
 
+def run_complete_stream(spark: SparkSession, sf_dir: str, limit_seconds: int = 300, terminal: str = "purchase", watermark: str = "0 seconds",
+                        max_files: int | None = None) -> DataFrame:
+    """One record per run (a user's events up to a terminal event): complete, timed out, or pending at the end."""
+    return run_complete_run(spark, sf_dir, limit_seconds, terminal, watermark, max_files)[0]
 
-def run_complete_stream(spark: SparkSession, sf_dir: str, limit_seconds: int = 300, terminal: str = "purchase") -> DataFrame:
-    """Emit one record per run (a user's events up to a terminal event) when it completes or goes quiet."""
-    s = events_stream(spark, sf_dir).withWatermark("ts", "0 seconds").select(
+
+def run_complete_run(spark, sf_dir, limit_seconds: int = 300, terminal: str = "purchase", watermark: str = "0 seconds",
+                     max_files: int | None = None) -> tuple[DataFrame, int]:
+    s = events_stream(spark, sf_dir, max_files).withWatermark("ts", watermark).select(
         "user_id", "event_id", "event_type", "ts", F.unix_micros("ts").alias("t"))
-    res = s.groupBy("user_id").applyInPandasWithState(_run_fn(limit_seconds * 1_000_000, terminal), RUN_OUT, RUN_STATE, "append",
-                                                      GroupStateTimeout.EventTimeTimeout)
-    path, ck = scratch_path(spark, "runs"), scratch_path(spark, "runs-ck")
-    run_available_now(res.writeStream.outputMode("append").option("checkpointLocation", ck).format("parquet").option("path", path))
-    return spark.read.schema(RUN_OUT).parquet(path)
+    limit = limit_seconds * 1_000_000
+    fn = _replay([f.name for f in RUN_OUT.fields], _runs(limit, terminal), lambda carry: carry[1] + limit)
+    return _run_replay(spark, s, RUN_OUT, fn, "runs")
 
 
 # ---- feedback counter: running count across micro-batches, trigger every n ----------------------
-def feedback_retrain_stream(spark: SparkSession, sf_dir: str, every: int = 50) -> DataFrame:
+def feedback_retrain_stream(spark: SparkSession, sf_dir: str, every: int = 50, max_files: int | None = None) -> DataFrame:
+    """A trigger at every multiple of ``every``, counted in order of arrival: micro-batch, then event time, then id.
+
+    With in-order files this is the batch order.  A replayed micro-batch writes the same rows again."""
     base = scratch_path(spark, "feedback")
     counts, triggers = f"{base}/counts", f"{base}/triggers"
 
     def per_batch(df: DataFrame, batch_id: int):
         s = df.sparkSession
-        try:
+        prev = 0
+        if path_exists(s, counts):
             prev = s.read.parquet(counts).filter(F.col("_batch") < batch_id).agg(F.sum("n").alias("n")).first()["n"] or 0
-        except Exception:  # noqa: BLE001 - first batch
-            prev = 0
         f = df.filter(F.col("event_type") == "purchase").select("event_id", "ts", F.unix_micros("ts").alias("_t"), F.lit(1).alias("_one"))
         c = prefix_sum(f, "_t", ["_one"], tiebreak=[F.col("event_id").asc()])
         c.select(F.lit(1).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).select("n") \
@@ -256,7 +287,7 @@ def feedback_retrain_stream(spark: SparkSession, sf_dir: str, every: int = 50) -
         t = c.select("event_id", "ts", (F.col("cum__one") + F.lit(prev)).alias("feedback_count")).filter(F.col("feedback_count") % every == 0)
         t.write.mode("overwrite").parquet(f"{triggers}/_batch={batch_id}")
 
-    run_available_now(events_stream(spark, sf_dir).writeStream.option("checkpointLocation", f"{base}/ck").foreachBatch(per_batch))
+    run_available_now(events_stream(spark, sf_dir, max_files).writeStream.option("checkpointLocation", f"{base}/ck").foreachBatch(per_batch))
     return spark.read.parquet(triggers).drop("_batch")
 
 
@@ -272,7 +303,7 @@ def edits_from_events(s: DataFrame) -> DataFrame:
                     F.when(t == "view", v / 100.0).alias("feature_adoption_rate"), F.when(t == "signup", v).alias("nps_score"))
 
 
-def upsert_customers_stream(spark: SparkSession, sf_dir: str, base: DataFrame) -> DataFrame:
+def upsert_customers_stream(spark: SparkSession, sf_dir: str, base: DataFrame, max_files: int | None = None) -> DataFrame:
     """Apply streamed edits to the base table: per batch latest non-null value per column, merged on read."""
     path, ck = scratch_path(spark, "edits"), scratch_path(spark, "edits-ck")
 
@@ -281,16 +312,16 @@ def upsert_customers_stream(spark: SparkSession, sf_dir: str, base: DataFrame) -
                                           *[F.max(F.when(F.col(c).isNotNull(), F.col("updated_at"))).alias(f"_ts_{c}") for c in EDITABLE])
         g.write.mode("overwrite").parquet(f"{path}/_batch={batch_id}")
 
-    run_available_now(edits_from_events(events_stream(spark, sf_dir)).writeStream.option("checkpointLocation", ck).foreachBatch(per_batch))
+    run_available_now(edits_from_events(events_stream(spark, sf_dir, max_files)).writeStream.option("checkpointLocation", ck).foreachBatch(per_batch))
     e = spark.read.parquet(path)
     latest = e.groupBy("customer_id").agg(*[F.max_by(F.col(c), F.col(f"_ts_{c}")).alias(f"_e_{c}") for c in EDITABLE])
     j = base.join(latest, "customer_id", "left")
     return j.select(*[F.coalesce(F.col(f"_e_{c}"), F.col(c)).alias(c) if c in EDITABLE else F.col(c) for c in base.columns])
 
 
-def change_feed_stream(spark: SparkSession, sf_dir: str, base: DataFrame) -> DataFrame:
+def change_feed_stream(spark: SparkSession, sf_dir: str, base: DataFrame, max_files: int | None = None) -> DataFrame:
     """Stream-static join: every edit that changes a base value becomes a change record."""
-    ed = edits_from_events(events_stream(spark, sf_dir))
+    ed = edits_from_events(events_stream(spark, sf_dir, max_files))
     b = base.select("customer_id", *[F.col(c).alias(f"_b_{c}") for c in EDITABLE])
     j = ed.join(b, "customer_id")
     changed = None

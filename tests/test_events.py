@@ -29,22 +29,55 @@ def test_decision_across_bucket_boundary(spark):
     assert EV.decision_timeout(req, dec).first()["status"] == "approved"
 
 
-def test_stream_matches_batch(spark, sf):
+def _shuffled(spark, sf, tmp_path, files=4):
+    """The events as several files in random order: as many micro-batches, rows late by up to the whole range."""
     ev = spark.read.parquet(f"{sf}/events.parquet")
+    folder = f"{tmp_path}/shuffled"
+    ev.repartition(files, F.xxhash64("event_id")).write.parquet(f"{folder}/events.parquet")
+    return folder, ev
+
+
+def _same(a, b, cols):
+    assert sorted(map(tuple, a.select(*cols).collect()), key=repr) == sorted(map(tuple, b.select(*cols).collect()), key=repr)
+
+
+def test_streams_over_many_shuffled_batches(spark, sf, tmp_path):
+    folder, ev = _shuffled(spark, sf, tmp_path)
     req, dec = EV.requests_and_decisions(ev)
-    batch = {r.request_id: r.status for r in EV.decision_timeout(req, dec).collect()}
-    stream = {r.request_id: r.status for r in S.decision_timeout_stream(spark, sf).collect()}
-    assert set(stream) <= set(batch)
-    assert all(batch[k] == v for k, v in stream.items())
-    assert len(batch) - len(stream) <= 5  # only requests still open at the end of the input
-
-    b = EV.progress_latest(ev, "user_id", "ts", ["event_type", "value", "event_id"])
-    s = S.progress_latest_stream(spark, sf)
-    assert sorted(map(tuple, b.collect())) == sorted(map(tuple, s.select(*b.columns).collect()))
-
-    wb = EV.window_rate(ev, "ts", "1 hour", by=["event_type"]).select("window_start", "event_type", "n")
-    ws = S.windowed_counts_stream(spark, sf).select("window_start", "event_type", "n")
-    assert sorted(map(tuple, wb.collect())) == sorted(map(tuple, ws.collect()))
+    cols = ["request_id", "status", "decision_id", "wait_seconds"]
+    stream, late = S.decision_timeout_run(spark, folder, watermark="60 days", max_files=1)
+    assert late == 0
+    _same(EV.decision_timeout(req, dec), stream, cols)
+    _same(EV.decision_timeout(req, dec), S.decision_timeout_stream(spark, sf), cols)  # one file in order
+
+    runs, late = S.run_complete_run(spark, folder, watermark="60 days", max_files=1)
+    one = S.run_complete_stream(spark, sf)
+    assert late == 0 and runs.agg(F.sum("steps")).first()[0] == ev.count() == one.agg(F.sum("steps")).first()[0]
+    _same(runs, one, ["user_id", "steps", "last_event_id"])
+    assert {r.status for r in one.collect()} <= {"complete", "timeout", "pending"}
+
+    latest = EV.progress_latest(ev, "user_id", "ts", ["event_type", "value", "event_id"])
+    _same(latest, S.progress_latest_stream(spark, folder, max_files=1), latest.columns)
+    first = EV.dedupe_first(ev, ["user_id", "event_type"], "ts", "event_id")
+    _same(first, S.dedupe_stream(spark, folder, max_files=1), ["user_id", "event_type", "event_id"])
+    windows = EV.window_rate(ev, "ts", "1 hour", by=["event_type"])
+    counts, late = S.windowed_counts_run(spark, folder, watermark="60 days", max_files=1)
+    assert late == 0
+    _same(windows, counts, ["window_start", "event_type", "n"])
+    n = ev.filter("event_type = 'purchase'").count()
+    got = S.feedback_retrain_stream(spark, folder, max_files=1).collect()
+    assert sorted(r.feedback_count for r in got) == list(range(50, n + 1, 50))
+
+
+def test_late_rows_are_counted_not_fatal(spark, sf, tmp_path):
+    folder, ev = _shuffled(spark, sf, tmp_path)
+    counts, late = S.windowed_counts_run(spark, folder, watermark="1 hour", max_files=1)
+    assert late > 0 and counts.agg(F.sum("n")).first()[0] < ev.count()  # late: partial counts per window, not rows
+    stream, late = S.decision_timeout_run(spark, folder, watermark="1 hour", max_files=1)
+    asked = ev.filter("event_type IN ('view', 'click', 'error')").count()
+    assert 0 < late < asked and stream.groupBy("request_id").count().filter("count > 1").isEmpty()
+    runs, late = S.run_complete_run(spark, folder, watermark="1 hour", max_files=1)
+    assert runs.agg(F.sum("steps")).first()[0] + late == ev.count()
 
 
 def test_feedback_trigger_every_50(spark, sf):

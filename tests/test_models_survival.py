@@ -68,8 +68,27 @@ def test_concordance_matches_brute_force(spark, sf):
 
 
 def test_lsh_recall_against_exact(spark, sf):
+    """The registered parameters, ordinary vectors as queries: k rows each, recall, a small share of candidates."""
     e = table(spark, sf, "embeddings")
-    q = e.filter(F.col("label") == 0).select(F.col("vec_id").alias("query_id"), "embedding")
-    exact = {(r.query_id, r.vec_id) for r in SE.knn_cosine(q, e, 5).collect()}
-    approx = {(r.query_id, r.vec_id) for r in SE.knn_lsh(q, e, 5, max_distance=1.5).collect()}
-    assert len(exact & approx) / len(exact) >= 0.8
+    q = e.filter(F.col("vec_id") % 5 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.vec_id) for r in SE.knn_cosine(q, e, 10).collect()}
+    rows = SE.knn_lsh(q, e, 10).collect()
+    approx = {(r.query_id, r.vec_id) for r in rows}
+    assert len(rows) == 10 * q.count() and len(exact & approx) / len(exact) >= 0.95
+
+
+def test_knn_any_number_of_queries(spark, sf):
+    e = table(spark, sf, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    whole = sorted(map(tuple, SE.knn_cosine(q, e, 3).collect()))
+    assert whole == sorted(map(tuple, SE.knn_cosine(q, e, 3, block=60).collect()))
+
+
+def test_concordance_exact_with_many_times_and_risks(spark):
+    rng = np.random.default_rng(4)
+    t, r, e = rng.permutation(3000) / 7.0, rng.integers(0, 1500, 3000) / 3.0, rng.random(3000) < 0.6
+    df = spark.createDataFrame([(float(a), int(b), float(c)) for a, b, c in zip(t, e, r, strict=True)], "t double, e int, r double")
+    got = SV.cox_concordance(df, "t", "e", "r").first()
+    later = t[None, :] > t[e][:, None]
+    con, tie = (later & (r[None, :] < r[e][:, None])).sum(), (later & (r[None, :] == r[e][:, None])).sum()
+    assert (got.concordant, got.tied_risk, got.comparable) == (con, tie, later.sum())
