@@ -147,18 +147,23 @@ _SUR = T.StructType([T.StructField("k", T.LongType()), T.StructField("intercept"
                      T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("local_pred", T.DoubleType())])
 
 
+def _scales(train: DataFrame, cols) -> tuple[dict, dict]:
+    """Mean and standard deviation per column of the training frame (one row; an all-null or constant column: 0 and 1)."""
+    r = train.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"s_{c}") for c in cols]).first()
+    return {c: float(r[f"m_{c}"] or 0.0) for c in cols}, {c: float(r[f"s_{c}"] or 1.0) or 1.0 for c in cols}
+
+
 def surrogate_local(df: DataFrame, cols, score_fn, n: int = 500, seed: int = 42, key: str = "customer_id",
-                    kernel_width: float | None = None, ridge: float = 1.0) -> DataFrame:
-    """Per row: ``n`` Gaussian neighbours (scale = column std), one scoring pass, kernel-weighted ridge
-    fit.  The weighted normal equations are grouped sums in Spark; only the (d+1)x(d+1) solve per row
+                    kernel_width: float | None = None, ridge: float = 1.0, train: DataFrame | None = None) -> DataFrame:
+    """Per row: ``n`` Gaussian neighbours (scale = column std of ``train``, missing values = its mean), one scoring
+    pass, kernel-weighted ridge fit.  The weighted normal equations are grouped sums in Spark; only the (d+1)x(d+1) solve per row
     runs in numpy (mapInPandas over one row per explained instance)."""
     cols = list(cols)
     d = len(cols)
     kw = kernel_width or float(np.sqrt(d) * 0.75)
-    stds = df.agg(*[F.stddev_samp(c).alias(c) for c in cols]).first()
-    sd = {c: float(stds[c] or 1.0) or 1.0 for c in cols}
+    mean, sd = _scales(df if train is None else train, cols)
     extra = [c for c in df.columns if c not in cols and c != key]
-    x = df.select(key, *extra, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+    x = df.select(key, *extra, *[F.coalesce(F.col(c).cast("double"), F.lit(mean[c])).alias(c) for c in cols])
     nb = x.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     z = {c: hash_normal(seed, F.col(key).cast("string"), F.col("_i").cast("string"), c) for c in cols}
     nb = nb.select(key, "_i", *extra, *[(F.col(c) + z[c] * sd[c]).alias(c) for c in cols], *[z[c].alias(f"_z_{c}") for c in cols])
@@ -192,22 +197,25 @@ def surrogate_attrib(sur: DataFrame, cols, key: str = "customer_id") -> DataFram
         key, F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1).alias("feature"), "value")
 
 
-def surrogate_fidelity(df: DataFrame, sur: DataFrame, cols, score_fn, n: int = 500, seed: int = 7, key: str = "customer_id") -> DataFrame:
-    """Per instance: AUC of the surrogate's prediction against (model p > 0.5) on fresh neighbours
-    (null when one class is absent; then the coverage is reported by ``n_pos``)."""
+def surrogate_fidelity(df: DataFrame, sur: DataFrame, cols, score_fn, n: int = 500, seed: int = 7, key: str = "customer_id",
+                       train: DataFrame | None = None) -> DataFrame:
+    """Per instance on fresh neighbours: AUC of the surrogate against (model p > 0.5); where all neighbours fall on one
+    side, max(0, R^2) of the surrogate against p instead (``measure`` says which)."""
     cols = list(cols)
-    stds = df.agg(*[F.stddev_samp(c).alias(c) for c in cols]).first()
-    sd = {c: float(stds[c] or 1.0) or 1.0 for c in cols}
+    mean, sd = _scales(df if train is None else train, cols)
     extra = [c for c in df.columns if c not in cols and c != key]
-    x = df.select(key, *extra, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]).join(sur, key)
+    x = df.select(key, *extra, *[F.coalesce(F.col(c).cast("double"), F.lit(mean[c])).alias(c) for c in cols]).join(sur, key)
     nb = x.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     z = {c: hash_normal(seed, F.col(key).cast("string"), F.col("_i").cast("string"), c) for c in cols}
     nb = nb.select(key, "intercept", "weights", *extra, *[(F.col(c) + z[c] * sd[c]).alias(c) for c in cols],
                    *[z[c].alias(f"_z_{c}") for c in cols])
     sc = score_fn(nb)
     lin = F.col("intercept") + sum(F.element_at("weights", i + 1) * F.col(f"_z_{c}") for i, c in enumerate(cols))
-    s = sc.select(key, (F.col("p") > 0.5).cast("int").alias("y"), lin.alias("s"))
-    return auc_roc(s, "y", "s", by=[key]).withColumnRenamed("auc_roc", "fidelity")
+    s = cut_lineage(sc.select(key, (F.col("p") > 0.5).cast("int").alias("y"), F.col("p"), lin.alias("s")))
+    res = s.groupBy(key).agg((1 - F.sum((F.col("p") - F.col("s")) ** 2) / (F.var_pop("p") * F.count(F.lit(1)) + 1e-9)).alias("_r2"))
+    auc = auc_roc(s, "y", "s", by=[key]).withColumnRenamed("auc_roc", "_auc")
+    return res.join(auc, key, "left").select(key, F.coalesce("_auc", F.greatest(F.col("_r2"), F.lit(0.0))).alias("fidelity"),
+                                             F.when(F.col("_auc").isNull(), "r2").otherwise("auc").alias("measure"))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -234,7 +242,7 @@ def cf_rules(df: DataFrame, score_fn, min_drop: float = 0.02, key: str = "custom
     """Every row x every catalogue move (catalogue broadcast), one scoring pass; keep moves whose
     probability drop exceeds ``min_drop``.  A missing value counts as 0 before the change."""
     spark = df.sparkSession
-    base = score_fn(df).withColumnRenamed("p", "_p0")
+    base = score_fn(df).withColumnRenamed("p", "_base_p")
     cat = catalogue_b_df(spark)
     j = base.crossJoin(F.broadcast(cat))
     feats = sorted({r[0] for r in CATALOGUE_B})
@@ -244,9 +252,9 @@ def cf_rules(df: DataFrame, score_fn, min_drop: float = 0.02, key: str = "custom
         new = F.when(F.col("delta_pct").isNotNull(), old * (1.0 + F.col("delta_pct"))).otherwise(old + F.col("delta_abs"))
         rep[f] = F.when(F.col("feature") == f, new).otherwise(F.col(f))
     moved = score_fn(j.withColumns(rep))
-    red = F.col("_p0") - F.col("p")
+    red = F.col("_base_p") - F.col("p")
     return moved.filter(red > min_drop).select(
-        key, "move", "feature", "action", "cost_usd", "effort", "days_to_effect", F.col("_p0").alias("churn_probability"),
+        key, "move", "feature", "action", "cost_usd", "effort", "days_to_effect", F.col("_base_p").alias("churn_probability"),
         F.round("p", 4).alias("new_churn_prob"), F.round(red, 4).alias("prob_reduction"),
         F.when(F.col("feature") == "monthly_charges", -F.col("delta_pct")).alias("discount_pct"))
 
@@ -345,13 +353,26 @@ def cf_cost(cf: DataFrame, base: DataFrame, key: str = "customer_id", p0: str =
                     F.greatest(F.col(p0) - F.col("new_churn_prob"), F.lit(0.0)).alias("churn_prob_reduction"))
 
 
-def attrib_stability(attrib: DataFrame, neighbours: DataFrame, key: str = "customer_id",
+def top_names(attrib: str | Column, k: int) -> Column:
+    """Names of the ``k`` strongest features of a row's (feature, value) array, by |value|."""
+    ranked = F.array_sort(F.transform(attrib, lambda x: F.struct((-F.abs(x["value"])).alias("a"), x["feature"].alias("f"))))
+    return F.slice(F.transform(ranked, lambda x: x["f"]), 1, k)
+
+
+def rank_correlation(a: Column, b: Column) -> Column:
+    """Positional Spearman over the features that two top lists share, clamped to [-1, 1]; 0 if they share none."""
+    both = F.array_intersect(a, b)
+    n = F.size(both).cast("double")
+    d2 = F.aggregate(both, F.lit(0.0), lambda s, f: s + F.pow(F.array_position(a, f) - F.array_position(b, f), 2))
+    return F.when(n > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - 6 * d2 / (n * (n * n - 1) + 1e-9)))).otherwise(F.lit(0.0))
+
+
+def attrib_stability(rows: DataFrame, neighbours: DataFrame, k: int = 5, key: str = "customer_id",
                      query: str = "query_id", neighbour: str = "customer_id") -> DataFrame:
-    """Per explained row: mean Spearman correlation between its attribution vector and those of its
-    neighbours (``neighbours``: (query, neighbour) pairs from a kNN operator, bounded by k per query)."""
-    from churnlab.operators.stats import spearman
-    a = attrib.select(F.col(key).alias("_q"), "feature", F.col("value").alias("va"))
-    b = attrib.select(F.col(key).alias("_n"), "feature", F.col("value").alias("vb"))
-    pairs = neighbours.select(F.col(query).alias("_q"), F.col(neighbour).alias("_n")).join(a, "_q").join(b, ["_n", "feature"])
-    per = spearman(pairs.withColumn("_pair", F.concat_ws(":", "_q", "_n")), "va", "vb", by=["_q", "_pair"])
-    return per.groupBy(F.col("_q").alias(query)).agg(F.avg("spearman").alias("stability"))
+    """Per explained row: mean positional correlation of its top-``k`` features with those of its neighbours.
+
+    ``rows``: key and ``attrib`` (:func:`attrib_rows`); ``neighbours``: (query, neighbour) pairs of a kNN operator."""
+    top = rows.select(F.col(key).alias("_n"), top_names("attrib", k).alias("_t"))
+    pairs = neighbours.select(F.col(query).alias("_q"), F.col(neighbour).alias("_n")).join(top, "_n")
+    own = top.select(F.col("_n").alias("_q"), F.col("_t").alias("_own"))
+    return pairs.join(own, "_q").groupBy(F.col("_q").alias(query)).agg(F.avg(rank_correlation(F.col("_own"), F.col("_t"))).alias("stability"))

@@ -125,7 +125,43 @@ def ml_score_fn(prep, model, out: str = "p"):
     """Wrap a fitted preparation pipeline + classifier as ``score_fn``."""
     def fn(df: DataFrame) -> DataFrame:
         t = model.transform(prep.transform(df))
-        return t.withColumn(out, prob_of(t)).drop("features", "rawPrediction", "probability", "prediction")
+        return t.select(*[F.col(f"`{c}`") for c in df.columns if c != out], prob_of(t).alias(out))
+    return fn
+
+
+def save_fitted(prep, model, path: str) -> str:
+    """Writes a fitted preparation and classifier as one pipeline (Spark's own writer, any Hadoop file system)."""
+    from pyspark.ml import PipelineModel
+
+    PipelineModel([*prep.stages, model]).write().overwrite().save(path)
+    return path
+
+
+def load_fitted(path: str):
+    """(preparation, classifier) of :func:`save_fitted`."""
+    from pyspark.ml import PipelineModel
+
+    stages = PipelineModel.load(path).stages
+    return PipelineModel(stages[:-1]), stages[-1]
+
+
+def logistic_terms(prep, model) -> tuple[list[str], list[float]]:
+    """Feature names and weights of a fitted logistic model: a row's exact contributions are weight x feature."""
+    return prep.stages[-1].getInputCols(), [float(c) for c in model.coefficients.toArray()]
+
+
+def explain_fitted(prep, model):
+    """``df -> df with attrib``: exact log-odds attributions of a fitted logistic model, on its prepared features."""
+    from churnlab.operators.explain import attrib_rows
+
+    names, weights = logistic_terms(prep, model)
+
+    def fn(df: DataFrame) -> DataFrame:
+        keep = df.columns
+        t = prep.transform(df).withColumn("_x", vector_to_array("features"))
+        t = t.select(*[F.col(f"`{c}`") for c in keep], "_x")
+        rows = attrib_rows(t, {n: F.coalesce(F.get("_x", F.lit(i)), F.lit(0.0)) * w for i, (n, w) in enumerate(zip(names, weights, strict=True))})
+        return rows.drop("_x")
     return fn
 
 

@@ -5,6 +5,8 @@ Registered configurations: boosted trees use ``QUICK_ROUNDS`` rounds instead of
 defaults keep the presets.  ``tune`` stops on the reference's time budget idea (``timeout_s``).
 """
 
+import uuid
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -14,9 +16,9 @@ from churnlab.operators import models as MD
 from churnlab.operators import prep as PR
 from churnlab.operators import search as SE
 from churnlab.operators.metrics import auc_roc
-from churnlab.plans.oracle import C360
+from churnlab.plans.oracle import C360, with_c360
 from churnlab.plans.registry import out, register
-from churnlab.session import cut_lineage
+from churnlab.session import cut_lineage, ensure_checkpoint_dir
 from churnlab.sources.tables import customer360_table as customer360
 
 QUICK_ROUNDS = 20
@@ -50,13 +52,17 @@ def _sc_inputs(d):
     return d.select("customer_id", "contract_type", *SC_COLS)
 
 
-@register("stratified_split")
+_RANK_SQL = ("rk AS (SELECT customer_id, churned, COUNT(*) OVER (PARTITION BY churned) AS n, ROW_NUMBER() OVER (PARTITION BY churned "
+             "ORDER BY CAST(('0x' || substr(md5('42:' || CAST(customer_id AS VARCHAR)), 1, 15)) AS BIGINT), customer_id) AS r FROM c360)")
+
+
+@register("stratified_split", with_c360("SELECT customer_id, churned, CASE WHEN r <= CEIL(n * 0.2e0) THEN 'test' ELSE 'train' END AS split FROM rk", _RANK_SQL))
 def q_split(spark, sf):
     r = PR.stratified_rank(c360(spark, sf), "churned", "customer_id")
     return r.select("customer_id", "churned", F.when(F.col("_rank") <= F.ceil(F.col("_n_class") * 0.2), "test").otherwise("train").alias("split"))
 
 
-@register("stratified_folds")
+@register("stratified_folds", with_c360("SELECT customer_id, churned, CAST((r - 1) % 5 AS INTEGER) AS fold FROM rk", _RANK_SQL))
 def q_folds(spark, sf):
     return PR.stratified_folds(c360(spark, sf).select("customer_id", "churned"), "churned", "customer_id", k=5)
 
@@ -183,7 +189,7 @@ def _sc(spark, sf):
 
 def _sampled(spark, sf, perms=8):
     d, sc = _sc(spark, sf)
-    bg = FR.sample_n(d, "customer_id", 50, seed=7).select(*SC_COLS, "contract_type")
+    bg = FR.sample_n(d, "customer_id", 100, seed=7).select(*SC_COLS, "contract_type")
     return X.attrib_sampled(d.select("customer_id", "contract_type", *SC_COLS), bg.select(*SC_COLS), SC_COLS, sc, perms=perms)
 
 
@@ -196,36 +202,38 @@ def q_attr_sampled(spark, sf):
 def q_agreement(spark, sf):
     from churnlab.plans.q_ml import sc_terms
     d, sc = _sc(spark, sf)
-    lin = X.attrib_linear(d, {k: v for k, v in sc_terms(sc).items() if k in SC_COLS})
-    return out(X.attrib_agreement(lin, _sampled(spark, sf), k=5))
+    same = [k for k in sc_terms(sc) if k in SC_COLS]
+    lin = X.attrib_linear(d, {k: v for k, v in sc_terms(sc).items() if k in same})
+    return out(X.attrib_agreement(lin, _sampled(spark, sf).filter(F.col("feature").isin(same)), k=5))
 
 
-def _instances(spark, sf):
+def _every(spark, sf):
+    """All customers are explained; the same table sets the scale of the perturbations."""
     d, sc = _sc(spark, sf)
-    return d, sc, FR.watchlist(d, n=20)
+    return d, sc, _sc_inputs(d)
 
 
 @register("surrogate_local")
 def q_surrogate(spark, sf):
-    _, sc, inst = _instances(spark, sf)
-    return out(X.surrogate_local(_sc_inputs(inst), SC_COLS, sc, n=500).select("customer_id", "intercept", "weights", "local_pred"))
+    d, sc, x = _every(spark, sf)
+    return out(X.surrogate_local(x, SC_COLS, sc, n=500, train=d).select("customer_id", "intercept", "weights", "local_pred"))
 
 
 @register("surrogate_fidelity")
 def q_fidelity(spark, sf):
-    _, sc, inst = _instances(spark, sf)
-    sur = X.surrogate_local(_sc_inputs(inst), SC_COLS, sc, n=500)
-    return out(X.surrogate_fidelity(_sc_inputs(inst), sur, SC_COLS, sc, n=500))
+    d, sc, x = _every(spark, sf)
+    sur = cut_lineage(X.surrogate_local(x, SC_COLS, sc, n=500, train=d))
+    return out(X.surrogate_fidelity(x, sur, SC_COLS, sc, n=500, train=d))
 
 
 def _stability(spark, sf):
+    """Queries: every customer whose id is divisible by 50, against all customers."""
     from churnlab.plans.q_ml import sc_terms
-    d, sc, inst = _instances(spark, sf)
-    lin = X.attrib_linear(d, sc_terms(sc))
-    q = inst.select(F.col("customer_id").alias("query_id"), *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in SC_COLS])
+    d, sc = _sc(spark, sf)
+    rows = X.attrib_rows(d, sc_terms(sc)).select("customer_id", "attrib")
     corpus = d.select("customer_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in SC_COLS])
-    nb = SE.knn_euclid(q, corpus, SC_COLS, 10)
-    return X.attrib_stability(lin, nb)
+    q = corpus.filter(F.col("customer_id") % 50 == 0).withColumnRenamed("customer_id", "query_id")
+    return X.attrib_stability(rows, SE.knn_euclid(q, corpus, SC_COLS, 10))
 
 
 @register("attrib_stability")
@@ -233,16 +241,57 @@ def q_stability(spark, sf):
     return out(_stability(spark, sf))
 
 
+def explained_instances(spark, sf):
+    """customer_id, fidelity, stability, agreement, churn_prob of the instances of the stability search."""
+    from churnlab.plans.q_ml import sc_terms
+    d, sc = _sc(spark, sf)
+    inst = cut_lineage(_sc_inputs(d.filter(F.col("customer_id") % 50 == 0)))
+    sur = cut_lineage(X.surrogate_local(inst, SC_COLS, sc, n=500, train=d))
+    fid = X.surrogate_fidelity(inst, sur, SC_COLS, sc, n=500, train=d).select("customer_id", "fidelity")
+    lin = X.attrib_linear(d.filter(F.col("customer_id") % 50 == 0), {k: v for k, v in sc_terms(sc).items() if k in SC_COLS})
+    loc = X.surrogate_attrib(sur, SC_COLS).filter(F.col("feature").isin([k for k in sc_terms(sc) if k in SC_COLS]))  # the same features
+    st = _stability(spark, sf).withColumnRenamed("query_id", "customer_id")
+    p = sc(inst).select("customer_id", F.col("p").alias("churn_prob"))
+    return fid.join(st, "customer_id").join(X.attrib_agreement(lin, loc, k=5), "customer_id").join(p, "customer_id")
+
+
+@register("explain_benchmark_instances")
+def q_bench_rows(spark, sf):
+    return out(explained_instances(spark, sf))
+
+
 @register("explain_benchmark")
 def q_bench(spark, sf):
-    _, sc, inst = _instances(spark, sf)
-    sur = X.surrogate_local(_sc_inputs(inst), SC_COLS, sc, n=500)
-    fid = X.surrogate_fidelity(_sc_inputs(inst), sur, SC_COLS, sc, n=500).withColumnRenamed("customer_id", "query_id")
-    st = _stability(spark, sf)
-    r = fid.join(st, "query_id", "full_outer")
-    return out(r.agg(F.avg("fidelity").alias("fidelity_mean"), F.stddev_pop("fidelity").alias("fidelity_std"),
-                     F.avg("stability").alias("stability_mean"), F.stddev_pop("stability").alias("stability_std"),
-                     F.count(F.lit(1)).alias("instances")))
+    m = ["fidelity", "stability", "agreement"]
+    return out(explained_instances(spark, sf).agg(F.count(F.lit(1)).alias("n_instances"), *[F.avg(c).alias(f"mean_{c}") for c in m],
+                                                  *[F.stddev_pop(c).alias(f"std_{c}") for c in m]))
+
+
+def fitted(spark, sf):
+    """A logistic model fitted on the training rows, written, and read back for scoring."""
+    prep, m, _ = prepared(spark, sf)
+    return MD.load_fitted(MD.save_fitted(prep, MD.fit_logreg(m), f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"))
+
+
+@register("score_fitted")
+def q_score_fitted(spark, sf):
+    s = MD.score(c360(spark, sf), MD.ml_score_fn(*fitted(spark, sf)))
+    return out(s.select("customer_id", "churn_probability", "predicted_churn", "risk_tier", F.col("interval.lower").alias("ci_lower"),
+                        F.col("interval.upper").alias("ci_upper")))
+
+
+@register("attrib_fitted")
+def q_attrib_fitted(spark, sf):
+    rows = MD.explain_fitted(*fitted(spark, sf))(c360(spark, sf))
+    return out(rows.select("customer_id", F.explode("attrib").alias("a")).select("customer_id", "a.feature", "a.value"))
+
+
+@register("retention_run_fitted")
+def q_run_fitted(spark, sf):
+    from churnlab.operators.decide import CATALOGUE_A
+    from churnlab.plans.retention import retention_run
+    prep, model = fitted(spark, sf)
+    return out(retention_run(c360(spark, sf), MD.ml_score_fn(prep, model), MD.explain_fitted(prep, model), CATALOGUE_A, budget=300.0))
 
 
 CF_FEATURES = [*SC_COLS, "monthly_charges", "contract_type", "plan_tier"]

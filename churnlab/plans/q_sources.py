@@ -88,8 +88,9 @@ def q_gen(spark, sf):
 
 @register("retention_run", headline=True)
 def q_run(spark, sf):
+    from churnlab.operators import explain as X
     from churnlab.plans.q_ml import sc_terms
     d = c360(spark, sf)
     sc = MD.Scorecard.fit(d)
-    r = retention_run(d, sc, sc_terms(sc), D.CATALOGUE_A, budget=300.0)
+    r = retention_run(d, sc, lambda act: X.attrib_rows(act, sc_terms(sc)), D.CATALOGUE_A, budget=300.0)
     return out(r)

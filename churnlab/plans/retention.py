@@ -19,8 +19,9 @@ from churnlab.operators import quality as Q
 from churnlab.session import cut_lineage
 
 
-def retention_run(customers: DataFrame, score_fn, terms: dict, catalogue: list[tuple[str, float, float]],
+def retention_run(customers: DataFrame, score_fn, explain, catalogue: list[tuple[str, float, float]],
                   budget: float = 300.0, experiment: str = "retention_v1", key: str = "customer_id") -> DataFrame:
+    """``score_fn``: df -> df with p (a scorecard or a fitted model); ``explain``: df -> df with the row's attributions."""
     v = Q.validate_rows(customers, Q.INFERENCE_RULES)
     bad = v.filter(~F.col("valid")).select(key, F.lit(None).cast("double").alias("churn_probability"), F.lit(None).cast("string").alias("risk_tier"),
                                            F.lit("quarantined").alias("decision"), F.array_join("broken", ",").alias("notes"))
@@ -31,7 +32,7 @@ def retention_run(customers: DataFrame, score_fn, terms: dict, catalogue: list[t
     act = scored.filter(F.col("risk_tier") != "LOW")
     cf = X.cf_rank_feasibility(X.cf_constraints(X.cf_rules(act, score_fn)), k=1).select(key, F.col("action").alias("best_move"))
     # drivers and plan are worked out inside the row
-    rows = X.top_drivers(X.attrib_rows(act, terms), k=3, key=key, carry=["p", "risk_tier", "monthly_charges"])
+    rows = X.top_drivers(explain(act), k=3, key=key, carry=["p", "risk_tier", "monthly_charges"])
     rows = D.with_knapsack(rows, catalogue, fx.clv_24m(None, "monthly_charges"), budget)
     plan = F.col("plan")
     rows = rows.select(key, F.col("p").alias("churn_probability"), "risk_tier", F.col("top_abs").alias("drivers"),

@@ -92,3 +92,47 @@ def test_concordance_exact_with_many_times_and_risks(spark):
     later = t[None, :] > t[e][:, None]
     con, tie = (later & (r[None, :] < r[e][:, None])).sum(), (later & (r[None, :] == r[e][:, None])).sum()
     assert (got.concordant, got.tied_risk, got.comparable) == (con, tie, later.sum())
+
+
+def test_fitted_model_saved_loaded_scored_and_explained(spark, sf):
+    from churnlab.operators import models as MD
+    from churnlab.plans import q_models as Q
+
+    prep, model = Q.fitted(spark, sf)
+    d = Q.c360(spark, sf)
+    p = {r.customer_id: r.p for r in MD.ml_score_fn(prep, model)(d).select("customer_id", "p").collect()}
+    rows = MD.explain_fitted(prep, model)(d).select("customer_id", F.aggregate("attrib", F.lit(0.0), lambda s, x: s + x["value"]).alias("s")).collect()
+    logit = {k: math.log(v / (1 - v)) for k, v in p.items() if 1e-9 < v < 1 - 1e-9}
+    shift = {round(logit[r.customer_id] - r.s, 5) for r in rows if r.customer_id in logit}
+    assert len(p) == d.count() and len(shift) == 1  # contributions add up to the score minus the mean score
+
+
+def test_counterfactuals(spark, sf):
+    from churnlab.operators import explain as X
+    from churnlab.plans import q_models as Q
+
+    d, sc, found = Q._cf_found(spark, sf)
+    rows = found.collect()
+    p0 = {r.customer_id: r.p for r in sc(d).select("customer_id", "p").collect()}
+    per = {}
+    for r in rows:
+        assert r.new_churn_prob < 0.5 <= p0[r.customer_id] and r.changed
+        per[r.customer_id] = per.get(r.customer_id, 0) + 1
+    assert max(per.values()) <= 10
+    base = {r.customer_id: r.monthly_charges for r in d.select("customer_id", "monthly_charges").collect()}
+    cost = X.cf_cost(found, sc(d.drop("churn_probability")).withColumnRenamed("p", "churn_probability")).collect()
+    new = {(r.customer_id, r.cand): r for r in rows}
+    assert any(c.price_cut > 0 for c in cost)
+    for c in cost:
+        r = new[c.customer_id, c.cand]
+        cut = (base[c.customer_id] - r.monthly_charges) / max(base[c.customer_id], 1.0) if "monthly_charges" in r.changed else 0.0
+        assert c.churn_prob_reduction >= 0 and c.new_churn_prob >= 0.05
+        assert ("Reduce monthly price by" in c.actions) == (0 < cut <= 0.30)
+
+
+def test_rank_correlation_positional(spark):
+    from churnlab.operators.explain import rank_correlation
+
+    cases = [(["a", "b", "c"], ["a", "b", "c"], 1.0), (["a", "b"], ["c", "d"], 0.0), (["a", "b", "c"], ["c", "b", "a"], -1.0), (["a", "x"], ["a", "y"], 1.0)]
+    df = spark.createDataFrame(cases, "a array<string>, b array<string>, want double")
+    assert all(abs(r.got - r.want) < 1e-6 for r in df.select("want", rank_correlation(F.col("a"), F.col("b")).alias("got")).collect())
