@@ -124,8 +124,9 @@ def prob_of(df: DataFrame, col: str = "probability") -> Column:
 def ml_score_fn(prep, model, out: str = "p"):
     """Wrap a fitted preparation pipeline + classifier as ``score_fn``."""
     def fn(df: DataFrame) -> DataFrame:
-        t = model.transform(prep.transform(df))
-        return t.select(*[F.col(f"`{c}`") for c in df.columns if c != out], prob_of(t).alias(out))
+        # the preparation caps, fills and scales columns in place: the row is kept beside it as it came
+        t = model.transform(prep.transform(df.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in df.columns if c != out]))))
+        return t.select("_row.*", prob_of(t).alias(out))
     return fn
 
 
@@ -157,9 +158,8 @@ def explain_fitted(prep, model):
     names, weights = logistic_terms(prep, model)
 
     def fn(df: DataFrame) -> DataFrame:
-        keep = df.columns
-        t = prep.transform(df).withColumn("_x", vector_to_array("features"))
-        t = t.select(*[F.col(f"`{c}`") for c in keep], "_x")
+        t = prep.transform(df.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+        t = t.select("_row.*", vector_to_array("features").alias("_x"))
         rows = attrib_rows(t, {n: F.coalesce(F.get("_x", F.lit(i)), F.lit(0.0)) * w for i, (n, w) in enumerate(zip(names, weights, strict=True))})
         return rows.drop("_x")
     return fn
