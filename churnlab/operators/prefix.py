@@ -115,7 +115,7 @@ def rank_avg(df: DataFrame, key: str, by=(), weight: str | None = None) -> DataF
     return ps.withColumn("rank", (F.col("cum_n") - F.col("n")) + (F.col("n") + F.lit(1)) / F.lit(2.0)).drop("cum_n")
 
 
-def exact_percentiles(df: DataFrame, value: str, probs: list[float], by=(), bounded_groups: bool = True) -> DataFrame:
+def exact_percentiles(df: DataFrame, value: str, probs: list[float], by=(), bounded_groups: bool = True, weight: str | None = None) -> DataFrame:
     """Exact linear-interpolation percentiles (same rule as SQL ``percentile`` / ``quantile_cont``).
 
     Works on counts per distinct value plus running counts, so no group's
@@ -126,7 +126,8 @@ def exact_percentiles(df: DataFrame, value: str, probs: list[float], by=(), boun
     """
     by = list(by)
     spark = df.sparkSession
-    cnt = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.sum(weight) if weight else F.count(F.lit(1))  # weight: rows per value of an already counted table
+    cnt = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(n.alias("n"))
     cum = prefix_sum(cnt, "_v", ["n"], by=by, totals=True).withColumnRenamed("tot_n", "_N")
     tot = cum.select(*by, "_N").distinct()
     pr = spark.createDataFrame([(float(q), i) for i, q in enumerate(probs)], "prob double, _qi int")

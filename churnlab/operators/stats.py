@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from churnlab.functions import special as SP
 from churnlab.operators.prefix import exact_percentiles, prefix_sum
+from churnlab.session import cut_lineage
 
 ALPHA = 0.05
 
@@ -35,22 +36,29 @@ def hash_half(key, seed: int = 42, parts: int = 2) -> Column:
 # ---------------------------------------------------------------------------------------------
 # drift
 # ---------------------------------------------------------------------------------------------
-def drift_moments(ref: DataFrame, cur: DataFrame, cols) -> DataFrame:
-    t = _both(ref, cur, cols)
-    return t.groupBy("feature").agg(
-        F.count_if(F.col("side") == "ref").alias("n_ref"), F.count_if(F.col("side") == "cur").alias("n_cur"),
-        F.avg(F.when(F.col("side") == "ref", F.col("value"))).alias("ref_mean"),
-        F.avg(F.when(F.col("side") == "cur", F.col("value"))).alias("cur_mean"),
-        F.stddev_pop(F.when(F.col("side") == "ref", F.col("value"))).alias("ref_std"),
-        F.stddev_pop(F.when(F.col("side") == "cur", F.col("value"))).alias("cur_std"))
-
-
-def drift_ks_stat(ref: DataFrame, cur: DataFrame, cols) -> DataFrame:
+def value_counts(ref: DataFrame, cur: DataFrame, cols) -> DataFrame:
+    """(feature, value, r, c): rows of either side per distinct value, as a table.  The raw rows are scanned once; the
+    statistics below read this table."""
+    return cut_lineage(_both(ref, cur, cols).groupBy("feature", "value").agg(
+        F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cur").alias("c")))
+
+
+def drift_moments(counts: DataFrame) -> DataFrame:
+    """Rows, mean and population deviation of either side per feature, from value counts (deviations around the mean)."""
+    v, r, c = F.col("value"), F.col("r"), F.col("c")
+    m = counts.groupBy("feature").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"),
+                                      F.try_divide(F.sum(v * r), F.sum("r").cast("double")).alias("ref_mean"),
+                                      F.try_divide(F.sum(v * c), F.sum("c").cast("double")).alias("cur_mean"))
+    d = counts.join(F.broadcast(m), "feature")  # one row per feature
+    sd = d.groupBy("feature").agg(
+        F.sqrt(F.try_divide(F.sum(r * (v - F.col("ref_mean")) * (v - F.col("ref_mean"))), F.sum("r").cast("double"))).alias("ref_std"),
+        F.sqrt(F.try_divide(F.sum(c * (v - F.col("cur_mean")) * (v - F.col("cur_mean"))), F.sum("c").cast("double"))).alias("cur_std"))
+    return m.join(sd, "feature")
+
+
+def drift_ks_stat(counts: DataFrame) -> DataFrame:
     """Two-sample KS statistic D per feature: max |F_ref - F_cur| over the distinct values."""
-    t = _both(ref, cur, cols)
-    cnt = t.groupBy("feature", "value").agg(F.count_if(F.col("side") == "ref").alias("r"),
-                                             F.count_if(F.col("side") == "cur").alias("c"))
-    j = prefix_sum(cnt, "value", ["r", "c"], by=["feature"], totals=True) \
+    j = prefix_sum(counts, "value", ["r", "c"], by=["feature"], totals=True, materialize=False) \
         .withColumnRenamed("tot_r", "n_ref").withColumnRenamed("tot_c", "n_cur")
     return j.groupBy("feature").agg(
         F.max(F.abs(F.try_divide(F.col("cum_r"), F.col("n_ref").cast("double")) - F.try_divide(F.col("cum_c"), F.col("n_cur").cast("double"))))
@@ -58,8 +66,9 @@ def drift_ks_stat(ref: DataFrame, cur: DataFrame, cols) -> DataFrame:
 
 
 def drift_ks(ref: DataFrame, cur: DataFrame, cols, alpha: float = ALPHA) -> DataFrame:
-    mom = drift_moments(ref, cur, cols).filter((F.col("n_ref") >= 2) & (F.col("n_cur") >= 2))
-    d = drift_ks_stat(ref, cur, cols)
+    counts = value_counts(ref, cur, cols)
+    mom = drift_moments(counts).filter((F.col("n_ref") >= 2) & (F.col("n_cur") >= 2))
+    d = drift_ks_stat(counts)
     r = mom.join(d, "feature")
     p = SP.ks_pvalue(F.col("statistic"), F.col("n_ref"), F.col("n_cur"))
     return r.withColumn("p_value", p).withColumn("drifted", F.col("p_value") < alpha).withColumn("test", F.lit("kolmogorov_smirnov"))
@@ -110,12 +119,12 @@ def drift_split(df: DataFrame, key: str, numeric, categorical, seed: int = 42) -
 def psi(ref: DataFrame, cur: DataFrame, cols, bins: int = 10, eps: float = 1e-4) -> DataFrame:
     """Population stability index per feature on reference-decile bins (right-closed), shares floored at eps."""
     probs = [i / bins for i in range(1, bins)]
-    edges = exact_percentiles(_long(ref, cols, "ref"), "value", probs, by=["feature"])
+    counts = value_counts(ref, cur, cols)
+    edges = exact_percentiles(counts.filter(F.col("r") > 0), "value", probs, by=["feature"], weight="r")
     e = edges.groupBy("feature").agg(F.array_sort(F.collect_list("value")).alias("edges"))  # <= bins-1 values per feature
-    t = _both(ref, cur, cols).join(F.broadcast(e), "feature")
+    t = counts.join(F.broadcast(e), "feature")
     b = F.size(F.filter(F.col("edges"), lambda x: F.col("value") > x))
-    cnt = t.groupBy("feature", b.alias("bin")).agg(F.count_if(F.col("side") == "ref").alias("r"),
-                                                    F.count_if(F.col("side") == "cur").alias("c"))
+    cnt = t.groupBy("feature", b.alias("bin")).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     tot = cnt.groupBy("feature").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
     j = cnt.join(F.broadcast(tot), "feature")
     rs = F.greatest(F.col("r") / F.col("nr"), F.lit(eps))
@@ -133,15 +142,17 @@ def baseline_stats(df: DataFrame, cols) -> DataFrame:
 def zscore_flags(df: DataFrame, baseline: DataFrame, cols, key: str = "customer_id", z: float = 3.0,
                  n_features: int | None = None) -> DataFrame:
     """Per row: features with |(x - mean) / std| > z (std < 1e-9 skipped); score = flagged / n_features,
-    passed if score < 0.3.  The baseline is one row per feature and is broadcast."""
+    passed if score < 0.3.  The baseline is one row per feature; flags are found inside the row (no shuffle)."""
     nf = float(n_features or len(cols))
-    t = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-                                           for c in cols])).alias("_kv")).select(key, "_kv.feature", "_kv.value")
-    j = t.join(F.broadcast(baseline.select("feature", "mean", "std")), "feature")
-    flag = (F.col("value").isNotNull() & (F.col("std") >= 1e-9)
-            & (F.abs((F.col("value") - F.col("mean")) / F.col("std")) > z))
-    g = j.groupBy(key).agg(F.count_if(flag).alias("n_flagged"),
-                           F.array_join(F.array_sort(F.collect_list(F.when(flag, F.col("feature")))), ",").alias("flagged"))
+    stats = baseline.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std")))).alias("_s"))  # one row
+    pairs = F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in cols])
+
+    def far(x):
+        b = F.try_element_at(F.col("_s"), x["f"])
+        return x["v"].isNotNull() & (b["std"] >= 1e-9) & (F.abs(F.try_divide(x["v"] - b["mean"], b["std"])) > z)
+
+    g = df.crossJoin(F.broadcast(stats)).select(key, F.array_sort(F.transform(F.filter(pairs, far), lambda x: x["f"])).alias("_f"))
+    g = g.select(key, F.size("_f").cast("long").alias("n_flagged"), F.array_join("_f", ",").alias("flagged"))
     return g.withColumn("anomaly_score", F.col("n_flagged") / F.lit(nf)).withColumn("passed", F.col("anomaly_score") < 0.3)
 
 
