@@ -7,7 +7,7 @@ Hamming distance: texts with a common start walk in step, and after an edit the
 A fingerprint samples the embedding at shared random places: sample k reads the place below the walk's length with
 the least k-th random priority, so walks of unlike length still share most places.  It holds one byte per sample
 (the class of the character there); likeness is the share of equal samples.  Bands of samples give candidate pairs,
-which are verified by likeness and by edit distance.
+which are verified by edit distance; what they leave unconnected is compared by edit distance alone.
 
 Memory per text: about 20 bytes a character.  Null text is empty; an empty text has its own fingerprint (all zero).
 """
@@ -15,15 +15,19 @@ Memory per text: about 20 bytes a character.  Null text is empty; an empty text
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, hash128, texts_of
+from .components import connected_components
+from .simhash import _Joined as Joined
 
 PERIOD = 4096
 SAMPLES = 128
@@ -133,29 +137,113 @@ def same_samples(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return sum((F.when(F.substring(a, 2 * p + 1, 2) == F.substring(b, 2 * p + 1, 2), 1).otherwise(0) for p in range(samples)), F.lit(0)) / samples
 
 
-def near_pairs(df: DataFrame, min_likeness: float = 0.5, max_edits: float = 0.3, n_bands: int = 24, rows: int = 6,
+def near_pairs(df: DataFrame, max_edits: float = 0.3, n_bands: int = 24, rows: int = 6, block: int = 256,
                id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(pairs(a, b, likeness, edits), members(doc_id, class)): near texts by banding, likeness, then edit distance.
+    """(pairs(a, b, likeness, edits), members(doc_id, class, near)): links between near texts, and what they connect.
 
-    Equal texts are one class (its smallest id); pairs are between classes.  ``max_edits``: edits over the longer
-    text's length.  A text shares a band with itself only; band keys of many texts are split by the skew join."""
+    Equal texts are one class (its smallest id).  Two classes are near if their edit distance is at most ``max_edits``
+    of the longer text; ``near`` is the smallest class of a connected component of that relation, and the pairs are
+    links that connect each component (not all its pairs).  Bands are the fast way: in each band every text is tried
+    against the band's smallest id only.  They find little of what was edited in many places, so no pair is left to
+    them: all texts of fitting length that they left unconnected are compared by edit distance (``_unlinked``)."""
     t = texts_of(df, id_col, text_col)
     h1, h2 = hash128(F.col("text"))
     t = t.withColumn("h1", h1).withColumn("h2", h2)
     members = cut_lineage(t.groupBy("h1", "h2").agg(F.min("doc_id").alias("class")))
     reps = t.join(members, ["h1", "h2"]).filter(F.col("doc_id").eqNullSafe(F.col("class"))).dropDuplicates(["h1", "h2"]).select("class", "text")
+    reps = cut_lineage(reps)
     prints = cut_lineage(fingerprints(reps.select(F.col("class").alias("doc_id"), "text")))
-    keys = prints.select("doc_id", "fingerprint", F.explode(bands(F.col("fingerprint"), n_bands, rows)).alias("b"))
-    x = keys.select(F.col("doc_id").alias("a"), F.col("fingerprint").alias("fa"), "b")
-    y = keys.select(F.col("doc_id").alias("b_id"), F.col("fingerprint").alias("fb"), "b")
-    near = x.join(y, "b").filter(F.col("a") < F.col("b_id"))
-    near = near.withColumn("likeness", same_samples(F.col("fa"), F.col("fb"))).filter(F.col("likeness") >= min_likeness)
-    cand = near.groupBy("a", F.col("b_id").alias("b")).agg(F.max("likeness").alias("likeness"))
+    keys = prints.select("doc_id", F.explode(bands(F.col("fingerprint"), n_bands, rows)).alias("band"))
+    least = cut_lineage(keys.groupBy("band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    cand = keys.withColumnRenamed("doc_id", "b").join(least, "band").filter(F.col("a") < F.col("b")).select("a", "b").distinct()
     ta, tb = reps.select(F.col("class").alias("a"), F.col("text").alias("ta")), reps.select(F.col("class").alias("b"), F.col("text").alias("tb"))
-    both = cand.join(ta, "a").join(tb, "b")
+    banded = cut_lineage(_verified(cand.join(ta, "a").join(tb, "b"), max_edits))
+    roots = connected_components(banded).withColumnRenamed("node", "class")
+    rest = cut_lineage(_unlinked(reps.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), max_edits, block))
+    links = cut_lineage(banded.union(rest).distinct())
+    fa, fb = prints.select(F.col("doc_id").alias("a"), F.col("fingerprint").alias("fa")), prints.select(F.col("doc_id").alias("b"), F.col("fingerprint").alias("fb"))
+    pairs = links.join(fa, "a").join(fb, "b").select("a", "b", same_samples(F.col("fa"), F.col("fb")).alias("likeness"), "edits")
+    near = connected_components(links).select(F.col("node").alias("class"), F.col("root").alias("near"))
+    out = t.join(members, ["h1", "h2"]).join(near, "class", "left")
+    return pairs, out.select("doc_id", "class", F.coalesce("near", "class").alias("near"))
+
+
+@lru_cache(maxsize=1024)
+def _char_masks(text: str) -> dict[str, int]:
+    """For each character the set of its places, as the bits of one number."""
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return {chr(c): int.from_bytes(np.packbits(cp == c, bitorder="little").tobytes(), "little") for c in np.unique(cp).tolist()}
+
+
+def edits_within(a: str, b: str, most: int) -> int:
+    """Edit distance, or -1 if it is above ``most``: Myers' bit-parallel columns over the longer text."""
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > most:
+        return -1
+    if not b:
+        return len(a)
+    masks, full, top = _char_masks(a), (1 << len(a)) - 1, 1 << len(a) - 1
+    pv, mv, d, left = full, 0, len(a), len(b)
+    for c in b:
+        eq = masks.get(c, 0)
+        xv = eq | mv
+        xh = ((((eq & pv) + pv) ^ pv) | eq) & full
+        ph, mh = mv | (full ^ (xh | pv)), pv & xh
+        if ph & top:
+            d += 1
+        elif mh & top:
+            d -= 1
+        left -= 1
+        if d - left > most:  # every step to come saves one at most
+            return -1
+        ph = ((ph << 1) | 1) & full
+        pv, mv = ((mh << 1) & full) | (full ^ (xv | ph)), ph & xv
+    return d
+
+
+def _verified(both: DataFrame, max_edits: float) -> DataFrame:
+    """a, b, edits of the rows (a, b, ta, tb) whose edit distance is at most ``max_edits`` of the longer text."""
     most = F.floor(F.greatest(F.length("ta"), F.length("tb")) * max_edits).cast("int")
-    pairs = both.withColumn("edits", F.levenshtein("ta", "tb")).filter(F.col("edits") <= most).select("a", "b", "likeness", "edits")
-    return pairs, t.join(members, ["h1", "h2"]).select("doc_id", "class")
+    both = both.select("a", "b", "ta", "tb", most.alias("most")).filter(F.abs(F.length("ta") - F.length("tb")) <= F.col("most"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            edits = pa.array([edits_within(*v) for v in zip(*(c.to_pylist() for c in x.columns[2:]), strict=True)], pa.int32())
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), edits], ["a", "b", "edits"]).filter(pc.greater_equal(edits, 0))
+
+    kind = both.schema["a"].dataType.simpleString()
+    return both.mapInArrow(run, f"a {kind}, b {kind}, edits int")
+
+
+def _unlinked(nodes: DataFrame, max_edits: float, block: int) -> DataFrame:
+    """nodes(class, text, root) -> a, b, edits: links between texts of unlike root, from all pairs whose lengths allow it.
+
+    Lengths fall into steps so wide that a near pair lies in one step or in neighbours; a step's texts are dealt into
+    blocks of about ``block``, and each pair of blocks is a group of its own.  The work is the square of the texts in
+    a step: nothing cheaper finds a text in which every third character was changed.  Tasks emit spanning links only."""
+    wide = -math.log(max(1 - max_edits, 1e-9)) + 1e-9
+    nodes = nodes.filter((F.length("text") > 0) & F.col("class").isNotNull()).withColumn("step", F.floor(F.log(F.length("text")) / wide))
+    nodes = cut_lineage(nodes)
+    n = nodes.groupBy("step").count().agg(F.max("count")).first()[0] or 0
+    s = max(1, -(-n // block))
+    own, every = F.pmod(F.xxhash64("class"), F.lit(s)).cast("int"), F.sequence(F.lit(0), F.lit(s - 1))
+    x = nodes.select(F.col("class").alias("a"), F.col("text").alias("ta"), F.col("root").alias("ra"), own.alias("i"), F.explode(every).alias("j"), "step")
+    x = x.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") - 1)))  # the longer text: its own step and the one below
+    y = nodes.select(F.col("class").alias("b"), F.col("text").alias("tb"), F.col("root").alias("rb"), own.alias("j"), F.explode(every).alias("i"), "step")
+    longer = (F.length("ta") > F.length("tb")) | ((F.length("ta") == F.length("tb")) & (F.col("a") > F.col("b")))
+    near = _verified(x.join(y, ["step", "i", "j"]).filter((F.col("ra") != F.col("rb")) & longer), max_edits)
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "edits")
+
+    def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined = Joined()
+        for batch in batches:
+            new = [joined.join(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(new, pa.bool_()))
+            if len(joined.up) > 500_000:
+                joined = Joined()
+
+    return near.mapInArrow(spanning, near.schema)
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

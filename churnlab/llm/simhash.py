@@ -107,11 +107,12 @@ class _Joined:
             up[x], x = r, p
         return r
 
-    def join(self, a: int, b: int) -> None:
+    def join(self, a: int, b: int) -> bool:
         a, b = self.root(a), self.root(b)
         if a != b:
             a, b = min(a, b), max(a, b)
             self.up[b] = a
+        return a != b
 
     def stars(self) -> tuple[list[int], list[int]]:
         nodes = list(self.up)

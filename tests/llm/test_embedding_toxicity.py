@@ -7,7 +7,7 @@ import numpy as np
 from conftest import ODD, by
 
 from churnlab.llm import queries
-from churnlab.llm.edit_embedding import EditEmbedding, edited_fingerprints, fingerprints, likeness, near_pairs
+from churnlab.llm.edit_embedding import EditEmbedding, edited_fingerprints, edits_within, fingerprints, likeness, near_pairs
 from churnlab.llm.toxicity import drop_toxic, fit_linear, predict_linear, score_chain, train_chain
 
 
@@ -62,6 +62,39 @@ def test_near_pairs_recall(spark):
     assert cls[200] == (0,) and cls[201] == cls[202] == (201,)
 
 
+def test_edits_within_equals_table():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abé😀") for _ in range(rng.randint(0, 90))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        assert edits_within(a, b, 200) == row[-1] and edits_within(a, b, row[-1]) == row[-1]
+        assert edits_within(a, b, row[-1] - 1) == -1
+
+
+def test_near_pairs_scattered_edits(spark):
+    """Edits all over the text, up to the accepted rate: every copy is linked, a large group by few links."""
+    rng = random.Random(8)
+
+    def edited(t, rate):
+        t = list(t)
+        for at in rng.sample(range(len(t)), int(rate * len(t))):
+            t[at] = rng.choice(["", "#", t[at] + "#"])
+        return "".join(t)
+
+    base = ["".join(rng.choice("abcdefghij klmno") for _ in range(300)) for _ in range(8)]
+    docs = [(100 * k + n, edited(t, r)) for k, t in enumerate(base) for n, r in enumerate([0, 0.01, 0.03, 0.05, 0.1, 0.25])]
+    docs += [(900 + n, edited(base[0], 0.02)) for n in range(80)]
+    pairs, members = near_pairs(spark.createDataFrame(docs, "doc_id long, text string"), block=32)
+    near = by(members, "near")
+    assert all(near[d] == (0 if d >= 900 else d // 100 * 100,) for d, _ in docs)
+    rows, texts = pairs.collect(), dict(docs)
+    assert len(rows) < 24 * len(docs) / 2 and all(r.edits <= 0.3 * max(len(texts[r.a]), len(texts[r.b])) for r in rows)
+
+
 def test_edit_edges(spark, odd, none):
     got = by(edited_fingerprints(odd), "n_chars", "edited_sha256")
     assert got == brute.edited(ODD)
