@@ -244,7 +244,7 @@ TUNE_SPACE = {"maxIter": (100, 600), "maxDepth": (3, 10), "stepSize": (0.01, 0.3
 
 
 def tune(m: DataFrame, y: str = "churned", trials: int = 30, k: int = 5, seed: int = 42, timeout_s: float | None = 600,
-         key: str = "customer_id", rounds_cap: int | None = None, parallelism: int = 4) -> DataFrame:
+         key: str = "customer_id", parallelism: int = 4) -> DataFrame:
     """Seeded random search over the ranges above scored by k-fold exact AUC; stops after ``trials``
     or when ``timeout_s`` is used up (checked between trials).  One row per finished trial."""
     import time
@@ -256,8 +256,6 @@ def tune(m: DataFrame, y: str = "churned", trials: int = 30, k: int = 5, seed: i
         p = {"maxIter": rng.randint(*TUNE_SPACE["maxIter"]), "maxDepth": rng.randint(*TUNE_SPACE["maxDepth"]),
              "stepSize": math.exp(rng.uniform(math.log(TUNE_SPACE["stepSize"][0]), math.log(TUNE_SPACE["stepSize"][1]))),
              "subsamplingRate": rng.uniform(*TUNE_SPACE["subsamplingRate"])}
-        if rounds_cap:
-            p["maxIter"] = min(p["maxIter"], rounds_cap)
         fits = _parallel([lambda f=f: GBTClassifier(featuresCol="features", labelCol=y, weightCol="weight", seed=seed, **p)
                           .fit(folded.filter(F.col("fold") != f)) for f in range(k)], parallelism)
         scored = None

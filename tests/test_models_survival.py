@@ -136,3 +136,37 @@ def test_rank_correlation_positional(spark):
     cases = [(["a", "b", "c"], ["a", "b", "c"], 1.0), (["a", "b"], ["c", "d"], 0.0), (["a", "b", "c"], ["c", "b", "a"], -1.0), (["a", "x"], ["a", "y"], 1.0)]
     df = spark.createDataFrame(cases, "a array<string>, b array<string>, want double")
     assert all(abs(r.got - r.want) < 1e-6 for r in df.select("want", rank_correlation(F.col("a"), F.col("b")).alias("got")).collect())
+
+
+def test_registered_boosting_is_not_cut(spark, sf, monkeypatch):
+    """Rounds, trials and folds that the registered queries ask for (a fast classifier stands in for the boosted trees)."""
+    from pyspark.ml.classification import LogisticRegression
+
+    from churnlab.plans import q_models as Q
+
+    rounds, asked, tune = [], {}, MD.tune
+
+    def boosted(maxIter, featuresCol, labelCol, weightCol, **_):
+        rounds.append(maxIter)
+        return LogisticRegression(featuresCol=featuresCol, labelCol=labelCol, weightCol=weightCol, maxIter=3)
+
+    def asks(m, **given):
+        asked.update(given)
+        return tune(m, **given | {"trials": 3, "k": 2})
+
+    monkeypatch.setattr(MD, "GBTClassifier", boosted)
+    monkeypatch.setattr(MD, "tune", asks)
+    Q.q_boosted(spark, sf)
+    assert rounds == [300, 300]
+    rounds.clear()
+    _, m, _ = Q.prepared(spark, sf)
+    for name, fit in Q._learners().items():
+        if name != "random_forest":
+            fit(m)
+    assert rounds == [200, 200]
+    rounds.clear()
+    Q.q_train_all(spark, sf)
+    assert rounds == [300, 300]
+    rounds.clear()
+    tried = {r.max_iter for r in Q.q_tune(spark, sf).collect()}
+    assert not {"trials", "k"} & set(asked) and min(tried) >= 100 and set(rounds) == tried
