@@ -21,6 +21,7 @@ from churnlab.session import cut_lineage, ensure_checkpoint_dir
 from churnlab.sources.tables import customer360_table as customer360
 
 STACK_ROUNDS = 200
+NEIGHBOURS = 5000  # of a local surrogate, the reference's number
 SC_COLS = [c for c, _ in MD.LOGIT_WEIGHTS] + ["usage_30d", "usage_90d"]
 _CACHE: dict = {}
 
@@ -183,10 +184,10 @@ def _sc(spark, sf):
     return d, MD.Scorecard.fit(d)
 
 
-def _sampled(spark, sf, perms=8):
+def _sampled(spark, sf):
     d, sc = _sc(spark, sf)
     bg = FR.sample_n(d, "customer_id", 100, seed=7).select(*SC_COLS, "contract_type")
-    return X.attrib_sampled(d.select("customer_id", "contract_type", *SC_COLS), bg.select(*SC_COLS), SC_COLS, sc, perms=perms)
+    return X.attrib_sampled(d.select("customer_id", "contract_type", *SC_COLS), bg.select(*SC_COLS), SC_COLS, sc)
 
 
 @register("attrib_sampled")
@@ -212,14 +213,14 @@ def _every(spark, sf):
 @register("surrogate_local")
 def q_surrogate(spark, sf):
     d, sc, x = _every(spark, sf)
-    return out(X.surrogate_local(x, SC_COLS, sc, n=500, train=d).select("customer_id", "intercept", "weights", "local_pred"))
+    return out(X.surrogate_local(x, SC_COLS, sc, n=NEIGHBOURS, train=d).select("customer_id", "intercept", "weights", "local_pred"))
 
 
 @register("surrogate_fidelity")
 def q_fidelity(spark, sf):
     d, sc, x = _every(spark, sf)
-    sur = cut_lineage(X.surrogate_local(x, SC_COLS, sc, n=500, train=d))
-    return out(X.surrogate_fidelity(x, sur, SC_COLS, sc, n=500, train=d))
+    sur = cut_lineage(X.surrogate_local(x, SC_COLS, sc, n=NEIGHBOURS, train=d))
+    return out(X.surrogate_fidelity(x, sur, SC_COLS, sc, n=NEIGHBOURS, train=d))
 
 
 def _stability(spark, sf):
@@ -242,8 +243,8 @@ def explained_instances(spark, sf):
     from churnlab.plans.q_ml import sc_terms
     d, sc = _sc(spark, sf)
     inst = cut_lineage(_sc_inputs(d.filter(F.col("customer_id") % 50 == 0)))
-    sur = cut_lineage(X.surrogate_local(inst, SC_COLS, sc, n=500, train=d))
-    fid = X.surrogate_fidelity(inst, sur, SC_COLS, sc, n=500, train=d).select("customer_id", "fidelity")
+    sur = cut_lineage(X.surrogate_local(inst, SC_COLS, sc, n=NEIGHBOURS, train=d))
+    fid = X.surrogate_fidelity(inst, sur, SC_COLS, sc, n=NEIGHBOURS, train=d).select("customer_id", "fidelity")
     lin = X.attrib_linear(d.filter(F.col("customer_id") % 50 == 0), {k: v for k, v in sc_terms(sc).items() if k in SC_COLS})
     loc = X.surrogate_attrib(sur, SC_COLS).filter(F.col("feature").isin([k for k in sc_terms(sc) if k in SC_COLS]))  # the same features
     st = _stability(spark, sf).withColumnRenamed("query_id", "customer_id")
@@ -295,8 +296,7 @@ CF_FEATURES = [*SC_COLS, "monthly_charges", "contract_type", "plan_tier"]
 
 def _cf_found(spark, sf):
     d, sc = _sc(spark, sf)
-    donors = FR.sample_n(d, "customer_id", 200, seed=11).select(*CF_FEATURES)  # the sample is the operator's donor set
-    return d, sc, X.cf_search(d, donors, CF_FEATURES, sc, n=10)
+    return d, sc, X.cf_search(d, d.select(*CF_FEATURES), CF_FEATURES, sc, n=10)  # every customer is a donor
 
 
 @register("cf_search")

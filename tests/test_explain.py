@@ -1,5 +1,7 @@
 """Attribution efficiency and counterfactual invariants on the scorecard."""
 
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,3 +43,33 @@ def test_cf_rules_only_meaningful_drops(spark, sf):
     assert cf.filter(F.col("prob_reduction") <= 0.02 - 1e-4).count() == 0
     ranked = X.cf_rank_feasibility(cf, k=5)
     assert ranked.groupBy("customer_id").count().agg(F.max("count")).first()[0] <= 5
+
+
+def test_registered_explanations_use_the_whole_data(spark, sf, monkeypatch):
+    """Donors, neighbours and permutations that the registered queries ask for."""
+    from churnlab.operators import explain as X
+    from churnlab.plans import q_models as Q
+
+    class Asked(Exception):
+        pass
+
+    def asked(name, query):
+        seen = {}
+
+        def spy(*a, **given):
+            seen.update(inspect.signature(real).bind(*a, **given).arguments)
+            raise Asked
+
+        real = getattr(X, name)
+        with monkeypatch.context() as m, pytest.raises(Asked):
+            m.setattr(X, name, spy)
+            query(spark, sf)
+        return seen
+
+    customers = Q.c360(spark, sf)
+    for query in (Q.q_cf_search, Q.q_cf_cost):
+        assert asked("cf_search", query)["donors"].count() == customers.count()
+    for query in (Q.q_surrogate, Q.q_fidelity, Q.q_bench, Q.q_bench_rows):
+        assert asked("surrogate_local", query)["n"] == 5000
+    for query in (Q.q_attr_sampled, Q.q_agreement):
+        assert asked("attrib_sampled", query).get("perms", 16) == 16
