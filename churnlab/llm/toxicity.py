@@ -44,7 +44,7 @@ def features(text: str) -> set[str]:
 def shape(text: str, n_words: int, n_distinct: int) -> set[str]:
     n = max(1, len(text))
     marks = sum(map(text.count, "!%$&*|#@"))
-    upper = sum(map(str.isupper, text[:: max(1, n // 4096)])) / max(1, len(text[:: max(1, n // 4096)]))
+    upper = sum(map(str.isupper, text)) / n
     return {f"s:len{min(12, int(np.log2(n_words + 1)))}", f"s:marks{min(9, int(50 * marks / n))}", f"s:upper{int(5 * upper)}",
             f"s:distinct{int(6 * n_distinct / max(1, n_words))}"}
 

@@ -8,7 +8,7 @@ from conftest import ODD, by
 
 from churnlab.llm import queries
 from churnlab.llm.edit_embedding import EditEmbedding, edited_fingerprints, edits_within, fingerprints, likeness, near_pairs
-from churnlab.llm.toxicity import drop_toxic, fit_linear, predict_linear, score_chain, train_chain
+from churnlab.llm.toxicity import drop_toxic, fit_linear, predict_linear, score_chain, shape, train_chain
 
 
 def test_edit_query(spark, sf, docs):
@@ -105,6 +105,12 @@ def test_edit_edges(spark, odd, none):
     assert sorted((r.doc_id is None, r.near_next > 0.9) for r in some) == [(False, False), (False, True), (True, False)]
 
 
+def test_upper_case_share_of_a_long_regular_text():
+    text = "Ab" * 10_000  # every second character is upper case
+    assert "s:upper2" in shape(text, 1, 1) and "s:upper2" in shape(text[1:] + text[0], 1, 1)
+    assert "s:upper0" in shape("", 0, 0)
+
+
 def test_linear_model_against_closed_form():
     rng = np.random.default_rng(0)
     x = rng.random((400, 6)) < 0.4
