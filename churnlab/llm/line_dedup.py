@@ -1,8 +1,9 @@
 """Line dedup with DataFrame functions only.
 
 Every line's key is hashed (two 64-bit hashes).  Line places are range-partitioned by hash, then document and
-position, and sorted so within partitions: equal lines lie together, a hot line is cut over several partitions, and
-each partition is streamed once into one row per key (documents, first occurrence).  Keys that lose lines are joined
+position, and sorted so within partitions, then written.  The table read back has neither that partitioning nor that
+order for Spark, so documents and first occurrence of a key come from two hash aggregates (by key and document, then by
+key), not from streaming the sorted ranges.  Keys that lose lines are joined
 back to the places; what each document keeps comes out as a bitmap in run lengths, never as text.
 
 A document is a row's (doc_id, text); repeated rows count once and each gets the bitmap.  Null text is one empty
