@@ -132,3 +132,25 @@ def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     chain = train_chain(docs, toxicity_labels(table(spark, sf_dir, "labels")), ["low_quality", "toxic"])
     return score_chain(docs, chain)
+
+
+@query("op11_source_mix")
+def op11_source_mix(spark, sf_dir):
+    from .mixing import mix_digests
+
+    return mix_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark, sf_dir):
+    from .alignment import alignment_digests
+    from .common import tokenizer_path
+
+    return alignment_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark, sf_dir):
+    from .repair import repair_digests
+
+    return repair_digests(table(spark, sf_dir, "conversations"))
