@@ -12,18 +12,24 @@ empty digest.  Repeated rows are documents of their own, also under one id.  An
 
 from __future__ import annotations
 
+import hashlib
 import re
+from array import array
 from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
+from itertools import accumulate
+from operator import mul
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, texts_of
 
-UNIT_LIMIT = 150_000  # units kept per worker
+UNIT_LIMIT = 600_000  # units kept per worker, in two generations
 LONG_UNIT = 400  # characters; longer units are aligned anew each time
 BROADCAST_BYTES = 64 << 20  # of the pair table
+_LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"  # letters in every Unicode version
 _ALIGNED = ("doc_id long, uid long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
             "pairs array<struct<a:int,b:int,n:int>>")
 
@@ -38,9 +44,9 @@ def align(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
         if a1 - a0 > 1 and b1 - b0 > 1:
             mid = (a0 + a1 - 1) // 2
             for k in range(a1 - 1 - a0):  # outwards from the middle; the last end is the interval's own
-                i = mid - (k + 1) // 2 if k % 2 else mid + k // 2
-                if not a0 <= i < a1 - 1:
-                    continue
+                i = mid + (k + 1) // 2 * (-1 if k % 2 else 1)
+                if i == a1 - 1:  # an even number of ends: the one place that is left lies at the other side
+                    i = a0
                 j = bisect_left(ends_b, ends_a[i], b0, b1 - 1)
                 if j < b1 - 1 and ends_b[j] == ends_a[i]:
                     cut = (i + 1, j + 1)
@@ -91,77 +97,99 @@ class PairAligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.blank = self.b.piece_to_id("▁")
+        self.names = [str(i) for i in range(max(self.a.get_vocab_size(), len(pieces)) + 1)]
         # a piece with a blank after another character, or with a line end, would reach over a cut: then texts stay whole
         joins = any(re.search("[^▁]▁|\n", p) for p in pieces)
-        self.cut = re.compile(r"(?s).+") if joins else re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
+        # marks that no piece has behind a letter; the other tokenizer never joins the two
+        marks = "".join(c for c in ".,;:!?" if not any(re.search(_LETTER + re.escape(c), p) for p in pieces))
+        rest = r"\S*(?:[^\S \n]\s*\S*)*"
+        if joins:
+            self.cut = re.compile("(?s).+")
+        elif marks:
+            ends = rf"[{marks}](?=[ \n]|\Z)"
+            self.cut = re.compile(rf"(?<={_LETTER}){ends}|[ \n]\s*(?:{_LETTER}++(?={ends})|{rest})")
+        else:
+            self.cut = re.compile(rf"[ \n]\s*{rest}")
         self.units: dict[str, tuple] = {}
-
-    def _ids_b(self, unit: str) -> list[int]:
-        if unit[0] == " ":  # the model puts the blank in front
-            return self.b.encode(unit[1:]) if len(unit) > 1 else [self.blank]
-        return self.b.encode(unit)[1:]
-
-    def unit(self, unit: str) -> tuple | None:
-        """(n_a, n_b, n_groups, n_links, groups text, {a << 32 | b: occurrences}); None where bytes differ."""
-        ids_a, ids_b, raw = self.a.encode(unit, add_special_tokens=False).ids, self._ids_b(unit), unit.encode()
-        parts_a, parts_b = [self.a_bytes[i] for i in ids_a], [self.b_bytes[i] for i in ids_b]
+        self.older: dict[str, tuple] = {}
+
+    def _encoded(self, units: list[str]):
+        """Ids of both tokenizers for each unit, in one call each."""
+        ids_a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
+        # the model puts a blank in front; behind a line end nothing joins, so what follows it has none
+        texts = [u[1:] if u[0] == " " else "\n" + u for u in units]
+        ids_b = self.b.encode(texts, num_threads=1)
+        return zip(ids_a, [(i if u != " " else [self.blank]) if u[0] == " " else i[2:] for u, i in zip(units, ids_b)])
+
+    def _aligned(self, unit: str, ids_a: list[int], ids_b: list[int]) -> tuple | None:
+        """(n_a, n_b, n_groups, groups text, a << 32 | b of each link as bytes); None where bytes differ."""
+        parts_a, parts_b, raw = [self.a_bytes[i] for i in ids_a], [self.b_bytes[i] for i in ids_b], unit.encode()
         if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
             return None
-        ends_a, ends_b, n = [], [], 0
-        for p in parts_a:
-            n += len(p)
-            ends_a.append(n)
-        n = 0
-        for p in parts_b:
-            n += len(p)
-            ends_b.append(n)
-        groups, texts, i0, j0 = align(ends_a, ends_b), [], 0, 0
-        for i, j in groups:
-            texts.append(",".join(map(str, ids_a[i0:i])) + "|" + ",".join(map(str, ids_b[j0:j])))
+        if len(ids_a) == 1 or len(ids_b) == 1:  # one group, and all links of it
+            return (len(ids_a), len(ids_b), 1, f"{','.join(map(str, ids_a))}|{','.join(map(str, ids_b))}",
+                    array("q", [a << 32 | b for a in ids_a for b in ids_b]).tobytes())
+        ends_a, ends_b = list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b)))
+        names, texts, i0, j0 = self.names, [], 0, 0
+        name_a, name_b = [names[i] for i in ids_a], [names[i] for i in ids_b]
+        for i, j in align(ends_a, ends_b):
+            texts.append(f"{','.join(name_a[i0:i])}|{','.join(name_b[j0:j])}")
             i0, j0 = i, j
-        pairs: dict[int, int] = {}
-        met = links(ends_a, ends_b)
-        for i, j in met:
-            code = ids_a[i] << 32 | ids_b[j]
-            pairs[code] = pairs.get(code, 0) + 1
-        return len(ids_a), len(ids_b), len(groups), len(met), ";".join(texts), pairs
+        codes = array("q", [ids_a[i] << 32 | ids_b[j] for i, j in links(ends_a, ends_b)])
+        return len(ids_a), len(ids_b), len(texts), ";".join(texts), codes.tobytes()
+
+    def _keep(self, unit: str, got: tuple) -> None:
+        """Units used since the last change of generation stay; the generation before goes."""
+        if len(self.units) >= UNIT_LIMIT // 2:
+            self.older, self.units = self.units, {}
+        self.units[unit] = got
+
+    def _all(self, wanted) -> dict[str, tuple | None]:
+        out, need = {}, []
+        get, older = self.units.get, self.older
+        for u in wanted:
+            got = get(u)
+            if got is None:
+                got = older.get(u)
+                if got is None:
+                    need.append(u)
+                    continue
+                self._keep(u, got)
+                get, older = self.units.get, self.older
+            out[u] = got
+        for lo in range(0, len(need), 1000):
+            some = need[lo:lo + 1000]
+            for u, (a, b) in zip(some, self._encoded(some)):
+                got = out[u] = self._aligned(u, a, b)
+                if got is not None and len(u) <= LONG_UNIT:
+                    self._keep(u, got)
+        return out
 
     def text(self, text: str):
-        """The same for a whole text; None: no tokens."""
-        import hashlib
+        """(n_a, n_b, n_groups, n_links, digest, codes, occurrences) of a whole text; None: no tokens."""
+        import numpy as np
 
         if not text or "▁" in text:
             return None
-        if len(self.units) > UNIT_LIMIT:
-            self.units.clear()
-        digest, n_a, n_b, n_groups, n_links, first = hashlib.sha256(), 0, 0, 0, 0, True
-        pairs: dict[int, int] = {}
-        get, get_pair = self.units.get, pairs.get
-        group_texts = []
-        for m in self.cut.finditer(" " + text):
-            unit = m.group()
-            got = get(unit)
-            if got is None:
-                got = self.unit(unit)
-                if got is None:
-                    return None
-                if len(unit) <= LONG_UNIT:
-                    self.units[unit] = got
-            a, b, g, k, s, p = got
-            n_a += a
-            n_b += b
-            n_groups += g
-            n_links += k
-            group_texts.append(s)
-            if len(group_texts) == 4096:
-                digest.update(("" if first else ";").encode() + ";".join(group_texts).encode())
-                group_texts.clear()
-                first = False
-            for code, n in p.items():
-                pairs[code] = get_pair(code, 0) + n
-        if group_texts:
-            digest.update(("" if first else ";").encode() + ";".join(group_texts).encode())
-        return n_a, n_b, n_groups, n_links, digest.hexdigest(), pairs
+        digest, sums, codes, times, first = hashlib.sha256(), [0, 0, 0], [], [], True
+        units = self.cut.findall(" " + text)
+        for lo in range(0, len(units), 50_000):
+            some = units[lo:lo + 50_000]
+            counts = Counter(some)
+            known = self._all(counts)
+            if None in known.values():
+                return None
+            groups = {u: got[3] for u, got in known.items()}
+            digest.update(("" if first else ";").encode() + ";".join(map(groups.__getitem__, some)).encode())
+            first = False
+            n_a, n_b, n_groups, _, raw = zip(*map(known.__getitem__, counts))
+            k = counts.values()
+            sums = [s + sum(map(mul, n, k)) for s, n in zip(sums, (n_a, n_b, n_groups))]
+            codes.append(np.frombuffer(b"".join(raw), dtype=np.int64))
+            times.append(np.repeat(np.fromiter(k, np.int64, len(counts)), np.fromiter(map(len, raw), np.int64, len(raw)) // 8))
+        times = np.concatenate(times)
+        pairs, at = np.unique(np.concatenate(codes), return_inverse=True)
+        return *sums, int(times.sum()), digest.hexdigest(), pairs, np.bincount(at, times).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -180,7 +208,7 @@ def aligned_documents(df: DataFrame, path_a: str, path_b: str, id_col: str = "do
         import numpy as np
         import pyarrow as pa
 
-        al = aligner(path_a, path_b)
+        al, none = aligner(path_a, path_b), np.zeros(0, np.int64)
         pair = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())])
         for batch in batches:
             ids, uids, texts = batch.column(0), batch.column(1), batch.column(2)
@@ -189,15 +217,15 @@ def aligned_documents(df: DataFrame, path_a: str, path_b: str, id_col: str = "do
                 nums, digests, offsets, codes, counts = [], [], [0], [], []
                 for i in part:
                     got = al.text(texts[i].as_py())
-                    n_a, n_b, n_groups, n_links, digest, pairs = got or (0, 0, 0, 0, "", {})
+                    n_a, n_b, n_groups, n_links, digest, pairs, times = got or (0, 0, 0, 0, "", none, none)
                     nums.append((n_a, n_b, n_groups, n_links))
                     digests.append(digest)
-                    codes.extend(pairs)
-                    counts.extend(pairs.values())
-                    offsets.append(len(codes))
-                c = np.array(codes, dtype=np.int64)
+                    codes.append(pairs)
+                    counts.append(times)
+                    offsets.append(offsets[-1] + len(pairs))
+                c = np.concatenate(codes)
                 values = pa.StructArray.from_arrays([pa.array((c >> 32).astype(np.int32)), pa.array((c & 0xFFFFFFFF).astype(np.int32)),
-                                                     pa.array(np.array(counts, dtype=np.int32))], fields=list(pair))
+                                                     pa.array(np.concatenate(counts).astype(np.int32))], fields=list(pair))
                 cols = list(zip(*nums))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, len(part)), uids.slice(lo, len(part)), *[pa.array(x, pa.int64()) for x in cols], pa.array(digests, pa.string()),
