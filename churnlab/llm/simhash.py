@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, fresh, texts_of
+from .common import cut_lineage, fresh, hash128, texts_of
 from .components import connected_components
 
 SEED = 42
@@ -252,11 +252,15 @@ def keep_one_per_component(df: DataFrame, shingle: int = 4, max_bits: int = 4, b
                            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` (all columns) with the smallest id of their component; of rows equal in id and text, one.
 
-    A row without an id stays only where no row of its component has one."""
-    classes = simhash_components(df, shingle, max_bits, block, id_col, text_col)
-    kept, a = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), fresh(df, "_id")
-    kept = cut_lineage(kept.select(F.col("doc_id").alias(a), "n"))
-    rows = df.join(kept.select(a), df[id_col].eqNullSafe(kept[a]), "left_semi")
-    if kept.filter("n > 1").isEmpty():
-        return rows
-    return rows.dropDuplicates([id_col, text_col])  # some ids repeat
+    A row without an id stays only where no row of its component has one.  Rows are told apart by id and text, so an id
+    that repeats with another text is a document of its own."""
+    row = fresh(df, "_row")
+    h1, h2 = hash128(F.coalesce(F.col(text_col), F.lit("")))
+    named = df.withColumn(row, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), h1.alias("h1"), h2.alias("h2")))
+    classes = simhash_components(named, shingle, max_bits, block, row, text_col)
+    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = cut_lineage(kept.select(F.col("doc_id").alias("kept"), "n"))
+    rows = named.join(kept.select("kept"), F.col(row).eqNullSafe(F.col("kept")), "left_semi")
+    if not kept.filter("n > 1").isEmpty():
+        rows = rows.dropDuplicates([row])  # some rows repeat
+    return rows.drop(row)

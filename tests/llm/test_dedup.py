@@ -145,3 +145,9 @@ def test_simhash_edges(spark, odd, none):
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in got.values()})
     assert simhash_components(none).count() == 0 and keep_one_per_component(none).count() == 0
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = "one two three four five six seven eight nine ten", "red green blue black white brown grey pink gold teal"
+    d = spark.createDataFrame([(1, a), (5, a), (5, b), (5, b), (None, a), (9, None), (9, "")], "doc_id long, text string")
+    assert sorted((r[0], r[1] or "") for r in keep_one_per_component(d).collect()) == [(1, a), (5, b), (9, "")]
