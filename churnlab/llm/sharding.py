@@ -22,52 +22,58 @@ from .common import cut_lineage, fresh
 HEAVY = 32
 
 
-def _running(rows: DataFrame, order: list[Column], size: str) -> DataFrame:
-    """rows with ``pos`` and ``before``: rows and bytes ahead of each in the global order."""
-    part = cut_lineage(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    totals = part.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b"))
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = totals.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"), F.coalesce(F.sum("b").over(ahead), F.lit(0)).alias("b0"))
-    own = Window.partitionBy("part").orderBy(*order)
-    inside = part.select("*", F.row_number().over(own).alias("_r"), F.sum(size).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("_s"))
-    return (inside.join(F.broadcast(offsets), "part")  # one row per partition of the range exchange
-            .withColumn("pos", (F.col("n0") + F.col("_r") - 1).cast("long"))
-            .withColumn("before", (F.col("b0") + F.col("_s") - F.col(size)).cast("long"))
-            .drop("part", "n0", "b0", "_r", "_s"))
+def _running(rows: DataFrame, order: list[Column], size: str) -> tuple[DataFrame, str, str]:
+    """rows with two new columns, and their names: rows and bytes ahead of each in the global order."""
+    part, n0, b0, r, s, pos, before = (fresh(rows, f"shard_{x}") for x in ("part", "n0", "b0", "r", "s", "pos", "before"))
+    placed = cut_lineage(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    totals = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b"))
+    ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = totals.select(part, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(n0), F.coalesce(F.sum("b").over(ahead), F.lit(0)).alias(b0))
+    own = Window.partitionBy(part).orderBy(*order)
+    inside = placed.select("*", F.row_number().over(own).alias(r), F.sum(size).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias(s))
+    out = (inside.join(F.broadcast(offsets), part)  # one row per partition of the range exchange
+           .withColumn(pos, (F.col(n0) + F.col(r) - 1).cast("long"))
+           .withColumn(before, (F.col(b0) + F.col(s) - F.col(size)).cast("long"))
+           .drop(part, n0, b0, r, s))
+    return out, pos, before
 
 
 def shard_by_bytes(df: DataFrame, size: str, key: str, n_shards: int = 16, group: list[str] | None = None) -> DataFrame:
     """df with shard (0 .. n_shards - 1) and slot (gapless from 0 in each shard, in the global order).
 
-    ``key`` orders rows (within their group); ``group`` lists columns whose equal values stay together."""
+    ``key`` orders rows (within their group); ``group`` lists columns whose equal values stay together.  Columns that df
+    already has stay: a shard or slot of its own makes the new ones ``shard_`` and ``slot_``.  A group below a shard's
+    target is never cut, so a shard may hold up to two targets where all groups are that large; an empty table gives an
+    empty result."""
     group = group or []
     total = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     target = max(total / n_shards, 1e-9)
-    w = fresh(df, "weight")
+    w, shard_col, slot_col = fresh(df, "shard_weight"), fresh(df, "shard"), fresh(df, "slot")
     rows = df.withColumn(w, F.lit(0).cast("long"))
     if group:
         heavy = df.groupBy(*group).agg(F.sum(size).cast("long").alias(w)).filter(F.col(w) > target / HEAVY)  # n_shards * HEAVY rows at most
         rows = df.join(F.broadcast(heavy), group, "left").withColumn(w, F.coalesce(w, F.lit(0).cast("long")))
     order = [F.col(w).desc(), *map(F.col, group), F.col(key).asc_nulls_first()]
-    placed = cut_lineage(_running(rows, order, size))
+    placed, pos, before = _running(rows, order, size)
+    placed = cut_lineage(placed)
     cuts = [target * b for b in range(1, n_shards)]
     if group:  # the groups that the cuts fall into: n_shards - 1 at most
-        inside = placed.select(*group, "before", F.col(size).alias("size"))
+        a, b = fresh(df, "shard_a"), fresh(df, "shard_b")
+        inside = placed.select(*group, F.col(before).alias(a), (F.col(before) + F.col(size)).alias(b))
         wanted = F.lit(False)
         for c in cuts:
-            wanted = wanted | ((F.col("before") < c) & (F.col("before") + F.col("size") >= c))
+            wanted = wanted | ((F.col(a) < c) & (F.col(b) >= c))
         straddled = inside.filter(wanted).select(*group).distinct()
-        ends = (inside.join(F.broadcast(straddled), group, "left_semi").groupBy(*group)
-                .agg(F.min("before").alias("a"), F.max(F.col("before") + F.col("size")).alias("b")).select("a", "b").collect())
+        ends = inside.join(F.broadcast(straddled), group, "left_semi").groupBy(*group).agg(F.min(a).alias(a), F.max(b).alias(b)).select(a, b).collect()
         for k, c in enumerate(cuts):
-            for a, b in ends:
-                if a < c < b and b - a <= target:
-                    cuts[k] = a if c - a <= b - c else b
-    middle = F.col("before") + (0 if group else F.col(size) / 2)
+            for lo, hi in ends:
+                if lo < c < hi and hi - lo <= target:
+                    cuts[k] = lo if c - lo <= hi - c else hi
+    middle = F.col(before) + (0 if group else F.col(size) / 2)
     shard = sum((F.when(middle >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    out = placed.withColumn("shard", shard.cast("int"))
-    first = out.groupBy("shard").agg(F.min("pos").alias("_first"))
-    return out.join(F.broadcast(first), "shard").withColumn("slot", (F.col("pos") - F.col("_first")).cast("long")).drop(w, "pos", "before", "_first")
+    out, first_col = placed.withColumn(shard_col, shard.cast("int")), fresh(placed, "shard_first")
+    first = out.groupBy(shard_col).agg(F.min(pos).alias(first_col))
+    return out.join(F.broadcast(first), shard_col).withColumn(slot_col, (F.col(pos) - F.col(first_col)).cast("long")).drop(w, pos, before, first_col)
 
 
 def document_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from churnlab.llm import queries
 from churnlab.llm.chat import CLOSE, OPEN, conversation_digests, escape, format_windows, read_windows, unescape
-from churnlab.llm.sharding import document_shards
+from churnlab.llm.sharding import document_shards, shard_by_bytes
 
 DIGEST = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")
 ROWS = "conv_id long, turn long, role string, text string"
@@ -102,3 +102,20 @@ def test_shards_hot_group_and_edges(spark, odd, none):
     assert sum(size.values()) == sum(len((t or "").encode()) + 1 for _, t in ODD)
     assert document_shards(none).count() == 0
     assert document_shards(odd.union(odd)).count() == 2 * len(ODD)
+
+
+def test_shards_keep_columns_of_the_same_names(spark):
+    rows = [(k, k % 7 + 1, f"p{k}", -k, "s", k * 2) for k in range(200)]
+    d = spark.createDataFrame(rows, "k long, size long, pos string, part long, shard string, before long")
+    for group in (None, ["part"]):
+        got = shard_by_bytes(d, "size", "k", 4, group)
+        assert set(got.columns) == {*d.columns, "shard_", "slot"}
+        assert sorted(tuple(r[c] for c in d.columns) for r in got.collect()) == sorted(rows)
+        assert {r["shard_"] for r in got.collect()} == {0, 1, 2, 3}
+
+
+def test_large_groups_stay_below_two_shards(spark):
+    rows = [(g * 100 + k, f"g{g}") for g in range(18) for k in range(100)]
+    d = spark.createDataFrame(rows, "k long, g string").selectExpr("*", "1L AS size")
+    sizes = [r["n"] for r in shard_by_bytes(d, "size", "k", 16, ["g"]).groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+    assert sum(sizes) == 1800 and max(sizes) < 2 * 1800 / 16
