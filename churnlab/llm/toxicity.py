@@ -17,6 +17,7 @@ gets its smoothed share as a constant.  Empty labels give 0.5, and nothing is re
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -35,7 +36,8 @@ _WORDS = re.compile(r"[^\W\d_]+")
 def features(text: str) -> set[str]:
     words = _WORDS.findall(text.lower())
     own = set(words)
-    out = {"w:" + w for w in own if len(w) < 40}
+    # a long word is named by its start and a digest of the whole: memory stays bounded, no word is left out
+    out = {"w:" + (w if len(w) < 40 else w[:8] + hashlib.sha256(w.encode()).hexdigest()[:24]) for w in own}
     out.update({"p:" + w[:4] for w in own if len(w) > 4})
     out.update(shape(text, len(words), len(own)))
     return out

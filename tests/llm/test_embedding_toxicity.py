@@ -152,3 +152,10 @@ def test_toxicity_query_and_edges(spark, sf, docs, odd, none):
         kept = drop_toxic(odd, spark.createDataFrame(lab, schema))
         assert kept.columns == odd.columns and (lab and len(lab) > 2 or kept.count() == len(ODD))
     assert drop_toxic(none, spark.createDataFrame([], schema)).count() == 0
+
+
+def test_long_words_are_features():
+    from churnlab.llm.toxicity import features
+
+    a, b = features("z" * 45 + " bad"), features("z" * 44 + "y bad")
+    assert {f for f in a if f.startswith("w:")} != {f for f in b if f.startswith("w:")} and len([f for f in a if f.startswith("w:")]) == 2
