@@ -18,9 +18,9 @@ from churnlab.session import cut_lineage, require_small
 
 
 def hash_uniform(*parts) -> Column:
-    """Deterministic U(0,1) from md5 of the parts (independent of partitioning)."""
-    s = F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
-    return (F.conv(F.substring(F.md5(s), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(16 ** 13))
+    """Deterministic U(0,1) from the high 53 bits of a 64-bit hash of the parts (independent of partitioning)."""
+    h = F.xxhash64(*[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
 def hash_normal(*parts) -> Column:

@@ -9,15 +9,18 @@ from __future__ import annotations
 
 import math
 import random
+from dataclasses import replace
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlab.functions import features as fx
+from churnlab.operators.boosting import BoostParams, bin_edges, fit_many
 from churnlab.operators.metrics import auc_roc
 from churnlab.operators.prep import class_weights, prep_pipeline, stratified_folds
+from churnlab.session import cut_lineage
 
 # Churn logit of the synthetic customer generator (weights on min-max normalised inputs).
 CONTRACT_RISK = {"Month-to-Month": 1.0, "One Year": 0.4, "Two Year": 0.1}
@@ -74,10 +77,10 @@ class Scorecard:
 # ---------------------------------------------------------------------------------------------
 # Spark ML
 # ---------------------------------------------------------------------------------------------
-# Boosted-tree presets (rounds, learning rate, depth; 63 leaves ~ depth 6).
+# Boosted-tree presets (rounds, learning rate, depth or leaves, class weights, regularisation).
 BOOST_PRESETS = {
-    "xgboost": {"maxIter": 300, "stepSize": 0.05, "maxDepth": 6, "pos_weight": 2.7},
-    "lightgbm": {"maxIter": 300, "stepSize": 0.05, "maxDepth": 6, "pos_weight": None},
+    "xgboost": BoostParams(rounds=300, rate=0.05, depth=6, pos_weight=2.7, lam=1.0, min_weight=1.0),
+    "lightgbm": BoostParams(rounds=300, rate=0.05, depth=None, leaves=63, balanced=True, lam=0.0, min_weight=1e-3, min_rows=20),
 }
 
 
@@ -109,12 +112,14 @@ def fit_forest(m: DataFrame, y: str = "churned", trees: int = 300, seed: int = 4
     return RandomForestClassifier(featuresCol="features", labelCol=y, weightCol="weight", numTrees=trees, seed=seed).fit(m)
 
 
-def fit_boosted(m: DataFrame, preset: str = "xgboost", y: str = "churned", seed: int = 42, rounds: int | None = None):
+def boost_params(preset: str, seed: int = 42, rounds: int | None = None) -> BoostParams:
     p = BOOST_PRESETS[preset]
-    if p["pos_weight"] is not None:  # fixed positive weight instead of balanced weights
-        m = m.withColumn("weight", F.when(F.col(y) == 1, F.lit(p["pos_weight"])).otherwise(F.lit(1.0)))
-    return GBTClassifier(featuresCol="features", labelCol=y, weightCol="weight", maxIter=rounds or p["maxIter"],
-                         stepSize=p["stepSize"], maxDepth=p["maxDepth"], seed=seed).fit(m)
+    return replace(p, seed=seed, rounds=rounds or p.rounds)
+
+
+def fit_boosted(m: DataFrame, preset: str = "xgboost", y: str = "churned", seed: int = 42, rounds: int | None = None, key: str = "customer_id"):
+    """Depth by depth with a positive weight ("xgboost"), or best-first to 63 leaves with balanced weights ("lightgbm")."""
+    return fit_many(m, [(boost_params(preset, seed, rounds), None)], y, key)[0][0]
 
 
 def prob_of(df: DataFrame, col: str = "probability") -> Column:
@@ -207,13 +212,17 @@ def _with_prob(df: DataFrame, mdl, name: str) -> DataFrame:
 def fit_stacking(m: DataFrame, learners: dict, y: str = "churned", key: str = "customer_id", k: int = 5, seed: int = 42,
                  parallelism: int = 4):
     """Out-of-fold probabilities of each base learner -> logistic meta learner; bases refitted on all rows.
-    The k x learners fold fits (and the final refits) run concurrently."""
+
+    A learner is a fit function or :class:`BoostParams`; boosted ones are trained together, folds and final fits alike,
+    the others' fits run concurrently."""
     folded = stratified_folds(m, y, key, k, seed)
     folded = folded.coalesce(training_width(m)).persist()  # fits run one job per step: few, full partitions
     names = list(learners)
-    jobs = [(f, n) for f in range(k) for n in names]
-    fitted = _parallel([lambda f=f, n=n: learners[n](folded.filter(F.col("fold") != f)) for f, n in jobs], parallelism)
-    models = dict(zip(jobs, fitted))
+    boosted = [n for n in names if isinstance(learners[n], BoostParams)]
+    todo = [(f, n) for n in boosted for f in [*range(k), None]]
+    models = dict(zip(todo, fit_many(folded, [(learners[n], f) for f, n in todo], y, key)[0] if todo else []))
+    jobs = [(f, n) for n in names if n not in boosted for f in [*range(k), None]]
+    models.update(zip(jobs, _parallel([lambda f=f, n=n: learners[n](m if f is None else folded.filter(F.col("fold") != f)) for f, n in jobs], parallelism)))
     oof = None
     for f in range(k):
         part = folded.filter(F.col("fold") == f).select(key, y, "features")
@@ -224,7 +233,7 @@ def fit_stacking(m: DataFrame, learners: dict, y: str = "churned", key: str = "c
     from pyspark.ml.feature import VectorAssembler
     meta_in = class_weights(VectorAssembler(inputCols=[f"p_{n}" for n in names], outputCol="meta").transform(oof), y)
     meta = LogisticRegression(featuresCol="meta", labelCol=y, weightCol="weight", maxIter=500).fit(meta_in)
-    bases = dict(zip(names, _parallel([lambda n=n: learners[n](m) for n in names], parallelism)))
+    bases = {n: models[(None, n)] for n in names}
     folded.unpersist()
     return bases, meta, oof
 
@@ -239,37 +248,52 @@ def stacking_score(df: DataFrame, bases: dict, meta, key: str = "customer_id") -
     return r.select(key, *[f"p_{n}" for n in bases], prob_of(r).alias("p"))
 
 
-# Search ranges of the boosted-tree tuning (rounds, depth, learning rate log-uniform, subsample).
-TUNE_SPACE = {"maxIter": (100, 600), "maxDepth": (3, 10), "stepSize": (0.01, 0.3), "subsamplingRate": (0.6, 1.0)}
+# Search ranges of the boosted-tree tuning; "log" is drawn on a logarithmic scale, whole numbers as such.
+TUNE_SPACE = {
+    "xgboost": {"rounds": (100, 600), "depth": (3, 10), "rate": (0.01, 0.3, "log"), "subsample": (0.6, 1.0), "columns": (0.5, 1.0),
+                "min_weight": (1, 10), "gamma": (0.0, 5.0), "alpha": (0.0, 2.0), "lam": (0.5, 5.0), "pos_weight": (1.0, 5.0)},
+    "lightgbm": {"rounds": (100, 600), "leaves": (20, 150), "depth": (3, 12), "rate": (0.01, 0.3, "log"), "subsample": (0.6, 1.0),
+                 "columns": (0.5, 1.0), "min_rows": (5, 50), "alpha": (0.0, 2.0), "lam": (0.0, 5.0)},
+}
+TUNE_FIXED = {"xgboost": {}, "lightgbm": {"balanced": True, "min_weight": 1e-3}}
+
+
+def tune_trials(learner: str = "xgboost", trials: int = 30, seed: int = 42) -> list[dict]:
+    rng = random.Random(seed)
+
+    def draw(lo, hi, scale=None):
+        if scale == "log":
+            return math.exp(rng.uniform(math.log(lo), math.log(hi)))
+        return rng.randint(lo, hi) if isinstance(lo, int) else rng.uniform(lo, hi)
+
+    return [{name: draw(*span) for name, span in TUNE_SPACE[learner].items()} for _ in range(trials)]
 
 
 def tune(m: DataFrame, y: str = "churned", trials: int = 30, k: int = 5, seed: int = 42, timeout_s: float | None = 600,
-         key: str = "customer_id", parallelism: int = 4) -> DataFrame:
-    """Seeded random search over the ranges above scored by k-fold exact AUC; stops after ``trials``
-    or when ``timeout_s`` is used up (checked between trials).  One row per finished trial."""
+         key: str = "customer_id", learner: str = "xgboost", batch: int | None = None) -> DataFrame:
+    """Seeded random search over the learner's ranges, scored by k-fold exact AUC on left-out rows; one row per finished trial.
+
+    The trials x folds models of a ``batch`` of trials (None: all) are trained together; with ``timeout_s`` the time is
+    checked between batches."""
     import time
-    rng = random.Random(seed)
-    folded = stratified_folds(m, y, key, k, seed)
-    folded = folded.coalesce(training_width(m)).persist()
-    rows, t0 = [], time.time()
-    for t in range(trials):
-        p = {"maxIter": rng.randint(*TUNE_SPACE["maxIter"]), "maxDepth": rng.randint(*TUNE_SPACE["maxDepth"]),
-             "stepSize": math.exp(rng.uniform(math.log(TUNE_SPACE["stepSize"][0]), math.log(TUNE_SPACE["stepSize"][1]))),
-             "subsamplingRate": rng.uniform(*TUNE_SPACE["subsamplingRate"])}
-        fits = _parallel([lambda f=f: GBTClassifier(featuresCol="features", labelCol=y, weightCol="weight", seed=seed, **p)
-                          .fit(folded.filter(F.col("fold") != f)) for f in range(k)], parallelism)
-        scored = None
-        for f, mdl in enumerate(fits):
-            ho = folded.filter(F.col("fold") == f)
-            s = mdl.transform(ho).select(F.lit(f).alias("fold"), F.col(y), prob_of(ho).alias("p"))
-            scored = s if scored is None else scored.unionByName(s)
-        auc = auc_roc(scored, y, "p", by=["fold"]).agg(F.avg("auc_roc").alias("a")).first()["a"]  # one number
-        rows.append((t, p["maxIter"], p["maxDepth"], float(p["stepSize"]), float(p["subsamplingRate"]), float(auc)))
+    drawn = tune_trials(learner, trials, seed)
+    batch = batch or (trials if timeout_s is None else 5)
+    folded = cut_lineage(stratified_folds(m, y, key, k, seed))
+    edges = bin_edges(folded)
+    res, t0, got = [], time.time(), {}
+    for lo in range(0, trials, batch):
+        some = drawn[lo:lo + batch]
+        jobs = [(BoostParams(seed=seed, **TUNE_FIXED[learner], **p), f) for p in some for f in range(k)]
+        _, scored = fit_many(folded, jobs, y, key, edges=edges, held_out=True)
+        auc = auc_roc(scored, "y", "p", by=["job"]).select((F.floor(F.col("job") / k) + lo).cast("int").alias("trial"), "auc_roc")
+        got.update({r["trial"]: r["a"] for r in auc.groupBy("trial").agg(F.avg("auc_roc").alias("a")).collect()})  # one number a trial
         if timeout_s is not None and time.time() - t0 > timeout_s:
             break
-    folded.unpersist()
-    res = m.sparkSession.createDataFrame(rows, "trial int, max_iter int, max_depth int, step_size double, subsampling_rate double, cv_auc double")
-    return res.withColumn("best", F.col("cv_auc") == F.max("cv_auc").over(Window.partitionBy()))  # <= trials rows
+    names = list(TUNE_SPACE[learner])
+    best = max(got.values())
+    for t in sorted(got):
+        res.append((t, *[float(drawn[t][n]) for n in names], float(got[t]), got[t] == best))
+    return m.sparkSession.createDataFrame(res, ", ".join(["trial int", *[f"{n} double" for n in names], "cv_auc double", "best boolean"]))
 
 
 def train_all(train: DataFrame, test: DataFrame, y: str = "churned", key: str = "customer_id", learners: dict | None = None) -> DataFrame:

@@ -21,7 +21,8 @@ from churnlab.session import cut_lineage, ensure_checkpoint_dir
 from churnlab.sources.tables import customer360_table as customer360
 
 STACK_ROUNDS = 200
-NEIGHBOURS = 5000  # of a local surrogate, the reference's number
+NEIGHBOURS = 5000  # of a local surrogate's fit
+FRESH_NEIGHBOURS = 500  # on which its fidelity is measured
 SC_COLS = [c for c, _ in MD.LOGIT_WEIGHTS] + ["usage_30d", "usage_90d"]
 _CACHE: dict = {}
 
@@ -112,8 +113,7 @@ def q_boosted(spark, sf):
 
 
 def _learners():
-    return {"xgboost": lambda d: MD.fit_boosted(d, "xgboost", rounds=STACK_ROUNDS),
-            "lightgbm": lambda d: MD.fit_boosted(d, "lightgbm", rounds=STACK_ROUNDS),
+    return {"xgboost": MD.boost_params("xgboost", rounds=STACK_ROUNDS), "lightgbm": MD.boost_params("lightgbm", rounds=STACK_ROUNDS),
             "random_forest": lambda d: MD.fit_forest(d, trees=200)}
 
 
@@ -195,6 +195,14 @@ def q_attr_sampled(spark, sf):
     return out(_sampled(spark, sf))
 
 
+@register("attrib_trees")
+def q_attrib_trees(spark, sf):
+    """Exact attributions of the boosted trees ("xgboost" preset, fitted on the training rows) over all customers."""
+    prep, m, _ = prepared(spark, sf)
+    rows = MD.fit_boosted(m, "xgboost").attributions(prep.transform(c360(spark, sf)), _feature_names(prep))
+    return out(rows.select("customer_id", "base", "margin", F.explode("attrib").alias("a")).select("customer_id", "base", "margin", "a.feature", "a.value"))
+
+
 @register("attrib_agreement")
 def q_agreement(spark, sf):
     from churnlab.plans.q_ml import sc_terms
@@ -220,7 +228,7 @@ def q_surrogate(spark, sf):
 def q_fidelity(spark, sf):
     d, sc, x = _every(spark, sf)
     sur = cut_lineage(X.surrogate_local(x, SC_COLS, sc, n=NEIGHBOURS, train=d))
-    return out(X.surrogate_fidelity(x, sur, SC_COLS, sc, n=NEIGHBOURS, train=d))
+    return out(X.surrogate_fidelity(x, sur, SC_COLS, sc, n=FRESH_NEIGHBOURS, train=d))
 
 
 def _stability(spark, sf):
@@ -244,7 +252,7 @@ def explained_instances(spark, sf):
     d, sc = _sc(spark, sf)
     inst = cut_lineage(_sc_inputs(d.filter(F.col("customer_id") % 50 == 0)))
     sur = cut_lineage(X.surrogate_local(inst, SC_COLS, sc, n=NEIGHBOURS, train=d))
-    fid = X.surrogate_fidelity(inst, sur, SC_COLS, sc, n=NEIGHBOURS, train=d).select("customer_id", "fidelity")
+    fid = X.surrogate_fidelity(inst, sur, SC_COLS, sc, n=FRESH_NEIGHBOURS, train=d).select("customer_id", "fidelity")
     lin = X.attrib_linear(d.filter(F.col("customer_id") % 50 == 0), {k: v for k, v in sc_terms(sc).items() if k in SC_COLS})
     loc = X.surrogate_attrib(sur, SC_COLS).filter(F.col("feature").isin([k for k in sc_terms(sc) if k in SC_COLS]))  # the same features
     st = _stability(spark, sf).withColumnRenamed("query_id", "customer_id")

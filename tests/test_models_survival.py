@@ -139,34 +139,25 @@ def test_rank_correlation_positional(spark):
 
 
 def test_registered_boosting_is_not_cut(spark, sf, monkeypatch):
-    """Rounds, trials and folds that the registered queries ask for (a fast classifier stands in for the boosted trees)."""
-    from pyspark.ml.classification import LogisticRegression
+    """Rounds, trials and folds that the registered queries ask for (models of three rounds stand in for the full ones)."""
+    from dataclasses import replace
 
     from churnlab.plans import q_models as Q
 
-    rounds, asked, tune = [], {}, MD.tune
+    asked, fit_many = [], MD.fit_many
 
-    def boosted(maxIter, featuresCol, labelCol, weightCol, **_):
-        rounds.append(maxIter)
-        return LogisticRegression(featuresCol=featuresCol, labelCol=labelCol, weightCol=weightCol, maxIter=3)
+    def short(m, jobs, *args, **given):
+        asked.extend(jobs)
+        return fit_many(m, [(replace(p, rounds=3), f) for p, f in jobs], *args, **given)
 
-    def asks(m, **given):
-        asked.update(given)
-        return tune(m, **given | {"trials": 3, "k": 2})
-
-    monkeypatch.setattr(MD, "GBTClassifier", boosted)
-    monkeypatch.setattr(MD, "tune", asks)
+    monkeypatch.setattr(MD, "fit_many", short)
     Q.q_boosted(spark, sf)
-    assert rounds == [300, 300]
-    rounds.clear()
-    _, m, _ = Q.prepared(spark, sf)
-    for name, fit in Q._learners().items():
-        if name != "random_forest":
-            fit(m)
-    assert rounds == [200, 200]
-    rounds.clear()
+    assert [(p.rounds, p.leaves) for p, _ in asked] == [(300, None), (300, 63)]
+    asked.clear()
+    assert all(p.rounds == 200 for n, p in Q._learners().items() if n != "random_forest")
     Q.q_train_all(spark, sf)
-    assert rounds == [300, 300]
-    rounds.clear()
-    tried = {r.max_iter for r in Q.q_tune(spark, sf).collect()}
-    assert not {"trials", "k"} & set(asked) and min(tried) >= 100 and set(rounds) == tried
+    assert [p.rounds for p, _ in asked] == [300, 300]
+    asked.clear()
+    rows = Q.q_tune(spark, sf).collect()
+    assert len(rows) == 30 and len(asked) == 150 and {f for _, f in asked} == set(range(5))
+    assert len({p.rounds for p, _ in asked}) > 20 and min(p.rounds for p, _ in asked) >= 100
