@@ -147,10 +147,61 @@ def feedback_retrain(feedback: DataFrame, every: int = 50, ts: str = "ts", key:
     return c.filter(F.col("cum__one") % every == 0).select(key, ts, F.col("cum__one").alias("feedback_count"))
 
 
-def progress_latest(df: DataFrame, key: str, ts: str, cols) -> DataFrame:
-    """Latest record per key (ties broken by the last column)."""
-    return df.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(F.col(ts), F.col(cols[-1]))).alias("_l")) \
-        .select(key, "_l.*")
+def progress_latest(df: DataFrame, key: str, ts: str, cols, keep_seconds: int | None = None) -> DataFrame:
+    """Latest record per key (ties broken by the last column); with ``keep_seconds``, keys that are not older than that at
+    the latest time of the table (older ones have expired)."""
+    g = df.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(F.col(ts), F.col(cols[-1]))).alias("_l"), F.max(ts).alias("_at"))
+    return unexpired(g, "_at", keep_seconds).select(key, "_l.*")
+
+
+def unexpired(df: DataFrame, at: str, keep_seconds: int | None) -> DataFrame:
+    """Rows whose ``at`` lies less than ``keep_seconds`` before the latest one."""
+    if keep_seconds is None:
+        return df
+    now = df.agg(F.max(at).alias("_now"))  # one row
+    return df.crossJoin(F.broadcast(now)).filter(F.unix_micros(F.col("_now").cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp")) < keep_seconds * 1_000_000).drop("_now")
+
+
+def lives(pieces: DataFrame, keys, keep_seconds: int) -> DataFrame:
+    """Keyed records with a time to live: each write replaces the value and starts its time anew; after it the key is gone
+    and a further write begins a new life.
+
+    ``pieces``: keys, start and end (times of a piece's first and last write), n (its writes), last (its last record, a
+    struct that begins with its time and a tiebreak).  Pieces in any order merge to the same lives.  Returns keys, since, n,
+    last of each key's latest life, where that has not expired at the latest time of the table."""
+    us = {c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("start", "end")}
+    w = Window.partitionBy(*keys).orderBy(us["start"], us["end"])
+    before = F.max(us["end"]).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(before.isNull() | (us["start"] - before >= keep_seconds * 1_000_000), 1).otherwise(0)
+    numbered = pieces.withColumn("_fresh", fresh).withColumn("_life", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    each = numbered.groupBy(*keys, "_life").agg(F.min("start").alias("since"), F.sum("n").alias("n"), F.max("last").alias("last"), F.max("end").alias("end"))
+    latest = each.groupBy(*keys).agg(F.max_by(F.struct("since", "n", "last", "end"), "_life").alias("_r")).select(*keys, "_r.*")
+    return unexpired(latest, "end", keep_seconds).drop("end")
+
+
+def write_pieces(df: DataFrame, keys, ts: str, tiebreak: str, cols, keep_seconds: int) -> DataFrame:
+    """``df`` as pieces for :func:`lives`: writes of a key less than ``keep_seconds`` apart in one piece."""
+    last = F.max(F.struct(F.col(ts), F.col(tiebreak), *[F.col(c) for c in cols])).alias("last")
+    return df.groupBy(*keys, F.session_window(F.col(ts).cast("timestamp"), f"{keep_seconds} seconds")).agg(
+        F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("n"), last).drop("session_window")
+
+
+def latest_feedback(df: DataFrame, keys, ts: str, tiebreak: str, cols, keep_seconds: int = 90 * 86_400) -> DataFrame:
+    """Feedback per key: the last one wins and is kept for 90 days; repeats are counted."""
+    got = lives(write_pieces(df, keys, ts, tiebreak, cols, keep_seconds), keys, keep_seconds)
+    return got.select(*keys, f"last.{tiebreak}", *[f"last.{c}" for c in cols], "since", F.col("n").alias("n_writes"))
+
+
+def changes(edits: DataFrame, known: DataFrame) -> DataFrame:
+    """Change capture: edits (customer_id, field, num, text, at, tie) against the value each field has by then.
+
+    ``known`` (customer_id, field, num, text): the values before all of these edits; other customers' edits are left out.
+    One record per real change with old and new value: an equal edit is none, a change back is one."""
+    w = Window.partitionBy("customer_id", "field").orderBy("at", "tie")
+    j = edits.join(known.select("customer_id", "field", F.struct("num", "text").alias("_known")), ["customer_id", "field"])
+    j = j.withColumn("_new", F.struct("num", "text")).withColumn("_old", F.when(F.row_number().over(w) == 1, F.col("_known")).otherwise(F.lag("_new").over(w)))
+    return j.filter(~F.col("_new").eqNullSafe(F.col("_old"))).select(
+        "customer_id", "at", "field", F.col("_old.num").alias("old_num"), F.col("num").alias("new_num"), F.col("_old.text").alias("old_text"), F.col("text").alias("new_text"))
 
 
 def dedupe_first(df: DataFrame, keys, ts: str, tiebreak: str) -> DataFrame:

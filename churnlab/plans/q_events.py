@@ -129,13 +129,19 @@ def q_feedback(spark, sf):
 
 @register("st_progress_latest", rnd("""
 SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value, MAX_BY(event_id, (ts, event_id)) AS event_id
-FROM events GROUP BY user_id""", "value"))
+FROM events GROUP BY user_id HAVING (SELECT MAX(ts) FROM events) - MAX(ts) < INTERVAL 24 HOUR""", "value"))
 def q_progress(spark, sf):
-    return out(EV.progress_latest(events(spark, sf), "user_id", "ts", ["event_type", "value", "event_id"]))
+    return out(EV.progress_latest(events(spark, sf), "user_id", "ts", ["event_type", "value", "event_id"], keep_seconds=86_400))
 
 
 @register("st_dedupe_feedback", rnd("""
-SELECT user_id, event_type, event_id, value FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) AS a WHERE r = 1""", "value"))
+SELECT user_id, event_type, event_id, value, strftime(since, '%Y-%m-%d %H:%M:%S') AS since, n_writes FROM (
+  SELECT *, MAX(life) OVER (PARTITION BY user_id, event_type) AS newest FROM (
+    SELECT user_id, event_type, life, MIN(ts) AS since, MAX(ts) AS until, COUNT(*) AS n_writes, arg_max(event_id, (ts, event_id)) AS event_id,
+      arg_max(value, (ts, event_id)) AS value
+    FROM (SELECT *, SUM(CASE WHEN gap IS NULL OR gap >= INTERVAL 90 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS life
+      FROM (SELECT *, ts - LAG(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS gap FROM events) AS a) AS b
+    GROUP BY user_id, event_type, life) AS c) AS d
+WHERE life = newest AND (SELECT MAX(ts) FROM events) - until < INTERVAL 90 DAY""", "value"))
 def q_dedupe(spark, sf):
-    return out(EV.dedupe_first(events(spark, sf), ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id", "value"))
+    return out(EV.latest_feedback(events(spark, sf), ["user_id", "event_type"], "ts", "event_id", ["value"]))

@@ -24,7 +24,7 @@ def q_win_stream(spark, sf):
 
 @register("st_progress_latest_stream", _sql("st_progress_latest"))
 def q_progress_stream(spark, sf):
-    return out(S.progress_latest_stream(spark, sf))
+    return out(S.progress_latest_stream(spark, sf, keep_seconds=86_400))
 
 
 @register("st_decision_timeout_stream", _sql("st_decision_timeout"))
@@ -73,10 +73,22 @@ def q_upsert_stream(spark, sf):
     return out(S.upsert_customers_stream(spark, sf, base))
 
 
+_LONG = ("le AS (SELECT user_id AS customer_id, ts, event_id, CASE event_type WHEN 'click' THEN 'contract_type' WHEN 'purchase' THEN 'monthly_charges' "
+         "WHEN 'error' THEN 'num_support_tickets_30d' WHEN 'view' THEN 'feature_adoption_rate' WHEN 'signup' THEN 'nps_score' END AS field, "
+         "CASE WHEN event_type = 'view' THEN value / 100e0 WHEN event_type <> 'click' THEN value END AS num, "
+         "CASE WHEN event_type = 'click' THEN CASE WHEN value > 50 THEN 'Two Year' ELSE 'One Year' END END AS text FROM events)")
+_BASE = "bv AS (" + " UNION ALL ".join(
+    f"SELECT customer_id, '{c}' AS field, {'NULL' if c == 'contract_type' else c} AS num, {c if c == 'contract_type' else 'NULL'} AS text FROM c360" for c in _EDITS) + ")"
+_WIN = "(PARTITION BY le.customer_id, le.field ORDER BY ts, event_id)"
+
+
 @register("st_change_feed", rnd(with_c360(
-    "SELECT ed.customer_id, strftime(ed.ts, '%Y-%m-%d %H:%M:%S') AS updated_at, " + ", ".join(f"ed.{c}" for c in _EDITS)
-    + " FROM ed JOIN c360 AS c ON c.customer_id = ed.customer_id WHERE " + " OR ".join(f"(ed.{c} IS NOT NULL AND ed.{c} IS DISTINCT FROM c.{c})" for c in _EDITS), _ED),
-    ",".join(c for c in _EDITS if c != "contract_type")))
+    "SELECT customer_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, field, old_num, new_num, old_text, new_text FROM ch "
+    "WHERE old_num IS DISTINCT FROM new_num OR old_text IS DISTINCT FROM new_text", _LONG, _BASE,
+    "ch AS (SELECT le.customer_id, ts, le.field, le.num AS new_num, le.text AS new_text, "
+    f"CASE WHEN ROW_NUMBER() OVER {_WIN} = 1 THEN bv.num ELSE LAG(le.num) OVER {_WIN} END AS old_num, "
+    f"CASE WHEN ROW_NUMBER() OVER {_WIN} = 1 THEN bv.text ELSE LAG(le.text) OVER {_WIN} END AS old_text "
+    "FROM le JOIN bv ON bv.customer_id = le.customer_id AND bv.field = le.field WHERE le.num IS NOT NULL OR le.text IS NOT NULL)"), "old_num,new_num"))
 def q_change_feed(spark, sf):
     base = customer360(spark, sf).select("customer_id", *LK.EDITABLE)
     return out(S.change_feed_stream(spark, sf, base))

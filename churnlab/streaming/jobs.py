@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from churnlab.functions.features import risk_tier
+from churnlab.operators.events import changes, lives, unexpired, write_pieces
 from churnlab.operators.prefix import prefix_sum
 from churnlab.session import ensure_checkpoint_dir
 
@@ -148,8 +149,10 @@ PROGRESS_OUT = T.StructType([T.StructField("user_id", T.LongType()), T.StructFie
                              T.StructField("value", T.DoubleType()), T.StructField("event_id", T.LongType())])
 
 
-def progress_latest_stream(spark: SparkSession, sf_dir: str, delay: str = "0 seconds", max_files: int | None = None) -> DataFrame:
-    """Latest record per key by (time, id): every micro-batch writes its latest per key, readers keep the newest.
+def progress_latest_stream(spark: SparkSession, sf_dir: str, delay: str = "0 seconds", max_files: int | None = None,
+                           keep_seconds: int | None = None) -> DataFrame:
+    """Latest record per key by (time, id): every micro-batch writes its latest per key, readers keep the newest that has
+    not expired.
 
     The comparison is by event time, so order of arrival, lateness and the number of micro-batches do not matter."""
     s = events_stream(spark, sf_dir, max_files)
@@ -162,23 +165,24 @@ def progress_latest_stream(spark: SparkSession, sf_dir: str, delay: str = "0 sec
     run_available_now(s.writeStream.option("checkpointLocation", ck).foreachBatch(per_batch))
     if not path_exists(spark, path):
         return spark.createDataFrame([], PROGRESS_OUT)
-    return spark.read.parquet(path).groupBy("user_id").agg(F.max_by("r", "at").alias("r")).select("user_id", "r.*")
+    latest = spark.read.parquet(path).groupBy("user_id").agg(F.max_by("r", "at").alias("r"), F.max("at.ts").alias("at"))
+    return unexpired(latest, "at", keep_seconds).select("user_id", "r.*")
 
 
-def dedupe_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
-    """One row per (user, event type): the first by (time, id).  Each micro-batch writes its first per key, readers
-    keep the first of them, so arrival order does not matter."""
+def dedupe_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None, keep_seconds: int = 90 * 86_400) -> DataFrame:
+    """One row per (user, event type): the last write within its time to live, with the number of writes.  A micro-batch writes
+    its pieces of the keys' lives; readers merge the pieces, so arrival order does not matter."""
     path, ck = scratch_path(spark, "dedupe"), scratch_path(spark, "dedupe-ck")
     keys = ["user_id", "event_type"]
 
     def per_batch(df: DataFrame, batch_id: int):
-        first = df.groupBy(*keys).agg(F.min(F.struct("ts", "event_id", "value")).alias("r"))
-        first.write.mode("overwrite").parquet(f"{path}/_batch={batch_id}")
+        write_pieces(df, keys, "ts", "event_id", ["value"], keep_seconds).write.mode("overwrite").parquet(f"{path}/_batch={batch_id}")
 
     run_available_now(events_stream(spark, sf_dir, max_files).writeStream.option("checkpointLocation", ck).foreachBatch(per_batch))
     if not path_exists(spark, path):
-        return spark.createDataFrame([], "user_id long, event_type string, event_id long, value double")
-    return spark.read.parquet(path).groupBy(*keys).agg(F.min("r").alias("r")).select(*keys, "r.event_id", "r.value")
+        return spark.createDataFrame([], "user_id long, event_type string, event_id long, value double, since timestamp, n_writes long")
+    got = lives(spark.read.parquet(path).drop("_batch"), keys, keep_seconds)
+    return got.select(*keys, "last.event_id", "last.value", "since", F.col("n").alias("n_writes"))
 
 
 # ---- decision timeout: keyed state with an event-time timer -----------------------------------
@@ -319,16 +323,44 @@ def upsert_customers_stream(spark: SparkSession, sf_dir: str, base: DataFrame, m
     return j.select(*[F.coalesce(F.col(f"_e_{c}"), F.col(c)).alias(c) if c in EDITABLE else F.col(c) for c in base.columns])
 
 
+def long_edits(s: DataFrame) -> DataFrame:
+    """customer_id, field, num, text, at, tie: one row per edited field."""
+    kind = {"click": "contract_type", "purchase": "monthly_charges", "error": "num_support_tickets_30d", "view": "feature_adoption_rate", "signup": "nps_score"}
+    v, t = F.col("value"), F.col("event_type")
+    field = F.coalesce(*[F.when(t == k, F.lit(c)) for k, c in kind.items()])
+    num = F.when(t == "view", v / 100.0).when(t != "click", v)
+    text = F.when(t == "click", F.when(v > 50, "Two Year").otherwise("One Year"))
+    rows = s.select(F.col("user_id").alias("customer_id"), field.alias("field"), num.alias("num"), text.alias("text"), F.col("ts").alias("at"), F.col("event_id").alias("tie"))
+    return rows.filter(F.col("field").isNotNull() & (F.col("num").isNotNull() | F.col("text").isNotNull()))  # nulls keep the value
+
+
+def long_values(base: DataFrame) -> DataFrame:
+    """customer_id, field, num, text of the editable columns."""
+    none = F.lit(None)
+    pairs = [F.struct(F.lit(c).alias("field"), (none if c == "contract_type" else F.col(c)).cast("double").alias("num"),
+                      (F.col(c) if c == "contract_type" else none).cast("string").alias("text")) for c in EDITABLE]
+    return base.select("customer_id", F.explode(F.array(*pairs)).alias("p")).select("customer_id", "p.*")
+
+
 def change_feed_stream(spark: SparkSession, sf_dir: str, base: DataFrame, max_files: int | None = None) -> DataFrame:
-    """Stream-static join: every edit that changes a base value becomes a change record."""
-    ed = edits_from_events(events_stream(spark, sf_dir, max_files))
-    b = base.select("customer_id", *[F.col(c).alias(f"_b_{c}") for c in EDITABLE])
-    j = ed.join(b, "customer_id")
-    changed = None
-    for c in EDITABLE:
-        d = F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"_b_{c}"))
-        changed = d if changed is None else (changed | d)
-    feed = j.filter(changed).select("customer_id", "updated_at", *EDITABLE)
-    path, ck = scratch_path(spark, "changes"), scratch_path(spark, "changes-ck")
-    run_available_now(feed.writeStream.outputMode("append").option("checkpointLocation", ck).format("parquet").option("path", path))
-    return spark.read.parquet(path)
+    """Change capture against each customer's current values, which the changes move on.
+
+    A micro-batch reads the values that its predecessor left (one table per micro-batch, so a replayed one writes the same
+    again), and writes its changes and the values after them.  Within a micro-batch the order is event time."""
+    path = scratch_path(spark, "changes")
+    long_values(base).write.parquet(f"{path}/values/-1")
+
+    def per_batch(df: DataFrame, batch_id: int):
+        known = df.sparkSession.read.parquet(f"{path}/values/{batch_id - 1}")
+        ed = long_edits(df).persist()
+        changes(ed, known).write.mode("overwrite").parquet(f"{path}/feed/_batch={batch_id}")
+        last = ed.groupBy("customer_id", "field").agg(F.max_by(F.struct("num", "text"), F.struct("at", "tie")).alias("_l"))
+        j = known.join(last, ["customer_id", "field"], "left")
+        after = F.coalesce("_l", F.struct("num", "text"))
+        j.select("customer_id", "field", after["num"].alias("num"), after["text"].alias("text")).write.mode("overwrite").parquet(f"{path}/values/{batch_id}")
+        ed.unpersist()
+
+    run_available_now(events_stream(spark, sf_dir, max_files).writeStream.option("checkpointLocation", f"{path}/ck").foreachBatch(per_batch))
+    if not path_exists(spark, f"{path}/feed"):
+        return spark.createDataFrame([], "customer_id long, at timestamp, field string, old_num double, new_num double, old_text string, new_text string")
+    return spark.read.parquet(f"{path}/feed").drop("_batch")

@@ -58,8 +58,12 @@ def test_streams_over_many_shuffled_batches(spark, sf, tmp_path):
 
     latest = EV.progress_latest(ev, "user_id", "ts", ["event_type", "value", "event_id"])
     _same(latest, S.progress_latest_stream(spark, folder, max_files=1), latest.columns)
-    first = EV.dedupe_first(ev, ["user_id", "event_type"], "ts", "event_id")
-    _same(first, S.dedupe_stream(spark, folder, max_files=1), ["user_id", "event_type", "event_id"])
+    for keep in (90 * 86_400, 3 * 86_400, 6 * 3600):  # never expired, some, many lives
+        last = EV.latest_feedback(ev, ["user_id", "event_type"], "ts", "event_id", ["value"], keep)
+        _same(last, S.dedupe_stream(spark, folder, max_files=1, keep_seconds=keep), ["user_id", "event_type", "event_id", "value", "n_writes"])
+    day = EV.progress_latest(ev, "user_id", "ts", ["event_type", "value", "event_id"], keep_seconds=86_400)
+    assert day.count() < latest.count()
+    _same(day, S.progress_latest_stream(spark, folder, max_files=1, keep_seconds=86_400), day.columns)
     windows = EV.window_rate(ev, "ts", "1 hour", by=["event_type"])
     counts, late = S.windowed_counts_run(spark, folder, watermark="60 days", max_files=1)
     assert late == 0
@@ -87,3 +91,27 @@ def test_feedback_trigger_every_50(spark, sf):
     assert [r.feedback_count for r in t] == list(range(50, n + 1, 50))
     st = S.feedback_retrain_stream(spark, sf).collect()
     assert sorted(r.feedback_count for r in st) == [r.feedback_count for r in t]
+
+
+def test_last_feedback_wins_and_expires(spark):
+    rows = [("a", 1, 0, 1.0), ("a", 2, 10, 2.0), ("a", 3, 100, 3.0), ("a", 4, 105, 4.0), ("b", 5, 0, 5.0), ("c", 6, 90, 6.0), ("c", 7, 90, 7.0), ("d", 8, 110, 8.0)]
+    d = spark.createDataFrame(rows, "k string, id long, s long, v double").withColumn("t", F.timestamp_seconds("s"))
+    got = {r["k"]: (r["id"], r["v"], r["since"].second + 60 * r["since"].minute, r["n_writes"]) for r in EV.latest_feedback(d, ["k"], "t", "id", ["v"], 50).collect()}
+    assert got == {"a": (4, 4.0, 100, 2), "c": (7, 7.0, 90, 2), "d": (8, 8.0, 110, 1)}  # a begins anew at 100, b has expired
+
+
+def test_change_feed_follows_current_values(spark, sf, tmp_path):
+    """Equal edits are no change, a change back is one, whatever the number of micro-batches."""
+    base = spark.createDataFrame([(1, "One Year", 10.0, None, None, 5.0)], "customer_id long, " + ", ".join(
+        f"{c} {'string' if c == 'contract_type' else 'double'}" for c in S.EDITABLE))
+    kinds = [(1, "purchase", 20.0), (2, "purchase", 20.0), (3, "purchase", 10.0), (4, "click", 1.0), (5, "click", 60.0), (6, "signup", 5.0), (7, "purchase", 10.0), (8, "error", 2.0), (9, "login", 1.0)]
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    want = [("contract_type", None, None, "One Year", "Two Year"), ("monthly_charges", 10.0, 20.0, None, None), ("monthly_charges", 20.0, 10.0, None, None), ("num_support_tickets_30d", None, 2.0, None, None)]
+    for n, parts in (("one", [kinds]), ("many", [[k] for k in kinds])):
+        folder = tmp_path / n
+        for i, part in enumerate(parts):
+            d = spark.createDataFrame([(e, 1, t, v, e) for e, t, v in part], "event_id long, user_id long, event_type string, value double, s long")
+            d = d.withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).withColumn("props", F.lit("{}")).select([f.name for f in schema.fields])
+            d.coalesce(1).write.mode("append").parquet(str(folder / "events.parquet"))
+        feed = S.change_feed_stream(spark, str(folder), base, max_files=1)
+        assert sorted((tuple(r[c] for c in ("field", "old_num", "new_num", "old_text", "new_text")) for r in feed.collect()), key=repr) == sorted(want, key=repr)
