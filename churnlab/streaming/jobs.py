@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 import pandas as pd
@@ -45,15 +46,25 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None
     return r.option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_available_now(writer, timeout_s: int = 600):
+def run_available_now(writer, timeout_s: int = 600) -> int:
+    """Runs a query over what there is; returns the rows that its watermarks dropped.
+
+    The query keeps its last 100 progress records only, so they are read all along, by micro-batch."""
     q = writer.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
+    dropped: dict[int, int] = {}
+    until = time.monotonic() + timeout_s
+    while True:
+        ended = q.awaitTermination(0.5)
+        for p in q.recentProgress:
+            dropped[p.batchId] = max(dropped.get(p.batchId, 0), sum(int(op.get("numRowsDroppedByWatermark", 0)) for op in (p.stateOperators or [])))
+        if ended or time.monotonic() > until:
+            break
     if q.isActive:
         q.stop()
         raise TimeoutError("streaming query did not finish")
     if q.exception():
         raise RuntimeError(str(q.exception()))
-    return q
+    return sum(dropped.values())
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -81,7 +92,7 @@ def read_upserts(spark: SparkSession, path: str, keys, schema: T.StructType | No
 def windowed_counts_stream(spark: SparkSession, sf_dir: str, size: str = "1 hour", watermark: str = "1 hour", max_files: int | None = None) -> DataFrame:
     """Per-window event counts; update mode into the upsert sink.  Equals the batch result on all rows within the
     watermark delay; later ones are dropped (:func:`windowed_counts_run` also returns how many
-    partial window counts that were, from the query's last 100 micro-batches)."""
+    partial window counts that were)."""
     return windowed_counts_run(spark, sf_dir, size, watermark, max_files)[0]
 
 
@@ -90,8 +101,7 @@ def windowed_counts_run(spark, sf_dir, size: str = "1 hour", watermark: str = "1
     agg = s.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     agg = agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "n")
     path, ck = scratch_path(spark, "win"), scratch_path(spark, "win-ck")
-    q = run_available_now(agg.writeStream.outputMode("update").option("checkpointLocation", ck).foreachBatch(_batch_writer(path)))
-    late = sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in q.recentProgress for op in (p.stateOperators or []))
+    late = run_available_now(agg.writeStream.outputMode("update").option("checkpointLocation", ck).foreachBatch(_batch_writer(path)))
     return read_upserts(spark, path, ["window_start", "event_type"]), late
 
 
@@ -135,8 +145,7 @@ def _run_replay(spark: SparkSession, s: DataFrame, out: T.StructType, fn, name:
     schema = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_kind", T.StringType()), *out.fields])
     res = s.groupBy("user_id").applyInPandasWithState(fn, schema, REPLAY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     path, ck = scratch_path(spark, name), scratch_path(spark, f"{name}-ck")
-    q = run_available_now(res.writeStream.outputMode("append").option("checkpointLocation", ck).foreachBatch(_batch_writer(path)))
-    late = sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in q.recentProgress for op in (p.stateOperators or []))
+    late = run_available_now(res.writeStream.outputMode("append").option("checkpointLocation", ck).foreachBatch(_batch_writer(path)))
     if not path_exists(spark, path):
         return spark.createDataFrame([], out), late
     rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])).parquet(path)

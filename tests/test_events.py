@@ -115,3 +115,20 @@ def test_change_feed_follows_current_values(spark, sf, tmp_path):
             d.coalesce(1).write.mode("append").parquet(str(folder / "events.parquet"))
         feed = S.change_feed_stream(spark, str(folder), base, max_files=1)
         assert sorted((tuple(r[c] for c in ("field", "old_num", "new_num", "old_text", "new_text")) for r in feed.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_late_rows_of_all_micro_batches_are_counted(spark, sf, tmp_path):
+    """12 micro-batches, most with one late row, where the query keeps 4 progress records."""
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "4")
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    folder = tmp_path / "late"
+    rows = [(0, 1, "click", 1.0, 10_000_000)] + [(k, 1, "click", 1.0, 1000 * k) for k in range(1, 12)]
+    for part in ([rows[0]], *[[r] for r in rows[1:]]):
+        d = spark.createDataFrame(part, "event_id long, user_id long, event_type string, value double, s long")
+        d = d.withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).withColumn("props", F.lit("{}")).select([f.name for f in schema.fields])
+        d.coalesce(1).write.mode("append").parquet(str(folder / "events.parquet"))
+    try:
+        counts, late = S.windowed_counts_run(spark, str(folder), watermark="1 hour", max_files=1)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert late + counts.agg(F.sum("n")).first()[0] == 12 and late > 4
