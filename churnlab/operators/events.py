@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from churnlab.functions.features import risk_tier
 from churnlab.operators.prefix import prefix_sum
+from churnlab.session import cut_lineage
 
 DECISION_SECONDS = 1800
 
@@ -208,3 +209,41 @@ def dedupe_first(df: DataFrame, keys, ts: str, tiebreak: str) -> DataFrame:
     """First record per key (what ``dropDuplicatesWithinWatermark`` keeps in a stream)."""
     w = Window.partitionBy(*keys).orderBy(F.col(ts).asc(), F.col(tiebreak).asc())
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+
+
+def run_pieces(events: DataFrame) -> DataFrame:
+    """Each event as a run of one step, for :func:`merge_runs`."""
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    return events.select("user_id", F.lit(1).cast("long").alias("steps"), t.alias("first_t"), t.alias("t"), "event_id", "event_type")
+
+
+def merge_runs(pieces: DataFrame, limit_seconds: int = 300, terminal: str = "purchase", bucket_seconds: int = 3600) -> DataFrame:
+    """Runs of a user: a new one begins after a ``terminal`` event or after more than ``limit_seconds`` of silence.
+
+    ``pieces``: user_id, steps, first_t, and t, event_id, event_type of the piece's last event; events and runs that have
+    begun alike, ordered by (t, event_id).  Returns the same columns per run and ``is_last``: no run of the user follows.
+    Pieces are put together within (user, time bucket); only the first and the last run of a bucket can reach into others,
+    so a user's window sees two rows per bucket at most, however many events the user has."""
+    limit, bucket = int(limit_seconds) * 1_000_000, int(bucket_seconds) * 1_000_000
+    cols = ["user_id", "steps", "first_t", "t", "event_id", "event_type"]
+    order, last = ["t", "event_id"], F.max(F.struct("t", "event_id", "event_type")).alias("_l")
+
+    def begins(w):
+        ended = F.coalesce(F.lag("event_type").over(w) == terminal, F.lit(False))
+        return F.when(ended | (F.col("first_t") - F.lag("t").over(w) > limit), 1).otherwise(0)
+
+    def runs(df, keys, fresh):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        d = df.withColumn("_new", fresh(w)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        g = d.groupBy(*keys, "_run").agg(F.sum("steps").alias("steps"), F.min("first_t").alias("first_t"), last)
+        return g.select(*keys, "_run", "steps", "first_t", "_l.*")
+
+    local = runs(pieces.select(*cols, F.floor(F.col("t") / bucket).alias("_b")), ["user_id", "_b"], begins)
+    local = cut_lineage(local.withColumn("_top", F.max("_run").over(Window.partitionBy("user_id", "_b"))))
+    edge = (F.col("_run") == 0) | (F.col("_run") == F.col("_top"))
+    inner = local.filter(~edge).select(*cols, F.lit(False).alias("is_last"))
+    # the last run of a bucket is no continuation of its first
+    joined = runs(local.filter(edge).select(*cols, "_b", F.col("_run").alias("_r")), ["user_id"],
+                  lambda w: F.when((F.lag("_b").over(w) == F.col("_b")) & (F.col("_r") > 0), 1).otherwise(begins(w)))
+    top = F.max("_run").over(Window.partitionBy("user_id"))
+    return inner.unionByName(joined.select(*cols, (F.col("_run") == top).alias("is_last")))

@@ -6,13 +6,12 @@
   Keyed results use a merge-on-read layout: every micro-batch writes its
   upserts to ``<path>/_batch=<id>`` (idempotent on replay) and readers keep the
   newest row per key, so no micro-batch rewrites the whole table.
-* State: built-in streaming aggregation with watermarks where it suffices;
-  ``applyInPandasWithState`` with event-time timeouts for timers.
+* State: built-in streaming aggregation with watermarks where it suffices; elsewhere a
+  table of open rows that each micro-batch reads and hands on (no per-key Python state).
 """
 
 from __future__ import annotations
 
-import json
 import time
 import uuid
 
@@ -20,12 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from churnlab.functions.features import risk_tier
-from churnlab.operators.events import changes, lives, unexpired, write_pieces
+from churnlab.operators.events import changes, decision_timeout, lives, merge_runs, run_pieces, unexpired, write_pieces
 from churnlab.operators.prefix import prefix_sum
-from churnlab.session import ensure_checkpoint_dir
+from churnlab.session import cut_lineage, ensure_checkpoint_dir
 
 __all__ = ["events_stream", "scratch_path", "run_available_now", "windowed_counts_stream", "progress_latest_stream",
            "decision_timeout_stream", "feedback_retrain_stream", "dedupe_stream", "upsert_customers_stream",
@@ -105,53 +103,50 @@ def windowed_counts_run(spark, sf_dir, size: str = "1 hour", watermark: str = "1
     return read_upserts(spark, path, ["window_start", "event_type"]), late
 
 
-# ---- keyed state replayed in event-time order ---------------------------------------------------
-# Rows of a key wait in its state until the watermark has passed them, then they are final and are processed in order
-# of event time, whatever micro-batch they came in.  Every call also processes the rows still waiting, on a copy, and
-# sends that as a provisional view; readers take what is final and, per key, the last provisional view.  So a run
-# equals the batch operator on all rows that were not late; late rows are dropped by the watermark and counted.
-REPLAY_STATE = T.StructType([T.StructField("carry", T.StringType()), T.StructField("waiting", T.StringType())])
-
-
-def _replay(columns: list[str], process, due):
-    """``process(key, carry, rows, mark) -> (outputs, carry)``: rows are dicts in order; ``mark``: no row before it is to
-    come (None: nothing follows at all).  ``due(carry)``: when a carry left alone would give an output (None: never)."""
-    def fn(key, pdfs, state: GroupState):
-        carry, waiting = (json.loads(x) for x in state.get) if state.exists else (None, [])
-        user, mark = int(key[0]), state.getCurrentWatermarkMs()
-        if not state.hasTimedOut:
-            new = pd.concat(list(pdfs), ignore_index=True)
-            waiting += json.loads(new.to_json(orient="records", double_precision=15))
-        waiting.sort(key=lambda r: (r["t"], r["event_id"]))
-        ready = [r for r in waiting if r["t"] < mark * 1000]
-        waiting = waiting[len(ready):]
-        final, carry = process(user, carry, ready, mark * 1000)
-        view, _ = process(user, json.loads(json.dumps(carry)), waiting, None)
-        if carry is None and not waiting:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((json.dumps(carry), json.dumps(waiting)))
-            wake = min([t for t in (waiting[0]["t"] if waiting else None, due(carry) if carry else None) if t is not None])
-            state.setTimeoutTimestamp(max(wake // 1000, mark) + 1)  # never before the watermark
-        rows = [(user, "final", *r) for r in final] + [(user, "view", *r) for r in view]
-        rows.append((user, "seen", *[None] * len(columns)))  # an empty view replaces the last one too
-        yield pd.DataFrame(rows, columns=["_key", "_kind", *columns]).astype(object)
-    return fn
-
-
-def _run_replay(spark: SparkSession, s: DataFrame, out: T.StructType, fn, name: str) -> tuple[DataFrame, int]:
-    """(rows, rows that were late and dropped)."""
-    schema = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_kind", T.StringType()), *out.fields])
-    res = s.groupBy("user_id").applyInPandasWithState(fn, schema, REPLAY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    path, ck = scratch_path(spark, name), scratch_path(spark, f"{name}-ck")
-    late = run_available_now(res.writeStream.outputMode("append").option("checkpointLocation", ck).foreachBatch(_batch_writer(path)))
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], out), late
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])).parquet(path)
-    last = rows.groupBy(F.col("_key").alias("_k")).agg(F.max("_batch").alias("_last"))
-    keep = (F.col("_kind") == "final") | ((F.col("_kind") == "view") & (F.col("_batch") == F.col("_last")))
-    return rows.join(last, F.col("_key") == F.col("_k")).filter(keep).select(*[f.name for f in out.fields]), late
+# ---- event-time work with its open rows in a table ---------------------------------------------
+NO_MARK = -(1 << 62)
+
+
+def _advance_by_time(spark: SparkSession, s: DataFrame, rows, advance, held: str, final: str, watermark: str, name: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """Keyed work whose results are final once the watermark has passed them; what is open lies in a table of rows.
+
+    ``rows(micro-batch)``: its rows with their time ``t`` in microseconds.  ``advance(rows, held, mark) -> (final, held)``:
+    no row before ``mark`` is to come.  The mark is the latest time seen less the delay; rows before the mark that earlier
+    micro-batches left, and rows without a time, are dropped and counted.  Each micro-batch reads what its predecessor
+    held and writes its own tables, so a replayed one writes the same again.  No key is gathered in one row or one
+    Python object; how rows are dealt out is up to ``advance``.  Returns (final rows, rows held at the end, mark, dropped)."""
+    path = scratch_path(spark, name)
+    delay = pd.Timedelta(watermark) // pd.Timedelta(microseconds=1)
+
+    def table(part: str, schema: str, batch: str = "*") -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{path}/{part}/{batch}")
+
+    def clock(before: int | None = None):
+        c = table("clock", "batch long, seen long, dropped long") if path_exists(spark, f"{path}/clock") else spark.createDataFrame([], "batch long, seen long, dropped long")
+        c = c if before is None else c.filter(F.col("batch") < before)
+        r = c.agg(F.max("seen").alias("seen"), F.sum("dropped").alias("dropped"), F.max("batch").alias("batch")).first()
+        return (r["seen"] // 1000 * 1000 - delay if r["seen"] is not None else NO_MARK), r["dropped"] or 0, r["batch"]
+
+    def per_batch(df: DataFrame, batch_id: int):
+        mark, _, last = clock(batch_id)
+        df = df.persist()
+        in_time = F.coalesce(F.col("t") >= mark, F.lit(False))
+        seen = df.agg(F.max(F.unix_micros("ts"))).first()[0]
+        mark = max(mark, seen // 1000 * 1000 - delay) if seen is not None else mark
+        mine = rows(df)
+        was = table("held", held, str(last)) if last is not None else spark.createDataFrame([], held)
+        done, on = advance(mine.filter(in_time), was, mark)
+        done.write.mode("overwrite").parquet(f"{path}/final/{batch_id}")
+        on.write.mode("overwrite").parquet(f"{path}/held/{batch_id}")
+        mine.agg(F.lit(batch_id).cast("long").alias("batch"), F.lit(seen).cast("long").alias("seen"), F.count_if(~in_time).alias("dropped")) \
+            .write.mode("overwrite").parquet(f"{path}/clock/{batch_id}")
+        df.unpersist()
+
+    run_available_now(s.writeStream.option("checkpointLocation", f"{path}/ck").foreachBatch(per_batch))
+    if not path_exists(spark, f"{path}/clock"):  # no micro-batch
+        return spark.createDataFrame([], final), spark.createDataFrame([], held), NO_MARK, 0
+    mark, dropped, last = clock()
+    return table("final", final), table("held", held, str(last)), mark, dropped
 
 
 PROGRESS_OUT = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
@@ -194,32 +189,9 @@ def dedupe_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None
     return got.select(*keys, "last.event_id", "last.value", "since", F.col("n").alias("n_writes"))
 
 
-# ---- decision timeout: keyed state with an event-time timer -----------------------------------
-DECISION_OUT = T.StructType([
-    T.StructField("request_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("risk_tier", T.StringType()),
-    T.StructField("status", T.StringType()), T.StructField("decision_id", T.LongType()), T.StructField("wait_seconds", T.DoubleType()),
-])
-
-
-def _decide(limit_us: int):
-    def process(user, carry, rows, mark):
-        pending, out = carry or [], []  # [request id, time] of waiting CRITICAL requests
-        for r in rows:
-            if r["kind"] == 0:
-                if r["tier"] == "CRITICAL":
-                    pending.append([r["event_id"], r["t"]])
-                else:
-                    out.append((r["event_id"], user, r["tier"], "auto_approved_alert" if r["tier"] == "HIGH" else "auto_approved", None, None))
-                continue
-            for rid, t in pending:
-                if t < r["t"]:  # a decision answers requests before it
-                    wait = r["t"] - t
-                    out.append((rid, user, "CRITICAL", r["decision"], r["event_id"], wait / 1e6) if wait <= limit_us else (rid, user, "CRITICAL", "auto_approved", None, None))
-            pending = [p for p in pending if p[1] >= r["t"]]
-        unanswered = [p for p in pending if mark is None or p[1] + limit_us < mark]
-        out += [(rid, user, "CRITICAL", "auto_approved", None, None) for rid, _ in unanswered]
-        return out, [p for p in pending if p not in unanswered] or None
-    return process
+# ---- decision timeout: requests stay open until the watermark is past their limit -------------
+DECISION_ROWS = "user_id long, event_id long, t long, kind int, tier string, decision string"
+DECISION_OUT = "request_id long, user_id long, risk_tier string, status string, decision_id long, wait_seconds double"
 
 
 def decision_timeout_stream(spark: SparkSession, sf_dir: str, seconds: int = 1800, watermark: str = "0 seconds",
@@ -229,40 +201,33 @@ def decision_timeout_stream(spark: SparkSession, sf_dir: str, seconds: int = 180
 
 
 def decision_timeout_run(spark, sf_dir, seconds: int = 1800, watermark: str = "0 seconds", max_files: int | None = None) -> tuple[DataFrame, int]:
-    s = events_stream(spark, sf_dir, max_files).withWatermark("ts", watermark).filter(F.col("event_type").isin("view", "click", "error"))
-    s = s.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("t"),
-                 F.when(F.col("event_type") == "view", 0).otherwise(1).alias("kind"),
-                 risk_tier(F.least(F.col("value") / 100.0, F.lit(1.0))).alias("tier"),
-                 F.when(F.col("event_type") == "click", "approved").when(F.col("event_type") == "error", "rejected").alias("decision"))
+    """(outcomes, rows dropped as late).  A micro-batch settles the requests whose limit the watermark has passed with the batch
+    operator, which deals rows out by user and time bucket; the other requests, and decisions that may answer them, are held."""
     limit = seconds * 1_000_000
-    fn = _replay([f.name for f in DECISION_OUT.fields], _decide(limit), lambda pending: min(t for _, t in pending) + limit)
-    return _run_replay(spark, s, DECISION_OUT, fn, "decisions")
+
+    def rows(df):
+        return df.filter(F.col("event_type").isin("view", "click", "error")).select(
+            "user_id", "event_id", F.unix_micros("ts").alias("t"), F.when(F.col("event_type") == "view", 0).otherwise(1).alias("kind"),
+            risk_tier(F.least(F.col("value") / 100.0, F.lit(1.0))).alias("tier"),
+            F.when(F.col("event_type") == "click", "approved").when(F.col("event_type") == "error", "rejected").alias("decision"))
+
+    def settle(asked, answers):
+        at = F.timestamp_micros("t")
+        req = asked.select(F.col("event_id").alias("request_id"), "user_id", at.alias("request_ts"), F.col("tier").alias("risk_tier"))
+        dec = answers.filter(F.col("kind") == 1).select("user_id", at.alias("decision_ts"), F.col("event_id").alias("decision_id"), "decision")
+        return decision_timeout(req, dec, seconds)
+
+    def advance(new, held, mark):
+        u, past = new.unionByName(held), F.col("t") < mark - limit
+        return settle(u.filter((F.col("kind") == 0) & past), u), u.filter(~past)
+
+    done, held, _, dropped = _advance_by_time(spark, events_stream(spark, sf_dir, max_files), rows, advance, DECISION_ROWS, DECISION_OUT, watermark, "decisions")
+    return done.unionByName(settle(held.filter(F.col("kind") == 0), held)), dropped
 
 
 # ---- run completion: terminal status or a 5-minute inactivity limit ---------------------------
-RUN_OUT = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("steps", T.LongType()),
-                        T.StructField("last_event_id", T.LongType()), T.StructField("status", T.StringType())])
-
-
-def _runs(limit_us: int, terminal: str):
-    def process(user, carry, rows, mark):
-        steps, last_t, last_id = carry or (0, None, None)
-        out = []
-        for r in rows:
-            if steps and r["t"] - last_t > limit_us:
-                out.append((user, steps, last_id, "timeout"))
-                steps = 0
-            steps, last_t, last_id = steps + 1, r["t"], r["event_id"]
-            if r["event_type"] == terminal:
-                out.append((user, steps, last_id, "complete"))
-                steps = 0
-        if steps and mark is None:
-            out.append((user, steps, last_id, "pending"))
-        elif steps and last_t + limit_us < mark:
-            out.append((user, steps, last_id, "timeout"))
-            steps = 0
-        return out, [steps, last_t, last_id] if steps else None
-    return process
+RUN_ROWS = "user_id long, steps long, first_t long, t long, event_id long, event_type string"
+RUN_OUT = "user_id long, steps long, last_event_id long, status string"
 
 
 def run_complete_stream(spark: SparkSession, sf_dir: str, limit_seconds: int = 300, terminal: str = "purchase", watermark: str = "0 seconds",
@@ -273,11 +238,24 @@ def run_complete_stream(spark: SparkSession, sf_dir: str, limit_seconds: int = 3
 
 def run_complete_run(spark, sf_dir, limit_seconds: int = 300, terminal: str = "purchase", watermark: str = "0 seconds",
                      max_files: int | None = None) -> tuple[DataFrame, int]:
-    s = events_stream(spark, sf_dir, max_files).withWatermark("ts", watermark).select(
-        "user_id", "event_id", "event_type", "ts", F.unix_micros("ts").alias("t"))
+    """(runs, rows dropped as late).  Held are the rows that the watermark has not passed and one row per run that may go on."""
     limit = limit_seconds * 1_000_000
-    fn = _replay([f.name for f in RUN_OUT.fields], _runs(limit, terminal), lambda carry: carry[1] + limit)
-    return _run_replay(spark, s, RUN_OUT, fn, "runs")
+    ended = F.coalesce(F.col("event_type") == terminal, F.lit(False))
+
+    def record(r, status):
+        return r.select("user_id", "steps", F.col("event_id").alias("last_event_id"), status.alias("status"))
+
+    def advance(new, held, mark):
+        u = new.unionByName(held)
+        ready = cut_lineage(merge_runs(u.filter(F.col("t") < mark), limit_seconds, terminal))
+        open_ = ~ended & (F.col("t") + limit >= mark)  # a run that another ready row follows is older than that
+        waiting = u.filter(F.col("t") >= mark).unionByName(ready.filter(open_).drop("is_last"))
+        return record(ready.filter(~open_), F.when(ended, "complete").otherwise("timeout")), waiting
+
+    s = events_stream(spark, sf_dir, max_files)
+    done, held, _, dropped = _advance_by_time(spark, s, run_pieces, advance, RUN_ROWS, RUN_OUT, watermark, "runs")
+    status = F.when(ended, "complete").when(F.col("is_last"), "pending").otherwise("timeout")
+    return done.unionByName(record(merge_runs(held, limit_seconds, terminal), status)), dropped
 
 
 # ---- feedback counter: running count across micro-batches, trigger every n ----------------------

@@ -1,6 +1,8 @@
 """Decision timeout border, feedback trigger, and stream == batch on the same files."""
 
 import datetime as dt
+import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -132,3 +134,69 @@ def test_late_rows_of_all_micro_batches_are_counted(spark, sf, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
     assert late + counts.agg(F.sum("n")).first()[0] == 12 and late > 4
+
+
+def _runs_by_hand(rows, limit, terminal):
+    """(user, steps, last event, last of its user) per run, row by row."""
+    got, by_user = [], {}
+    for u, t, e, k in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        by_user.setdefault(u, []).append((t, e, k))
+    for u, ev in by_user.items():
+        runs, before = [], None
+        for t, e, k in ev:
+            if before is None or before[2] == terminal or t - before[0] > limit:
+                runs.append([0, None])
+            runs[-1] = [runs[-1][0] + 1, e]
+            before = (t, e, k)
+        got += [(u, n, e, i == len(runs) - 1) for i, (n, e) in enumerate(runs)]
+    return sorted(got)
+
+
+def test_runs_across_buckets_and_hot_user(spark):
+    """A user with a third of all events: runs that span many buckets, ties, no event type; windows over rows go by bucket."""
+    rng = random.Random(3)
+    rows = [(0, rng.randrange(0, 40_000), e, rng.choice(["view", "click", None, "purchase"] + ["view"] * 40)) for e in range(1500)]
+    rows += [(rng.randrange(1, 60), rng.randrange(0, 40_000), e, rng.choice(["view", "click", "purchase"])) for e in range(1500, 4500)]
+    rows += [(99, 100 * i, 5000 + i, "view") for i in range(400)]  # one run over eleven buckets
+    d = spark.createDataFrame(rows, "user_id long, s long, event_id long, event_type string").withColumn("ts", F.timestamp_seconds("s"))
+    runs = EV.merge_runs(EV.run_pieces(d), 300)
+    assert sorted(tuple(r) for r in runs.select("user_id", "steps", "event_id", "is_last").collect()) == _runs_by_hand(rows, 300, "purchase")
+    # runs of a part, merged with the rest, are the runs of the whole
+    early = EV.merge_runs(EV.run_pieces(d.filter("s < 17000")), 300).drop("is_last")
+    both = EV.merge_runs(early.unionByName(EV.run_pieces(d.filter("s >= 17000"))), 300)
+    _same(runs.filter("user_id = 99"), both.filter("user_id = 99"), ["user_id", "steps", "event_id", "is_last"])
+    assert EV.merge_runs(EV.run_pieces(d.filter("s < 0")), 300).isEmpty()
+
+
+def test_hot_user_streams(spark, sf, tmp_path):
+    """A third of the events belong to one user: the streams give the batch result over shuffled micro-batches."""
+    ev = spark.read.parquet(f"{sf}/events.parquet").withColumn("user_id", F.when(F.col("event_id") % 3 == 0, 7).otherwise(F.col("user_id")))
+    ev.repartition(3, F.xxhash64("event_id")).write.parquet(f"{tmp_path}/hot/events.parquet")
+    stream, late = S.decision_timeout_run(spark, f"{tmp_path}/hot", watermark="60 days", max_files=1)
+    assert late == 0
+    _same(EV.decision_timeout(*EV.requests_and_decisions(ev)), stream, ["request_id", "status", "decision_id", "wait_seconds"])
+    runs, late = S.run_complete_run(spark, f"{tmp_path}/hot", watermark="60 days", max_files=1)
+    assert late == 0
+    want = EV.merge_runs(EV.run_pieces(ev), 300).select("user_id", "steps", F.col("event_id").alias("last_event_id"))
+    _same(want, runs, ["user_id", "steps", "last_event_id"])
+
+
+def test_streams_settle_as_the_watermark_moves(spark, sf, tmp_path):
+    """In-order micro-batches without delay: same results as one batch, and little is held; rows without a time are dropped and counted."""
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    ev.repartitionByRange(5, "ts").write.parquet(f"{tmp_path}/order/events.parquet")
+    req, dec = EV.requests_and_decisions(ev)
+    files = sorted((tmp_path / "order" / "events.parquet").glob("*.parquet"))
+    for i, f in enumerate(files):  # a file stream takes the oldest file first
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream, late = S.decision_timeout_run(spark, f"{tmp_path}/order", max_files=1)
+    assert late == 0
+    _same(EV.decision_timeout(req, dec), stream, ["request_id", "status", "decision_id", "wait_seconds"])
+    runs, late = S.run_complete_run(spark, f"{tmp_path}/order", max_files=1)
+    assert late == 0
+    _same(S.run_complete_stream(spark, sf), runs, ["user_id", "steps", "last_event_id", "status"])
+    ev.limit(0).write.parquet(f"{tmp_path}/empty/events.parquet")
+    assert S.run_complete_run(spark, f"{tmp_path}/empty", max_files=1)[0].isEmpty() and S.decision_timeout_run(spark, f"{tmp_path}/empty", max_files=1)[0].isEmpty()
+    nulls = ev.limit(5).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    nulls.write.parquet(f"{tmp_path}/null/events.parquet")
+    assert S.run_complete_run(spark, f"{tmp_path}/null", max_files=1)[1] == 5
