@@ -2,9 +2,9 @@
 
 Cox: Newton-Raphson with Efron ties.  Each iteration is one Spark job: per
 distinct time the sums of r = exp(x.b), x r and x x' r (all rows and events
-only) -> risk-set suffix sums (bucketed running sums) -> one row per tied death
-(explode 0..d-1) -> a single aggregate of log-likelihood, gradient and Hessian
-(p + p^2 numbers).  The p x p solve runs on the driver.  Covariates are
+only) -> risk-set suffix sums (bucketed running sums) -> closed sums over the tied
+deaths of each time -> a single aggregate of log-likelihood, gradient and Hessian
+(p + p^2 numbers), so the cost follows the distinct times.  The p x p solve runs on the driver.  Covariates are
 standardised first (as the reference library does); the penalty is
 0.5 * penalizer * ||b||^2 on the standardised scale.
 """
@@ -24,6 +24,34 @@ from churnlab.operators.prefix import prefix_sum
 from churnlab.session import cut_lineage
 
 
+def tie_sums(c, d, direct: int = 32):
+    """Columns h0, h1, h2: sums over l = 0 .. d - 1 of log(c - l), 1 / (c - l), 1 / (c - l)^2, for c >= d.
+
+    The ``direct`` smallest values are added one by one; the others are differences of log-gamma, digamma and trigamma,
+    whose expansions are exact to double precision from 32 on, so the cost does not depend on d."""
+    k = F.least(d, F.lit(float(direct)))
+    low = F.transform(F.sequence(F.lit(1), k.cast("int")), lambda i: c - d + i)
+    y, m = c - d + k + 1.0, d - k  # the rest: y, y + 1 .. y + m - 1
+    z = y + m
+
+    def added(f):
+        return F.aggregate(low, F.lit(0.0), lambda a, x: a + f(x))
+
+    def series(x, terms):
+        return sum(F.lit(a) / F.pow(x, F.lit(float(e))) for e, a in terms)
+
+    log_gamma = ((1, 1 / 12), (3, -1 / 360), (5, 1 / 1260), (7, -1 / 1680))
+    digamma = ((1, -1 / 2), (2, -1 / 12), (4, 1 / 120), (6, -1 / 252), (8, 1 / 240))
+    trigamma = ((2, 1 / 2), (3, 1 / 6), (5, -1 / 30), (7, 1 / 42), (9, -1 / 30))
+    ratio = F.log1p(m / y)
+    h0 = (y - 0.5) * ratio + m * F.log(z) - m + series(z, log_gamma) - series(y, log_gamma)
+    h1 = ratio + series(z, digamma) - series(y, digamma)
+    h2 = m / (y * z) + series(y, trigamma) - series(z, trigamma)
+    rest = [F.when(m > 0, h).otherwise(0.0) for h in (h0, h1, h2)]
+    fs = (F.log, lambda x: 1.0 / x, lambda x: 1.0 / (x * x))
+    return [(added(f) + r).alias(f"h{i}") for i, (f, r) in enumerate(zip(fs, rest))]
+
+
 def _cox_pass(d: DataFrame, p: int, beta: np.ndarray):
     xb = sum(F.col(f"x{j}") * F.lit(float(beta[j])) for j in range(p)) if p else F.lit(0.0)
     r = F.exp(xb)
@@ -38,16 +66,20 @@ def _cox_pass(d: DataFrame, p: int, beta: np.ndarray):
     per_t = d.groupBy("t").agg(*aggs)
     svals = ["a0"] + [f"a1_{j}" for j in range(p)] + [f"a2_{j}_{k}" for j in range(p) for k in range(j, p)]
     cum = prefix_sum(per_t, "t", svals, descending=True, materialize=False, prefix="s_")
-    ev = cum.filter(F.col("d") > 0).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1)))
-    fr = F.col("l") / F.col("d")
-    phi = F.col("s_a0") - fr * F.col("d0")
-    s1 = {j: F.col(f"s_a1_{j}") - fr * F.col(f"d1_{j}") for j in range(p)}
-    out = [F.sum(F.log(phi)).alias("logphi")]
+    # phi_l = a0 - l / d * d0 = q (c - l): the sums over the tied deaths l = 0 .. d - 1 have closed forms
+    ev = cum.filter(F.col("d") > 0).withColumn("q", F.col("d0") / F.col("d")).withColumn("c", F.col("s_a0") / F.col("q"))
+    ev = ev.withColumn("h", F.struct(*tie_sums(F.col("c"), F.col("d")))).select("*", "h.h0", "h.h1", "h.h2")
+    c, n, q, h1, h2 = (F.col(x) for x in ("c", "d", "q", "h1", "h2"))
+    p1, p1f = h1 / q, (c * h1 - n) / (q * n)  # sums of 1 / phi and of l / d / phi
+    p2, p2f, p2ff = h2 / (q * q), (c * h2 - h1) / (q * q * n), (c * c * h2 - 2.0 * c * h1 + n) / (q * q * n * n)
+    out = [F.sum(n * F.log(q) + F.col("h0")).alias("logphi")]
     for j in range(p):
-        out.append(F.sum(s1[j] / phi).alias(f"g_{j}"))
+        sj, dj = F.col(f"s_a1_{j}"), F.col(f"d1_{j}")
+        out.append(F.sum(sj * p1 - dj * p1f).alias(f"g_{j}"))
         for k in range(j, p):
-            s2 = F.col(f"s_a2_{j}_{k}") - fr * F.col(f"d2_{j}_{k}")
-            out.append(F.sum(s2 / phi - s1[j] * s1[k] / (phi * phi)).alias(f"h_{j}_{k}"))
+            sk, dk = F.col(f"s_a1_{k}"), F.col(f"d1_{k}")
+            outer = sj * sk * p2 - (sj * dk + sk * dj) * p2f + dj * dk * p2ff
+            out.append(F.sum(F.col(f"s_a2_{j}_{k}") * p1 - F.col(f"d2_{j}_{k}") * p1f - outer).alias(f"h_{j}_{k}"))
     tot = ev.agg(*out).first()
     ev1 = per_t.agg(F.sum("xbe").alias("xbe"), *[F.sum(f"xe_{j}").alias(f"xe_{j}") for j in range(p)]).first()
     ll = float(ev1["xbe"] or 0.0) - float(tot["logphi"] or 0.0)
