@@ -268,13 +268,10 @@ def feedback_retrain_stream(spark: SparkSession, sf_dir: str, every: int = 50, m
 
     def per_batch(df: DataFrame, batch_id: int):
         s = df.sparkSession
-        prev = 0
-        if path_exists(s, counts):
-            prev = s.read.parquet(counts).filter(F.col("_batch") < batch_id).agg(F.sum("n").alias("n")).first()["n"] or 0
+        prev = s.read.parquet(f"{counts}/{batch_id - 1}").first()["n"] if batch_id else 0  # the running total so far, one row
         f = df.filter(F.col("event_type") == "purchase").select("event_id", "ts", F.unix_micros("ts").alias("_t"), F.lit(1).alias("_one"))
         c = prefix_sum(f, "_t", ["_one"], tiebreak=[F.col("event_id").asc()])
-        c.select(F.lit(1).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).select("n") \
-            .write.mode("overwrite").parquet(f"{counts}/_batch={batch_id}")
+        c.agg((F.count(F.lit(1)) + F.lit(prev)).alias("n")).write.mode("overwrite").parquet(f"{counts}/{batch_id}")
         t = c.select("event_id", "ts", (F.col("cum__one") + F.lit(prev)).alias("feedback_count")).filter(F.col("feedback_count") % every == 0)
         t.write.mode("overwrite").parquet(f"{triggers}/_batch={batch_id}")
 
