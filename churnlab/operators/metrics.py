@@ -222,15 +222,15 @@ def batch_summary(df: DataFrame, status: str = "status") -> DataFrame:
 
 def describe_profile(df: DataFrame, cols) -> DataFrame:
     """count / mean / sample std / min / exact quartiles / max per numeric column (one row per column)."""
-    from churnlab.operators.prefix import exact_percentiles
+    from churnlab.operators.select import exact_quantiles
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols]))
                      .alias("kv")).select("kv.*")
     base = long.groupBy("feature").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
                                        F.min("value").alias("min"), F.max("value").alias("max"))
-    q = exact_percentiles(long, "value", [0.25, 0.5, 0.75], by=["feature"])
-    qw = q.groupBy("feature").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
-                                    for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
-    return base.join(qw, "feature")
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    rows = [(c, *[q.get(c, {}).get(p) for p in (0.25, 0.5, 0.75)]) for c in cols]
+    quartiles = df.sparkSession.createDataFrame(rows, "feature string, q25 double, q50 double, q75 double")
+    return base.join(F.broadcast(quartiles), "feature")
 
 
 def feedback_stats(feedback: DataFrame, outcome: str = "outcome", group: str = "ab_group", threshold: int = 50) -> DataFrame:

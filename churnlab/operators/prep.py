@@ -17,28 +17,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlab.functions import features as fx
-from churnlab.operators.prefix import exact_percentiles, prefix_sum
-
-
-def _long(df: DataFrame, cols) -> DataFrame:
-    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-                                         for c in cols])).alias("kv")).select("kv.*")
+from churnlab.operators.prefix import prefix_sum
+from churnlab.operators.select import exact_quantiles
 
 
 def fit_percentiles(df: DataFrame, cols, probs, relative_error: float = 0.0) -> dict[str, dict[float, float]]:
     """{feature: {prob: value}} — bounded by len(cols) x len(probs).
 
-    ``relative_error`` 0: exact linear-interpolation percentiles (running counts);
+    ``relative_error`` 0: exact linear-interpolation percentiles (ranks narrowed by sketches and counts);
     > 0: Spark's one-pass ``approxQuantile`` for all columns at once (Greenwald-Khanna).
     """
     if relative_error > 0:
         qs = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).approxQuantile(list(cols), list(probs), relative_error)
         return {c: {round(p, 9): v for p, v in zip(probs, q)} for c, q in zip(cols, qs)}
-    rows = exact_percentiles(_long(df, cols), "value", list(probs), by=["feature"]).collect()
-    out: dict[str, dict[float, float]] = {c: {} for c in cols}
-    for r in rows:
-        out[r["feature"]][round(r["prob"], 9)] = r["value"]
-    return out
+    got = exact_quantiles(df, cols, list(probs))
+    return {c: {round(p, 9): v for p, v in got.get(c, {}).items()} for c in cols}
 
 
 class _RelErr(Params):

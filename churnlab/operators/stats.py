@@ -7,12 +7,14 @@ small per-feature result (one row per feature / experiment).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlab.functions import special as SP
-from churnlab.operators.prefix import exact_percentiles, prefix_sum
-from churnlab.session import cut_lineage
+from churnlab.operators.prefix import prefix_sum
+from churnlab.operators.select import GRID, exact_quantiles, number, sketch_grid
 
 ALPHA = 0.05
 
@@ -36,40 +38,79 @@ def hash_half(key, seed: int = 42, parts: int = 2) -> Column:
 # ---------------------------------------------------------------------------------------------
 # drift
 # ---------------------------------------------------------------------------------------------
-def value_counts(ref: DataFrame, cur: DataFrame, cols) -> DataFrame:
-    """(feature, value, r, c): rows of either side per distinct value, as a table.  The raw rows are scanned once; the
-    statistics below read this table."""
-    return cut_lineage(_both(ref, cur, cols).groupBy("feature", "value").agg(
-        F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cur").alias("c")))
-
-
-def drift_moments(counts: DataFrame) -> DataFrame:
-    """Rows, mean and population deviation of either side per feature, from value counts (deviations around the mean)."""
-    v, r, c = F.col("value"), F.col("r"), F.col("c")
-    m = counts.groupBy("feature").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"),
-                                      F.try_divide(F.sum(v * r), F.sum("r").cast("double")).alias("ref_mean"),
-                                      F.try_divide(F.sum(v * c), F.sum("c").cast("double")).alias("cur_mean"))
-    d = counts.join(F.broadcast(m), "feature")  # one row per feature
-    sd = d.groupBy("feature").agg(
-        F.sqrt(F.try_divide(F.sum(r * (v - F.col("ref_mean")) * (v - F.col("ref_mean"))), F.sum("r").cast("double"))).alias("ref_std"),
-        F.sqrt(F.try_divide(F.sum(c * (v - F.col("cur_mean")) * (v - F.col("cur_mean"))), F.sum("c").cast("double"))).alias("cur_std"))
-    return m.join(sd, "feature")
-
-
-def drift_ks_stat(counts: DataFrame) -> DataFrame:
-    """Two-sample KS statistic D per feature: max |F_ref - F_cur| over the distinct values."""
-    j = prefix_sum(counts, "value", ["r", "c"], by=["feature"], totals=True, materialize=False) \
-        .withColumnRenamed("tot_r", "n_ref").withColumnRenamed("tot_c", "n_cur")
-    return j.groupBy("feature").agg(
-        F.max(F.abs(F.try_divide(F.col("cum_r"), F.col("n_ref").cast("double")) - F.try_divide(F.col("cum_c"), F.col("n_cur").cast("double"))))
-        .alias("statistic"))
+def drift_moments(ref: DataFrame, cur: DataFrame, cols) -> DataFrame:
+    """Rows, mean and population deviation of either side per feature (map-side partial aggregates)."""
+    v, side = F.col("value"), F.col("side")
+    of = {k: F.when(side == k, v) for k in ("ref", "cur")}
+    return _both(ref, cur, cols).groupBy("feature").agg(
+        F.count(of["ref"]).alias("n_ref"), F.count(of["cur"]).alias("n_cur"), F.avg(of["ref"]).alias("ref_mean"), F.avg(of["cur"]).alias("cur_mean"),
+        F.stddev_pop(of["ref"]).alias("ref_std"), F.stddev_pop(of["cur"]).alias("cur_std"))
+
+
+def _bucketed(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """(side, feature, bucket, value): bucket j starts at edge j - 1; NaN, the largest value, has the last one."""
+    from pyspark.ml.feature import Bucketizer
+
+    cols = list(edges)
+    vals, buckets = [f"v{i}" for i in range(len(cols))], [f"b{i}" for i in range(len(cols))]
+    wide = df.select("_side", *[(number(c) + 0.0).alias(v) for c, v in zip(cols, vals, strict=True)])  # + 0.0: one zero
+    splits = [[-math.inf, *[e + 0.0 for e in edges[c] if math.isfinite(e)], math.inf] for c in cols]
+    cut = Bucketizer(splitsArray=splits, inputCols=vals, outputCols=buckets, handleInvalid="keep").transform(wide)
+    return cut.select(F.col("_side").alias("side"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(b).cast("int").alias("bucket"), F.col(v).alias("value"))
+        for c, v, b in zip(cols, vals, buckets, strict=True)])).alias("k")).select("side", "k.*").filter(F.col("value").isNotNull())
+
+
+def _sides() -> list[Column]:
+    return [F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cur").alias("c")]
+
+
+def drift_ks_stat(ref: DataFrame, cur: DataFrame, cols, grid: int = GRID) -> DataFrame:
+    """Two-sample KS statistic D per feature: max |F_ref - F_cur| over the distinct values, exact.
+
+    Sketch quantiles cut each feature into buckets.  Their counts give the gap at every cut and a bound on the gap
+    inside; distinct values are counted, and moved, only for buckets of several values whose bound exceeds the largest
+    gap at a cut.  The driver holds features x buckets counts."""
+    cols = list(cols)
+    both = (ref.select(F.lit("ref").alias("_side"), *cols)).unionByName(cur.select(F.lit("cur").alias("_side"), *cols))
+    edges = {c: e for c, e in sketch_grid(both, cols, grid).items() if e}
+    spark = ref.sparkSession
+    schema = "feature string, statistic double"
+    if not edges:
+        return spark.createDataFrame([], schema)
+    rows = _bucketed(both, edges)
+    counts: dict[str, list] = {c: [] for c in edges}
+    for x in rows.groupBy("feature", "bucket").agg(*_sides(), (F.min("value") == F.max("value")).alias("one")).collect():
+        counts[x["feature"]].append((x["bucket"], x["r"], x["c"], x["one"]))
+    best, open_ = {}, []
+    for c, bs in counts.items():
+        nr, nc = sum(x[1] for x in bs), sum(x[2] for x in bs)
+        if not nr or not nc:
+            continue
+        d, r0, c0, bounds = 0.0, 0, 0, []
+        for b, r, k, one in sorted(bs):
+            if not one:
+                bounds.append((max((r0 + r) / nr - c0 / nc, (c0 + k) / nc - r0 / nr), b, r0, c0))
+            r0, c0 = r0 + r, c0 + k
+            d = max(d, abs(r0 / nr - c0 / nc))
+        best[c] = d
+        open_ += [(c, b, r, k, nr, nc) for bound, b, r, k in bounds if bound > d]
+    if open_:
+        look = F.lit(False)
+        for c in best:
+            look = look | ((F.col("feature") == c) & F.col("bucket").isin([o[1] for o in open_ if o[0] == c]))
+        values = rows.filter(look).groupBy("feature", "bucket", "value").agg(*_sides())
+        cum = prefix_sum(values, "value", ["r", "c"], by=["feature", "bucket"])
+        before = spark.createDataFrame(open_, "feature string, bucket int, r0 long, c0 long, nr long, nc long")
+        gap = F.abs((F.col("cum_r") + F.col("r0")) / F.col("nr") - (F.col("cum_c") + F.col("c0")) / F.col("nc"))
+        for x in cum.join(F.broadcast(before), ["feature", "bucket"]).groupBy("feature").agg(F.max(gap).alias("d")).collect():
+            best[x["feature"]] = max(best[x["feature"]], x["d"])
+    return spark.createDataFrame(list(best.items()), schema)
 
 
 def drift_ks(ref: DataFrame, cur: DataFrame, cols, alpha: float = ALPHA) -> DataFrame:
-    counts = value_counts(ref, cur, cols)
-    mom = drift_moments(counts).filter((F.col("n_ref") >= 2) & (F.col("n_cur") >= 2))
-    d = drift_ks_stat(counts)
-    r = mom.join(d, "feature")
+    mom = drift_moments(ref, cur, cols).filter((F.col("n_ref") >= 2) & (F.col("n_cur") >= 2))
+    r = mom.join(F.broadcast(drift_ks_stat(ref, cur, cols)), "feature")  # one row per feature
     p = SP.ks_pvalue(F.col("statistic"), F.col("n_ref"), F.col("n_cur"))
     return r.withColumn("p_value", p).withColumn("drifted", F.col("p_value") < alpha).withColumn("test", F.lit("kolmogorov_smirnov"))
 
@@ -118,13 +159,16 @@ def drift_split(df: DataFrame, key: str, numeric, categorical, seed: int = 42) -
 
 def psi(ref: DataFrame, cur: DataFrame, cols, bins: int = 10, eps: float = 1e-4) -> DataFrame:
     """Population stability index per feature on reference-decile bins (right-closed), shares floored at eps."""
-    probs = [i / bins for i in range(1, bins)]
-    counts = value_counts(ref, cur, cols)
-    edges = exact_percentiles(counts.filter(F.col("r") > 0), "value", probs, by=["feature"], weight="r")
-    e = edges.groupBy("feature").agg(F.array_sort(F.collect_list("value")).alias("edges"))  # <= bins-1 values per feature
-    t = counts.join(F.broadcast(e), "feature")
-    b = F.size(F.filter(F.col("edges"), lambda x: F.col("value") > x))
-    cnt = t.groupBy("feature", b.alias("bin")).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    edges = exact_quantiles(ref, cols, [i / bins for i in range(1, bins)])  # a feature without reference values is left out
+
+    def binned(df, side):
+        cells = [F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("feature"), sum((number(c) > e).cast("int") for e in qs.values()).alias("bin")))
+                 for c, qs in edges.items()]
+        return df.select(F.lit(side).alias("side"), F.explode(F.array_compact(F.array(*cells))).alias("k")).select("side", "k.*")
+
+    if not edges:
+        return ref.sparkSession.createDataFrame([], "feature string, psi double")
+    cnt = binned(ref, "ref").unionByName(binned(cur, "cur")).groupBy("feature", "bin").agg(*_sides())
     tot = cnt.groupBy("feature").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
     j = cnt.join(F.broadcast(tot), "feature")
     rs = F.greatest(F.col("r") / F.col("nr"), F.lit(eps))
