@@ -51,19 +51,22 @@ def _cells(df: DataFrame, spans: list[_Span], value) -> DataFrame:
     return df.select(F.explode(F.array_compact(F.array(*cells))).alias("k")).select("k.s", "k.x")
 
 
+def _sketch(value: Column, grid: int) -> Column:
+    """Sketch quantiles of ``value`` at ``grid`` + 1 even points (one parsed array: the points are a constant of the plan)."""
+    points = F.expr("array(" + ", ".join(f"{i / grid!r}D" for i in range(grid + 1)) + ")")
+    return F.percentile_approx(value, points, ACCURACY)
+
+
 def sketch_grid(df: DataFrame, cols, grid: int = GRID) -> dict[str, list[float]]:
     """Distinct sketch quantiles at ``grid`` + 1 even points per column (nulls and NaN left out); one aggregate."""
-    points = [i / grid for i in range(grid + 1)]
     names = {c: f"q{i}" for i, c in enumerate(cols)}
-    row = df.agg(*[F.percentile_approx(F.when(~F.isnan(number(c)), number(c)), points, ACCURACY).alias(q) for c, q in names.items()]).first()
+    row = df.agg(*[_sketch(F.when(~F.isnan(number(c)), number(c)), grid).alias(q) for c, q in names.items()]).first()
     return {c: sorted(set(row[q] or [])) for c, q in names.items()}
 
 
 def _edges(df: DataFrame, spans: list[_Span], grid: int) -> list[list[float]]:
     """Per span the sketch values on both sides of each wanted rank."""
-    points = [i / grid for i in range(grid + 1)]
-    got = {r["s"]: r["q"] for r in _cells(df, spans, lambda i, v: v).groupBy("s").agg(
-        F.percentile_approx("x", points, ACCURACY).alias("q")).collect()}
+    got = {r["s"]: r["q"] for r in _cells(df, spans, lambda i, v: v).groupBy("s").agg(_sketch(F.col("x"), grid).alias("q")).collect()}
     edges = []
     for i, s in enumerate(spans):
         q = got[i]

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlab.functions import special as SP
 from churnlab.operators.prefix import prefix_sum
-from churnlab.operators.select import GRID, exact_quantiles, number, sketch_grid
+from churnlab.operators.select import GRID, SMALL, exact_quantiles, number, sketch_grid
 
 ALPHA = 0.05
 
@@ -65,7 +65,7 @@ def _sides() -> list[Column]:
     return [F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cur").alias("c")]
 
 
-def drift_ks_stat(ref: DataFrame, cur: DataFrame, cols, grid: int = GRID) -> DataFrame:
+def drift_ks_stat(ref: DataFrame, cur: DataFrame, cols, grid: int = GRID, small: int = SMALL) -> DataFrame:
     """Two-sample KS statistic D per feature: max |F_ref - F_cur| over the distinct values, exact.
 
     Sketch quantiles cut each feature into buckets.  Their counts give the gap at every cut and a bound on the gap
@@ -96,12 +96,15 @@ def drift_ks_stat(ref: DataFrame, cur: DataFrame, cols, grid: int = GRID) -> Dat
         best[c] = d
         open_ += [(c, b, r, k, nr, nc) for bound, b, r, k in bounds if bound > d]
     if open_:
-        look = F.lit(False)
-        for c in best:
-            look = look | ((F.col("feature") == c) & F.col("bucket").isin([o[1] for o in open_ if o[0] == c]))
-        values = rows.filter(look).groupBy("feature", "bucket", "value").agg(*_sides())
-        cum = prefix_sum(values, "value", ["r", "c"], by=["feature", "bucket"])
         before = spark.createDataFrame(open_, "feature string, bucket int, r0 long, c0 long, nr long, nc long")
+        keys = F.broadcast(before.select("feature", "bucket"))  # features x buckets rows at most
+        values = rows.join(keys, ["feature", "bucket"], "left_semi").groupBy("feature", "bucket", "value").agg(*_sides())
+        size = {(c, x[0]): x[1] + x[2] for c, bs in counts.items() for x in bs}
+        if max(size[o[:2]] for o in open_) <= small:  # a window task per bucket; larger ones are cut again
+            w = Window.partitionBy("feature", "bucket").orderBy("value")
+            cum = values.select("feature", "bucket", F.sum("r").over(w).alias("cum_r"), F.sum("c").over(w).alias("cum_c"))
+        else:
+            cum = prefix_sum(values, "value", ["r", "c"], by=["feature", "bucket"])
         gap = F.abs((F.col("cum_r") + F.col("r0")) / F.col("nr") - (F.col("cum_c") + F.col("c0")) / F.col("nc"))
         for x in cum.join(F.broadcast(before), ["feature", "bucket"]).groupBy("feature").agg(F.max(gap).alias("d")).collect():
             best[x["feature"]] = max(best[x["feature"]], x["d"])

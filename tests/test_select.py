@@ -42,13 +42,13 @@ def ks(x, y):
     return np.max(np.abs(np.searchsorted(np.sort(x), at, "right") / len(x) - np.searchsorted(np.sort(y), at, "right") / len(y)))
 
 
-@pytest.mark.parametrize("grid", [4, 400])
-def test_ks_matches_brute_force(spark, grid):
+@pytest.mark.parametrize(("grid", "small"), [(4, 10), (4, 50_000), (400, 50_000)])
+def test_ks_matches_brute_force(spark, grid, small):
     rng = np.random.default_rng(2)
     tied = lambda m, n: np.where(rng.random(n) < 0.33, 0.1, rng.normal(m, 1, n))
     ref = dict(a=rng.normal(size=900), b=tied(0, 900), c=rng.integers(0, 3, 900).astype(float), d=np.zeros(900))
     cur = dict(a=rng.normal(0.2, 1, 700), b=tied(0.3, 700), c=rng.integers(0, 4, 700).astype(float), d=-np.zeros(700))
-    got = {r.feature: r.statistic for r in ST.drift_ks_stat(frame(spark, **ref), frame(spark, **cur), list(ref), grid=grid).collect()}
+    got = {r.feature: r.statistic for r in ST.drift_ks_stat(frame(spark, **ref), frame(spark, **cur), list(ref), grid=grid, small=small).collect()}
     assert got == {c: pytest.approx(ks(ref[c], cur[c]), abs=1e-12) for c in ref}
 
 
