@@ -10,6 +10,7 @@ from churnlab.operators import stats as ST
 from churnlab.operators.prefix import prefix_sum, rank_avg
 from churnlab.plans.oracle import rnd, with_c360
 from churnlab.plans.registry import out, register
+from churnlab.sources.tables import customer360_by_id
 from churnlab.sources.tables import customer360_table as customer360, table
 
 
@@ -170,7 +171,7 @@ def q_overlay(spark, sf):
 @register("lookup_by_id", rnd(with_c360("SELECT customer_id, segment, monthly_charges, churned FROM c360 WHERE customer_id = 7"),
                               "monthly_charges"))
 def q_lookup(spark, sf):
-    return out(LK.lookup_by_id(c360(spark, sf), "customer_id", 7).select("customer_id", "segment", "monthly_charges", "churned"))
+    return out(LK.lookup_by_id(customer360_by_id(spark, sf), "customer_id", 7).select("customer_id", "segment", "monthly_charges", "churned"))
 
 
 @register("history_top20", """

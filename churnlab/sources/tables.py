@@ -112,3 +112,21 @@ def customer360_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         customer360(spark, sf_dir).write.mode("overwrite").parquet(path)
         _VIEWS[key] = path
     return spark.read.parquet(_VIEWS[key])
+
+
+_BY_ID: dict = {}
+
+
+def customer360_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer360 table clustered for point lookups by customer, written once per session."""
+    import uuid
+
+    from churnlab.operators.lookups import cluster_for_lookup
+    from churnlab.session import ensure_checkpoint_dir
+
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _BY_ID:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/customer360-by-id-{uuid.uuid4().hex[:12]}"
+        cluster_for_lookup(customer360_table(spark, sf_dir), "customer_id", path)
+        _BY_ID[key] = path
+    return spark.read.parquet(_BY_ID[key])
