@@ -1,8 +1,8 @@
-"""Section 2.12: vector kNN (exact and LSH), Euclidean neighbours, TF-IDF text search, upsert, stats."""
+"""Section 2.12: vector kNN (exact, LSH and inverted lists), Euclidean neighbours, TF-IDF text search, upsert, stats."""
 
 from pyspark.sql import functions as F
 
-from churnlab.operators import frames as FR
+from churnlab.operators import cells as CE
 from churnlab.operators import search as SE
 from churnlab.plans.oracle import rnd, with_c360
 from churnlab.plans.registry import out, register
@@ -39,6 +39,13 @@ def q_knn_lsh(spark, sf):
     return SE.knn_lsh(q, e, 10)
 
 
+@register("knn_cells")
+def q_knn_cells(spark, sf):
+    e = table(spark, sf, "embeddings")
+    q = e.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")  # the stated query set, against all rows
+    return CE.knn_cells(q, e, 10)
+
+
 EU_COLS = ["age", "tenure_months", "monthly_charges", "nps_score"]
 EU_SQL = """wl AS (SELECT * FROM c360 WHERE customer_id % 50 = 0)""", \
     """nb AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY distance, customer_id) AS rk FROM (
