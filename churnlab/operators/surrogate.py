@@ -10,7 +10,6 @@ in numpy.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from statistics import NormalDist
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from churnlab.operators.explain import hash_uniform
 from churnlab.operators.select import exact_quantiles
 
-POINTS = 256  # steps of a bin's quantile table, read with linear interpolation
+POINTS = 128  # steps of a bin's quantile table, read with linear interpolation
 MAX_CATEGORIES = 256  # values of a category are listed in the plan
 
 
@@ -103,12 +102,13 @@ def neighbours(df: DataFrame, fit: Binned, n: int, seed: int, key: str) -> DataF
     def u(c, what):
         return hash_uniform(F.lit(seed), F.col(key), F.col("_i"), F.lit(c), F.lit(what))
 
-    drawn = nb.select("*", *[F.when(F.col("_i") == 0, F.col(f"_o_{c}")).otherwise(_pick(u(c, "bin"), fit.share[c])).alias(f"_b_{c}") for c in cols],
-                      *[F.when(F.col("_i") == 0, F.col(c)).otherwise(F.get(_constants(fit.values[c], "string"), _pick(u(c, "bin"), fit.share[c]))).alias(f"_b_{c}") for c in cats],
+    nb = nb.select("*", *[u(c, "bin").alias(f"_p_{c}") for c in [*cols, *cats]])
+    drawn = nb.select("*", *[F.when(F.col("_i") == 0, F.col(f"_o_{c}")).otherwise(_pick(F.col(f"_p_{c}"), fit.share[c])).alias(f"_b_{c}") for c in cols],
+                      *[F.when(F.col("_i") == 0, F.col(c)).otherwise(F.get(F.array(*[F.lit(x) for x in fit.values[c]]), _pick(F.col(f"_p_{c}"), fit.share[c]))).alias(f"_b_{c}") for c in cats],
                       *[(u(c, "value") * POINTS).alias(f"_u_{c}") for c in cols])
 
     def value(c):
-        flat = _constants([x for t in fit.table[c] for x in t], "double")
+        flat = _numbers([float(x) for t in fit.table[c] for x in t])
         j = F.floor(f"_u_{c}").cast("int") + F.col(f"_b_{c}") * (POINTS + 1)
         a, b = F.get(flat, j), F.get(flat, j + 1)
         return F.when(F.col("_i") == 0, F.col(c)).otherwise(a + (F.col(f"_u_{c}") - F.floor(f"_u_{c}")) * (b - a))
@@ -118,8 +118,8 @@ def neighbours(df: DataFrame, fit: Binned, n: int, seed: int, key: str) -> DataF
                         *[(F.col(f"_b_{c}") == F.col(c)).cast("double").alias(f"_f_{c}") for c in cats])
 
 
-def _constants(values: list, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")  # one constant of the plan
+def _numbers(values: list[float]) -> Column:
+    return F.expr("array(" + ", ".join(f"double('{x!r}')" for x in values) + ")")  # folded to one constant of the plan
 
 
 def conditions(df: DataFrame, fit: Binned) -> Column:

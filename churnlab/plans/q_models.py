@@ -14,7 +14,6 @@ from churnlab.operators import frames as FR
 from churnlab.operators import models as MD
 from churnlab.operators import prep as PR
 from churnlab.operators import search as SE
-from churnlab.operators import surrogate as SU
 from churnlab.operators.metrics import auc_roc
 from churnlab.plans.oracle import C360, with_c360
 from churnlab.plans.registry import out, register
@@ -225,14 +224,6 @@ def q_surrogate(spark, sf):
     return out(X.surrogate_local(x, SC_COLS, sc, n=NEIGHBOURS, train=d).select("customer_id", "intercept", "weights", "local_pred"))
 
 
-@register("surrogate_binned")
-def q_surrogate_binned(spark, sf):
-    """Quartile conditions and categories, all customers."""
-    d, sc, x = _every(spark, sf)
-    r = SU.surrogate_binned(x, SC_COLS, sc, ["contract_type"], n=NEIGHBOURS, train=d)
-    return out(r.select("customer_id", "conditions", "intercept", "weights", "local_pred"))
-
-
 @register("surrogate_fidelity")
 def q_fidelity(spark, sf):
     d, sc, x = _every(spark, sf)
