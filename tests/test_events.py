@@ -4,6 +4,8 @@ import datetime as dt
 import os
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from churnlab.operators import events as EV
@@ -200,3 +202,15 @@ def test_streams_settle_as_the_watermark_moves(spark, sf, tmp_path):
     nulls = ev.limit(5).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
     nulls.write.parquet(f"{tmp_path}/null/events.parquet")
     assert S.run_complete_run(spark, f"{tmp_path}/null", max_files=1)[1] == 5
+
+
+def test_progress_queries_keep_users_of_long_ago(spark, tmp_path):
+    """The registered queries return every user, also one whose last event lies days before the newest."""
+    from churnlab.plans import q_events, q_streaming
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, t0, 7, "view", 1.0, "{}"), (2, t0 + dt.timedelta(hours=1), 7, "click", 2.0, "{}"), (3, t0 + dt.timedelta(days=9), 8, "error", 3.0, "{}")]
+    names = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+    pq.write_table(pa.Table.from_pylist([dict(zip(names, r)) for r in rows]), f"{tmp_path}/events.parquet")
+    for query in (q_events.q_progress, q_streaming.q_progress_stream):
+        assert sorted((r.user_id, r.event_id) for r in query(spark, str(tmp_path)).collect()) == [(7, 2), (8, 3)]
