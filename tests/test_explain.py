@@ -73,3 +73,14 @@ def test_registered_explanations_use_the_whole_data(spark, sf, monkeypatch):
         assert asked("surrogate_local", query)["n"] == 5000
     for query in (Q.q_attr_sampled, Q.q_agreement):
         assert asked("attrib_sampled", query).get("perms", 16) == 16
+
+
+def test_searched_counterfactuals_send_no_customers_through_the_driver(spark, monkeypatch):
+    """Small files of many rows are no broadcast: donors and customers are joined by sorting."""
+    rows = [(i, float(i % 7), "a" if i % 2 else "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "customer_id long, v double, c string")
+    plans, cut = [], X.cut_lineage
+    monkeypatch.setattr(X, "cut_lineage", lambda d: plans.append(d._jdf.queryExecution().toString()) or cut(d))
+    found = X.cf_search(df, df, ["v", "c"], lambda d: d.withColumn("p", F.when(F.col("v") > 2, 0.9).otherwise(0.1)), n=2)
+    assert found.count() > 0 and any("SortMergeJoin [_did" in p for p in plans)
+    assert not [p for p in plans if "BroadcastHashJoin [_did" in p or "BroadcastHashJoin [customer_id" in p]
