@@ -149,6 +149,13 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0)) / 2)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 100) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces: a text's features as Python strings take many times its bytes, those of a whole batch too much."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_labelled: int = 20_000, n_features: int = 1_000,
                 min_rows: int = 4, n_folds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """labels(doc_id, one 0/1 column per category) -> the chain: vocabulary, models, threshold of the last category."""
@@ -160,7 +167,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_l
     rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", *ys, "text")  # at most max_labelled rows on the broadcast side
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             feats = [sorted(features(t)) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(feats, pa.list_(pa.string()))], [*b.schema.names[:-1], "f"])
 
@@ -185,7 +192,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_l
     index = {f: i for i, f in enumerate(vocabulary)}
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             ids = [[index[f] for f in x if f in index] for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int64()))], [*b.schema.names[:-1], "ids"])
 
@@ -211,7 +218,7 @@ def score_chain(docs: DataFrame, chain: dict, id_col: str = "doc_id", text_col:
         whole = {f[2:] for f in vocabulary if f.startswith("w:")}
         start = {f[2:] for f in vocabulary if f.startswith("p:")}
         weights = [(np.array(w), v, b) for w, v, b in models]
-        for batch in batches:
+        for batch in pieces(batches):
             out = [[] for _ in weights]
             for text in batch.column(1).to_pylist():
                 words = _WORDS.findall(text.lower())

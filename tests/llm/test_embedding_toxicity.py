@@ -159,3 +159,15 @@ def test_long_words_are_features():
 
     a, b = features("z" * 45 + " bad"), features("z" * 44 + "y bad")
     assert {f for f in a if f.startswith("w:")} != {f for f in b if f.startswith("w:")} and len([f for f in a if f.startswith("w:")]) == 2
+
+
+def test_features_are_taken_in_small_pieces():
+    """No more than a few texts' features are held as Python strings at once, however large the batch."""
+    import pyarrow as pa
+
+    from churnlab.llm import toxicity as TX
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1001)), pa.array([f"t{i}" for i in range(1001)])], ["doc_id", "text"])
+    got = list(TX.pieces(iter([batch, batch.slice(0, 0), batch.slice(3, 5)])))
+    assert max(b.num_rows for b in got) <= 100
+    assert [t for b in got for t in b.column(1).to_pylist()] == batch.column(1).to_pylist() + batch.slice(3, 5).column(1).to_pylist()
