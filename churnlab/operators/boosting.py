@@ -180,35 +180,69 @@ def _row_weights(p: BoostParams, y: np.ndarray, balance: tuple[float, float]) ->
     return w * np.where(y == 1, balance[1], balance[0]) if p.balanced else w
 
 
+def _level_sums(cols: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray, slots: int, n_bins: int, used: np.ndarray, counted: bool) -> np.ndarray:
+    """:func:`histogram` from columns of bins, a feature at a time: nothing of rows x features is made.  The first feature
+    (it gives the totals) and the used ones are summed, rows are counted if asked for."""
+    on = np.flatnonzero(slot >= 0)
+    if len(on) < len(slot):
+        slot, g, h = slot[on], g[on], h[on]
+    base, size = slot * n_bins, slots * n_bins
+    sums = np.zeros((3, slots, len(cols), n_bins))
+    for j, col in enumerate(cols):
+        if j and not used[j]:
+            continue
+        at = base + (col[on] if len(on) < len(col) else col)
+        sums[0, :, j] = np.bincount(at, g, size).reshape(slots, n_bins)
+        sums[1, :, j] = np.bincount(at, h, size).reshape(slots, n_bins)
+        if counted:
+            sums[2, :, j] = np.bincount(at, minlength=size).reshape(slots, n_bins)
+    return sums
+
+
+def _kept_nodes(tree: Tree) -> np.ndarray:
+    """Per node the leaf its rows end in: itself, or the node above whose split was taken back."""
+    end = np.arange(len(tree.feature))
+    for n in range(len(end)):  # children come after their parents
+        if tree.left[n] and (tree.feature[n] < 0 or end[n] != n):
+            end[[tree.left[n], tree.right[n]]] = end[n]
+    return end
+
+
 def train_local(bins: np.ndarray, n_bins: int, y: np.ndarray, ids: np.ndarray, train: np.ndarray, p: BoostParams, balance) -> tuple[list[Tree], np.ndarray]:
     """One model on a table in memory; (trees, margins of all rows)."""
     n, f = bins.shape
-    codes = bins.astype(np.int64) + np.arange(f) * n_bins
     margin, trees, weight = np.zeros(n), [], _row_weights(p, y, balance)
+    counted = p.min_rows > 1 or p.min_weight <= 0  # else a side of enough weight has a row
+    rows = None
     for r in range(p.rounds):
-        keep = train if p.subsample >= 1 else train & (_uniform(ids, p.seed * 7919 + r) < p.subsample)
+        if rows is None or p.subsample < 1:
+            keep = train if p.subsample >= 1 else train & (_uniform(ids, p.seed * 7919 + r) < p.subsample)
+            rows, rest = np.flatnonzero(keep), np.flatnonzero(~keep)
+            cols, away = np.ascontiguousarray(bins[rows].T), bins[rest]
+            flat, own_y, own_weight = cols.ravel(), y[rows], weight[rows]
         used = _columns(p, r, f)
-        rows = np.flatnonzero(keep)
-        g, h = gradients(margin[rows], y[rows], weight[rows])
-        own, at = codes[rows], np.zeros(len(rows), dtype=np.int64)
-        cells = bins[rows]
+        g, h = gradients(margin[rows], own_y, own_weight)
+        at = np.zeros(len(rows), dtype=np.int64)
         growth = grow(p)
         tree, ask = next(growth)
         try:
             while True:
                 slot_of = np.full(len(tree.feature), -1)
                 slot_of[ask] = np.arange(len(ask))
-                slot = slot_of[at]
-                on = slot >= 0
-                sums = histogram(own[on], slot[on], g[on], h[on], len(ask), (f, n_bins))
+                sums = _level_sums(cols, slot_of[at], g, h, len(ask), n_bins, used, counted)
+                if not counted:
+                    sums[2] = 1.0
                 tree, ask = growth.send(best_splits(sums, p, used))
                 feat, cut, lo, hi = (np.asarray(a) for a in (tree.feature, tree.cut, tree.left, tree.right))
                 go = np.flatnonzero(feat[at] >= 0)  # one level at a time: rows of nodes just split
                 k = at[go]
-                at[go] = np.where(cells[go, feat[k]] <= cut[k], lo[k], hi[k])
+                at[go] = np.where(flat[feat[k] * len(rows) + go] <= cut[k], lo[k], hi[k])
         except StopIteration as done:
             tree = done.value
-        margin += np.asarray(tree.value)[tree.place(bins)]
+        value = np.asarray(tree.value)
+        margin[rows] += value[_kept_nodes(tree)][at]
+        if len(rest):
+            margin[rest] += value[tree.place(away)]
         trees.append(tree)
     return trees, margin
 

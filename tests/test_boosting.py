@@ -8,6 +8,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 
 from churnlab.operators import models as MD
+from churnlab.operators import boosting as BO
 from churnlab.operators.boosting import BoostParams, bin_edges, bin_rows, fit_many, train_local
 from churnlab.operators.metrics import auc_roc
 
@@ -152,3 +153,30 @@ def test_shapley_values_equal_all_subsets(spark):
             assert phi[r, j] == pytest.approx(want, abs=1e-9)
     for r in model.attributions(m, list("abcd")).collect():
         assert sum(a["value"] for a in r["attrib"]) + r["base"] == pytest.approx(r["margin"])
+
+
+def test_training_holds_no_row_per_cell():
+    """Beside the table a few vectors of rows: nothing of 8 bytes per row and feature."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    n, f = 30_000, 24
+    bins = rng.integers(0, 30, (n, f)).astype(np.uint8)
+    y = (bins[:, 0] + bins[:, 1] > rng.integers(0, 60, n)).astype(float)
+    for p in (BoostParams(rounds=2, depth=4), BoostParams(rounds=2, depth=None, leaves=9, min_rows=5, subsample=0.7, columns=0.5)):
+        tracemalloc.start()
+        train_local(bins, 30, y, np.arange(n), np.arange(n) % 5 > 0, p, (1.0, 1.0))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 8 * n * f, peak
+
+
+@pytest.mark.parametrize("p", [BoostParams(rounds=4, depth=None, leaves=5, lam=0.1, min_rows=3, rate=0.3),
+                               BoostParams(rounds=4, depth=3, min_weight=0.0, min_rows=1, subsample=0.6, columns=0.5, rate=0.3)])
+def test_margins_are_the_trees_values(p):
+    """Rows trained on, left out by the fold and left out by the sample, with splits that best-first took back."""
+    x, y = table(400)
+    edges = [sorted(set(np.quantile(x[:, j], np.linspace(0.1, 0.9, 9)).tolist())) for j in range(4)]
+    bins = bin_rows(x, edges)
+    trees, margin = train_local(bins, 10, y, np.arange(400), np.arange(400) % 4 > 0, p, (1.0, 1.0))
+    assert np.allclose(margin, sum(np.asarray(t.value)[t.place(bins)] for t in trees), atol=1e-12)
