@@ -180,3 +180,20 @@ def test_margins_are_the_trees_values(p):
     bins = bin_rows(x, edges)
     trees, margin = train_local(bins, 10, y, np.arange(400), np.arange(400) % 4 > 0, p, (1.0, 1.0))
     assert np.allclose(margin, sum(np.asarray(t.value)[t.place(bins)] for t in trees), atol=1e-12)
+
+
+def test_presets_are_trained_side_by_side(spark, monkeypatch):
+    """train_all hands both presets to one fit, as fit_boosted does: their tasks run at the same time."""
+    from churnlab.plans import q_models as Q
+
+    calls = []
+
+    def short(m, jobs, *args, **given):
+        calls.append(len(jobs))
+        return fit_many(m, [(BoostParams(rounds=2, depth=2), f) for _, f in jobs], *args, **given)
+
+    monkeypatch.setattr(MD, "fit_many", short)
+    monkeypatch.setattr(MD, "fit_forest", lambda m: MD.fit_logreg(m, max_iter=2))
+    Q.q_boosted(spark, "/root/testdata/sf0.001")
+    Q.q_train_all(spark, "/root/testdata/sf0.001")
+    assert calls == [2, 2]
