@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from churnlab.session import cut_lineage
 
 SMALL_CELLS = 32_000_000  # rows x features that are sent to every task (one byte each)
+TABLE_FEATURES = 8  # features of a path up to which a leaf's shares are tabled for every pattern
 CUT_ROUNDS = 10  # rounds between two rewrites of the margins
 
 
@@ -269,17 +270,24 @@ class BoostedTrees:
         col = p(vector_to_array(F.col(features)))
         return df.withColumn("_p", col).withColumn("probability", array_to_vector(F.array(1.0 - F.col("_p"), F.col("_p")))).drop("_p")
 
-
-    def shapley(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+    def shapley(self, x: np.ndarray, shares: list | None = None) -> tuple[np.ndarray, float]:
         """([rows, features], base): exact Shapley values of the margin; what a row does not tell is averaged by the
-        nodes' covers.  A row's values and the base add up to its margin."""
-        bins, base = bin_rows(x, self.edges), 0.0
-        phi = np.zeros(x.shape)
-        for t in self.trees:
-            for value, path in _leaf_paths(t):
-                base += value * math.prod(z for z, _, _ in path.values())
-                _add_leaf(phi, bins, value, path)
-        return phi, base
+        nodes' covers.  A row's values and the base add up to its margin.  ``shares``: :func:`leaf_shares` of the trees."""
+        bins = np.ascontiguousarray(bin_rows(x, self.edges).T)
+        phi = np.zeros(bins.shape)
+        base, leaves = shares or leaf_shares(self.trees)
+        for feats, lo, span, table in leaves:
+            follows = np.zeros(len(x), dtype=np.int64)
+            for i, j in enumerate(feats):
+                follows |= ((bins[j] - lo[i]) <= span[i]).astype(np.int64) << i  # bytes wrap around below the lowest bin
+            if len(feats) <= TABLE_FEATURES:
+                for i, j in enumerate(feats):
+                    phi[j] += table[i][follows]
+            else:
+                patterns, own = np.unique(follows, return_inverse=True)
+                for j, got in zip(feats, _pattern_shares(table[0], table[1][None], patterns)):
+                    phi[j] += got[0][own]
+        return phi.T, base
 
     def attributions(self, df: DataFrame, names: list[str], key: str = "customer_id", features: str = "features") -> DataFrame:
         """key, base, margin, attrib (array of feature and value): the model goes to the tasks, rows come in Arrow batches."""
@@ -288,11 +296,13 @@ class BoostedTrees:
         kind = rows.schema[key].dataType.simpleString()
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shares = None
             for f in frames:
-                for lo in range(0, len(f), 2000):  # rows x path features x path features in memory
-                    part = f.iloc[lo:lo + 2000]
+                for lo in range(0, len(f), 8192):
+                    part = f.iloc[lo:lo + 8192]
                     x = np.stack(part["x"].to_numpy())
-                    phi, base = model.shapley(x)
+                    shares = shares or leaf_shares(model.trees)  # once a task
+                    phi, base = model.shapley(x, shares)
                     yield pd.DataFrame({key: part[key].to_numpy(), "base": base, "margin": model.margins(x), "phi": list(phi)})
 
         got = rows.mapInPandas(run, f"`{key}` {kind}, base double, margin double, phi array<double>")
@@ -316,23 +326,46 @@ def _leaf_paths(tree: Tree) -> Iterator[tuple[float, dict]]:
         todo.append((right, path | {f: (z * tree.cover[right] / cover, max(lo, cut + 1), hi)}))
 
 
-def _add_leaf(phi: np.ndarray, bins: np.ndarray, value: float, path: dict) -> None:
-    """Adds a leaf's share to its path's features.  Per feature left out, the others' product of (share missing + t if the
-    row follows) is a polynomial whose coefficients sum the coalitions of each size."""
-    feats, d = list(path), len(path)
-    if not d or not value:
-        return
-    share = [path[j][0] for j in feats]
-    follows = [((bins[:, j] >= path[j][1]) & (bins[:, j] <= path[j][2])).astype(float) for j in feats]
+def leaf_shares(trees: list[Tree]) -> tuple[float, list[tuple]]:
+    """(base, leaves as (path features, lowest bins, spans of bins, shares)).
+
+    What a leaf adds to its path's features depends on which of its conditions a row follows: up to ``TABLE_FEATURES``
+    features the share of each feature is tabled for every such pattern, the leaves of one path length together;
+    beyond that (value, shares of cover) are kept and the patterns that occur are worked out."""
+    base, by_length = 0.0, {}
+    for t in trees:
+        for value, path in _leaf_paths(t):
+            base += value * math.prod(z for z, _, _ in path.values())
+            if path and value:
+                by_length.setdefault(len(path), []).append((value, path))
+    out = []
+    for d, leaves in by_length.items():
+        value, share = np.array([v for v, _ in leaves]), np.array([[z for z, _, _ in path.values()] for _, path in leaves])
+        tabled = d <= TABLE_FEATURES
+        tables = np.stack(_pattern_shares(value, share, np.arange(1 << d)), axis=1) if tabled else zip(value, share)
+        for (_, path), table in zip(leaves, tables):
+            lo, hi = (np.array([v[k] for v in path.values()]) for k in (1, 2))
+            out.append((list(path), lo.astype(np.uint8), (hi - lo).astype(np.uint8), table))  # a split leaves rows on both sides: lo <= hi
+    return base, out
+
+
+def _pattern_shares(value, share: np.ndarray, patterns: np.ndarray) -> list[np.ndarray]:
+    """Per path feature [leaves, patterns]: what a leaf adds to it if a row follows the conditions of the pattern's bits.
+    Per feature left out, the others' product of (share missing + t if the row follows) is a polynomial whose
+    coefficients sum the coalitions of each size."""
+    d = share.shape[1]
+    follows = [((patterns >> i) & 1).astype(float)[None, :] for i in range(d)]
     weight = [math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)]
-    for i, j in enumerate(feats):
-        poly = [np.ones(len(bins))]
+    out, value = [], np.atleast_1d(value)[:, None]
+    for i in range(d):
+        poly = [np.ones((len(share), len(patterns)))]
         for o in range(d):
             if o != i:
                 up = [c * follows[o] for c in poly]
-                poly = [c * share[o] for c in poly] + [0.0]
+                poly = [c * share[:, o, None] for c in poly] + [0.0]
                 poly = [poly[0], *[a + b for a, b in zip(poly[1:], up)]]
-        phi[:, j] += value * (follows[i] - share[i]) * sum(w * c for w, c in zip(weight, poly))
+        out.append(value * (follows[i] - share[:, i, None]) * sum(w * c for w, c in zip(weight, poly)))
+    return out
 
 
 def bin_rows(x: np.ndarray, edges: list[list[float]]) -> np.ndarray:

@@ -182,6 +182,19 @@ def test_margins_are_the_trees_values(p):
     assert np.allclose(margin, sum(np.asarray(t.value)[t.place(bins)] for t in trees), atol=1e-12)
 
 
+def test_leaf_tables_equal_patterns_worked_out(monkeypatch):
+    """Shares tabled per leaf once (8,192 rows look them up) and worked out for the patterns that occur."""
+    x, y = table(300)
+    edges = [sorted(set(np.quantile(x[:, j], np.linspace(0.1, 0.9, 9)).tolist())) for j in range(4)]
+    trees, _ = train_local(bin_rows(x, edges), 10, y, np.arange(300), np.ones(300, bool), BoostParams(rounds=5, depth=5, rate=0.3), (1.0, 1.0))
+    model = BO.BoostedTrees(edges, trees)
+    phi, base = model.shapley(x)
+    assert np.allclose(phi.sum(axis=1) + base, model.margins(x))
+    monkeypatch.setattr(BO, "TABLE_FEATURES", 1)
+    again, b = model.shapley(x)
+    assert np.allclose(phi, again, atol=1e-12) and b == pytest.approx(base)
+
+
 def test_presets_are_trained_side_by_side(spark, monkeypatch):
     """train_all hands both presets to one fit, as fit_boosted does: their tasks run at the same time."""
     from churnlab.plans import q_models as Q
