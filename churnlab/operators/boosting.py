@@ -95,12 +95,25 @@ def gradients(margin, y, weight):
     return (p - y) * weight, np.maximum(p * (1.0 - p), 1e-16) * weight
 
 
-def histogram(codes: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray, slots: int, shape: tuple[int, int]) -> np.ndarray:
-    """[3, slots, features, bins] sums of g, h and rows; ``codes`` = feature * bins + bin."""
-    f, b = shape
-    at = (codes + (slot * (f * b))[:, None]).ravel()
-    size = slots * f * b
-    return np.stack([np.bincount(at, np.repeat(w, f), size) for w in (g, h)] + [np.bincount(at, minlength=size).astype(float)]).reshape(3, slots, f, b)
+def level_sums(cols: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray, slots: int, n_bins: int, used: np.ndarray, counted: bool) -> np.ndarray:
+    """[3, slots, features, bins] sums of g, h and rows over the rows of a slot (-1: of none), from columns of bins.
+
+    A feature at a time: nothing of rows x features is made.  The first feature (it gives the totals) and the used ones
+    are summed, rows are counted if asked for."""
+    on = np.flatnonzero(slot >= 0)
+    if len(on) < len(slot):
+        slot, g, h = slot[on], g[on], h[on]
+    base, size = slot * n_bins, slots * n_bins
+    sums = np.zeros((3, slots, len(cols), n_bins))
+    for j, col in enumerate(cols):
+        if j and not used[j]:
+            continue
+        at = base + (col[on] if len(on) < len(col) else col)
+        sums[0, :, j] = np.bincount(at, g, size).reshape(slots, n_bins)
+        sums[1, :, j] = np.bincount(at, h, size).reshape(slots, n_bins)
+        if counted:
+            sums[2, :, j] = np.bincount(at, minlength=size).reshape(slots, n_bins)
+    return sums
 
 
 def _shrunk(g, alpha: float):
@@ -181,25 +194,6 @@ def _row_weights(p: BoostParams, y: np.ndarray, balance: tuple[float, float]) ->
     return w * np.where(y == 1, balance[1], balance[0]) if p.balanced else w
 
 
-def _level_sums(cols: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray, slots: int, n_bins: int, used: np.ndarray, counted: bool) -> np.ndarray:
-    """:func:`histogram` from columns of bins, a feature at a time: nothing of rows x features is made.  The first feature
-    (it gives the totals) and the used ones are summed, rows are counted if asked for."""
-    on = np.flatnonzero(slot >= 0)
-    if len(on) < len(slot):
-        slot, g, h = slot[on], g[on], h[on]
-    base, size = slot * n_bins, slots * n_bins
-    sums = np.zeros((3, slots, len(cols), n_bins))
-    for j, col in enumerate(cols):
-        if j and not used[j]:
-            continue
-        at = base + (col[on] if len(on) < len(col) else col)
-        sums[0, :, j] = np.bincount(at, g, size).reshape(slots, n_bins)
-        sums[1, :, j] = np.bincount(at, h, size).reshape(slots, n_bins)
-        if counted:
-            sums[2, :, j] = np.bincount(at, minlength=size).reshape(slots, n_bins)
-    return sums
-
-
 def _kept_nodes(tree: Tree) -> np.ndarray:
     """Per node the leaf its rows end in: itself, or the node above whose split was taken back."""
     end = np.arange(len(tree.feature))
@@ -230,7 +224,7 @@ def train_local(bins: np.ndarray, n_bins: int, y: np.ndarray, ids: np.ndarray, t
             while True:
                 slot_of = np.full(len(tree.feature), -1)
                 slot_of[ask] = np.arange(len(ask))
-                sums = _level_sums(cols, slot_of[at], g, h, len(ask), n_bins, used, counted)
+                sums = level_sums(cols, slot_of[at], g, h, len(ask), n_bins, used, counted)
                 if not counted:
                     sums[2] = 1.0
                 tree, ask = growth.send(best_splits(sums, p, used))
@@ -471,7 +465,7 @@ def _fit_large(table: DataFrame, jobs, balance, edges, n_bins, held_out):
                     if not len(frame):
                         continue
                     ids, y, fold, bins = _arrays(frame)
-                    m, codes = margins(frame, bins, trees), bins.astype(np.int64) + np.arange(f) * n_bins
+                    m, cols = margins(frame, bins, trees), np.ascontiguousarray(bins.T)
                     for j, (tree, ask) in asks.items():
                         p, out = jobs[j]
                         slot_of = np.full(len(tree.feature), -1)
@@ -481,7 +475,7 @@ def _fit_large(table: DataFrame, jobs, balance, edges, n_bins, held_out):
                         if p.subsample < 1:
                             on &= _uniform(ids, p.seed * 7919 + r) < p.subsample
                         g, h = gradients(m[on, j], y[on], _row_weights(p, y[on], balance[j]))
-                        got = histogram(codes[on], slot[on], g, h, len(ask), (f, n_bins))
+                        got = level_sums(cols[:, on], slot[on], g, h, len(ask), n_bins, _columns(p, r, f), True)
                         acc[j] = acc[j] + got if j in acc else got
                 for j, got in acc.items():
                     for s in np.flatnonzero(got[2].any(axis=(1, 2))):
