@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from churnlab.operators import explain as X
+from churnlab.operators import models as MD
 from churnlab.operators import neighbours as NB
 
 COLS = ["a", "a_long_name", "a_name_of_more_than_thirty_two_bytes_in_all"]
@@ -56,3 +57,22 @@ def test_surrogates_equal_column_expressions(spark):
 
 def test_area_counts_ties_half():
     assert NB.area(np.array([1.0, 0, 1, 0]), np.array([2.0, 2, 3, 1])) == 3.5 / 4 and NB.area(np.ones(3), np.arange(3)) is None
+
+
+def _customers(spark):
+    """Inputs of a scorecard, with missing ones and a key that comes twice."""
+    names = [c for c, _ in MD.LOGIT_WEIGHTS] + ["usage_30d", "usage_90d"]
+    rng = np.random.default_rng(3)
+    rows = [(i, [None, "Month-to-Month", "One Year", "Two Year"][i % 4], *(None if (i + j) % 11 == 0 else float(v) for j, v in enumerate(rng.normal(5, 3, len(names))))) for i in range(12)]
+    df = spark.createDataFrame([*rows, (5, "Two Year", *([2.0] * len(names)))], f"customer_id long, contract_type string, {', '.join(f'{c} double' for c in names)}")
+    return df, names, MD.Scorecard.fit(df)
+
+
+def test_scorecard_scores_where_neighbours_are_drawn(spark):
+    """Same weights as by rows handed to the score function, and no neighbour leaves the task that draws it."""
+    df, names, sc = _customers(spark)
+    by_rows, drawn = (X.surrogate_local(df, names, f, n=1203) for f in (lambda d: sc(d), sc))
+    got, want = ({r.customer_id: [r.intercept, *r.weights, r.local_pred] for r in d.collect()} for d in (drawn, by_rows))
+    assert sorted(got) == list(range(12)) and all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-12) for k in got)
+    steps = [p.queryExecution().optimizedPlan().toString().count("MapInArrow") for p in (by_rows._jdf, drawn._jdf)]
+    assert steps == [2, 1]
