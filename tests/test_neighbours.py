@@ -76,3 +76,16 @@ def test_scorecard_scores_where_neighbours_are_drawn(spark):
     assert sorted(got) == list(range(12)) and all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-12) for k in got)
     steps = [p.queryExecution().optimizedPlan().toString().count("MapInArrow") for p in (by_rows._jdf, drawn._jdf)]
     assert steps == [2, 1]
+
+
+def test_scorecard_fidelity_equals_that_by_rows(spark):
+    """Both measures, keys that come twice, and no neighbour handed on as a row."""
+    df, names, sc = _customers(spark)
+    sc.intercept -= 2.0
+    sur = X.surrogate_local(df, names, sc, n=300)
+    by_rows, drawn = (X.surrogate_fidelity(df, sur, names, f, n=120) for f in (lambda d: sc(d), sc))
+    got, want = ({r.customer_id: (r.measure, r.fidelity) for r in d.collect()} for d in (drawn, by_rows))
+    assert sorted(got) == list(range(12)) and {m for m, _ in got.values()} == {"auc", "r2"}
+    assert all(got[k][0] == want[k][0] and np.isclose(got[k][1], want[k][1], rtol=1e-9, atol=1e-9) for k in got)
+    steps = [d._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for d in (by_rows, drawn)]
+    assert steps[0] - steps[1] == 1
