@@ -11,7 +11,9 @@ Every model is a generator that asks for the sums of some nodes and gets each no
 * else rows stay where they are, and the sums of all live models come from one Spark aggregate per level.  The margins are
   rewritten to the checkpoint folder every few rounds.
 
-Both give the same trees up to the order of floating-point sums (tested).  Random draws are hashes of (seed, row) or
+Gradients are rounded to a grid so fine that their sums over all rows are exact (:func:`on_grid`).  So sums do not depend
+on their order: both ways give the same trees (tested), a node's sums less one child's are the other child's, and
+features may be summed together and taken apart again.  Random draws are hashes of (seed, row) or
 (seed, round), independent of partitioning.
 """
 
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from churnlab.session import cut_lineage
 
 SMALL_CELLS = 32_000_000  # rows x features that are sent to every task (one byte each)
+PACKS = (4096, 256)  # joint bins of features summed together: in nodes of many rows, and of few
+BLOCK = 1 << 15  # rows summed at a time
 TABLE_FEATURES = 8  # features of a path up to which a leaf's shares are tabled for every pattern
 CUT_ROUNDS = 10  # rounds between two rewrites of the margins
 
@@ -80,6 +84,17 @@ class Tree:
             n, r = at[go], rows[go]
             at[go] = np.where(bins[r, f[n]] <= c[n], lo[n], hi[n])
 
+    def descend(self, cols: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, its rows) from columns of bins: a node's rows are parted, node by node."""
+        todo = [(0, rows)]
+        while todo:
+            node, rows = todo.pop()
+            if self.feature[node] < 0:
+                yield node, rows
+            elif len(rows):
+                goes = cols[self.feature[node]][rows] <= self.cut[node]
+                todo += [(self.left[node], rows[goes]), (self.right[node], rows[~goes])]
+
 
 def _uniform(ids: np.ndarray, seed: int) -> np.ndarray:
     """U(0, 1) per 64-bit id and seed (a published 64-bit mixer)."""
@@ -95,6 +110,72 @@ def gradients(margin, y, weight):
     return (p - y) * weight, np.maximum(p * (1.0 - p), 1e-16) * weight
 
 
+def _grid(p: BoostParams, balance: tuple[float, float], n: int) -> float:
+    """What :func:`on_grid` rounds with: the sum over ``n`` rows of the largest weight stays below 2^52 steps of the grid."""
+    top = max(1.0, p.pos_weight) * (max(balance) if p.balanced else 1.0)
+    return 3.0 * 2.0 ** (math.ceil(math.log2(max(1, n) * top)) - 1)
+
+
+def on_grid(g: np.ndarray, h: np.ndarray, grid: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rounded in place to multiples of grid / (3 * 2^51), hessians (a quarter at most) four times finer."""
+    for v, c in ((g, grid), (h, grid / 4)):
+        v += c
+        v -= c
+    return g, h
+
+
+def pack(cols: np.ndarray, widths: list[int], most: int) -> list[tuple]:
+    """Features summed together as (features, widths, joint bins, codes): at most ``most`` joint bins unless one has more."""
+    groups: list[list[int]] = []
+    for j in sorted(range(len(cols)), key=lambda j: -widths[j]):
+        for g in groups:
+            if math.prod(widths[k] for k in [*g, j]) <= most:
+                g.append(j)
+                break
+        else:
+            groups.append([j])
+    out = []
+    for g in groups:
+        own = [widths[j] for j in g]
+        codes = cols[g[0]]
+        if len(g) > 1:
+            codes = codes.astype(np.uint16 if math.prod(own) > 256 else np.uint8)
+            for j, w in zip(g[1:], own[1:]):
+                codes *= w
+                codes += cols[j]
+        out.append((g, own, math.prod(own), codes))
+    return out
+
+
+def node_sums(packs: list[list[tuple]], rows: list[np.ndarray], g: np.ndarray, h: np.ndarray, shape: tuple[int, int], used: np.ndarray, counted: bool) -> np.ndarray:
+    """[2 or 3, nodes, features, bins] sums of g, h and (if asked for) rows over each node's rows.  Filled for the used
+    features and the first one (it gives the totals)."""
+    sizes = [len(r) for r in rows]
+    rows, slot = np.concatenate(rows), np.repeat(np.arange(len(sizes)), sizes)
+    kinds = 2 + counted
+    chosen = min(packs, key=lambda ps: len(rows) * len(ps) + 2 * len(sizes) * sum(x[2] for x in ps))
+    chosen = [x for x in chosen if 0 in x[0] or used[x[0]].any()]
+    joint = [np.zeros((kinds, len(sizes), x[2])) for x in chosen]
+    for lo in range(0, len(rows), BLOCK):
+        at, own = rows[lo:lo + BLOCK], slot[lo:lo + BLOCK]
+        first, last = int(own[0]), int(own[-1]) + 1
+        weights = (g[at], h[at], None)[:kinds]
+        own = own - first if last - first > 1 else None
+        for (_, _, width, codes), j in zip(chosen, joint):
+            code = codes[at].astype(np.intp)
+            if own is not None:
+                code += own * width
+            for k, w in enumerate(weights):
+                j[k, first:last] += np.bincount(code, w, (last - first) * width).reshape(-1, width)
+    sums = np.zeros((kinds, len(sizes), *shape))
+    for (features, widths, _, _), j in zip(chosen, joint):
+        j = j.reshape(kinds, len(sizes), *widths)
+        for i, (feature, w) in enumerate(zip(features, widths)):
+            if used[feature] or feature == 0:
+                sums[:, :, feature, :w] = j.sum(axis=tuple(k + 2 for k in range(len(widths)) if k != i))
+    return sums
+
+
 def level_sums(cols: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray, slots: int, n_bins: int, used: np.ndarray, counted: bool) -> np.ndarray:
     """[3, slots, features, bins] sums of g, h and rows over the rows of a slot (-1: of none), from columns of bins.
 
@@ -121,7 +202,8 @@ def _shrunk(g, alpha: float):
 
 
 def best_splits(sums: np.ndarray, p: BoostParams, used: np.ndarray) -> list[tuple]:
-    """Per slot (gain, feature, cut, G, H); gain 0: no split.  Ties: the first feature and bin."""
+    """Per node (gain, feature, cut, G, H, rows, G, H, rows of the left side); gain 0: no split.  Ties: the first feature
+    and bin.  ``sums`` without rows (a side of enough weight has some): they come back as infinite."""
     total = sums[:, :, 0, :].sum(axis=2)  # every feature has the same total
     left = np.cumsum(sums, axis=3)[..., :-1]
     right = total[:, :, None, None] - left
@@ -130,23 +212,39 @@ def best_splits(sums: np.ndarray, p: BoostParams, used: np.ndarray) -> list[tupl
         return _shrunk(g, p.alpha) ** 2 / (h + p.lam + 1e-12)
 
     gain = 0.5 * (score(left[0], left[1]) + score(right[0], right[1]) - score(total[0], total[1])[:, None, None]) - p.gamma
-    ok = (left[1] >= p.min_weight) & (right[1] >= p.min_weight) & (left[2] >= p.min_rows) & (right[2] >= p.min_rows)
+    ok = (left[1] >= p.min_weight) & (right[1] >= p.min_weight)
+    if len(sums) > 2:
+        ok &= (left[2] >= p.min_rows) & (right[2] >= p.min_rows)
     ok &= used[None, :, None]
     gain = np.where(ok, gain, 0.0).reshape(len(gain), -1)
     top = gain.argmax(axis=1)
     width = sums.shape[3] - 1
-    return [(float(gain[s, t]) if gain[s, t] > 1e-10 else 0.0, int(t // width), int(t % width), float(total[0, s]), float(total[1, s])) for s, t in enumerate(top)]
+    out = []
+    for s, t in enumerate(top):
+        feature, cut = int(t // width), int(t % width)
+        whole, side = ([float(v) for v in x] + [math.inf] * (3 - len(sums)) for x in (total[:, s], left[:, s, feature, cut]))
+        out.append((float(gain[s, t]) if gain[s, t] > 1e-10 else 0.0, feature, cut, *whole, *side))
+    return out
+
+
+def _counted(p: BoostParams) -> bool:
+    return p.min_rows > 1 or p.min_weight <= 0  # else a side of enough weight has a row
 
 
 def grow(p: BoostParams):
-    """Generator of one tree: yields (tree, nodes whose sums are wanted), is sent their best splits, returns the tree."""
+    """Generator of one tree: yields (tree, nodes whose sums are wanted), is sent their best splits, returns the tree.
+    Nodes that cannot be split (too deep, or too little for two sides) are not asked for: their parent's split has their sums."""
     tree, best, depth = Tree(), {}, {0: 0}
+
+    def know(node: int, b: tuple) -> None:
+        best[node] = b
+        tree.cover[node] = b[4]
+        tree.value[node] = -float(_shrunk(np.float64(b[3]), p.alpha)) / (b[4] + p.lam + 1e-12) * p.rate
+
     ask = [0]
     while ask:
         for node, b in zip(ask, (yield tree, ask)):
-            best[node] = b
-            tree.cover[node] = b[4]
-            tree.value[node] = -float(_shrunk(np.float64(b[3]), p.alpha)) / (b[4] + p.lam + 1e-12) * p.rate
+            know(node, b)
         can = [n for n, b in best.items() if b[0] > 0 and (p.depth is None or depth[n] < p.depth)]
         if p.leaves is not None:
             chosen = _best_first(tree, best, set(can), p.leaves)
@@ -155,9 +253,13 @@ def grow(p: BoostParams):
         for n in can:
             if tree.feature[n] < 0:
                 tree.split(n, best[n][1], best[n][2])
-                for child in (tree.left[n], tree.right[n]):
+                whole, side = best[n][3:6], best[n][6:9]
+                for child, (g, h, rows) in ((tree.left[n], side), (tree.right[n], [a - b for a, b in zip(whole, side)])):
                     depth[child] = depth[n] + 1
-                    ask.append(child)
+                    if depth[child] == p.depth or h < 2 * p.min_weight or rows < 2 * p.min_rows:
+                        know(child, (0.0, 0, 0, g, h))
+                    else:
+                        ask.append(child)
     if p.leaves is not None:  # splits that the growth of their betters has ruled out
         chosen = _best_first(tree, best, {n for n in best if tree.feature[n] >= 0}, p.leaves)
         for n in best:
@@ -203,45 +305,72 @@ def _kept_nodes(tree: Tree) -> np.ndarray:
     return end
 
 
-def train_local(bins: np.ndarray, n_bins: int, y: np.ndarray, ids: np.ndarray, train: np.ndarray, p: BoostParams, balance) -> tuple[list[Tree], np.ndarray]:
-    """One model on a table in memory; (trees, margins of all rows)."""
+def train_local(bins: np.ndarray, n_bins: int, y: np.ndarray, ids: np.ndarray, train: np.ndarray, p: BoostParams, balance,
+                rest_too: bool = True) -> tuple[list[Tree], np.ndarray]:
+    """One model on a table in memory; (trees, margins of all rows).  Without ``rest_too`` the margins of rows that are
+    not trained on are not kept.  A split parts its node's rows; only the smaller side is summed up."""
     n, f = bins.shape
-    margin, trees, weight = np.zeros(n), [], _row_weights(p, y, balance)
-    counted = p.min_rows > 1 or p.min_weight <= 0  # else a side of enough weight has a row
-    rows = None
+    cols = np.ascontiguousarray(bins.T)
+    packs = [pack(cols, [int(c.max(initial=0)) + 1 for c in cols], most) for most in PACKS]
+    margin, trees, weight, grid = np.zeros(n), [], _row_weights(p, y, balance), _grid(p, balance, n)
+    own = np.flatnonzero(train)
+    away, own_ids, step = np.flatnonzero(~train) if rest_too else own[:0], ids[own] if p.subsample < 1 else None, np.zeros(n)
     for r in range(p.rounds):
-        if rows is None or p.subsample < 1:
-            keep = train if p.subsample >= 1 else train & (_uniform(ids, p.seed * 7919 + r) < p.subsample)
-            rows, rest = np.flatnonzero(keep), np.flatnonzero(~keep)
-            cols, away = np.ascontiguousarray(bins[rows].T), bins[rest]
-            flat, own_y, own_weight = cols.ravel(), y[rows], weight[rows]
+        rows, rest = own, away
+        if p.subsample < 1:
+            keep = _uniform(own_ids, p.seed * 7919 + r) < p.subsample
+            rows, rest = own[keep], np.concatenate([own[~keep], away])
         used = _columns(p, r, f)
-        g, h = gradients(margin[rows], own_y, own_weight)
-        at = np.zeros(len(rows), dtype=np.int64)
+        g, h = on_grid(*gradients(margin, y, weight), grid)
+        at, sums = {0: rows}, {}  # rows of the nodes that were not parted, sums of those that may be
         growth = grow(p)
         tree, ask = next(growth)
         try:
             while True:
-                slot_of = np.full(len(tree.feature), -1)
-                slot_of[ask] = np.arange(len(ask))
-                sums = level_sums(cols, slot_of[at], g, h, len(ask), n_bins, used, counted)
-                if not counted:
-                    sums[2] = 1.0
-                tree, ask = growth.send(best_splits(sums, p, used))
-                feat, cut, lo, hi = (np.asarray(a) for a in (tree.feature, tree.cut, tree.left, tree.right))
-                go = np.flatnonzero(feat[at] >= 0)  # one level at a time: rows of nodes just split
-                k = at[go]
-                at[go] = np.where(flat[feat[k] * len(rows) + go] <= cut[k], lo[k], hi[k])
+                _sum_asked(tree, ask, at, sums, cols, lambda some: node_sums(packs, some, g, h, (f, n_bins), used, _counted(p)))
+                found = best_splits(np.stack([sums[c] for c in ask], axis=1), p, used)
+                for c, b in zip(ask, found):
+                    if b[0] <= 0:
+                        del sums[c]
+                tree, ask = growth.send(found)
         except StopIteration as done:
             tree = done.value
-        value = np.asarray(tree.value)
-        margin[rows] += value[_kept_nodes(tree)][at]
-        if len(rest):
-            margin[rest] += value[tree.place(away)]
+        value, end = np.asarray(tree.value), _kept_nodes(tree)
+        for node, some in at.items():
+            if tree.feature[node] < 0:
+                step[some] = value[end[node]]
+            else:  # its sides were not asked for
+                step[some] = np.where(cols[tree.feature[node]][some] <= tree.cut[node], value[tree.left[node]], value[tree.right[node]])
+        for leaf, some in tree.descend(cols, rest) if len(rest) else ():
+            step[some] = value[leaf]
+        margin += step  # rows not kept stay at 0
         trees.append(tree)
     return trees, margin
 
 
+def _sum_asked(tree: Tree, ask: list[int], at: dict, sums: dict, cols: np.ndarray, summed) -> None:
+    """Parts the rows of the asked nodes' parents and puts the asked nodes' sums into ``sums``: those of a parent's
+    smaller side are summed up, the other side's are the rest."""
+    if ask == [0]:
+        sums[0] = summed([at[0]])[:, 0]
+        return
+    asked = set(ask)
+    parents, small = [n for n in at if tree.left[n] in asked or tree.right[n] in asked], []
+    for n in parents:
+        rows, sides = at.pop(n), (tree.left[n], tree.right[n])
+        goes = cols[tree.feature[n]][rows] <= tree.cut[n]
+        at[sides[0]], at[sides[1]] = rows[goes], rows[~goes]
+        small.append(min(sides, key=lambda c: len(at[c])))
+    got = summed([at[c] for c in small])
+    for i, (n, c) in enumerate(zip(parents, small)):
+        own, whole = got[:, i], sums.pop(n)
+        other = tree.left[n] + tree.right[n] - c
+        if c in asked:
+            sums[c] = own
+        if other in asked:
+            sums[other] = whole - own
+
+
 class BoostedTrees:
     """Trees over ``edges`` (ascending cuts per feature); ``transform`` adds ``probability`` as Spark's classifiers do."""
 
@@ -249,9 +378,10 @@ class BoostedTrees:
         self.edges, self.trees = edges, trees
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        bins, total = bin_rows(x, self.edges), np.zeros(len(x))
+        cols, total, rows = np.ascontiguousarray(bin_rows(x, self.edges).T), np.zeros(len(x)), np.arange(len(x))
         for t in self.trees:
-            total += np.asarray(t.value)[t.place(bins)]
+            for leaf, some in t.descend(cols, rows):
+                total[some] += t.value[leaf]
         return total
 
     def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
@@ -403,7 +533,7 @@ def fit_many(m: DataFrame, jobs: list[tuple[BoostParams, int | None]], y: str =
         c = [sum(v for (f, label), v in per.items() if label == k and f != fold) for k in (0.0, 1.0)]
         balance.append(tuple(sum(c) / (2.0 * max(1, x)) for x in c))
     train = _fit_small if n * len(edges) <= small_cells else _fit_large
-    return train(table, jobs, balance, edges, n_bins, held_out)
+    return train(table, jobs, balance, edges, n_bins, held_out, n)
 
 
 def _arrays(frame: pd.DataFrame):
@@ -412,11 +542,19 @@ def _arrays(frame: pd.DataFrame):
     return frame["id"].to_numpy(np.int64), frame["y"].to_numpy(float), frame["fold"].to_numpy(int), bins
 
 
-def _fit_small(table: DataFrame, jobs, balance, edges, n_bins, held_out):
+def _fit_small(table: DataFrame, jobs, balance, edges, n_bins, held_out, n):
     """The table goes to the tasks (checked cells); one row a model is dealt out."""
     import pickle
 
-    ids, y, fold, bins = _arrays(table.orderBy("id", "y", "fold", "bins").toPandas())  # at most SMALL_CELLS bytes of bins
+    t = table.toArrow()  # at most SMALL_CELLS bytes of bins
+    ids, y, fold = t["id"].to_numpy(), t["y"].to_numpy(), t["fold"].to_numpy().astype(np.int16)
+    cols = np.empty((len(edges), n), np.uint8)
+    lo = 0
+    for c in (c for c in t["bins"].chunks if len(c)):
+        start, end = np.frombuffer(c.buffers()[1], np.int32)[[c.offset, c.offset + len(c)]]
+        cols[:, lo:lo + len(c)] = np.frombuffer(c.buffers()[2], np.uint8)[start:end].reshape(len(c), -1).T
+        lo += len(c)
+    del t
     spark = table.sparkSession
     order = sorted(range(len(jobs)), key=lambda j: -jobs[j][0].rounds * (jobs[j][0].depth or 8))  # long ones first
     models = spark.range(0, len(order), 1, len(order))  # one task a model
@@ -426,8 +564,8 @@ def _fit_small(table: DataFrame, jobs, balance, edges, n_bins, held_out):
             for place in f["id"]:
                 j = order[place]
                 p, out = jobs[j]
-                own = np.ones(len(y), bool) if out is None else fold != out
-                trees, margin = train_local(bins, n_bins, y, ids, own, p, balance[j])
+                own = np.ones(n, bool) if out is None else fold != out
+                trees, margin = train_local(cols.T, n_bins, y, ids, own, p, balance[j], rest_too=held_out)
                 if held_out:
                     yield pd.DataFrame({"job": int(j), "y": y[~own].astype(int), "p": 1 / (1 + np.exp(-margin[~own]))})
                 else:
@@ -439,9 +577,10 @@ def _fit_small(table: DataFrame, jobs, balance, edges, n_bins, held_out):
     return [BoostedTrees(edges, got[j]) for j in range(len(jobs))], None
 
 
-def _fit_large(table: DataFrame, jobs, balance, edges, n_bins, held_out):
+def _fit_large(table: DataFrame, jobs, balance, edges, n_bins, held_out, n):
     """Rows stay where they are: one aggregate per level serves all live models."""
     f = len(edges)
+    split = ["job", "slot", "gain", "feature", "cut", "g", "h", "n", "left_g", "left_h", "left_n"]
     state = cut_lineage(table.select("*", F.array_repeat(F.lit(0.0), len(jobs)).alias("margin")))
     done: list[list[Tree]] = [[] for _ in jobs]
     fresh: list[list[Tree]] = [[] for _ in jobs]  # not yet in ``margin``
@@ -474,7 +613,7 @@ def _fit_large(table: DataFrame, jobs, balance, edges, n_bins, held_out):
                         on = (slot >= 0) & (fold != (-2 if out is None else out))
                         if p.subsample < 1:
                             on &= _uniform(ids, p.seed * 7919 + r) < p.subsample
-                        g, h = gradients(m[on, j], y[on], _row_weights(p, y[on], balance[j]))
+                        g, h = on_grid(*gradients(m[on, j], y[on], _row_weights(p, y[on], balance[j])), _grid(p, balance[j], n))
                         got = level_sums(cols[:, on], slot[on], g, h, len(ask), n_bins, _columns(p, r, f), True)
                         acc[j] = acc[j] + got if j in acc else got
                 for j, got in acc.items():
@@ -488,18 +627,18 @@ def _fit_large(table: DataFrame, jobs, balance, edges, n_bins, held_out):
                 got = np.zeros((3, 1, f, n_bins))
                 for feature, s in zip(frame["feature"], frame["sums"]):
                     got[:, 0, feature] += np.asarray(s).reshape(3, n_bins)
-                gain, feature, cut, g, h = best_splits(got, jobs[j][0], used[j])[0]
-                return pd.DataFrame({"job": [j], "slot": [int(keys[1])], "gain": [gain], "feature": [feature], "cut": [cut], "g": [g], "h": [h]})
+                return pd.DataFrame([(j, int(keys[1]), *best_splits(got, jobs[j][0], used[j])[0])], columns=split)
 
             k = 3 * n_bins
             part = state.mapInPandas(sums, "job int, slot int, feature int, sums array<double>")
             total = part.groupBy("job", "slot", "feature").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(k)]).alias("sums"))
-            rows = total.groupBy("job", "slot").applyInPandas(choose, "job int, slot int, gain double, feature int, cut int, g double, h double").collect()
-            found = {(x["job"], x["slot"]): (x["gain"], x["feature"], x["cut"], x["g"], x["h"]) for x in rows}  # nodes of one level
+            kinds = ["int", "int", "double", "int", "int", *["double"] * 6]
+            rows = total.groupBy("job", "slot").applyInPandas(choose, ", ".join(f"{c} {t}" for c, t in zip(split, kinds))).collect()
+            found = {(x["job"], x["slot"]): tuple(x)[2:] for x in rows}  # nodes of one level
             after = {}
             for j, (_, ask) in wanted.items():
                 try:
-                    after[j] = live[j].send([found.get((j, s), (0.0, 0, 0, 0.0, 0.0)) for s in range(len(ask))])
+                    after[j] = live[j].send([found.get((j, s), (0.0, 0, 0, *[0.0] * 6)) for s in range(len(ask))])
                 except StopIteration as end:
                     done[j].append(end.value)
                     fresh[j].append(end.value)

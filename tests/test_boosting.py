@@ -210,3 +210,39 @@ def test_presets_are_trained_side_by_side(spark, monkeypatch):
     Q.q_boosted(spark, "/root/testdata/sf0.001")
     Q.q_train_all(spark, "/root/testdata/sf0.001")
     assert calls == [2, 2]
+
+
+@pytest.mark.parametrize("p", [BoostParams(rounds=3, depth=4, rate=0.3, subsample=0.8, columns=0.7, seed=3), BoostParams(rounds=3, depth=None, leaves=8, lam=0.0, min_weight=1e-3, min_rows=4, balanced=True, rate=0.3)])
+def test_sums_are_exact_and_only_smaller_sides_are_summed(p, monkeypatch):
+    """Rows in another order give the very same trees; below the root at most half of the rows of a level are read."""
+    x, y = table(1500, seed=7)
+    edges = [sorted(set(np.quantile(x[:, j], np.linspace(0.05, 0.95, 19)).tolist())) for j in range(4)]
+    bins, ids, read, summed = bin_rows(x, edges), np.arange(1500), [], BO.node_sums
+
+    def spy(packs, rows, *rest):
+        read.append(sum(len(r) for r in rows))
+        return summed(packs, rows, *rest)
+
+    monkeypatch.setattr(BO, "node_sums", spy)
+    trees, margin = train_local(bins, 20, y, ids, np.ones(1500, bool), p, (0.9, 1.2))
+    assert read[0] > 750 and sorted(read)[-4] <= read[0] / 2 + 100 and max(read[1:3]) <= 750
+    order = np.random.default_rng(0).permutation(1500)
+    again, m = train_local(bins[order], 20, y[order], ids[order], np.ones(1500, bool), p, (0.9, 1.2))
+    assert trees == again and (margin[order] == m).all()
+
+
+def test_packed_sums_equal_plain_ones(monkeypatch):
+    """Joint bins of several features, blocks that part nodes, a node without rows."""
+    rng = np.random.default_rng(4)
+    cols = np.stack([rng.integers(0, w, 5000) for w in (30, 2, 1, 12, 3, 64)]).astype(np.uint8)
+    g, h = BO.on_grid(rng.normal(size=5000) / 4, rng.random(5000) / 4, BO._grid(BoostParams(), (1.0, 1.0), 5000))
+    slot = rng.choice([0, 1, 3], 5000)
+    rows = [np.flatnonzero(slot == k) for k in range(4)]
+    used = np.array([False, True, True, True, False, True])
+    want = BO.level_sums(cols, slot, g, h, 4, 64, used, True)
+    monkeypatch.setattr(BO, "BLOCK", 700)
+    for most in (4096, 100, 1):
+        packs = [BO.pack(cols, [30, 2, 1, 12, 3, 64], most)]
+        assert sorted(j for x in packs[0] for j in x[0]) == list(range(6))
+        assert (BO.node_sums(packs, rows, g, h, (6, 64), used, True) == want).all()
+        assert (BO.node_sums(packs, rows, g, h, (6, 64), used, False) == want[:2]).all()
