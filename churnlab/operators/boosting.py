@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from churnlab.session import cut_lineage
 
-SMALL_CELLS = 32_000_000  # rows x features that are sent to every task (one byte each)
+SMALL_CELLS = 128_000_000  # rows x features that are sent to every task (one byte each, some 6 with the work on them)
 PACKS = (4096, 256)  # joint bins of features summed together: in nodes of many rows, and of few
 BLOCK = 1 << 15  # rows summed at a time
-TABLE_FEATURES = 8  # features of a path up to which a leaf's shares are tabled for every pattern
+TABLE_FEATURES = 8  # conditions up to which the shares of leaves are tabled for every pattern (bits of a byte)
 CUT_ROUNDS = 10  # rounds between two rewrites of the margins
 
 
@@ -398,19 +398,22 @@ class BoostedTrees:
         """([rows, features], base): exact Shapley values of the margin; what a row does not tell is averaged by the
         nodes' covers.  A row's values and the base add up to its margin.  ``shares``: :func:`leaf_shares` of the trees."""
         bins = np.ascontiguousarray(bin_rows(x, self.edges).T)
-        phi = np.zeros(bins.shape)
-        base, leaves = shares or leaf_shares(self.trees)
-        for feats, lo, span, table in leaves:
+        phi, got = np.zeros(bins.shape), np.empty(len(x))
+        base, groups, leaves = shares or leaf_shares(self.trees)
+        for conditions, feats, tables in groups:
+            pattern = np.zeros(len(x), dtype=np.uint8)
+            for i, (j, lo, span) in enumerate(conditions):
+                pattern |= _holds(bins[j], lo, span).view(np.uint8) << np.uint8(i)
+            at = pattern.astype(np.intp)
+            for j, table in zip(feats, tables):
+                phi[j] += table.take(at, out=got, mode="clip")  # a pattern is always inside; checked takes are buffered
+        for conditions, value, share in leaves:
             follows = np.zeros(len(x), dtype=np.int64)
-            for i, j in enumerate(feats):
-                follows |= ((bins[j] - lo[i]) <= span[i]).astype(np.int64) << i  # bytes wrap around below the lowest bin
-            if len(feats) <= TABLE_FEATURES:
-                for i, j in enumerate(feats):
-                    phi[j] += table[i][follows]
-            else:
-                patterns, own = np.unique(follows, return_inverse=True)
-                for j, got in zip(feats, _pattern_shares(table[0], table[1][None], patterns)):
-                    phi[j] += got[0][own]
+            for i, (j, lo, span) in enumerate(conditions):
+                follows |= _holds(bins[j], lo, span).astype(np.int64) << i
+            patterns, own = np.unique(follows, return_inverse=True)
+            for (j, _, _), part in zip(conditions, _pattern_shares(value, share[None], patterns)):
+                phi[j] += part[0][own]
         return phi.T, base
 
     def attributions(self, df: DataFrame, names: list[str], key: str = "customer_id", features: str = "features") -> DataFrame:
@@ -427,7 +430,7 @@ class BoostedTrees:
                     x = np.stack(part["x"].to_numpy())
                     shares = shares or leaf_shares(model.trees)  # once a task
                     phi, base = model.shapley(x, shares)
-                    yield pd.DataFrame({key: part[key].to_numpy(), "base": base, "margin": model.margins(x), "phi": list(phi)})
+                    yield pd.DataFrame({key: part[key].to_numpy(), "base": base, "margin": model.margins(x), "phi": list(np.ascontiguousarray(phi))})
 
         got = rows.mapInPandas(run, f"`{key}` {kind}, base double, margin double, phi array<double>")
         pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col("phi")[i].alias("value")) for i, n in enumerate(names)])
@@ -450,27 +453,61 @@ def _leaf_paths(tree: Tree) -> Iterator[tuple[float, dict]]:
         todo.append((right, path | {f: (z * tree.cover[right] / cover, max(lo, cut + 1), hi)}))
 
 
-def leaf_shares(trees: list[Tree]) -> tuple[float, list[tuple]]:
-    """(base, leaves as (path features, lowest bins, spans of bins, shares)).
+def _holds(bins: np.ndarray, lo: np.uint8, span: np.uint8) -> np.ndarray:
+    return bins <= span if not lo else (bins - lo) <= span  # bytes wrap around below the lowest bin
+
+
+def _condition(feature: int, lo: int, hi: int) -> tuple[tuple, int]:
+    """(feature, lowest bin, span) and 0, or that of the bins below and 1: a split's sides are one condition."""
+    f, lo, hi, not_ = (feature, 0, lo - 1, 1) if hi == 255 and lo else (feature, lo, hi, 0)
+    return (f, np.uint8(lo), np.uint8(hi - lo)), not_  # a split leaves rows on both sides: lo <= hi
+
 
-    What a leaf adds to its path's features depends on which of its conditions a row follows: up to ``TABLE_FEATURES``
-    features the share of each feature is tabled for every such pattern, the leaves of one path length together;
-    beyond that (value, shares of cover) are kept and the patterns that occur are worked out."""
-    base, by_length = 0.0, {}
+def leaf_shares(trees: list[Tree]) -> tuple[float, list[tuple], list[tuple]]:
+    """(base, groups of leaves as (conditions, features, shares), leaves as (conditions, value, shares of cover)).
+
+    What a leaf adds to its path's features depends on which of its conditions a row follows.  Up to ``TABLE_FEATURES``
+    conditions the shares are tabled for every such pattern, and neighbouring leaves that have no more conditions
+    than that in all share one table; of a leaf with more the patterns that occur are worked out."""
+    base, short, by_length, long = 0.0, [], {}, []
     for t in trees:
         for value, path in _leaf_paths(t):
             base += value * math.prod(z for z, _, _ in path.values())
-            if path and value:
-                by_length.setdefault(len(path), []).append((value, path))
-    out = []
-    for d, leaves in by_length.items():
-        value, share = np.array([v for v, _ in leaves]), np.array([[z for z, _, _ in path.values()] for _, path in leaves])
-        tabled = d <= TABLE_FEATURES
-        tables = np.stack(_pattern_shares(value, share, np.arange(1 << d)), axis=1) if tabled else zip(value, share)
-        for (_, path), table in zip(leaves, tables):
-            lo, hi = (np.array([v[k] for v in path.values()]) for k in (1, 2))
-            out.append((list(path), lo.astype(np.uint8), (hi - lo).astype(np.uint8), table))  # a split leaves rows on both sides: lo <= hi
-    return base, out
+            if not path or not value:
+                continue
+            if len(path) > TABLE_FEATURES:
+                plain = [(f, np.uint8(lo), np.uint8(hi - lo)) for f, (_, lo, hi) in path.items()]
+                long.append((plain, value, np.array([z for z, _, _ in path.values()])))
+            else:
+                by_length.setdefault(len(path), []).append(len(short))
+                short.append((value, path))
+    tables = [None] * len(short)
+    for d, some in by_length.items():
+        value, share = np.array([short[k][0] for k in some]), np.array([[z for z, _, _ in short[k][1].values()] for k in some])
+        for k, table in zip(some, np.stack(_pattern_shares(value, share, np.arange(1 << d)), axis=1)):
+            tables[k] = table
+    groups, bits, members = [], {}, []
+
+    def close() -> None:
+        feats = sorted({f for own, _ in members for f, _, _ in own})
+        patterns, joint = np.arange(1 << len(bits)), np.zeros((len(feats), 1 << len(bits)))
+        for own, table in members:
+            follows = sum((((patterns >> bits[c]) & 1) ^ not_) << i for i, (_, c, not_) in enumerate(own))
+            for (f, _, _), part in zip(own, table):
+                joint[feats.index(f)] += part[follows]
+        groups.append((list(bits), feats, joint))
+
+    for (_, path), table in zip(short, tables):
+        own = [(f, *_condition(f, lo, hi)) for f, (_, lo, hi) in path.items()]
+        if members and len(bits.keys() | {c for _, c, _ in own}) > TABLE_FEATURES:
+            close()
+            bits, members = {}, []
+        for _, c, _ in own:
+            bits.setdefault(c, len(bits))
+        members.append((own, table))
+    if members:
+        close()
+    return base, groups, long
 
 
 def _pattern_shares(value, share: np.ndarray, patterns: np.ndarray) -> list[np.ndarray]:
